@@ -1,0 +1 @@
+"""quern.plans"""
