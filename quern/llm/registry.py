@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import line_dedup
+from quern.llm import decontam, line_dedup
 
-QUERIES = {"op1_line_dedup": line_dedup.op1_line_dedup}
-ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL}
+QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
+}
+ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op10_benchmark_decontamination": decontam.SQL,
+}
