@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 
 
-def _window_hashes(lines: Column) -> Column:
-    """Array of (pos, w1, w2) for all windows that aren't blank."""
+def _window_hashes(lines: Column) -> tuple[Column, Column, Column]:
+    """Two hashes of each line, and whether it is blank."""
     h1 = F.transform(lines, lambda x: F.xxhash64(x))
     h2 = F.transform(lines, lambda x: F.xxhash64(x, F.lit(WINDOW)))
     blank = F.transform(lines, lambda x: F.trim(x) == "")
