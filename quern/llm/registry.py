@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontam, langid, line_dedup
+from quern.llm import bpe, decontam, jaccard, langid, line_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_bpe": bpe.op8_bpe,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
 }
 ORACLE_SQL = {
