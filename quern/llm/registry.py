@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontam, jaccard, langid, line_dedup
+from quern.llm import bpe, decontam, jaccard, langid, line_dedup, token_files
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_token_files": token_files.op3_token_files,
     "op7_language_id": langid.op7_language_id,
     "op8_bpe": bpe.op8_bpe,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
