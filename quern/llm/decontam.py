@@ -26,43 +26,57 @@ UNITS = "km|m|cm|mm|kg|g|mg|l|ml|s|min|h|hours|hour|minutes|minute|seconds|secon
 NUM, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 
 
-def marked_words(text: Column) -> Column:
-    """Words of the text; those that fill a slot carry its type as their first character."""
-    clean = F.translate(text, NUM + NAME + UNIT, "   ")
-    named = F.regexp_replace(clean, r"([\p{Ll},;] )(\p{Lu}\p{Ll})", f"$1{NAME}$2")
-    numbered = F.regexp_replace(named, r"([0-9]+)[.,]([0-9])", "$1$2")
-    numbered = F.regexp_replace(numbered, r"(^|[^\p{L}\p{N}])([0-9]+)", f"$1{NUM}$2")
-    lowered = F.lower(numbered)
-    units = F.regexp_replace(lowered, rf"({NUM}[0-9]+) ?({UNITS})($|[^\p{{L}}\p{{N}}])", f"$1 {UNIT}$2$3")
-    return F.filter(F.split(units, r"[^\p{L}\p{N}\x{1}\x{2}\x{3}]+"), lambda w: w != "")
-
-
-def windows(table: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """One row per window: id, pos, w (64-bit hash), slots (what fills them, types included; null where there are none)."""
-    base = table.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), marked_words(F.col(text_col)).alias("words"))
-    base = base.filter(F.size("words") >= WINDOW)
-    is_slot = lambda w: w < "\u0004"
-    base = base.select("id", "words", F.exists("words", is_slot).alias("any_slot"))
-    hashes = F.when(F.col("any_slot"), F.transform("words", lambda w: F.xxhash64(F.when(is_slot(w), F.substr(w, F.lit(1), F.lit(1))).otherwise(w)))).otherwise(F.transform("words", lambda w: F.xxhash64(w)))
-    base = base.select("id", F.when(F.col("any_slot"), F.col("words")).alias("slotted"), hashes.alias("h"))
-    at = lambda c, i: F.get(F.col(c), i)
-
-    def window(i: Column) -> Column:
-        mine = F.slice("slotted", i + 1, WINDOW)
-        return F.struct(i.alias("pos"), F.xxhash64(*(at("h", i + j) for j in range(WINDOW))).alias("w"), F.filter(mine, is_slot).alias("slots"))
-
-    rows = base.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), window)).alias("x"))
-    rows = rows.select("id", F.col("x.pos").alias("pos"), F.col("x.w").alias("w"), F.when(F.size("x.slots") > 0, F.col("x.slots")).alias("slots"))
-    return rows.filter(F.col("slots").isNull() | (F.size("slots") < WINDOW))
+#: What parts words; the ranges only save time, the classes hold them all.
+APART = r"[^a-z0-9\x{1}-\x{3}\xdf-\xf6\xf8-\xff\p{L}\p{N}]+"
+
+
+def marked(text: Column) -> Column:
+    """The text in lower case; what fills a slot has the slot's type before it."""
+    named = F.regexp_replace(F.translate(text, NUM + NAME + UNIT, "   "), r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", f" {NAME}")
+    joined = F.regexp_replace(named, r"([0-9]+)[.,]([0-9])", "$1$2")
+    numbered = F.lower(F.regexp_replace(joined, r"(^|[^\p{L}\p{N}])([0-9]+)", f"$1{NUM}$2"))
+    with_units = F.regexp_replace(numbered, rf"({NUM}[0-9]+) ?({UNITS})($|[^\p{{L}}\p{{N}}])", f"$1 {UNIT}$2$3")
+    return F.when(text.rlike("[0-9]"), with_units).otherwise(F.lower(named))
+
+
+def _is_slot(word: Column) -> Column:
+    return word < "\u0004"
+
+
+def template_windows(table: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """One row per window: id, words (of its text; null in a text without slots), pos and w, a 64-bit hash. A text too short has a row of nulls."""
+    base = table.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), marked(F.col(text_col)).alias("t"))
+    has_slots = F.col("t").contains(NUM) | F.col("t").contains(NAME) | F.col("t").contains(UNIT)
+    base = base.select("id", has_slots.alias("has_slots"), F.split("t", APART).alias("words"))
+    skip = F.when(F.get(F.col("words"), 0) == "", 1).otherwise(0)
+    last = F.when(F.get(F.col("words"), F.size("words") - 1) == "", 1).otherwise(0)
+    base = base.select("id", "has_slots", F.slice("words", skip + 1, F.greatest(F.size("words") - skip - last, F.lit(0))).alias("words"))
+    typed = lambda w: F.xxhash64(F.when(_is_slot(w), F.substr(w, F.lit(1), F.lit(1))).otherwise(w))
+    hashes = F.when(F.col("has_slots"), F.transform("words", typed)).otherwise(F.transform("words", lambda w: F.xxhash64(w)))
+    base = base.select("id", F.when(F.col("has_slots"), F.col("words")).alias("words"), hashes.alias("h"))
+    window = lambda i: F.xxhash64(*(F.get(F.col("h"), i + j) for j in range(WINDOW)))
+    ws = F.when(F.size("h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), window))
+    base = base.select("id", "words", ws.alias("ws"))
+    # A filter, also the one that a plain explode infers, would move below these steps and repeat them all for its own sake.
+    return base.select("id", "words", F.posexplode_outer("ws").alias("pos", "w"))
+
+
+def _slots() -> Column:
+    return F.filter(F.slice("words", F.col("pos") + 1, WINDOW), _is_slot)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows (distinct ones of the item), n_found: one row per document and item that it leaks."""
-    items = windows(benchmark, item_col, item_text_col).select(F.col("id").alias("item_id"), F.col("pos").alias("b_pos"), "w", F.col("slots").alias("b_slots"))
+    items = template_windows(benchmark, item_col, item_text_col).filter("w is not null")
+    items = items.select(F.col("id").alias("item_id"), F.col("pos").alias("b_pos"), "w", _slots().alias("b_slots"))
+    items = items.filter(F.col("b_slots").isNull() | (F.size("b_slots") < WINDOW))
     small = items.count() <= BROADCAST_ROWS
     totals = items.groupBy("item_id").agg(F.count_distinct("w").alias("n_windows"))
-    theirs = windows(docs, id_col, text_col).select(F.col("id").alias("doc_id"), "pos", "w", "slots")
-    hits = theirs.join(F.broadcast(items) if small else items, "w")
+    theirs = template_windows(docs, id_col, text_col).withColumnRenamed("id", "doc_id")
+    if small:  # words are only looked at where a window is found
+        hits = theirs.join(F.broadcast(items), "w").withColumn("slots", _slots())
+    else:
+        hits = theirs.withColumn("slots", _slots()).drop("words").join(items, "w")
     # Repeated rows of a document or item, and items that share windows, stay apart by alignment.
     hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("b_pos")).alias("shift"), "w", F.arrays_zip("b_slots", "slots").alias("pairs"))
     lines = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("w").alias("ws"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
@@ -84,27 +98,32 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+_NAMED = "regexp_replace({t}, '([\\p{{Ll}},;] )(\\p{{Lu}}\\p{{Ll}})', '\\1'||chr(2)||'\\2', 'g')"
 _WORDS = (
-    "list_filter(string_split_regex(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({t}, '([\\p{{Ll}},;] )(\\p{{Lu}}\\p{{Ll}})', '\\1'||chr(2)||'\\2', 'g'), "
+    "list_filter(string_split_regex(regexp_replace(lower(regexp_replace(regexp_replace({t}, "
     "'([0-9]+)[.,]([0-9])', '\\1\\2', 'g'), '(^|[^\\p{{L}}\\p{{N}}])([0-9]+)', '\\1'||chr(1)||'\\2', 'g')), "
     "'('||chr(1)||'[0-9]+) ?({u})($|[^\\p{{L}}\\p{{N}}])', '\\1 '||chr(3)||'\\2\\3', 'g'), '[^\\p{{L}}\\p{{N}}\\x01\\x02\\x03]+'), lambda w: w <> '')"
 )
 
 
-def _windows_sql(table: str, key: str) -> str:
-    words = _WORDS.format(t="coalesce(translate(text, chr(1)||chr(2)||chr(3), '   '), '')", u=UNITS)
-    return f"""
-    SELECT {key} AS id, i - 1 AS pos, list_transform(words[i:i+4], lambda w: CASE WHEN w < chr(4) THEN w[1] ELSE w END) AS w,
-      list_filter(words[i:i+4], lambda w: w < chr(4)) AS slots
-    FROM (SELECT {key}, words, unnest(range(1, len(words) - 3)) AS i FROM (SELECT {key}, {words} AS words FROM {table}) WHERE len(words) >= 5)"""
+def _words_sql(table: str, key: str) -> str:
+    # twice: a match takes the letter before it, which the next name may need
+    named = _NAMED.format(t=_NAMED.format(t="coalesce(translate(text, chr(1)||chr(2)||chr(3), '   '), '')"))
+    return f"SELECT {key} AS id, {_WORDS.format(t=named, u=UNITS)} AS words FROM {table}"
+
 
+_WINDOWS_SQL = """SELECT id, pos, list_transform(v, lambda w: CASE WHEN w < chr(4) THEN w[1] ELSE w END) AS w, list_filter(v, lambda w: w < chr(4)) AS slots
+  FROM (SELECT id, i - 1 AS pos, words[i:i+4] AS v FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS i FROM {t} WHERE len(words) >= 5))"""
 
 SQL = f"""
-WITH d AS (SELECT * FROM ({_windows_sql("documents", "doc_id")}) WHERE len(slots) < 5),
-b AS (SELECT * FROM ({_windows_sql("benchmark", "item_id")}) WHERE len(slots) < 5),
+WITH dw AS MATERIALIZED ({_words_sql("documents", "doc_id")}),
+bw AS MATERIALIZED ({_words_sql("benchmark", "item_id")}),
+dv AS MATERIALIZED ({_WINDOWS_SQL.format(t="dw")}),
+bv AS MATERIALIZED ({_WINDOWS_SQL.format(t="bw")}),
+b AS MATERIALIZED (SELECT * FROM bv WHERE len(slots) < 5),
 t AS (SELECT id AS item_id, count(DISTINCT w) AS n_windows FROM b GROUP BY id),
-h AS (SELECT d.id AS doc_id, b.id AS item_id, d.pos - b.pos AS shift, d.w AS w, b.slots AS bs, d.slots AS ds FROM d JOIN b ON d.w = b.w),
-p AS (SELECT doc_id, item_id, shift, count(DISTINCT (x, y)) AS pairs, count(DISTINCT x) AS vals
+h AS MATERIALIZED (SELECT d.id AS doc_id, b.id AS item_id, d.pos - b.pos AS shift, d.w AS w, b.slots AS bs, d.slots AS ds FROM dv d JOIN b ON d.w = b.w),
+p AS MATERIALIZED (SELECT doc_id, item_id, shift, count(DISTINCT (x, y)) AS pairs, count(DISTINCT x) AS vals
   FROM (SELECT doc_id, item_id, shift, unnest(bs) AS x, unnest(ds) AS y FROM h) GROUP BY ALL),
 g AS (SELECT h.doc_id, h.item_id, count(DISTINCT w) AS n_found FROM h LEFT JOIN p USING (doc_id, item_id, shift)
   WHERE p.pairs IS NULL OR p.pairs = p.vals GROUP BY ALL)
