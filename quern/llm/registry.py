@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontam, jaccard, langid, line_dedup, token_files
+from quern.llm import bpe, decontam, jaccard, langid, line_dedup, token_files, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_token_files": token_files.op3_token_files,
+    "op4_exact_top_k": topk.op4_exact_top_k,
     "op7_language_id": langid.op7_language_id,
     "op8_bpe": bpe.op8_bpe,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op4_exact_top_k": topk.SQL,
     "op10_benchmark_decontamination": decontam.SQL,
 }
