@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontam, jaccard, langid, line_dedup, token_files, topk
+from quern.llm import bpe, decontam, jaccard, langid, line_dedup, mixing, token_files, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_context_mixing": mixing.op2_context_mixing,
     "op3_token_files": token_files.op3_token_files,
     "op4_exact_top_k": topk.op4_exact_top_k,
     "op7_language_id": langid.op7_language_id,
