@@ -1,10 +1,9 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 A text is coded as its bytes and an end symbol, each symbol as the path of its leaf in a Huffman tree of its predecessor
-(trees from all training documents), so that a byte takes about three binary decisions. Predictors of five context
+(trees from all training documents), so that a byte takes about three binary decisions. Predictors of four context
 lengths hold, per hashed (context, tree node), how often either branch was taken in all training documents. A decision's
-log odds are the predictors' odds weighted by one of several weight sets, which a gate (how sure the longest context is)
-selects; weights learn online from each decision's error, and an adaptive table of the mixed odds refines the result. Weights
+log odds are the predictors' odds weighted by two weight sets, which a gate (how sure the longest context is) blends; weights learn online from each decision's error, and an adaptive table of the mixed odds refines the result. Weights
 and table start anew with every stretch of STRETCH decisions, so a score depends on the text and the counts alone.
 
 The base score is a unigram model with additive smoothing over lower-cased words and one end per text. Counts of words
@@ -17,6 +16,7 @@ Defined cases: a null text is empty; an empty text is one end token and one end
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,14 @@ from pyspark.sql.window import Window as W
 from quern.llm.common import PAGE, PAGES_SCHEMA, Work, crc_mod, pages_out, pieces, text_bytes, texts, vector_of
 from quern.llm.jaccard import U, mixed, word_hashes
 
-ORDERS = (2, 3, 4, 6)
+ORDERS = (2, 4, 6)
 SLOTS = 1 << 20
 SYMBOLS = 257  # bytes and the end
-STRETCH = 8192
+STRETCH = 4096
 RATE, RATE_TABLE = 0.02, 0.02
-GATES = 4
+CELLS = 33
+#: Bytes of text whose decisions are laid out at a time.
+CACHED = 192 << 10
 STEP = 12.0  # odds are kept in steps of 1/12
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 16 << 20
@@ -48,17 +50,21 @@ def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(n + 1)
 
 
-def contexts(sym: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The symbol before each (256 at a start), and hashes of the last 2, 3, 4 and 6, which don't look past a start."""
-    n = len(sym)
-    place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
-    before = [np.where(place > k, np.concatenate((np.full(k + 1, 256, np.int64), sym[: max(n - k - 1, 0)]))[:n], 256).astype(U) for k in range(max(ORDERS))]
-    out, h = [], before[0].copy()
-    for k in range(1, max(ORDERS)):
-        h = h * U(0x9E3779B97F4A7C15) + before[k]
-        if k + 1 in ORDERS:
-            out.append(mixed(h + U(k)))
-    return before[0].astype(np.int64), out
+def contexts(sym: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The last six symbols before each, 9 bits each, the nearest lowest; 256 stands for all before a text's start."""
+    one = np.full(len(sym), 256, U)
+    one[1:] = sym[:-1]
+    two, four = one.copy(), None
+    two[1:] |= one[:-1] << U(9)
+    four = two.copy()
+    four[2:] |= two[:-2] << U(18)
+    six = four
+    six[4:] |= two[:-4] << U(36)
+    for j in range(6):  # the first symbols of each text
+        spot = at[:-1] + j
+        spot = spot[spot < at[1:]]
+        six[spot] = (six[spot] & U((1 << 9 * j) - 1)) | U(sum(256 << 9 * k for k in range(j, 6)))
+    return six
 
 
 class Trees:
@@ -85,26 +91,40 @@ class Trees:
                 nodes += [p for p, _ in reversed(path)]
                 bits += [b for _, b in reversed(path)]
                 start[c * SYMBOLS + s + 1] = len(path)
-        self.start, self.node, self.bit = np.cumsum(start), np.array(nodes, np.uint8), np.array(bits, np.int8)
+        self.start, self.node, self.bit = np.cumsum(start).astype(np.int32), np.array(nodes, np.uint8), np.array(bits, np.int8)
+
+
+_NODE_SALT = (mixed(np.arange(1, 257, dtype=U)) >> U(64 - SLOTS.bit_length() + 1)).astype(np.int32)
 
 
 def decisions(sym: np.ndarray, at: np.ndarray, trees: Trees) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Slots of each decision by predictor, its branch, and where each text's decisions start."""
-    prev, hashes = contexts(sym, at)
-    leaf = prev * SYMBOLS + sym
+    last = contexts(sym, at)
+    prev = (last & U(511)).astype(np.int32)
+    leaf = prev * SYMBOLS + sym.astype(np.int32)
     first = trees.start[leaf]
     size = trees.start[leaf + 1] - first
     total = np.cumsum(size)
-    owner = np.repeat(np.arange(len(sym)), size)
-    path = np.arange(len(owner)) + np.repeat(first - (total - size), size)
-    node = trees.node[path].astype(np.int64)
-    slots = [prev[owner] * 256 + node]
-    salted = (node.astype(U) + U(1)) * U(0xD6E8FEB86659FD93)
-    for k, h in enumerate(hashes):
-        slots.append(SYMBOLS * 256 + k * SLOTS + ((h[owner] + salted) * U(0xFF51AFD7ED558CCD) >> U(44)).astype(np.int64))
+    path = np.repeat((first - (total - size)).astype(np.int32), size) + np.arange(total[-1] if len(total) else 0, dtype=np.int32)
+    node = trees.node[path]
+    slots = [np.repeat(prev * 256, size) + node]
+    salt = _NODE_SALT[node]
+    for k, order in enumerate(ORDERS):
+        h = (mixed((last & U((1 << 9 * order) - 1)) * U(0x9E3779B97F4A7C15) + U(order)) >> U(64 - SLOTS.bit_length() + 1)).astype(np.int32)
+        spot = np.repeat(h, size)
+        spot ^= salt
+        spot += np.int32(SYMBOLS * 256 + k * SLOTS)
+        slots.append(spot)
     return slots, trees.bit[path], np.concatenate(([0], total))[at]
 
 
+def coded(column: pa.Array, trees: Trees) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """decisions() of some texts after another, as many as keep the arrays in a processor's cache."""
+    batch = pa.record_batch([column], names=["text"])
+    for some in pieces(iter([batch]), "text", CACHED):
+        yield some.column(0), *decisions(*symbols_of(some.column(0)), trees)
+
+
 N_SLOTS = SYMBOLS * 256 + len(ORDERS) * SLOTS
 
 
@@ -116,7 +136,7 @@ def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
         counts = np.zeros(-(-SYMBOLS * SYMBOLS // PAGE) * PAGE, np.int64)
         for piece in pieces(batches, "text"):
             sym, at = symbols_of(piece.column("text"))
-            prev, _ = contexts(sym, at)
+            prev = (contexts(sym, at) & U(511)).astype(np.int64)
             counts += np.bincount(prev * SYMBOLS + sym, minlength=len(counts))
         yield from pages_out(counts)
 
@@ -126,11 +146,11 @@ def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
     length = -(-2 * N_SLOTS // PAGE) * PAGE
 
     def count_branches(batches):
-        counts = np.zeros(length, np.uint32)
+        counts, one = np.zeros(length, np.uint32), np.uint32(1)
         for piece in pieces(batches, "text", 2 << 20):
-            slots, bit, _ = decisions(*symbols_of(piece.column("text")), shared.value)
-            for s in slots:
-                np.add.at(counts, 2 * s + bit, np.uint32(1))
+            for _, slots, bit, _ in coded(piece.column("text"), shared.value):
+                for s in slots:
+                    np.add.at(counts, 2 * s + bit, one)
         yield from pages_out(counts)
 
     counts = vector_of(rows.mapInArrow(count_branches, PAGES_SCHEMA), length)[: 2 * N_SLOTS].reshape(-1, 2)
@@ -140,40 +160,57 @@ def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
 
 def bits_of(column: pa.Array, trees: Trees, odds: np.ndarray) -> np.ndarray:
     """The total of bits that each text takes."""
-    slots, bit, at = decisions(*symbols_of(column), trees)
-    x = np.stack([odds[s] for s in slots], axis=1)
-    del slots
+    parts, at = [], [np.zeros(1, np.int64)]
+    for _, slots, bit, ends in coded(column, trees):
+        parts.append(([odds[s] for s in slots], bit))
+        at.append(ends[1:] + at[-1][-1])
+    at = np.concatenate(at)
+    if not parts:
+        return np.zeros(len(column))
+    slots = [np.concatenate([p[j] for p, _ in parts]) for j in range(len(parts[0][0]))]
+    bit = np.concatenate([b for _, b in parts])
+    del parts
     # All stretches of all texts advance together, a decision each; the longest come first, so those still running lead.
-    cuts = [np.arange(a, b, STRETCH) for a, b in zip(at[:-1], at[1:], strict=True)]
+    cuts = [np.arange(a, b, STRETCH) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     owner = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
     first = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
     size = np.minimum(STRETCH, at[owner + 1] - first)
     order = np.argsort(-size, kind="stable")
-    owner, first, size = owner[order], first[order], size[order]
-    n, k = len(first), x.shape[1]
-    weights = np.full((n * GATES, k), 1.0 / 3, np.float32)
-    cells = 33
-    table = np.tile(1 / (1 + np.exp(-(np.arange(cells, dtype=np.float32) - cells // 2) / 2)), n).astype(np.float32)
-    spent = np.zeros(n)
-    live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
-    row4, row33 = np.arange(n) * GATES, np.arange(n) * cells + cells // 2
-    for t, m in enumerate(live.tolist()):
-        spot = first[:m] + t
-        v = x[spot].astype(np.float32)
-        v *= np.float32(1 / STEP)
-        hit = bit[spot].astype(np.float32)
-        gate = row4[:m] + np.minimum(np.abs(v[:, k - 1]), 3.0).astype(np.int64)
-        w = weights[gate]
-        z = np.einsum("ij,ij->i", w, v)
-        np.clip(z, -8.0, 8.0, out=z)
+    owner, first, size = owner[order], first[order].astype(np.int32), size[order]
+    n, k = len(first), len(slots)
+    steps = int(size.max(initial=0))
+    live = np.searchsorted(-size, -np.arange(steps), side="left")
+    by_step = np.concatenate([first[:m] + np.int32(t) for t, m in enumerate(live.tolist())]) if steps else np.zeros(0, np.int32)
+    x = [s[by_step] for s in slots]
+    del slots
+    bit = bit[by_step]
+    # Two weight sets; the gate, how sure the longest context is, says how much each has to say.
+    weights = np.full((2 * k, n), 1.6 / k, np.float32)
+    inputs = np.empty((2 * k, n), np.float32)
+    table = np.tile(1 / (1 + np.exp(-(np.arange(CELLS, dtype=np.float32) - CELLS // 2) / 2)), n).astype(np.float32)
+    middle = (np.arange(n) * CELLS + CELLS // 2).astype(np.float32)
+    spent, at_step = np.zeros(n), 0
+    small, rate = np.float32(1 / STEP), np.float32(RATE)
+    for m in live.tolist():
+        now = slice(at_step, at_step + m)
+        at_step += m
+        v, w = inputs[:, :m], weights[:, :m]
+        for j in range(k):
+            np.multiply(x[j][now], small, out=v[j])
+        gate = np.abs(v[k - 1])
+        gate /= gate + np.float32(1)
+        np.multiply(v[:k], np.float32(1) - gate, out=v[k:])
+        v[:k] *= gate
+        z = np.einsum("ij,ij->j", w, v)
+        np.minimum(np.maximum(z, np.float32(-8), out=z), np.float32(8), out=z)
+        hit = bit[now]
         p = 1 / (1 + np.exp(-z))
-        w += v * ((hit - p) * np.float32(RATE))[:, None]
-        weights[gate] = w
-        cell = row33[:m] + np.rint(z * 2).astype(np.int64)
+        v *= (hit - p) * rate
+        w += v
+        cell = np.rint(z * 2 + middle[:m]).astype(np.int32)
         refined = table[cell]
         table[cell] = refined + (hit - refined) * np.float32(RATE_TABLE)
-        p = 0.5 * (p + refined)
-        spent[:m] -= np.log(np.abs(1 - hit - p))
+        spent[:m] -= np.log(np.abs(np.float32(1) - hit - (p + refined) * np.float32(0.5)))
     return np.bincount(owner, spent, minlength=len(column)) / np.log(2)
 
 
