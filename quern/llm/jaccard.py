@@ -186,6 +186,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, least: int, work: Work,
     return work.save(f"{name}_links", both.mapInArrow(run, both.select("x", "y").schema))
 
 
+def _fits(n1: str, p1: str, n2: str, p2: str, least: int) -> str:
+    """Length and positional filter: if this is the first shingle that two sets share, what stands from here on must be enough.
+
+    Any pair that is alike passes at the first one it shares.
+    """
+    return f"100 * least({n1}, {n2}) >= {least} * greatest({n1}, {n2}) and {100 + least} * least({n1} - {p1}, {n2} - {p2}) >= {least} * ({n1} + {n2})"
+
+
 def classes(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row: documents are linked when 100 * shared >= least * union."""
     spark = docs.sparkSession
@@ -201,13 +209,14 @@ def classes(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_id"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(tasks, "tok", "part")
     group, band = W.partitionBy("tok", "part"), W.partitionBy("tok", "part", "band").orderBy("n", "doc_id")
-    dealt = dealt.withColumn("hub", F.first("doc_id").over(band)).withColumn("df", F.count(F.lit(1)).over(group)).filter("df > 1 or parts > 1").drop("df", "part")
+    first = F.first(F.struct("doc_id", "n", "pos"))
+    dealt = dealt.withColumn("hub", first.over(band)).withColumn("df", F.count(F.lit(1)).over(group)).filter("df > 1 or parts > 1").drop("df", "part")
     shared = work.save("shared", dealt)
     # First round: each with the first of its group, and the first ones of a hot shingle's parts with the first of these.
-    near = shared.filter("hub != doc_id").select(F.col("doc_id").alias("x"), F.col("hub").alias("y"))
-    tops = shared.filter("parts > 1 and hub = doc_id").withColumn("top", F.first("doc_id").over(W.partitionBy("tok", "band").orderBy("n", "doc_id")))
-    near = near.union(tops.filter("top != doc_id").select("doc_id", "top"))
-    near = near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    near = shared.select("doc_id", "n", "pos", "hub")
+    tops = shared.filter("parts > 1 and hub.doc_id = doc_id").withColumn("top", first.over(W.partitionBy("tok", "band").orderBy("n", "doc_id")))
+    near = near.union(tops.select("doc_id", "n", "pos", "top")).filter(f"hub.doc_id != doc_id and {_fits('n', 'pos', 'hub.n', 'hub.pos', least)}")
+    near = near.select(F.col("doc_id").alias("x"), F.col("hub.doc_id").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     links = _verified(_likely(near, kept, least), docs, n, least, work, "near")
     found = work.save("found", components(links, work, "first"))
     # Second round: whatever shares a prefix shingle and isn't in one class yet.
@@ -215,13 +224,14 @@ def classes(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_id"
     now = work.save("now", now)
     split = now.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("tok").alias("t"))
     open_ = work.save("open", now.join(split, now["tok"] == F.col("t"), "left_semi"))
-    spans = open_.groupBy("tok", "c").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    a, b = spans.toDF("tok", "c1", "lo1", "hi1"), spans.toDF("tok", "c2", "lo2", "hi2")
-    meet = a.join(b, "tok").filter(f"c1 < c2 and 100 * hi1 >= {least} * lo2 and 100 * hi2 >= {least} * lo1").select("tok", "c1", "c2")
+    # What a class can offer at most at this shingle, so that classes are only taken apart where members may pass the filters.
+    spans = open_.groupBy("tok", "c").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    a, b = spans.toDF("tok", "c1", "lo1", "hi1", "rest1"), spans.toDF("tok", "c2", "lo2", "hi2", "rest2")
+    may = f"c1 < c2 and 100 * hi1 >= {least} * lo2 and 100 * hi2 >= {least} * lo1 and {100 + least} * least(rest1, rest2) >= {least} * (lo1 + lo2)"
+    meet = a.join(b, "tok").filter(may).select("tok", "c1", "c2")
     one, two = open_.toDF("tok", "x", "n1", "p1", "c1"), open_.toDF("tok", "y", "n2", "p2", "c2")
     cross = meet.join(one, ["tok", "c1"]).join(two, ["tok", "c2"])
-    # Length, then position: what may still be shared from here on must be enough.
-    cross = cross.filter(f"100 * least(n1, n2) >= {least} * greatest(n1, n2) and {100 + least} * (1 + least(n1 - p1, n2 - p2) - 1 + least(p1, p2)) >= {least} * (n1 + n2)")
+    cross = cross.filter(_fits("n1", "p1", "n2", "p2", least))
     cross = cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     seen = spark.read.schema(cross.schema).parquet(f"{work.path}/near_pairs")
     more = _verified(_likely(cross.join(seen, ["x", "y"], "left_anti"), kept, least), docs, n, least, work, "cross")
