@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontam, jaccard, langid, line_dedup, mixing, suffix_dedup, token_files, topk
+from quern.llm import bpe, decontam, jaccard, langid, line_dedup, mixing, secrets, suffix_dedup, token_files, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_context_mixing": mixing.op2_context_mixing,
     "op3_token_files": token_files.op3_token_files,
     "op4_exact_top_k": topk.op4_exact_top_k,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_bpe": bpe.op8_bpe,
