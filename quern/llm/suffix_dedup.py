@@ -33,8 +33,8 @@ SPAN = 200
 GRAM = 16
 WINDOW = 136
 NEAR = SPAN - WINDOW
-#: Occurrences of a group of contexts that one task compares at most.
-HOT = 512
+#: Occurrences of a group of contexts that one task compares at most (about 300 bytes each).
+HOT = 1 << 15
 #: Contexts that are sorted together, about.
 CHUNK = 16384
 _BYTE = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
