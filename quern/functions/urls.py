@@ -58,5 +58,5 @@ def fill_template(text: Column, request_id: Column) -> Column:
 def swap_first_uuid(text: Column, value: Column) -> Column:
     """The first UUID of a text replaced."""
     found = F.regexp_extract(text, "(?i)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1)
-    head = F.substring_index(text, found, 1)
-    return F.when(found == "", text).otherwise(F.concat(head, value, F.substr(text, F.length(head) + F.length(found) + 1)))
+    at = F.position(found, text)
+    return F.when(found == "", text).otherwise(F.concat(F.substr(text, F.lit(1), at - 1), value, F.substr(text, at + F.length(found))))
