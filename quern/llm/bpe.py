@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import pieces
 
-#: Words that a worker remembers; beyond that it forgets all and starts again.
-MOST_WORDS = 800_000
+#: Words that a worker remembers: once half as many are new, it forgets those that it hasn't met since the last time.
+MOST_WORDS = 700_000
 #: The split of the vocabulary file, with its white space (Unicode's) spelled out.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -191,19 +191,21 @@ def load(path: str) -> PairIndexBPE:
 
 
 @lru_cache(maxsize=4)
-def _remembered(path: str) -> dict:
-    return {}
+def _remembered(path: str) -> dict[str, dict]:
+    return {"now": {}, "before": {}}
 
 
 def encode_column(texts: pa.Array, path: str):
     """Yields (ids as bytes, decoded text as bytes) of each text."""
-    known = _remembered(path)
+    memory = _remembered(path)
     split = [(x or "").encode().split() for x in texts.to_pylist()]
-    new = {w for ws in split for w in ws if w not in known}
-    if len(known) + len(new) > MOST_WORDS:
-        known.clear()
-        new = {w for ws in split for w in ws}
-    known.update(load(path).encode_words(new))
+    wanted = {w for ws in split for w in ws}
+    if len(memory["now"]) + len(wanted - memory["now"].keys()) > MOST_WORDS // 2:
+        memory |= {"before": memory["now"], "now": {}}
+    known, before = memory["now"], memory["before"]
+    new = wanted - known.keys()
+    known.update((w, before[w]) for w in new if w in before)
+    known.update(load(path).encode_words(new - known.keys()))
     for ws in split:
         got = [known[w] for w in ws]
         yield b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])
@@ -215,7 +217,7 @@ def encode(docs: DataFrame, keep: Column | None = None, text_col: str = "text",
     rows = docs.select((F.struct("*") if keep is None else keep).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", 1 << 20):
             pairs = list(encode_column(piece.column("text"), path))
             n = pa.array([len(i) // 4 for i, _ in pairs], pa.int64())
             if digests:

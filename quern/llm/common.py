@@ -54,7 +54,7 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of a piece are about `limit` bytes at most (one longer text makes a piece of its own)."""
     for batch in batches:
         n = batch.num_rows
