@@ -1,13 +1,15 @@
-"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+"""Language-model scores by online logistic mixing of context bit predictors.
 
 A text is coded as its bytes and an end symbol, each symbol as the path of its leaf in a Huffman tree of its predecessor
 (trees from all training documents), so that a byte takes about three binary decisions. Predictors of four context
-lengths hold, per hashed (context, tree node), how often either branch was taken in all training documents. A decision's
+lengths hold, per (context, tree node), how often either branch was taken in all training documents. A decision's
 log odds are the predictors' odds weighted by two weight sets, which a gate (how sure the longest context is) blends; weights learn online from each decision's error, and an adaptive table of the mixed odds refines the result. Weights
 and table start anew with every stretch of STRETCH decisions, so a score depends on the text and the counts alone.
 
-The base score is a unigram model with additive smoothing over lower-cased words and one end per text. Counts of words
-travel in blocks of documents: each block sends the words it holds and gets back their counts.
+The base score is a unigram model with additive smoothing over lower-cased words and one end per text. Counts travel in
+blocks of documents: each block sends the words and the contexts with their next symbols that it holds, and gets back the
+counts of the words and the odds along the paths of the symbols. So what is kept grows with the corpus; of fixed size are
+only the trees and the odds by the preceding symbol alone, all of whose values exist.
 
 Defined cases: a null text is empty; an empty text is one end token and one end symbol; rows that repeat an id are scored
 (and learned from) each; without training documents all counts are 0. Columns other than the id and the text aren't read.
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,7 +31,6 @@ from quern.llm.common import PAGE, PAGES_SCHEMA, Work, crc_mod, pages_out, piece
 from quern.llm.jaccard import U, mixed, word_hashes
 
 ORDERS = (2, 4, 6)
-SLOTS = 1 << 20
 SYMBOLS = 257  # bytes and the end
 STRETCH = 4096
 RATE, RATE_TABLE = 0.02, 0.02
@@ -36,6 +38,8 @@ CELLS = 33
 #: Bytes of text whose decisions are laid out at a time.
 CACHED = 192 << 10
 STEP = 12.0  # odds are kept in steps of 1/12
+#: Keys whose paths are laid out at a time.
+SOME = 1 << 14
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 16 << 20
 END_WORD = np.int64(0x5EED)
@@ -94,42 +98,164 @@ class Trees:
         self.start, self.node, self.bit = np.cumsum(start).astype(np.int32), np.array(nodes, np.uint8), np.array(bits, np.int8)
 
 
-_NODE_SALT = (mixed(np.arange(1, 257, dtype=U)) >> U(64 - SLOTS.bit_length() + 1)).astype(np.int32)
+def keys_of(last: np.ndarray, sym: np.ndarray, order: int) -> np.ndarray:
+    """A context (9 bits a symbol) and the symbol after it, exact in 63 bits."""
+    return ((last & U((1 << 9 * order) - 1)) << U(9)) | sym.astype(U)
 
 
-def decisions(sym: np.ndarray, at: np.ndarray, trees: Trees) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Slots of each decision by predictor, its branch, and where each text's decisions start."""
-    last = contexts(sym, at)
-    prev = (last & U(511)).astype(np.int32)
-    leaf = prev * SYMBOLS + sym.astype(np.int32)
+def path_starts(keys: np.ndarray, trees: Trees) -> tuple[np.ndarray, np.ndarray]:
+    """Where the path of each key's symbol starts, and how long it is."""
+    leaf = (((keys >> U(9)) & U(511)) * U(SYMBOLS) + (keys & U(511))).astype(np.int64)
     first = trees.start[leaf]
-    size = trees.start[leaf + 1] - first
+    return first, trees.start[leaf + 1] - first
+
+
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+def tally(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of all texts, sorted within each order, how often each occurs in learned ones, and its order's place."""
+    found = [([np.zeros(0, U)], [np.zeros(0, np.int64)]) for _ in ORDERS]
+    for piece in pieces(table.combine_chunks().to_batches(), "text"):
+        sym, at = symbols_of(piece.column("text"))
+        last = contexts(sym, at)
+        learned = np.repeat(piece.column("learned").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
+        for (keys, counts), order in zip(found, ORDERS, strict=True):
+            key = keys_of(last, sym, order)
+            for some, one in ((key[learned], 1), (key[~learned], 0)):
+                u, c = np.unique(some, return_counts=True)
+                keys.append(u)
+                counts.append(c * one)
+    done = [merged(np.concatenate(k), np.concatenate(c)) for k, c in found]
+    return np.concatenate([k for k, _ in done]), np.concatenate([c for _, c in done]), np.repeat(np.arange(len(ORDERS)), [len(k) for k, _ in done])
+
+
+def part_of(keys: np.ndarray, place: np.ndarray, parts: int) -> np.ndarray:
+    """All keys of a context are in one part."""
+    return ((mixed((keys >> U(9)) * U(0x9E3779B97F4A7C15) + place.astype(U)) >> U(16)) % U(parts)).astype(np.int64)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(numbers.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(U).reshape(-1)
+
+
+def odds_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(np.log((n1 + 0.4) / (n0 + 0.4)) * STEP), -127, 127).astype(np.int8)
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (size of them) for each."""
     total = np.cumsum(size)
-    path = np.repeat((first - (total - size)).astype(np.int32), size) + np.arange(total[-1] if len(total) else 0, dtype=np.int32)
-    node = trees.node[path]
-    slots = [np.repeat(prev * 256, size) + node]
-    salt = _NODE_SALT[node]
-    for k, order in enumerate(ORDERS):
-        h = (mixed((last & U((1 << 9 * order) - 1)) * U(0x9E3779B97F4A7C15) + U(order)) >> U(64 - SLOTS.bit_length() + 1)).astype(np.int32)
-        spot = np.repeat(h, size)
-        spot ^= salt
-        spot += np.int32(SYMBOLS * 256 + k * SLOTS)
-        slots.append(spot)
-    return slots, trees.bit[path], np.concatenate(([0], total))[at]
-
-
-def coded(column: pa.Array, trees: Trees) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]]:
+    return np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
+def path_odds(keys: np.ndarray, counts: np.ndarray, trees: Trees) -> np.ndarray:
+    """The odds at each node on the path of each key, all keys of their contexts counted; one path after another."""
+    out, new = [np.zeros(0, np.int8)], np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] >> U(9) != keys[:-1] >> U(9))))
+    cuts = np.unique(np.concatenate((new[np.searchsorted(new, np.arange(0, len(keys), SOME), side="right") - 1], [len(keys)])))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        some, ctx = keys[lo:hi], np.searchsorted(new, np.arange(lo, hi), side="right")
+        first, size = path_starts(some, trees)
+        path = ragged(first, size)
+        spot = np.repeat((ctx - ctx[0]) * 256, size) + trees.node[path]
+        weight, ones = np.repeat(counts[lo:hi], size), trees.bit[path] == 1
+        n1, n = np.bincount(spot[ones], weight[ones], int(spot.max()) + 1), np.bincount(spot, weight)
+        out.append(odds_of(n - n1, n1)[spot])
+    return np.concatenate(out)
+
+
+def context_odds(placed: DataFrame, trees, parts: int) -> DataFrame:
+    """block, part, odds: for each block of documents (block, text, learned) the odds at its own keys, in the order (part, order, key).
+
+    A block sends each part its distinct keys and their counts; a part adds those of all blocks and answers each.
+    """
+
+    def send(group: pa.Table) -> pa.Table:
+        keys, counts, place = tally(group)
+        part = part_of(keys, place, parts)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        sizes = np.bincount(part * len(ORDERS) + place, minlength=parts * len(ORDERS)).reshape(parts, -1)
+        rows = np.flatnonzero(np.diff(ends))
+        spans = [order[a:b] for a, b in zip(ends[rows].tolist(), ends[rows + 1].tolist(), strict=True)]
+        block = group.column("block")[0].as_py() if group.num_rows else 0
+        return pa.table(
+            [
+                pa.array(rows, pa.int32()),
+                pa.array(np.full(len(rows), block, np.int32)),
+                pa.array(sizes[rows].tolist(), pa.list_(pa.int32())),
+                pa.array([packed(np.diff(keys[s], prepend=U(0))) for s in spans], pa.binary()),
+                pa.array([packed(counts[s]) for s in spans], pa.binary()),
+            ],
+            names=["part", "block", "sizes", "keys", "counts"],
+        )
+
+    def answer(group: pa.Table) -> pa.Table:
+        sizes = np.array(group.column("sizes").to_pylist(), np.int64).reshape(-1, len(ORDERS))
+        n, ends = sizes.sum(axis=1).tolist(), np.cumsum(sizes, axis=1)
+        keys = [np.cumsum(unpacked(raw.as_py(), k), dtype=U) for raw, k in zip(group.column("keys"), n, strict=True)]
+        counts = [unpacked(raw.as_py(), k).astype(np.int64) for raw, k in zip(group.column("counts"), n, strict=True)]
+        out: list[list[bytes]] = [[] for _ in n]
+        for j in range(len(ORDERS)):
+            own = [slice(*(e[j] - s[j], e[j])) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            every, total = merged(np.concatenate([k[o] for k, o in zip(keys, own, strict=True)]), np.concatenate([c[o] for c, o in zip(counts, own, strict=True)]))
+            odds, size = path_odds(every, total, trees.value), path_starts(every, trees.value)[1]
+            start = np.cumsum(size) - size
+            for i, (k, o) in enumerate(zip(keys, own, strict=True)):
+                spot = np.searchsorted(every, k[o])
+                out[i].append(odds[ragged(start[spot], size[spot])].tobytes())
+        return pa.table([group.column("block"), group.column("part"), pa.array([b"".join(o) for o in out], pa.binary())], names=["block", "part", "odds"])
+
+    sent = placed.select("block", "text", "learned").groupBy("block").applyInArrow(send, "part int, block int, sizes array<int>, keys binary, counts binary")
+    return sent.groupBy("part").applyInArrow(answer, "block int, part int, odds binary")
+
+
+class Model:
+    """What a block of documents needs: the trees, the odds by predecessor, and those of its own contexts."""
+
+    def __init__(self, trees: Trees, first: np.ndarray, table: pa.Table, answers: pa.Table, parts: int):
+        self.trees, self.first = trees, first
+        keys, _, place = tally(table)
+        size = path_starts(keys, trees)[1]
+        order = np.argsort(part_of(keys, place, parts), kind="stable")
+        start = np.empty(len(keys), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        self.odds = np.frombuffer(b"".join(raw for _, raw in sorted(zip(answers.column("part").to_pylist(), answers.column("odds").to_pylist(), strict=True))), np.int8)
+        ends = np.searchsorted(place, np.arange(len(ORDERS) + 1))
+        self.keys = [keys[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.start = [start[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def decisions(sym: np.ndarray, at: np.ndarray, model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Odds of each decision by predictor, its branch, and where each text's decisions start."""
+    last, trees = contexts(sym, at), model.trees
+    first, size = path_starts(keys_of(last, sym, 1), trees)
+    path = ragged(first, size)
+    odds = [model.first[np.repeat((last & U(511)).astype(np.int64) * 256, size) + trees.node[path]]]
+    for order, keys, start in zip(ORDERS, model.keys, model.start, strict=True):
+        u, inverse = np.unique(keys_of(last, sym, order), return_inverse=True)
+        odds.append(model.odds[ragged(start[np.searchsorted(keys, u)][inverse], size)])
+    return odds, trees.bit[path], np.concatenate(([0], np.cumsum(size)))[at]
+
+
+def coded(column: pa.Array, model: Model) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """decisions() of some texts after another, as many as keep the arrays in a processor's cache."""
     batch = pa.record_batch([column], names=["text"])
     for some in pieces(iter([batch]), "text", CACHED):
-        yield some.column(0), *decisions(*symbols_of(some.column(0)), trees)
-
-
-N_SLOTS = SYMBOLS * 256 + len(ORDERS) * SLOTS
+        yield decisions(*symbols_of(some.column(0)), model)
 
 
 def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
-    """Trees and the predictors' odds (8 bits a slot), counted over all rows of docs (doc_id, text)."""
+    """Trees and the odds at their nodes, counted over all rows of docs (doc_id, text): as many as there are pairs of symbols."""
     rows = docs.select("text")
 
     def count_pairs(batches):
@@ -140,29 +266,19 @@ def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
             counts += np.bincount(prev * SYMBOLS + sym, minlength=len(counts))
         yield from pages_out(counts)
 
-    pairs = vector_of(rows.mapInArrow(count_pairs, PAGES_SCHEMA), -(-SYMBOLS * SYMBOLS // PAGE) * PAGE)
-    trees = Trees(pairs[: SYMBOLS * SYMBOLS].reshape(SYMBOLS, SYMBOLS))
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
-    length = -(-2 * N_SLOTS // PAGE) * PAGE
-
-    def count_branches(batches):
-        counts, one = np.zeros(length, np.uint32), np.uint32(1)
-        for piece in pieces(batches, "text", 2 << 20):
-            for _, slots, bit, _ in coded(piece.column("text"), shared.value):
-                for s in slots:
-                    np.add.at(counts, 2 * s + bit, one)
-        yield from pages_out(counts)
-
-    counts = vector_of(rows.mapInArrow(count_branches, PAGES_SCHEMA), length)[: 2 * N_SLOTS].reshape(-1, 2)
-    odds = np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4))
-    return trees, np.clip(np.rint(odds * STEP), -127, 127).astype(np.int8)
+    pairs = vector_of(rows.mapInArrow(count_pairs, PAGES_SCHEMA), -(-SYMBOLS * SYMBOLS // PAGE) * PAGE)[: SYMBOLS * SYMBOLS]
+    trees = Trees(pairs.reshape(SYMBOLS, SYMBOLS))
+    weight = np.repeat(pairs, np.diff(trees.start))
+    spot = np.repeat(np.arange(SYMBOLS * SYMBOLS) // SYMBOLS * 256, np.diff(trees.start)) + trees.node
+    n1, n = np.bincount(spot, weight * trees.bit, SYMBOLS * 256), np.bincount(spot, weight, SYMBOLS * 256)
+    return trees, odds_of(n - n1, n1)
 
 
-def bits_of(column: pa.Array, trees: Trees, odds: np.ndarray) -> np.ndarray:
+def bits_of(column: pa.Array, model: Model) -> np.ndarray:
     """The total of bits that each text takes."""
     parts, at = [], [np.zeros(1, np.int64)]
-    for _, slots, bit, ends in coded(column, trees):
-        parts.append(([odds[s] for s in slots], bit))
+    for odds, bit, ends in coded(column, model):
+        parts.append((odds, bit))
         at.append(ends[1:] + at[-1][-1])
     at = np.concatenate(at)
     if not parts:
@@ -219,8 +335,8 @@ def score(docs: DataFrame, learn_from: Column) -> DataFrame:
     spark = docs.sparkSession
     work = Work(spark)
     rows = docs.select("doc_id", "text", learn_from.alias("learned"))
-    model = train(rows.filter("learned"))
-    shared = spark.sparkContext.broadcast(model)  # N_SLOTS bytes and the trees, whatever the input
+    trees, first = train(rows.filter("learned"))
+    shared, shared_trees = spark.sparkContext.broadcast(first), spark.sparkContext.broadcast(trees)  # as many as there are pairs of symbols
     kind = rows.schema["doc_id"].dataType.simpleString()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
@@ -247,8 +363,13 @@ def score(docs: DataFrame, learn_from: Column) -> DataFrame:
     sent = placed.groupBy("block").applyInArrow(send, "block int, word long, c long")
     same = W.partitionBy("word")  # at most a row for each block
     counted = sent.withColumn("c", F.sum("c").over(same)).withColumn("one", F.row_number().over(same.orderBy("block")) == 1)
+    answers = context_odds(placed, shared_trees, blocks).select("block", *(F.lit(None).cast(t).alias(c) for c, t in (("word", "long"), ("c", "long"), ("one", "boolean"))), "part", "odds")
+    counted = counted.select("block", "word", "c", "one", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("odds")).union(answers)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        theirs = right.column("part").is_valid()
+        model = Model(shared_trees.value, shared.value, left, right.filter(theirs).select(["part", "odds"]), blocks)
+        right = right.filter(pc.invert(theirs)).select(["word", "c", "one"])
         name, c = np.asarray(right.column("word"), np.int64), np.asarray(right.column("c"), np.int64)
         one = right.column("one").to_numpy()
         order = np.argsort(name)
@@ -259,7 +380,7 @@ def score(docs: DataFrame, learn_from: Column) -> DataFrame:
             word, owner = words(piece)
             spot = np.searchsorted(name, word)
             n = piece.num_rows
-            bits = bits_of(piece.column("text"), *shared.value)
+            bits = bits_of(piece.column("text"), model)
             out.append(
                 pa.table(
                     [
