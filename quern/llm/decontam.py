@@ -1,6 +1,8 @@
 r"""Benchmark decontamination by canonical templates, also where a question comes back with other numbers, names or units.
 
-Built from DataFrame functions only. Numbers, names (capitalised words within a sentence) and units (words of a list
+Built from DataFrame functions only. Two rules say what a name is: a capitalised word within a sentence, or one anywhere
+that isn't a function word; the latter finds questions whose sentences begin with another name, and a verbatim copy
+wherever it stands. A document leaks an item that either rule finds. Numbers, names and units (words of a list
 after a number) become typed placeholders; all else is lower-cased and cut into words of letters and digits. Windows of
 five template words of the benchmark are hash-joined with those of the documents. A window keeps what stands in its
 slots; along one alignment (document, item, distance of the two positions) a slot value of the item must always meet the
@@ -30,9 +32,18 @@ NUM, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 APART = r"[^a-z0-9\x{1}-\x{3}\xdf-\xf6\xf8-\xff\p{L}\p{N}]+"
 
 
-def marked(text: Column) -> Column:
-    """The text in lower case; what fills a slot has the slot's type before it."""
-    named = F.regexp_replace(F.translate(text, NUM + NAME + UNIT, "   "), r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", f" {NAME}")
+#: Words that are no names where they are capitalised (English, German, Spanish, French).
+NO_NAMES = (
+    "The|An|And|Or|But|If|Then|When|While|After|Before|Because|Since|So|As|At|By|For|From|In|Into|Of|On|To|With|Without|How|What|Which|Who|Whose|Why|Where|He|She|It|They|We|You|His|Her|Its|Their|Our|Your|My|This|That|These|Those|There|Is|Are|Was|Were|Do|Does|Did|Has|Have|Had|Can|Could|Will|Would|Should|Each|Every|Some|All|Both|One|No|Not|Now|"
+    "Der|Die|Das|Den|Dem|Ein|Eine|Und|Oder|Wenn|Wie|Was|Wer|Wo|Er|Sie|Es|Wir|Ist|Im|Mit|El|La|Los|Las|Un|Una|Si|Cuando|Que|Qué|Cómo|Cuántos|Cuántas|De|En|Con|Por|Para|Se|Le|Les|Une|Des|Du|Et|Ou|Quand|Combien|Il|Elle|Est|Dans"
+)
+_ANY_NAME = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}])(?!(?:{NO_NAMES})(?![\p{{L}}\p{{N}}]))"
+
+
+def marked(text: Column, anywhere: bool = False) -> Column:
+    """The text in lower case; what fills a slot has the slot's type before it. Names are found within sentences, or anywhere."""
+    plain = F.translate(text, NUM + NAME + UNIT, "   ")
+    named = F.regexp_replace(plain, _ANY_NAME, NAME) if anywhere else F.regexp_replace(plain, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", f" {NAME}")
     joined = F.regexp_replace(named, r"([0-9]+)[.,]([0-9])", "$1$2")
     numbered = F.lower(F.regexp_replace(joined, r"(^|[^\p{L}\p{N}])([0-9]+)", f"$1{NUM}$2"))
     with_units = F.regexp_replace(numbered, rf"({NUM}[0-9]+) ?({UNITS})($|[^\p{{L}}\p{{N}}])", f"$1 {UNIT}$2$3")
@@ -43,9 +54,9 @@ def _is_slot(word: Column) -> Column:
     return word < "\u0004"
 
 
-def template_windows(table: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+def template_windows(table: DataFrame, id_col: str, text_col: str = "text", anywhere: bool = False) -> DataFrame:
     """One row per window: id, words (of its text; null in a text without slots), pos and w, a 64-bit hash. A text too short has a row of nulls."""
-    base = table.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), marked(F.col(text_col)).alias("t"))
+    base = table.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), marked(F.col(text_col), anywhere).alias("t"))
     has_slots = F.col("t").contains(NUM) | F.col("t").contains(NAME) | F.col("t").contains(UNIT)
     base = base.select("id", has_slots.alias("has_slots"), F.split("t", APART).alias("words"))
     skip = F.when(F.get(F.col("words"), 0) == "", 1).otherwise(0)
@@ -66,13 +77,23 @@ def _slots() -> Column:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, n_windows (distinct ones of the item), n_found: one row per document and item that it leaks."""
-    items = template_windows(benchmark, item_col, item_text_col).filter("w is not null")
+    """doc_id, item_id, n_windows (distinct ones of the item), n_found: one row per document and item that it leaks.
+
+    The counts are those of names within sentences where that rule finds the item, else those of names anywhere.
+    """
+    cols = (docs, benchmark, id_col, text_col, item_col, item_text_col)
+    found = _template_leaks(*cols, False).withColumn("rule", F.lit(0)).union(_template_leaks(*cols, True).withColumn("rule", F.lit(1)))
+    first = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("rule", "n_windows", "n_found")).alias("r"))
+    return first.select("doc_id", "item_id", "r.n_windows", "r.n_found")
+
+
+def _template_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, anywhere: bool) -> DataFrame:
+    items = template_windows(benchmark, item_col, item_text_col, anywhere).filter("w is not null")
     items = items.select(F.col("id").alias("item_id"), F.col("pos").alias("b_pos"), "w", _slots().alias("b_slots"))
     items = items.filter(F.col("b_slots").isNull() | (F.size("b_slots") < WINDOW))
     small = items.count() <= BROADCAST_ROWS
     totals = items.groupBy("item_id").agg(F.count_distinct("w").alias("n_windows"))
-    theirs = template_windows(docs, id_col, text_col).withColumnRenamed("id", "doc_id")
+    theirs = template_windows(docs, id_col, text_col, anywhere).withColumnRenamed("id", "doc_id")
     if small:  # words are only looked at where a window is found
         hits = theirs.join(F.broadcast(items), "w").withColumn("slots", _slots())
     else:
@@ -115,6 +136,7 @@ def _words_sql(table: str, key: str) -> str:
 _WINDOWS_SQL = """SELECT id, pos, list_transform(v, lambda w: CASE WHEN w < chr(4) THEN w[1] ELSE w END) AS w, list_filter(v, lambda w: w < chr(4)) AS slots
   FROM (SELECT id, i - 1 AS pos, words[i:i+4] AS v FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS i FROM {t} WHERE len(words) >= 5))"""
 
+#: The rule of names within sentences alone: what names anywhere find besides isn't in it.
 SQL = f"""
 WITH dw AS MATERIALIZED ({_words_sql("documents", "doc_id")}),
 bw AS MATERIALIZED ({_words_sql("benchmark", "item_id")}),
