@@ -9,8 +9,8 @@ slots; along one alignment (document, item, distance of the two positions) a slo
 same value in the document, or the alignment doesn't count. A document leaks an item when at least 80 of 100 of the
 item's distinct windows are found in it.
 
-Defined cases: null and empty texts have no windows; items of fewer than five template words have none and are never
-found; windows of placeholders alone don't count; rows that repeat an id are one document or item with the windows of
+Defined cases: null and empty texts have no windows; items of fewer than five template words are one
+window, found word for word only; windows of placeholders alone don't count; rows that repeat an id are one document or item with the windows of
 all of them; null ids take no part. Columns other than the id and the text aren't read.
 """
 
@@ -54,14 +54,19 @@ def _is_slot(word: Column) -> Column:
     return word < "\u0004"
 
 
-def template_windows(table: DataFrame, id_col: str, text_col: str = "text", anywhere: bool = False) -> DataFrame:
-    """One row per window: id, words (of its text; null in a text without slots), pos and w, a 64-bit hash. A text too short has a row of nulls."""
+def _words(table: DataFrame, id_col: str, text_col: str, anywhere: bool = False) -> DataFrame:
+    """id, has_slots and the template words of each text."""
     base = table.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), marked(F.col(text_col), anywhere).alias("t"))
     has_slots = F.col("t").contains(NUM) | F.col("t").contains(NAME) | F.col("t").contains(UNIT)
     base = base.select("id", has_slots.alias("has_slots"), F.split("t", APART).alias("words"))
     skip = F.when(F.get(F.col("words"), 0) == "", 1).otherwise(0)
     last = F.when(F.get(F.col("words"), F.size("words") - 1) == "", 1).otherwise(0)
-    base = base.select("id", "has_slots", F.slice("words", skip + 1, F.greatest(F.size("words") - skip - last, F.lit(0))).alias("words"))
+    return base.select("id", "has_slots", F.slice("words", skip + 1, F.greatest(F.size("words") - skip - last, F.lit(0))).alias("words"))
+
+
+def template_windows(table: DataFrame, id_col: str, text_col: str = "text", anywhere: bool = False) -> DataFrame:
+    """One row per window: id, words (of its text; null in a text without slots), pos and w, a 64-bit hash. A text too short has a row of nulls."""
+    base = _words(table, id_col, text_col, anywhere)
     typed = lambda w: F.xxhash64(F.when(_is_slot(w), F.substr(w, F.lit(1), F.lit(1))).otherwise(w))
     hashes = F.when(F.col("has_slots"), F.transform("words", typed)).otherwise(F.transform("words", lambda w: F.xxhash64(w)))
     base = base.select("id", F.when(F.col("has_slots"), F.col("words")).alias("words"), hashes.alias("h"))
@@ -83,10 +88,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     cols = (docs, benchmark, id_col, text_col, item_col, item_text_col)
     found = _template_leaks(*cols, False).withColumn("rule", F.lit(0)).union(_template_leaks(*cols, True).withColumn("rule", F.lit(1)))
+    short = _short_leaks(*cols)
+    if short is not None:
+        found = found.union(short.withColumn("rule", F.lit(2)))
     first = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("rule", "n_windows", "n_found")).alias("r"))
     return first.select("doc_id", "item_id", "r.n_windows", "r.n_found")
 
 
+def _short_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame | None:
+    """Leaks of items of fewer than WINDOW template words, each a window of its own: as a template it would be met anywhere, so the words are its own."""
+    items = _words(benchmark, item_col, item_text_col).filter((F.size("words") > 0) & (F.size("words") < WINDOW) & F.exists("words", lambda w: (w != "") & ~_is_slot(w)))
+    sizes = sorted(r.n for r in items.select(F.size("words").alias("n")).distinct().collect())  # four at most
+    if not sizes:
+        return None
+    own = F.transform("words", lambda w: F.xxhash64(F.translate(w, NUM + NAME + UNIT, "")))
+    items = items.select(F.col("id").alias("item_id"), F.xxhash64(own).alias("w")).distinct()
+    window = lambda n: F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.xxhash64(F.slice("h", i + 1, n)))).otherwise(F.array().cast("array<bigint>"))
+    theirs = _words(docs, id_col, text_col).select(F.col("id").alias("doc_id"), own.alias("h"))
+    theirs = theirs.select("doc_id", F.array_distinct(F.concat(*(window(n) for n in sizes))).alias("ws")).select("doc_id", F.explode("ws").alias("w"))
+    small = items.count() <= BROADCAST_ROWS
+    totals = items.groupBy("item_id").agg(F.count("w").alias("n_windows"))
+    found = theirs.join(F.broadcast(items) if small else items, "w").groupBy("doc_id", "item_id").agg(F.count_distinct("w").alias("n_found"))
+    found = found.join(F.broadcast(totals) if small else totals, "item_id")
+    return found.filter(100 * F.col("n_found") >= LEAST * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "n_found")
+
+
 def _template_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, anywhere: bool) -> DataFrame:
     items = template_windows(benchmark, item_col, item_text_col, anywhere).filter("w is not null")
     items = items.select(F.col("id").alias("item_id"), F.col("pos").alias("b_pos"), "w", _slots().alias("b_slots"))
@@ -136,7 +162,7 @@ def _words_sql(table: str, key: str) -> str:
 _WINDOWS_SQL = """SELECT id, pos, list_transform(v, lambda w: CASE WHEN w < chr(4) THEN w[1] ELSE w END) AS w, list_filter(v, lambda w: w < chr(4)) AS slots
   FROM (SELECT id, i - 1 AS pos, words[i:i+4] AS v FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS i FROM {t} WHERE len(words) >= 5))"""
 
-#: The rule of names within sentences alone: what names anywhere find besides isn't in it.
+#: The rule of names within sentences alone: what names anywhere and short items find besides isn't in it.
 SQL = f"""
 WITH dw AS MATERIALIZED ({_words_sql("documents", "doc_id")}),
 bw AS MATERIALIZED ({_words_sql("benchmark", "item_id")}),

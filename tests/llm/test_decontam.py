@@ -18,3 +18,18 @@ def test_names_at_sentence_starts(spark):
     }
     found = leaks(spark, docs, items)
     assert set(found) == {(1, 1), (2, 2)} and all(n == k for n, k in found.values())
+
+
+def test_short_items_and_copies_within_a_sentence(spark):
+    items = {1: "What is seven times eight?", 2: "What is the capital city of northern Peru?", 3: "Name 7 primes.", 4: "12, 13", 5: "Explain osmosis", 6: "Solve the old riddle quickly"}
+    docs = {
+        1: "they said What is seven times eight?",
+        2: "he asked What is the capital city of northern Peru? so they went",
+        3: "now name 7 primes, or 12, 13",
+        4: "please explain osmosis",
+        5: "name 8 primes and explain the osmosis",
+        6: "then she said Solve the old riddle quickly",
+        7: None,
+        8: "",
+    }
+    assert set(leaks(spark, docs, items)) == {(1, 1), (2, 2), (3, 3), (4, 5), (6, 6)}
