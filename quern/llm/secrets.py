@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are runs of 16 or more of the characters that keys are made of, with a digit or with both cases. Features of a
-candidate: its length and kinds of characters, its character transitions (how often the kind changes, and how likely
+Candidates are runs of 16 or more of the characters that keys are made of, with a digit or with both cases, and, of any
+length and characters, values after key words (password=, "token": ...) and passwords in URLs (user:password@). A run that
+is such a value is one candidate; where they differ both stay. Features of a candidate: its length and kinds of characters, its character transitions (how often the kind changes, and how likely
 the pairs of bytes are in the corpus), dictionary coverage (the share in letter runs whose four-letter grams are frequent in
 the corpus), its path and its neighbouring words, both hashed. The forest is trained from labelled findings: MOST_TRAIN
 rows of either label at most, those of the smallest hashes. Its trees grow in a Spark task each. Corpus counts come from
@@ -15,6 +16,7 @@ Columns other than those named aren't read.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -35,6 +37,10 @@ GRAMS = 1 << 18
 BEFORE, AFTER = 48, 24
 PATHS, WORDS = 16, 48
 
+#: Values after a key word, up to a quote or blank, and passwords in URLs.
+_KEYED = re.compile(rb"""(?i)(?:token|secret|password|passwd|api[_-]?key)["']?\s*[=:]\s*(?:"([^"\n]+)"|'([^'\n]+)'|["']?([^\s"']+))""")
+_IN_URL = re.compile(rb"://[^\s/@:]*:([^\s/@]+)@")
+
 _KIND = np.zeros(256, np.uint8)  # 0: none, 1: digit, 2: lower, 3: upper, 4: other
 _KIND[ord("0") : ord("9") + 1] = 1
 _KIND[ord("a") : ord("z") + 1] = 2
@@ -49,6 +55,18 @@ def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pc.binary_join_element_wise(filled, pa.scalar("", filled.type), pa.scalar(" ", filled.type)))
 
 
+def _keyed(raw: bytes, at: np.ndarray) -> set[tuple[int, int]]:
+    """Where values after key words and passwords in URLs start and end; no match reaches into the next text."""
+    spans = set()
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        text = raw[lo:hi]
+        for m in _KEYED.finditer(text):
+            value = m[m.lastindex] if m.lastindex < 3 else m[3].rstrip(b",;.)]}") or m[3]
+            spans.add((lo + m.start(m.lastindex), lo + m.start(m.lastindex) + len(value)))
+        spans |= {(lo + m.start(1), lo + m.end(1)) for m in _IN_URL.finditer(text)}
+    return spans
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, path, start (in bytes), value, before and after (what stands around it)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text"))
@@ -64,9 +82,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             has = [np.concatenate(([0], np.cumsum(kind == k))) for k in (1, 2, 3)]
             n = [h[b] - h[a] for h in has]
             ok = (n[0] > 0) | ((n[1] > 0) & (n[2] > 0))
-            a, b = a[ok], b[ok]
+            raw = data.tobytes()
+            both = sorted(_keyed(raw, at) | set(zip(a[ok].tolist(), b[ok].tolist(), strict=True)))
+            a, b = np.array(both, np.int64).reshape(-1, 2).T
             doc = np.searchsorted(at, a, side="right") - 1
-            raw, first, end = data.tobytes(), at[doc].tolist(), at[doc + 1].tolist()
+            first, end = at[doc].tolist(), at[doc + 1].tolist()
             cut = lambda x, y: raw[x:y].decode("utf-8", "ignore")
             spans = list(zip(a.tolist(), b.tolist(), first, end, strict=True))
             yield pa.record_batch(
@@ -246,7 +266,8 @@ def format_label(value: Column, before: Column) -> Column:
     """Labels for findings whose format leaves no doubt, null for all others: where no one has labelled any."""
     key = value.rlike("^AKIA[0-9A-Z]{16}$") | (before.rlike(r"(?i)(token|secret|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?$") & value.rlike("[0-9]"))
     number = value.rlike("^[0-9]+$") | value.rlike("^[0-9]{4}(-[0-9]{4}){3}$")
-    return F.when(key, 1).when(number | before.rlike("(@|://)[^ ]*$"), 0)
+    in_url = before.rlike(r"://[^\s/@:]*:[^\s/@]*$")  # may be a password
+    return F.when(key, 1).when(number | (before.rlike("(@|://)[^ ]*$") & ~in_url), 0)
 
 
 def scan(docs: DataFrame, learn_from: Column, label: Column | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:

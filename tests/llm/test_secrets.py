@@ -53,3 +53,12 @@ def test_tree_splits_on_a_threshold():
     x[:, :] = np.arange(100)[:, None]
     feature, threshold, right, share = secrets.grow(x, (np.arange(100) >= 50).astype(float), 1)
     assert feature[0] >= 0 and 40 < threshold[0] < 60 and share[1] < 0.2 < 0.8 < share[right[0]]
+
+
+def test_values_after_key_words_and_in_urls(spark):
+    texts = ["password=Hunter2x9, then", 'set "secret": "correct horse battery" here', "api_key: ab.cd=ef~gh!ij$kl&mn", "see postgres://admin:Zk39fjQQm2kd8sPx01@host/db", "ftp://u:p~w@h", "password=", "x1 y2", "Token: é9"]
+    docs = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    found = candidates(docs).withColumn("label", secrets.format_label(F.col("value"), F.col("before"))).collect()
+    want = {(0, "Hunter2x9", 1), (1, "correct horse battery", None), (2, "ab.cd=ef~gh!ij$kl&mn", None), (3, "Zk39fjQQm2kd8sPx01", None), (4, "p~w", None), (7, "é9", 1)}
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.value, r.label)) for r in found)
+    assert all(texts[r.doc_id].encode()[r.start :].startswith(r.value.encode()) for r in found)
