@@ -1,14 +1,19 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, linked and put into classes.
 
-Rare-first prefix filtering. A fixed-size table of hashed counts over all documents orders shingles from rare to frequent;
-two sets of the wanted similarity must share one of the first few shingles of both (the prefix). Documents with equal sets
-are one candidate. Candidates that share a prefix shingle pass a length, a positional and a suffix filter; the last is a
-lower bound of the difference of two sets from a bitmap of parities. What passes is verified once per pair, on the texts.
-
-So that a group of near copies doesn't meet as all its pairs, verification has two rounds. The first compares
-each member of a prefix group with the group's shortest of about its length (hot shingles in salted parts first) and
-joins what is linked. The second compares what still lies in different classes, all pairs of it; pairs inside a class
-need no look, as they can't change it. So no link between different classes is lost.
+Rare-first prefix filtering. How many different sets hold a shingle orders shingles from rare to frequent: exact counts
+(of the first 48 bits of a shingle's hash), so that what counts as rare doesn't change with the size of the corpus. Blocks
+of documents send their distinct shingles to parts of the hash range, which add up and send the counts back; nothing is
+broadcast. Two sets of the wanted similarity must share one of the first few shingles of both (the prefix); shingles that
+one set holds alone can't be shared and leave no row. Documents with equal sets are one candidate. Candidates that share a
+prefix shingle pass a length, a positional and a suffix filter; the last is a lower bound of the difference of two sets
+from a bitmap of parities. What passes is verified once per pair, on the texts.
+
+So that a group of near copies doesn't meet as all its pairs, verification goes from few pairs to all that are left, and
+what is linked is contracted to a class after each step. First each document meets one hub: of its rarest shared shingle,
+the document with the fewest rare shingles before it (an original has fewer of its own than its copies). Then classes that
+share a prefix shingle meet through one document each, as long as that links any. At last all pairs of documents in
+different classes that share a prefix shingle and pass the filters are compared; pairs inside a class need no look, as
+they can't change it. So no link between different classes is lost.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; shingles are hashed to 64 bits. Defined cases: texts that are null,
 empty or without words have no shingles and link with nothing; texts of fewer words than a shingle have one, the whole
@@ -23,17 +28,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from quern.llm.common import PAGES_SCHEMA, Work, pages_out, pieces, text_bytes, vector_of
+from quern.llm.common import Work, pieces, text_bytes
 from quern.llm.components import components
 
-SKETCH = 1 << 21
 BITS = 1024
-#: Documents that a salted part of a hot prefix shingle holds, about.
-PART = 4000
+#: Shingles of a block of documents, about; the counts come from as many parts as there are blocks.
+BLOCK_SHINGLES = 3_000_000
+#: Rounds in which classes meet through one document each; all that is left meets after them.
+STEPS = 3
 #: Ids are broadcast up to so many (8 bytes each), and shuffled beyond.
 BROADCAST_IDS = 300_000
 
@@ -109,53 +114,141 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(texts))))).astype(np.int64)
 
 
-def _levels(docs: DataFrame, n: int) -> np.ndarray:
-    """How often each slot of hashed shingles occurs over all documents, as 8 * log2 of the count."""
+def _sets(docs: DataFrame, n: int, tokens: bool) -> DataFrame:
+    """doc_id, n, k1 and k2 (128 bits of the set's digest) and, if asked for, tokens: 6 bytes of each shingle, ascending."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def count(batches):
-        counts = np.zeros(SKETCH, np.int64)
+    def run(batches):
         for piece in pieces(batches, "text"):
-            counts += np.bincount((shingle_sets(piece.column("text"), n)[0] & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        yield from pages_out(counts)
+            value, at = shingle_sets(piece.column("text"), n)
+            raw = value.tobytes()
+            ends = (at * 8).tolist()
+            keys = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)), np.int64).reshape(-1, 2)
+            cols = [piece.column("doc_id"), pa.array(np.diff(at)), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+            if tokens:
+                six = np.ascontiguousarray((value >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+                cols.append(pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 6), pa.py_buffer(six)]).cast(pa.binary()))
+            yield pa.record_batch(cols, names=["doc_id", "n", "k1", "k2", "tokens"][: len(cols)])
 
-    return np.minimum(8 * np.log2(1 + vector_of(docs.select("text").mapInArrow(count, PAGES_SCHEMA), SKETCH)), 255).astype(np.uint8)
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long" + ", tokens binary" * tokens)
 
 
-_FEATURES = "doc_id {kind}, n long, k1 long, k2 long, bits array<long>, prefix array<struct<tok: long, parts: int>>"
+def _tokens_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens, one document after another, and where each document's start."""
+    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    data, at = text_bytes(arr)
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = data.reshape(-1, 6)
+    return wide.view(U).reshape(-1), at // 6
 
 
-def _features(docs: DataFrame, n: int, least: int, levels: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH bytes
+def _firsts(group: pa.Table, reps: pa.Table) -> pa.Table:
+    """Of a block's rows one for each set, the one with the set's smallest id."""
+    wanted = set(zip(*(reps.column(c).to_pylist() for c in ("k1", "k2", "doc_id")), strict=True))
+    keep = []
+    for key in zip(*(group.column(c).to_pylist() for c in ("k1", "k2", "doc_id")), strict=True):
+        keep.append(key in wanted)
+        wanted.discard(key)
+    return group.filter(pa.array(keep, pa.bool_()))
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Integers as zstd of their bytes, the lowest of all first."""
+    return pa.compress(np.ascontiguousarray(numbers.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(U).reshape(-1)
 
-    def run(batches):
-        for piece in pieces(batches, "text"):
-            value, at = shingle_sets(piece.column("text"), n)
-            level = shared.value[(value & U(SKETCH - 1)).astype(np.int64)]
-            key = (level.astype(U) << U(56)) | (value >> U(8))
-            bit = ((value * U(_MULT)) >> U(54)).astype(np.int64)
-            keys, bits, prefix = [], [], []
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                size = hi - lo
-                digest = hashlib.blake2b(value[lo:hi].tobytes(), digest_size=16).digest()
-                keys.append(np.frombuffer(digest, np.int64))
-                bits.append(np.packbits((np.bincount(bit[lo:hi], minlength=BITS) & 1).astype(np.uint8)).view(np.int64))
-                take = size - (least * size + 99) // 100 + 1 if size else 0
-                prefix.append(np.sort(key[lo:hi])[:take])
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, U)
-            parts = np.maximum(np.exp2((flat >> U(56)).astype(np.float64) / 8) / PART, 1).astype(np.int32)
-            items = pa.StructArray.from_arrays([pa.array(flat.view(np.int64)), pa.array(parts)], names=["tok", "parts"])
-            k = np.array(keys)
-            yield pa.record_batch(
-                [piece.column("doc_id"), pa.array(np.diff(at)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array([list(b) for b in bits], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), items)],
-                names=["doc_id", "n", "k1", "k2", "bits", "prefix"],
-            )
-
-    return docs.mapInArrow(run, _FEATURES.format(kind=docs.schema["doc_id"].dataType.simpleString()))
+
+def _part_of(token: np.ndarray, parts: int) -> np.ndarray:
+    return ((token >> U(16)) * U(parts) >> U(32)).astype(np.int64)
+
+
+def _features(docs: DataFrame, slim: DataFrame, equal: DataFrame, n: int, least: int) -> DataFrame:
+    """doc_id, n, bits and prefix of every set that shares a shingle of its prefix with another one.
+
+    prefix: (token, pos), pos its place in the set's order of rareness, shingles of this set alone left out.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    total = slim.agg(F.sum("n")).first()[0] or 0
+    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_SHINGLES))
+    block = F.pmod(F.xxhash64("doc_id", "k1", "k2"), F.lit(blocks)).cast("int")
+    rows = _sets(docs, n, True).filter("n > 0").withColumn("block", block)
+    reps = equal.select(F.col("rep").alias("doc_id"), "k1", "k2").withColumn("block", block)
+
+    def send(group: pa.Table, firsts: pa.Table) -> pa.Table:
+        some = _firsts(group, firsts)
+        token, count = np.unique(_tokens_of(some.column("tokens"))[0], return_counts=True)
+        part = _part_of(token, blocks)
+        cut = np.searchsorted(part, np.arange(blocks + 1))
+        there = np.flatnonzero(np.diff(cut))
+        ends = list(zip(cut[there].tolist(), cut[there + 1].tolist(), strict=True))
+        me = firsts.column("block")[0].as_py() if firsts.num_rows else 0
+        return pa.table(
+            [
+                pa.array(there, pa.int32()),
+                pa.array(np.full(len(there), me, np.int32)),
+                pa.array(np.diff(cut)[there]),
+                pa.array([_packed(np.diff(token[a:b], prepend=U(0))) for a, b in ends], pa.binary()),
+                pa.array([_packed(count[a:b]) for a, b in ends], pa.binary()),
+            ],
+            names=["part", "block", "size", "tokens", "counts"],
+        )
+
+    def answer(group: pa.Table) -> pa.Table:
+        size = group.column("size").to_pylist()
+        tokens = [np.cumsum(_unpacked(r.as_py(), k), dtype=U) for r, k in zip(group.column("tokens"), size, strict=True)]
+        counts = [_unpacked(r.as_py(), k).astype(np.int64) for r, k in zip(group.column("counts"), size, strict=True)]
+        flat = np.concatenate(tokens)
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[order], prepend=~flat[order[:1]]) != 0)
+        every = np.add.reduceat(np.concatenate(counts)[order], first)
+        level = np.empty(len(flat), np.uint8)
+        level[order] = np.repeat(np.minimum(np.rint(8 * np.log2(every)), 255), np.diff(np.append(first, len(flat)))).astype(np.uint8)
+        out = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in np.split(level, np.cumsum(size)[:-1])]
+        return pa.table([group.column("block"), group.column("part"), pa.array(out, pa.binary())], names=["block", "part", "levels"])
+
+    def finish(group: pa.Table, right: pa.Table) -> pa.Table:
+        answers = right.filter(right.column("part").is_valid()).select(["part", "levels"]).sort_by("part")
+        some = _firsts(group, right.filter(right.column("part").is_null()))
+        flat, at = _tokens_of(some.column("tokens"))
+        token, inverse = np.unique(flat, return_inverse=True)
+        size = np.bincount(_part_of(token, blocks), minlength=blocks) if len(token) else np.zeros(blocks, np.int64)
+        got = [pa.decompress(r.as_py(), decompressed_size=int(size[p]), codec="zstd", asbytes=True) for p, r in zip(answers.column("part").to_pylist(), answers.column("levels"), strict=True)]
+        level = np.frombuffer(b"".join(got), np.uint8)[inverse]
+        key = (level.astype(U) << U(48)) | flat
+        bit = ((flat * U(_MULT)) >> U(54)).astype(np.int64)
+        ids, keep, bits, prefix, places = some.column("doc_id"), [], [], [], []
+        for d, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            take = hi - lo - (least * (hi - lo) + 99) // 100 + 1
+            if int((level[lo:hi] > 0).sum()) + take <= hi - lo:
+                continue  # its prefix has nothing that another set holds
+            mine = np.sort(key[lo:hi])[:take]
+            place = np.flatnonzero(mine >> U(48))
+            if len(place):
+                keep.append(d)
+                prefix.append(mine[place])
+                places.append(place)
+                bits.append(np.packbits((np.bincount(bit[lo:hi], minlength=BITS) & 1).astype(np.uint8)).tobytes())
+        items = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, U), *prefix]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int32))], names=["tok", "pos"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), items)
+        words = np.frombuffer(b"".join(bits), np.int64)
+        wide = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * (BITS // 64), pa.int32()), pa.array(words))
+        return pa.table([ids.take(pa.array(keep, pa.int64())), pa.array(np.diff(at)[keep] if keep else np.zeros(0, np.int64)), wide, lists], names=["doc_id", "n", "bits", "prefix"])
+
+    dealt, by = rows.groupBy("block"), reps.groupBy("block")
+    sent = dealt.cogroup(by).applyInArrow(send, "part int, block int, size long, tokens binary, counts binary")
+    answers = sent.groupBy("part").applyInArrow(answer, "block int, part int, levels binary")
+    null = lambda t, *cs: [F.lit(None).cast(t).alias(c) for c in cs]
+    right = reps.select("doc_id", "k1", "k2", "block", *null("int", "part"), *null("binary", "levels")).union(answers.select(*null(kind, "doc_id"), *null("long", "k1", "k2"), "block", "part", "levels"))
+    return dealt.cogroup(right.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, n long, bits array<long>, prefix array<struct<tok: long, pos: int>>")
 
 
 def _likely(pairs: DataFrame, feats: DataFrame, least: int) -> DataFrame:
     """Pairs that pass the length filter and the suffix filter."""
-    side = lambda c: feats.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")).dropDuplicates([c])
+    side = lambda c: feats.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
     both = both.filter((100 * F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y")) & (apart * (100 + least) <= (100 - least) * (F.col("n_x") + F.col("n_y"))))
@@ -166,7 +259,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, least: int, work: Work,
     """Of the pairs (x, y), those whose shingle sets are alike enough; texts of documents in no pair aren't moved."""
     pairs = work.save(f"{name}_pairs", pairs)
     ids = work.save(f"{name}_ids", pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
-    few = ids.count() <= BROADCAST_IDS
+    n_ids = ids.count()
+    if not n_ids:
+        return work.save(f"{name}_links", pairs)
+    few = n_ids <= BROADCAST_IDS
     texts = work.save(f"{name}_texts", docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == F.col("id"), "left_semi"))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "text_x", "text_y")
@@ -183,7 +279,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, least: int, work: Work,
                     alike.append(100 * shared >= least * (len(a) + len(b) - shared) and len(a) > 0)
                 yield piece.select(["x", "y"]).filter(pa.array(alike, pa.bool_()))
 
-    return work.save(f"{name}_links", both.mapInArrow(run, both.select("x", "y").schema))
+    links = work.save(f"{name}_links", both.mapInArrow(run, both.select("x", "y").schema))
+    work.drop(f"{name}_ids", f"{name}_texts")
+    return links
 
 
 def _fits(n1: str, p1: str, n2: str, p2: str, least: int) -> str:
@@ -194,60 +292,107 @@ def _fits(n1: str, p1: str, n2: str, p2: str, least: int) -> str:
     return f"100 * least({n1}, {n2}) >= {least} * greatest({n1}, {n2}) and {100 + least} * least({n1} - {p1}, {n2} - {p2}) >= {least} * ({n1} + {n2})"
 
 
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
+
+
 def classes(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row: documents are linked when 100 * shared >= least * union."""
-    spark = docs.sparkSession
-    work = Work(spark)
+    work = Work(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    feats = work.save("features", _features(docs, n, least, _levels(docs, n)))
+    slim = work.save("slim", _sets(docs, n, False))
     docs = docs.filter("doc_id is not null")
-    slim = feats.select("doc_id", "n", "k1", "k2")
     equal = work.save("equal", slim.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    kept = feats.join(equal.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    rows = kept.select("doc_id", "n", F.posexplode("prefix").alias("pos", "p")).select("doc_id", "n", "pos", F.col("p.tok").alias("tok"), F.col("p.parts").alias("parts"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("band", F.floor(F.log("n") / np.log(100 / least)) if least < 100 else F.col("n"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "tok", "part")
-    group, band = W.partitionBy("tok", "part"), W.partitionBy("tok", "part", "band").orderBy("n", "doc_id")
-    first = F.first(F.struct("doc_id", "n", "pos"))
-    dealt = dealt.withColumn("hub", first.over(band)).withColumn("df", F.count(F.lit(1)).over(group)).filter("df > 1 or parts > 1").drop("df", "part")
-    shared = work.save("shared", dealt)
-    # First round: each with the first of its group, and the first ones of a hot shingle's parts with the first of these.
-    near = shared.select("doc_id", "n", "pos", "hub")
-    tops = shared.filter("parts > 1 and hub.doc_id = doc_id").withColumn("top", first.over(W.partitionBy("tok", "band").orderBy("n", "doc_id")))
-    near = near.union(tops.select("doc_id", "n", "pos", "top")).filter(f"hub.doc_id != doc_id and {_fits('n', 'pos', 'hub.n', 'hub.pos', least)}")
-    near = near.select(F.col("doc_id").alias("x"), F.col("hub.doc_id").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    links = _verified(_likely(near, kept, least), docs, n, least, work, "near")
-    found = work.save("found", components(links, work, "first"))
-    # Second round: whatever shares a prefix shingle and isn't in one class yet.
-    now = shared.join(found, shared["doc_id"] == found["node"], "left").select("tok", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"))
-    now = work.save("now", now)
-    split = now.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("tok").alias("t"))
-    open_ = work.save("open", now.join(split, now["tok"] == F.col("t"), "left_semi"))
-    # What a class can offer at most at this shingle, so that classes are only taken apart where members may pass the filters.
+    feats = work.save("features", _features(docs, slim, equal, n, least))
+    band = F.floor(F.log("n") / np.log(100 / least)) if least < 100 else F.col("n")
+    rows = feats.select("doc_id", "n", F.explode("prefix").alias("p")).select("doc_id", "n", "p.tok", "p.pos")
+
+    # First step: each document with the hub of its rarest shared shingle, among those of about its length.
+    one = feats.select("doc_id", "n", F.get("prefix", 0).alias("p"), band.alias("band")).select("doc_id", "n", "band", "p.tok", "p.pos")
+    hubs = rows.withColumn("band", band).groupBy("tok", "band").agg(F.min(F.struct("pos", "n", "doc_id")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    near = one.join(hubs, ["tok", "band"]).filter(f"hub.doc_id != doc_id and {_fits('n', 'pos', 'hub.n', 'hub.pos', least)}")
+    near = near.select(F.col("doc_id").alias("x"), F.col("hub.doc_id").alias("y")).select(*_pair("x", "y")).distinct()
+    links = _verified(_likely(near, feats, least), docs, n, least, work, "links0")
+    seen = ["links0_pairs"]
+    found = work.save("found0", components(links, work, "first"))
+    round_ = 0
+    while True:
+        round_ += 1
+        now = rows.join(found, rows["doc_id"] == found["node"], "left").select("tok", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"))
+        split = now.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("tok").alias("t"))
+        open_ = work.save(f"open{round_}", now.join(split, now["tok"] == F.col("t"), "left_semi"))
+        if round_ > STEPS:
+            break
+        spans = open_.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "n", "doc_id")).alias("hub"))
+        top = spans.groupBy("tok").agg(F.max_by(F.struct("c", "hub"), F.struct("m", "c")).alias("top"))
+        meet = spans.join(top, "tok").filter(f"c != top.c and {_fits('hub.n', 'hub.pos', 'top.hub.n', 'top.hub.pos', least)}")
+        meet = meet.select(F.col("hub.doc_id").alias("x"), F.col("top.hub.doc_id").alias("y")).select(*_pair("x", "y")).distinct()
+        for name in seen:
+            meet = meet.join(docs.sparkSession.read.parquet(f"{work.path}/{name}"), ["x", "y"], "left_anti")
+        more = _verified(_likely(meet, feats, least), docs, n, least, work, f"links{round_}")
+        seen.append(f"links{round_}_pairs")
+        if more.isEmpty():
+            break
+        found = _contracted(found, more, work, round_)
+        work.drop(f"open{round_}")
+    # Last step: whatever shares a prefix shingle and isn't in one class yet. What a class can offer at most at a shingle
+    # comes first, so that classes are only taken apart where members may pass the filters.
     spans = open_.groupBy("tok", "c").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     a, b = spans.toDF("tok", "c1", "lo1", "hi1", "rest1"), spans.toDF("tok", "c2", "lo2", "hi2", "rest2")
     may = f"c1 < c2 and 100 * hi1 >= {least} * lo2 and 100 * hi2 >= {least} * lo1 and {100 + least} * least(rest1, rest2) >= {least} * (lo1 + lo2)"
     meet = a.join(b, "tok").filter(may).select("tok", "c1", "c2")
     one, two = open_.toDF("tok", "x", "n1", "p1", "c1"), open_.toDF("tok", "y", "n2", "p2", "c2")
-    cross = meet.join(one, ["tok", "c1"]).join(two, ["tok", "c2"])
-    cross = cross.filter(_fits("n1", "p1", "n2", "p2", least))
-    cross = cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    seen = spark.read.schema(cross.schema).parquet(f"{work.path}/near_pairs")
-    more = _verified(_likely(cross.join(seen, ["x", "y"], "left_anti"), kept, least), docs, n, least, work, "cross")
-    all_found = work.save("classes", components(links.union(more), work, "second"))
-    final = equal.join(all_found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("rep"))
-    final = work.save("final", final)
-    out = slim.join(final, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
-    out = work.save("result", out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))))
-    work.drop("features", "equal", "shared", "found", "now", "open", "classes", "final", *(f"{k}_{t}" for k in ("near", "cross") for t in ("pairs", "ids", "texts", "links")))
+    cross = meet.join(one, ["tok", "c1"]).join(two, ["tok", "c2"]).filter(_fits("n1", "p1", "n2", "p2", least))
+    cross = cross.select(*_pair("x", "y")).distinct()
+    for name in seen:
+        cross = cross.join(docs.sparkSession.read.parquet(f"{work.path}/{name}"), ["x", "y"], "left_anti")
+    more = _verified(_likely(cross, feats, least), docs, n, least, work, "cross")
+    work.drop("features", f"open{round_}", "cross_pairs", *seen)
+    found = _contracted(found, more, work, "cross")
+
+    owned = slim.join(equal, ["k1", "k2"], "left").join(found, F.col("rep") == F.col("node"), "left")
+    owned = work.save("owned", owned.select("doc_id", "n", F.coalesce("component", "rep").alias("c")))
+    work.drop("slim", "equal", "found_cross", "cross_links")
+    # Rows that share an id may have different texts: their classes are one.
+    ends = owned.filter("c is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("c").alias("x"), F.max("c").alias("hi")).filter("x < hi")
+    same = work.save("same", owned.join(ends, F.col("doc_id") == F.col("id")).select("x", F.col("c").alias("y")).filter("x != y").distinct())
+    if not same.isEmpty():
+        joined = work.save("joined", components(same, work, "ids"))
+        owned = owned.join(joined, F.col("c") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "c").alias("c"))
+    return owned.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+
+
+def _contracted(found: DataFrame, links: DataFrame, work: Work, name: object) -> DataFrame:
+    """(node, component) after more links: they join classes, so only one edge for each pair of classes is followed."""
+    of = lambda c: found.select(F.col("node").alias(f"node_{c}"), F.col("component").alias(f"c_{c}"))
+    ends = links.join(of("x"), F.col("x") == F.col("node_x"), "left").join(of("y"), F.col("y") == F.col("node_y"), "left")
+    ends = work.save(f"ends_{name}", ends.select("x", "y", F.coalesce("c_x", "x").alias("c_x"), F.coalesce("c_y", "y").alias("c_y")))
+    step = work.save(f"step_{name}", components(ends.select(F.col("c_x").alias("x"), F.col("c_y").alias("y")), work, f"again_{name}"))
+    fresh = ends.select(F.col("x").alias("node"), F.col("c_x").alias("component")).union(ends.select("y", "c_y")).distinct()
+    every = found.union(fresh.join(found.select("node"), "node", "left_anti"))
+    out = every.join(step.toDF("class", "to"), F.col("component") == F.col("class"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = work.save(f"found_{name}", out)
+    work.drop(f"ends_{name}", f"step_{name}")
     return out
 
 
 def keep_first(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id; all columns are kept. Rows with a null id stay."""
-    gone = classes(docs, n, least, id_col, text_col).filter("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    """One document of each class, the one with the smallest id; all columns are kept.
+
+    Of rows that share that id one stays, that with the smallest hash of its text. Rows with a null id stay, as they are
+    in no class.
+    """
+    every = classes(docs, n, least, id_col, text_col)
+    gone = every.filter("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    twice = every.filter("doc_id is not null").groupBy(F.col("doc_id").alias("twice_id")).count().filter("count > 1").select("twice_id")
+    if twice.isEmpty():
+        return kept
+    on = F.col(id_col) == F.col("twice_id")
+    again = kept.join(twice, on, "left_semi").withColumn("__h", F.xxhash64(text_col))
+    least_h = again.groupBy(F.col(id_col).alias("__id")).agg(F.min("__h").alias("__least"))
+    again = again.join(least_h, (F.col(id_col) == F.col("__id")) & (F.col("__h") == F.col("__least"))).dropDuplicates([id_col]).drop("__h", "__id", "__least")
+    return kept.join(twice, on, "left_anti").unionByName(again)
 
 
 def op9_ngram_jaccard(spark, sf_dir):

@@ -172,7 +172,7 @@ def brute_classes(texts, n, least):
 
 @pytest.mark.parametrize(("n", "least"), [(3, 90), (5, 80)])
 def test_jaccard_classes(spark, n, least, monkeypatch):
-    monkeypatch.setattr(jaccard, "PART", 8)  # small parts, so that some shingles count as hot
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 200)  # many blocks, so that counts come from several parts
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = {i: " ".join(rng.choices(vocabulary, k=rng.randint(1, 80))) for i in range(60)}
