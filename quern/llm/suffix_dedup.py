@@ -10,8 +10,9 @@ Contexts are grouped by the 64 bytes after the trigger, the only ones where equa
 occurrence has nothing repeated; a group of equal contexts repeats as a whole. For all others the dictionary (the ends
 of phrases, sorted from the trigger backwards) and the parse (what follows, sorted) have suffix arrays with common prefix
 lengths; for each s, equal classes of both are neighbours in corpus order, and classes with two occurrences or more are
-repeated. Groups of more than HOT occurrences, whose contexts one task shouldn't hold, are counted start by start by hash
-(128 bits) instead, which is exact as well and pre-aggregates.
+repeated. A group with more different contexts than a task should hold is divided: strings that start in one half of the
+range of s have more bytes in common, so each half is a group of its own by those bytes, and is divided again where it must
+be. At a single s the bytes are the string itself. Counts of groups are pre-aggregated, so no group meets in one task.
 
 Strings are judged on the input and never cross documents. Defined cases: a null text is an empty one; texts of fewer than
 200 bytes have nothing to lose; rows that repeat an id are documents of their own, also where the text is the same (then
@@ -33,8 +34,8 @@ SPAN = 200
 GRAM = 16
 WINDOW = 136
 NEAR = SPAN - WINDOW
-#: Occurrences of a group of contexts that one task compares at most (about 300 bytes each).
-HOT = 1 << 15
+#: Different contexts of a group that one task holds at most (about 500 bytes each); a larger group is divided.
+MOST = 1 << 15
 #: Contexts that are sorted together, about.
 CHUNK = 16384
 _BYTE = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -106,7 +107,7 @@ def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.repeat(np.arange(len(column)), np.asarray(column.value_lengths().fill_null(0), np.int64))
 
 
-_PHRASES = "g long, c long, n long, hot boolean, least int, most int, left binary, right binary"
+_PHRASES = "g long, c long, n long, least int, most int, left binary, right binary"
 
 
 def _cut(batches):
@@ -121,8 +122,8 @@ def _cut(batches):
             t = (at[doc] + (spot >> 16)).tolist()
             left = [raw[a - m : a] for a, m in zip(t, most.tolist(), strict=True)]
             right = [raw[a : a + SPAN - k] for a, k in zip(t, least.tolist(), strict=True)]
-            cols = [wants.field(k) for k in ("g", "c", "n", "hot")]
-            yield pa.record_batch([*cols, pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["g", "c", "n", "hot", "least", "most", "left", "right"])
+            cols = [wants.field(k) for k in ("g", "c", "n")]
+            yield pa.record_batch([*cols, pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["g", "c", "n", "least", "most", "left", "right"])
 
 
 def _sorted_classes(group: np.ndarray, texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +158,12 @@ _RANGES = "g long, c long, ranges array<struct<f: int, t: int>>"
 
 
 def _combine(batches):
-    """Contexts, sorted by group, to ranges of repeated starts; a group's contexts are in one chunk."""
+    """Contexts, sorted by group p, to ranges of repeated starts; a group's contexts are in one chunk."""
 
     def ended(t: pa.Table) -> pa.RecordBatch:
         col = {k: t.column(k).combine_chunks() for k in t.column_names}
-        num = {k: np.asarray(col[k], np.int64) for k in ("g", "n", "least", "most")}
-        mask = repeated_starts(num["g"], num["n"], num["least"], num["most"], col["left"].to_pylist(), col["right"].to_pylist())
+        num = {k: np.asarray(col[k], np.int64) for k in ("p", "n", "least", "most")}
+        mask = repeated_starts(num["p"], num["n"], num["least"], num["most"], col["left"].to_pylist(), col["right"].to_pylist())
         edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, f = np.nonzero(edge == 1)
         _, to = np.nonzero(edge == -1)
@@ -175,8 +176,8 @@ def _combine(batches):
         held.append(batch)
         if sum(b.num_rows for b in held) >= CHUNK:
             t = pa.Table.from_batches(held)
-            g = np.asarray(t.column("g").combine_chunks(), np.int64)
-            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            p = np.asarray(t.column("p").combine_chunks(), np.int64)
+            cut = int(np.searchsorted(p, p[-1]))  # the last group may go on
             if cut:
                 yield ended(t.slice(0, cut))
             held = t.slice(cut).to_batches()
@@ -184,17 +185,42 @@ def _combine(batches):
         yield ended(pa.Table.from_batches(held))
 
 
-def _strings(batches):
-    """Every string of a context by its hash: for groups that one task shouldn't compare."""
-    for batch in batches:
-        rows = []
-        for g, c, n, least, most, left, right in zip(*(batch.column(k).to_pylist() for k in ("g", "c", "n", "least", "most", "left", "right")), strict=True):
-            text = left + right
-            for s in range(least, most + 1):
-                h = xxhash.xxh3_128_digest(text[most - s : most - s + SPAN])
-                rows.append((g, c, n, s, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        yield pa.record_batch([pa.array(x, pa.int64()) for x in cols], names=["g", "c", "n", "s", "h1", "h2"])
+def _divided(large: DataFrame) -> DataFrame:
+    """Groups of starts lo to hi as groups of either half, by the bytes that all strings of a half have in common."""
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("hi").alias("b")))
+    rows = large.withColumn("half", F.explode(halves)).withColumn("lo", F.col("half.a")).withColumn("hi", F.col("half.b"))
+    rows = rows.withColumn("least", F.greatest("least", "lo")).withColumn("most", F.least("most", "hi")).filter("least <= most")
+    before = F.substring("left", F.octet_length("left") - F.col("lo") + 1, F.col("lo"))
+    after = F.substring("right", F.lit(1), F.lit(SPAN) - F.col("hi"))
+    return rows.withColumn("p", F.xxhash64("p", "lo", before, after)).drop("half")
+
+
+def _verdicts(shown: DataFrame, work: Work) -> DataFrame:
+    """g, c, ranges: the repeated starts of every context."""
+    parts = int(shown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level, found = 0, []
+    rest = shown.withColumn("p", F.col("g")).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(WINDOW - 1))
+    while True:
+        sizes = rest.groupBy(F.col("p").alias("q")).agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("times"))
+        sizes = work.save(f"sizes{level}", sizes.filter("times > 1"))
+        told = rest.join(sizes, F.col("p") == F.col("q")).drop("q", "times")
+        told = told if level == 0 else work.save(f"told{level}", told)
+        one = F.col("lo") == F.col("hi")
+        if level:
+            found.append(told.filter(one).select("g", "c", F.array(F.struct(F.col("lo").alias("f"), F.col("hi").alias("t"))).alias("ranges")))
+        small = told.filter(~one & (F.col("contexts") <= MOST)).drop("contexts", "lo", "hi")
+        found.append(small.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_combine, _RANGES))
+        large = told.filter(~one & (F.col("contexts") > MOST)).drop("contexts")
+        if sizes.filter(F.col("contexts") > MOST).isEmpty() or large.isEmpty():
+            break
+        level += 1
+        rest = work.save(f"divided{level}", _divided(large))
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other)
+    every = every.filter(F.size("ranges") > 0)
+    return every if level == 0 else every.groupBy("g", "c").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _finish(batches):
@@ -229,26 +255,23 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = _keys(docs, id_col, text_col)
     contexts = _contexts(keyed)
     again = contexts.groupBy(F.col("g").alias("r")).agg(F.count(F.lit(1)).alias("r_n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("r_n > 1")
-    again = work.save("groups", again.select("r", (F.col("lo") != F.col("hi")).alias("differ"), (F.col("r_n") > HOT).alias("hot")))
+    again = work.save("groups", again.select("r", (F.col("lo") != F.col("hi")).alias("differ")))
     hits = work.save("hits", contexts.join(again, F.col("g") == F.col("r")).drop("r"))
+    work.drop("groups")
     key = ["k1", "k2"]
     mixed_hits = hits.filter("differ")
-    each = mixed_hits.groupBy("g", "c", "hot").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key, "spot")).alias("rep"))
-    wants = each.groupBy(*(F.col(f"rep.{k}").alias(k) for k in key)).agg(F.collect_list(F.struct("g", "c", "n", "hot", F.col("rep.spot").alias("spot"))).alias("wants"))
+    each = mixed_hits.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key, "spot")).alias("rep"))
+    wants = each.groupBy(*(F.col(f"rep.{k}").alias(k) for k in key)).agg(F.collect_list(F.struct("g", "c", "n", F.col("rep.spot").alias("spot"))).alias("wants"))
     # The text table is shuffled once: both joins below read the same exchange.
     shown = keyed.join(wants, key, "left").filter("wants is not null").select("row", "wants").mapInArrow(_cut, _PHRASES)
-    shown = work.save("phrases", shown)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = shown.filter("not hot").drop("hot").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_combine, _RANGES)
-    strings = shown.filter("hot").mapInArrow(_strings, "g long, c long, n long, s long, h1 long, h2 long")
-    often = strings.groupBy(F.col("h1").alias("o1"), F.col("h2").alias("o2")).agg(F.sum("n").alias("t")).filter("t > 1")
-    hot = strings.join(often, F.expr("h1 = o1 and h2 = o2")).groupBy("g", "c").agg(F.transform(F.collect_list("s"), lambda s: F.struct(s.cast("int").alias("f"), s.cast("int").alias("t"))).alias("ranges"))
-    verdict = work.save("verdict", cold.unionByName(hot).filter(F.size("ranges") > 0))
-    verdict = verdict.toDF("v_g", "v_c", "ranges")
-    found = mixed_hits.join(verdict, F.expr("g = v_g and c = v_c")).select(*key, "spot", F.explode("ranges").alias("x")).select(*key, "spot", "x.f", "x.t")
-    found = found.unionByName(hits.filter("not differ").select(*key, "spot", _least(F.col("spot")).alias("f"), _most(F.col("spot")).alias("t")))
+    verdict = work.save("verdict", _verdicts(work.save("phrases", shown), work))
+    work.drop("phrases")
+    # Each occurrence has its runs of bytes, at most a few; they stay together until its document has them all.
     place = F.shiftright("spot", 16).cast("int")
-    runs = found.groupBy(*key).agg(F.collect_list(F.struct((place - F.col("t")).alias("a"), (place - F.col("f") + SPAN).alias("b"))).alias("runs"))
+    run = lambda f, t: F.struct((place - t).alias("a"), (place - f + SPAN).alias("b"))
+    found = mixed_hits.join(verdict.toDF("v_g", "v_c", "ranges"), F.expr("g = v_g and c = v_c")).select(*key, F.transform("ranges", lambda r: run(r["f"], r["t"])).alias("runs"))
+    found = found.unionByName(hits.filter("not differ").select(*key, F.array(run(_least(F.col("spot")), _most(F.col("spot")))).alias("runs")))
+    runs = found.groupBy(*key).agg(F.flatten(F.collect_set("runs")).alias("runs"))
     kind = docs.schema[id_col].dataType.simpleString()
     out = keyed.join(runs, key, "left").select("row", "runs").mapInArrow(_finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)

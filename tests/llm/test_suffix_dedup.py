@@ -48,8 +48,8 @@ def test_brute_force(spark):
     check(spark, cases())
 
 
-def test_hot_groups(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+def test_divided_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST", 3)
     check(spark, cases())
 
 
