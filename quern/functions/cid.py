@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The multiformats header of a CIDv1 with raw codec and a 32-byte sha2-256 digest, and base32's digits.
-RAW_HEADER = "01551220"
+#: The multiformats headers of a CIDv1 with raw or dag-pb codec and a 32-byte sha2-256 digest, and base32's digits.
+RAW_HEADER, DAG_PB_HEADER = "01551220", "01701220"
 BASE32HEX, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "abcdefghijklmnopqrstuvwxyz234567"
 
 
@@ -29,11 +29,11 @@ def cid_raw(content: Column) -> Column:
     return cid_of_hash(F.sha2(content.cast("binary"), 256))
 
 
-def hash_of_cid(cid: Column) -> Column:
-    """The sha2-256 in hex of a CIDv1 raw; null where the text isn't one."""
+def hash_of_cid(cid: Column, header: str = RAW_HEADER) -> Column:
+    """The sha2-256 in hex of a CIDv1 of that header, by default raw; null where the text isn't one."""
     upper = F.translate(F.substr(cid, F.lit(2), F.lit(58)), BASE32, BASE32HEX)
     padded = F.rpad(upper, 60, "0")
     hex_text = F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.lpad(F.conv(F.substr(padded, i * 4 + 1, F.lit(4)), 32, 16), 5, "0")), ""))
-    ok = cid.rlike("^b[a-z2-7]{58}$")
+    ok = cid.rlike("^b[a-z2-7]{57}[aeimquy4]$")  # the last two bits belong to no byte
     safe = F.when(ok, hex_text)
-    return F.when(ok & safe.startswith(RAW_HEADER), F.substr(safe, F.lit(9), F.lit(64)))
+    return F.when(ok & safe.startswith(header), F.substr(safe, F.lit(9), F.lit(64)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.cid import hash_of_cid
+from quern.functions.cid import BASE32, BASE32HEX, DAG_PB_HEADER, hash_of_cid
 
 #: What marks a page as an error page, first match wins.
 ERROR_PATTERNS = ("403 - forbidden", "access is denied", "server error 403", "404 not found", "request blocked", "access denied", "captcha", "verify you are human")
+#: Extensions of images, and what a web address looks like.
 IMAGE_TYPES = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "tiff", "tif", "avif")
 URI = r"^https?://([\w-]+@)?[\w-]+(\.[\w-]+)+([\w\-.,@?^=%&:/~+#]*[\w\-@?^=%&/~+#])?$"
 
@@ -41,8 +42,9 @@ def uri_ok(x: Column) -> Column:
 
 
 def ipfs_uri_ok(x: Column) -> Column:
-    """A relative path, or ipfs:// and a CIDv1 (raw codec; base32) with a sha2-256."""
-    return F.coalesce(F.when(x.startswith("./"), F.length(x) > 2).otherwise(x.rlike("^ipfs://[A-Za-z0-9]{46,59}$") & strict_raw_cid(F.substr(x, F.lit(8)))), F.lit(False))
+    """A relative path, or ipfs:// and a CIDv1 (raw or dag-pb codec; base32) with a sha2-256."""
+    cid = F.substr(x, F.lit(8))
+    return F.coalesce(F.when(x.startswith("./"), F.length(x) > 2).otherwise(x.startswith("ipfs://") & (strict_raw_cid(cid) | hash_of_cid(cid, DAG_PB_HEADER).isNotNull())), F.lit(False))
 
 
 def account_ok(x: Column) -> Column:
@@ -103,3 +105,88 @@ def newer_version(a: Column, b: Column) -> Column:
 
 def backoff_ms(attempt: Column, base: int = 1000, factor: float = 2.0, cap: int = 60000) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(factor), attempt), F.lit(cap)).cast("long")
+
+
+def cid_problem(x: Column) -> Column:
+    """F8: the first thing that keeps an identifier (version 0, or base32) from being a hash, null if nothing does. The messages are fixed values."""
+    head = F.when(x.rlike("^b[a-z2-7]{8,}$"), x)
+    digits = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.lpad(F.conv(F.substr(F.translate(head, BASE32, BASE32HEX), i * 4 + 2, F.lit(4)), 32, 16), 5, "0"))
+    code = F.lower(F.array_join(digits, ""))  # ten digits: version, codec, hash, its size, and one byte of it
+    part = lambda k: F.substr(code, F.lit(2 * k + 1), F.lit(2))
+    of = lambda text, k: F.concat(F.lit(text), F.regexp_replace(part(k), "^0", ""))
+    bad = F.when(x.rlike("^Qm[1-9A-HJ-NP-Za-km-z]{44}$"), "Expected CID v1, got CID v0").when(head.isNull() | (part(0) != "01"), "Invalid CID format")
+    bad = bad.when(part(1) != "55", of("Expected raw codec (0x55), got codec 0x", 1)).when(part(2) != "12", of("Expected SHA-256 hash (0x12), got hash algorithm 0x", 2))
+    size = F.conv(part(3), 16, 10)
+    return F.when(F.coalesce(x, F.lit("")) == "", "CID must be a non-empty string").otherwise(bad.when(part(3) != "20", F.concat(F.lit("Expected 32-byte hash, got "), size, F.lit(" bytes"))).when(F.length(x) != 59, "Invalid CID format"))
+
+
+def is_nonce_error(message: Column) -> Column:
+    """errors that a new sequence number mends. The texts are fixed values."""
+    return F.coalesce(F.lower(message).contains("nonce") | F.lower(message).contains("replacement transaction underpriced"), F.lit(False))
+
+
+def is_transient_error(message: Column) -> Column:
+    """errors after which the same call may succeed. The patterns are fixed values."""
+    return F.coalesce(message.rlike(r"(?i)streaming\.mjs|The server had an error while processing your request|ECONNRESET|ETIMEDOUT|ENETUNREACH|ECONNREFUSED|5[0-9][0-9]"), F.lit(False))
+
+
+def value_text(kind: Column, value: Column) -> Column:
+    """A value as a report shows it: nothing for a missing one, JSON for objects and lists, else its text."""
+    return F.when(kind == "undefined", "").when(kind == "null", "null").otherwise(value)
+
+
+def tail_lines(text: Column, n: int = 60) -> Column:
+    """The last lines of an output."""
+    lines = F.split(text, r"\r?\n")
+    return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n)), "\n")
+
+
+def fenced(text: Column) -> Column:
+    """What the first code fence holds, else all of the text, without white space around it."""
+    pattern = r"(?is)```(?:javascript|js)?\s*(.*?)```"
+    return F.regexp_replace(F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text), r"^\s+|\s+$", "")
+
+
+def proxy_parts(text: Column) -> Column:
+    """User, password, host and port of user:password@host:port; null where it isn't that."""
+    pattern = r"^(.+?):(.+?)@(.+?):([0-9]+)$"
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    return F.when(text.rlike(pattern), F.struct(part(1).alias("username"), part(2).alias("password"), part(3).alias("host"), part(4).cast("int").alias("port")))
+
+
+def fetched_name(relationship: Column, key: Column, cid: Column, is_root: Column, group_cid: Column) -> Column:
+    """The file name of fetched content: by the relationship it came from, the data group it is, or its identifier."""
+    by_link = F.when(key.isNotNull(), F.concat_ws("_", relationship, key, cid)).otherwise(relationship)
+    return F.concat(F.when(relationship.isNotNull(), by_link).when(is_root & group_cid.isNotNull(), group_cid).otherwise(cid), F.lit(".json"))
+
+
+def plain_parcel(x: Column) -> Column:
+    """A parcel's number without hyphens."""
+    return F.replace(x, F.lit("-"), F.lit(""))
+
+
+def gwei(wei: Column) -> Column:
+    """Wei in units of 10^9, exactly."""
+    return wei.cast("decimal(38,9)") / F.lit(1_000_000_000).cast("decimal(10,0)")
+
+
+def jittered_ms(delay: Column, spread: Column) -> Column:
+    """A delay moved by up to a fifth; spread is a number from -1 to 1."""
+    return F.round(delay * (1 + spread * 0.2)).cast("long")
+
+
+def is_accepted(text: Column) -> Column:
+    """Whether a review accepts."""
+    return F.coalesce(F.contains(text, F.lit("STATUS: ACCEPTED")), F.lit(False))
+
+
+#: What a writer of scripts is told.
+FIX = "Please review and fix any issues in the extraction scripts"
+FIX_ALL = "You have preiously created all 3 scripts. Please review and fix any issues in the extraction scripts."
+
+
+def feedback(text: Column) -> Column:
+    """What a review asks for: its plan of action up to the status, else what follows the rejection, else that there is something to mend."""
+    plan, rejected = r"(?is)ACTION PLAN[:\s]*(.+?)(?:STATUS:|$)", r"(?is)REJECTED[:\s]*(.+?)$"
+    part = lambda p: F.regexp_replace(F.regexp_extract(text, p, 1), r"^\s+|\s+$", "")
+    return F.when(text.rlike(plan), F.concat(F.lit(f"{FIX_ALL} Fix these issues: "), part(plan))).when(text.rlike(rejected), F.concat(F.lit(f"{FIX_ALL} "), part(rejected))).otherwise(FIX)

@@ -42,11 +42,23 @@ def verified(content: DataFrame, cid: str = "cid", data: str = "data", rank: str
     return good.groupBy(cid).agg(F.min_by(data, rank).alias(data))
 
 
-def rates(samples: DataFrame, group: str, ts: str, done: str, frame: int = 60, least_s: int = 5) -> DataFrame:
-    """Per sample the rate since the oldest of the last `frame` samples that is least_s or older; null if there is none."""
-    recent = W.partitionBy(group).orderBy(ts).rowsBetween(1 - frame, 0)
-    oldest = F.first(F.struct(F.col(ts).alias("t"), F.col(done).alias("d"))).over(recent)
-    out = samples.withColumn("_o", oldest)
-    second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    seconds = second(ts) - second("_o.t")
-    return out.withColumn("seconds", seconds).withColumn("gained", F.col(done) - F.col("_o.d")).withColumn("rate", F.when(F.col("seconds") >= least_s, F.col("gained") / F.col("seconds"))).drop("_o")
+def rates(samples: DataFrame, group: str, ts: str, done: str, frame: int = 60) -> DataFrame:
+    """Per sample the progress a second (to the millisecond) since the oldest of the last `frame` samples.
+
+    That is what both rules of the meter come to: the first sample that is five seconds old or older is the oldest one, and where
+    none is that old the oldest stands in. A single sample has rate 0; samples of one moment count from the group's start.
+    """
+    recent = W.partitionBy(group).orderBy(ts, done).rowsBetween(1 - frame, 0)
+    sample = F.struct(F.col(ts).alias("t"), F.col(done).alias("d"))
+    out = samples.withColumn("_o", F.first(sample).over(recent)).withColumn("_n", F.count(F.lit(1)).over(recent))
+    out = out.withColumn("_s", F.min(ts).over(W.partitionBy(group)))
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    out = out.withColumn("seconds", (ms(ts) - ms("_o.t")) / 1000).withColumn("gained", F.col(done) - F.col("_o.d"))
+    since = (ms(ts) - ms("_s")) / 1000
+    rate = F.when(F.col("_n") < 2, 0.0).when(F.col("seconds") > 0, F.col("gained") / F.col("seconds")).when(since > 0, F.col(done) / since).otherwise(0.0)
+    return out.withColumn("rate", rate).drop("_o", "_n", "_s")
+
+
+def remaining_seconds(total: Column, done: Column, rate: Column) -> Column:
+    """The time that is left at a rate; null where nothing is left or nothing moves."""
+    return F.when((rate > 0) & (total > done), (total - done) / rate)

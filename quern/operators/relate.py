@@ -5,10 +5,13 @@ A rule is (slot, words that must all occur, words that must not). Singleton slot
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Rule = tuple[str, tuple[str, ...], tuple[str, ...]]
 
@@ -98,7 +101,52 @@ def data_groups(files: DataFrame, label: str = "County", rules: tuple[Rule, ...]
 
 
 def synthesised(files: DataFrame) -> DataFrame:
-    """The relationship file from the property to every entity but those linked otherwise."""
-    skip = r"^(relationship|property|person|company|structure|utility|mailing_address|exemption|jurisdiction)"
-    plain = F.col("file").endswith(".json") & ~F.col("file").rlike(skip) & ~F.col("file").endswith("data.json")
-    return files.filter(plain).withColumn("relationship", F.concat(F.lit("relationship_property_"), F.col("file")))
+    """The relationship file from the property to every entity but those linked otherwise, and its content."""
+    linked = is_entity(F.col("file")) & ~F.col("file").endswith("property.json") & ~F.col("file").rlike(LINKED_ELSEWHERE)
+    link = lambda p: F.struct(p.alias("/"))
+    content = F.to_json(F.struct(link(F.lit("./property.json")).alias("from"), link(F.concat(F.lit("./"), F.col("file"))).alias("to")))
+    return files.filter(linked).withColumn("relationship", F.concat(F.lit("relationship_property_"), F.col("file"))).withColumn("content", content)
+
+
+#: Entities that no relationship from the property is made for.
+LINKED_ELSEWHERE = "^(person|company|structure|utility|mailing_address)|exemption|jurisdiction"
+
+
+def is_entity(file: Column) -> Column:
+    """P5: which files of a folder are entities: JSON, but no relationship and no raw data."""
+    return file.endswith(".json") & ~file.startswith("relationship") & ~file.endswith("data.json")
+
+
+@F.pandas_udf(T.StringType())
+def with_provenance(raw: pd.Series, request: pd.Series, identifier: pd.Series) -> pd.Series:
+    """P5: an entity with the seed's request where it has none, and the seed's identifier; null where it isn't an object."""
+
+    def one(text: str | None, given: str | None, name: str | None) -> str | None:
+        try:
+            value = json.loads(text)
+            if not isinstance(value, dict):
+                return None
+            value["source_http_request"] = value.get("source_http_request") or json.loads(given)
+            return json.dumps(value | {"request_identifier": name}, ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    return pd.Series([one(*x) for x in zip(raw, request, identifier, strict=True)], dtype=object)
+
+
+def transformed(files: DataFrame, seeds: DataFrame, schema_cid: str, label: str = "County", rules: tuple[Rule, ...] = COUNTY, single: tuple[str, ...] = COUNTY_SINGLE) -> DataFrame:
+    """R-D: group, name, content of what a folder's transform leaves: entities with their provenance, relationships (made
+    ones and those there, each name once), and the data group that holds them.
+
+    files: group, seq, file, raw; seeds: group, request (JSON text), identifier.
+    """
+    filled = files.join(seeds, "group", "left")
+    kept = filled.select("group", F.col("file").alias("name"), F.when(is_entity(F.col("file")), with_provenance("raw", "request", "identifier")).otherwise(F.col("raw")).alias("content"))
+    made = synthesised(files).select("group", "seq", F.col("relationship").alias("file"), "content")
+    there = files.filter(F.col("file").startswith("relationship_") & F.col("file").endswith(".json"))
+    # Made ones come first and replace those of their name; the rest follows in the folder's order.
+    extra = there.join(made.select("group", "file"), ["group", "file"], "left_anti")
+    links = made.select("group", F.struct(F.lit(0).alias("a"), F.col("seq").alias("b")).alias("seq"), "file").unionByName(extra.select("group", F.struct(F.lit(1).alias("a"), F.col("seq").alias("b")).alias("seq"), "file"))
+    groups = data_groups(links, label, rules, single).select("group", F.lit(f"{schema_cid}.json").alias("name"), F.col("document").alias("content"))
+    kept = kept.join(made.select("group", F.col("file").alias("name")), ["group", "name"], "left_anti")
+    return kept.unionByName(made.select("group", F.col("file").alias("name"), "content")).unionByName(groups)

@@ -31,33 +31,57 @@ def coordinates(lon: Column, lat: Column) -> Column:
     return F.struct(F.when(both, leading_number(lon)).alias("longitude"), F.when(both, leading_number(lat)).alias("latitude"))
 
 
+#: What is wrong with a seed row.
+BOTH_BODIES = "Both json and body fields are present in seed.csv. Only one of these fields can be processed at a time."
+NO_COUNTY = "County field is required in seed.csv and cannot be empty"
+
+
 def source_request(url: Column, method: Column, query: Column, headers: Column, json: Column, body: Column) -> Column:
-    """A request description; a JSON body sets the content type, and body counts only without it."""
-    has_json = blank_null(json).isNotNull()
-    base = F.coalesce(F.from_json(headers, "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    bare = F.map_filter(base, lambda k, v: v.isNotNull() & (F.lower(k) != "content-type"))
-    typed = F.map_concat(bare, F.create_map(F.lit("content-type"), F.lit("application/json")))
+    """A request description; a JSON body is embedded as JSON and sets the content type, a blank query map is empty."""
+    given = lambda c: F.when(c != "", c)
+    no_pairs = F.from_json(F.lit("{}"), "map<string,array<string>>")
+    base = F.from_json(given(headers), "map<string,string>")
+    typed = F.map_concat(F.map_filter(F.coalesce(base, F.from_json(F.lit("{}"), "map<string,string>")), lambda k, v: k != "content-type"), F.create_map(F.lit("content-type"), F.lit("application/json")))
     return F.struct(
         url.alias("url"),
-        F.upper(F.coalesce(blank_null(method), F.lit("GET"))).alias("method"),
-        loose_query_map(query).alias("multiValueQueryString"),
-        F.when(has_json, typed).otherwise(F.map_filter(base, lambda k, v: v.isNotNull())).alias("headers"),
-        F.when(has_json, json).alias("json"),
-        F.when(~has_json, blank_null(body)).alias("body"),
+        method.alias("method"),
+        F.when(blank_null(query).isNull(), no_pairs).otherwise(loose_query_map(query)).alias("multiValueQueryString"),
+        F.when(given(json).isNotNull(), typed).otherwise(base).alias("headers"),
+        F.try_parse_json(given(json)).alias("json"),
+        given(body).alias("body"),
     )
 
 
-def seed_documents(seeds: DataFrame) -> DataFrame:
-    """Per seed row (parcel_id, address, request as a struct) its documents as (parcel_id, name, content), all rows of the file."""
-    common = {"source_http_request": F.col("request"), "request_identifier": F.col("parcel_id")}
-    doc = lambda name, **f: F.struct(F.lit(name).alias("name"), F.to_json(F.struct(*(v.alias(k) for k, v in f.items()))).alias("content"))
+def with_headers(headers: Column) -> Column:
+    """Headers without those that have no value; null if none is left."""
+    kept = F.map_filter(headers, lambda k, v: v.isNotNull())
+    return F.when(F.size(kept) > 0, kept)
+
+
+def seed_problem(county: Column, json: Column, body: Column) -> Column:
+    """Why a seed row makes no documents, null if it does."""
+    return F.when((json != "") & (body != ""), BOTH_BODIES).when(blank_null(county).isNull(), NO_COUNTY)
+
+
+def seed_documents(seeds: DataFrame, seed_cid: str = "seed") -> DataFrame:
+    """The documents of every seed row, as (parcel_id, name, content).
+
+    seeds: parcel_id, source_identifier, county, address, longitude, latitude (numbers, both or none), request (a struct).
+    """
+    common = {"source_http_request": F.col("request"), "request_identifier": F.col("source_identifier")}
+    text = lambda **f: F.to_json(F.struct(*(v.alias(k) for k, v in f.items())))
+    doc = lambda name, content: F.struct(F.lit(name).alias("name"), content.alias("content"))
     link = lambda p: F.struct(F.lit(p).alias("/"))
+    place = {"longitude": F.col("longitude"), "latitude": F.col("latitude")}
+    address = {**common, "county_name": F.col("county"), "unnormalized_address": F.col("address")}
+    # An address without coordinates says so; to_json would leave nulls out.
+    bare = F.concat(F.regexp_replace(text(**address), r"\}$", ""), F.lit(',"longitude":null,"latitude":null}'))
     docs = F.array(
-        doc("address.json", **common, unnormalized_address=F.col("address")),
-        doc("parcel.json", **common, parcel_identifier=F.col("parcel_id")),
-        doc("address_has_parcel.json", **{"from": link("./address.json"), "to": link("./parcel.json")}),
-        doc("seed.json", label=F.lit("Seed"), relationships=F.struct(link("./address_has_parcel.json").alias("address_has_parcel"))),
-        doc("property_seed.json", **common, parcel_id=F.col("parcel_id")),
-        doc("unnormalized_address.json", **common, full_address=F.col("address")),
+        doc(f"{seed_cid}.json", text(label=F.lit("Seed"), relationships=F.struct(link("./address_has_parcel.json").alias("address_has_parcel")))),
+        doc("address_has_parcel.json", text(**{"from": link("./address.json"), "to": link("./parcel.json")})),
+        doc("address.json", F.when(F.col("longitude").isNotNull() & F.col("latitude").isNotNull(), text(**address, **place)).otherwise(bare)),
+        doc("parcel.json", text(**common, parcel_identifier=F.col("parcel_id"))),
+        doc("unnormalized_address.json", text(**common, full_address=F.col("address"), county_jurisdiction=F.col("county"), **place)),
+        doc("property_seed.json", text(**common, parcel_id=F.col("parcel_id"))),
     )
     return seeds.select("parcel_id", F.explode(docs).alias("d")).select("parcel_id", "d.name", "d.content")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quern.functions.cid import hash_of_cid
+
+#: Fixed value: the hash that stands for none.
+ZERO_HASH = "0x" + "0" * 64
 BATCH = 200
 GWEI = 1_000_000_000
 
@@ -15,15 +19,21 @@ def latest(events: DataFrame, keys: list[str], value: str, order: list[str]) ->
     return events.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def eligibility(records: DataFrame, consensus: DataFrame, submissions: DataFrame, keys: list[str], value: str) -> DataFrame:
+def eligibility(records: DataFrame, consensus: DataFrame, submissions: DataFrame, keys: list[str], value: str, checks: bool = True, lookup_error: str | None = None) -> DataFrame:
     """every record with the reason why it is skipped, null if it is to be submitted.
 
+    Without checks nothing is skipped; a record whose lookup failed (a column that says how) is. A hash of zeros that was
+    agreed on stands for none.
+
     consensus: keys and value; submissions: keys and value of what the user has sent before.
     """
-    agreed = consensus.select(*keys, F.col(value).alias("agreed"))
+    if not checks:
+        return records.withColumn("reason", F.lit(None).cast("string"))
+    agreed = consensus.select(*keys, F.when(~F.col(value).isin("", "0x", ZERO_HASH), F.col(value)).alias("agreed"))
     sent = submissions.select(*keys, value).distinct().withColumn("sent", F.lit(True))
     found = records.join(agreed, keys, "left").join(sent, [*keys, value], "left")
-    reason = F.when(F.col("agreed") == F.col(value), "already agreed").when(F.col("sent"), "already submitted")
+    failed = F.lit(None).cast("string") if lookup_error is None else F.col(lookup_error)
+    reason = F.when(failed.isNotNull(), F.concat(F.lit("Error checking eligibility: "), failed)).when(F.col("agreed") == F.col(value), "already agreed").when(F.col("sent"), "already submitted")
     return found.withColumn("reason", reason).drop("agreed", "sent")
 
 
@@ -60,10 +70,44 @@ def gas_plan(batched: DataFrame, base_gas: int = 21000, item_gas: int = 53123, p
     )
 
 
+#: Fixed value: the limit of a batch whose cost can't be estimated.
+FALLBACK_GAS = 30_000_000
+
+
+def unsigned_gas(estimate: Column, percent: int = 30) -> Column:
+    """The limit of an unsigned transaction; where there is no estimate, a fixed one."""
+    return F.coalesce(estimate + F.floor(estimate * percent / 100), F.lit(FALLBACK_GAS)).cast("long")
+
+
+def batch_problem(items: Column, size: int = BATCH) -> Column:
+    """B2: what is wrong with a batch's size. The messages are fixed values."""
+    return F.when(items == 0, "Cannot submit an empty batch.").when(items > size, F.concat(F.lit("Batch size "), items.cast("string"), F.lit(f" exceeds configured max of {size}")))
+
+
+def item_hashes(rows: DataFrame, columns: tuple[str, ...] = ("property_cid", "data_group_cid", "data_cid")) -> DataFrame:
+    """Identifiers, also with a dot before them, as the hashes that a contract takes; null where one isn't a raw one."""
+    return rows.select("*", *(F.concat(F.lit("0x"), hash_of_cid(F.regexp_replace(c, r"^\.", ""))).alias(c.replace("cid", "hash")) for c in columns))
+
+
+def unsigned_json(batched: DataFrame, sender: str, to: str, chain_hex: str) -> DataFrame:
+    """K-9: per batch the fields of its transaction as JSON: those of EIP-1559 where fees are given, else of the old kind.
+
+    batched: batch, gas, nonce, data, and max_fee, priority_fee or gas_price in wei.
+    """
+    hexed = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(F.col(c).cast("long"))))
+    new = F.col("max_fee").isNotNull()
+    fields = F.struct(
+        F.lit(sender).alias("from"), F.lit(to).alias("to"), hexed("gas").alias("gas"), F.lit("0x0").alias("value"), F.col("data"), hexed("nonce").alias("nonce"),
+        F.when(new, "0x2").otherwise("0x0").alias("type"), F.lit(chain_hex).alias("chainId"), F.when(new, hexed("max_fee")).alias("maxFeePerGas"), F.when(new, hexed("priority_fee")).alias("maxPriorityFeePerGas"), F.when(~new, hexed("gas_price")).alias("gasPrice"),
+    )
+    return batched.select("batch", F.to_json(fields).alias("transaction"))
+
+
 def status_of(txs: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Success or failed with a receipt, pending with a transaction only, else not_found."""
+    """Success or failed with a receipt, pending with a transaction only, else not_found; an error leaves it pending."""
     out = txs.join(receipts, "tx", "left")
-    status = F.when(F.col("ok").isNotNull(), F.when(F.col("ok"), "success").otherwise("failed")).when(F.col("seen"), "pending").otherwise("not_found")
+    lost = F.col("error").isNotNull() if "error" in txs.columns else F.lit(False)
+    status = F.when(lost, "pending").when(F.col("ok").isNotNull(), F.when(F.col("ok"), "success").otherwise("failed")).when(F.col("seen"), "pending").otherwise("not_found")
     return out.withColumn("status", status)
 
 

@@ -1,15 +1,17 @@
-"""Documents against JSON Schemas: all errors of each document, by an evaluator that runs on Arrow batches.
+"""Documents against JSON Schemas (draft-07): all errors of each document, by an evaluator that runs on Arrow batches.
 
-Schemas are a small dimension that the driver resolves (references by content identifier, with a guard against cycles)
-and broadcasts; documents name their schema.
+Schemas are a small dimension that the driver resolves (references by content identifier) and broadcasts; documents name
+their schema. What documents link to is joined to them level by level before, so the evaluator only looks into a map that
+comes with its row.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date, datetime
 from functools import lru_cache
 
@@ -17,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import multiformats as mf
+from quern.functions.canon import canonical, number_text
 from quern.functions.formats import URI
 
 #: What a format that fails is reported as.
@@ -25,23 +29,63 @@ FORMAT_MESSAGES = {
     "date-time": "must be a valid ISO date-time in YYYY-MM-DDTHH:mm:ss.sssZ format",
     "time": "must be a valid ISO time in HH:mm:ss format",
     "email": "must be a valid email address",
+    "hostname": "must be a valid hostname",
     "ipv4": "must be a valid IPv4 address",
+    "ipv6": "must be a valid IPv6 address",
     "uri": "must be a valid URI starting with http:// or https://",
+    "uri-reference": "must be a valid URI reference",
+    "iri": "must be a valid IRI (Internationalized Resource Identifier)",
+    "iri-reference": "must be a valid IRI reference",
     "uuid": "must be a valid UUID",
+    "json-pointer": "must be a valid JSON Pointer",
+    "relative-json-pointer": "must be a valid relative JSON Pointer",
+    "regex": "must be a valid regular expression",
     "cid": "must be a valid IPFS Content Identifier (CID)",
     "currency": "must be a positive number with at most 2 decimal places",
     "ipfs_uri": "must be a valid IPFS URI in format ipfs://[CID] with CIDv1 using raw codec and sha256 or a relative file path starting with ./",
     "rate_percent": 'must be a percentage rate with exactly 3 decimal places (e.g., "12.345")',
 }
+_POINTER = r"(/([^~/]|~[01])*)*"
+_LABEL = r"[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 _PATTERNS = {
     "rate_percent": r"^[0-9]+\.[0-9]{3}$",
     "uri": URI,
-    "cid": r"^(b[a-z2-7]{58}|Qm[1-9A-HJ-NP-Za-km-z]{44})$",
-    "ipfs_uri": r"^(\./.+|ipfs://b[a-z2-7]{58})$",
     "email": r"^[^@\s]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$",
-    "uuid": r"^(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$",
-    "time": r"^([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?$",
-    "ipv4": r"^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.(?!$)|$)){4}$",
+    "uuid": r"^(urn:uuid:)?(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$",
+    "time": r"^([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?([Zz]|[+-][0-9]{2}:?[0-9]{2})?$",
+    "hostname": rf"^(?=.{{1,253}}\.?$){_LABEL}(\.{_LABEL})*\.?$",
+    "json-pointer": rf"^{_POINTER}$",
+    "relative-json-pointer": rf"^(0|[1-9][0-9]*)(#|{_POINTER})$",
+    "uri-reference": r"^[^\s<>\"{}|\\^`]*$",
+}
+
+
+def _fits(f: Callable[[str], object]) -> Callable[[str], bool]:
+    def ok(v: str) -> bool:
+        try:
+            return f(v) is not False
+        except (ValueError, re.error):
+            return False
+
+    return ok
+
+
+def _ipfs_uri(v: str) -> bool:
+    if v.startswith("./"):
+        return len(v) > 2
+    cid = mf.parse_cid(v[7:]) if re.search("^ipfs://[A-Za-z0-9]{46,59}$", v) else None
+    return cid is not None and cid.version == 1 and cid.codec in (mf.RAW, mf.DAG_PB) and cid.hash_code == mf.SHA2_256
+
+
+#: The registry of formats of texts; validate() takes more of them.
+FORMATS: dict[str, Callable[[str], bool]] = {name: (lambda v, p=re.compile(p): p.search(v) is not None) for name, p in _PATTERNS.items()} | {
+    "date": _fits(lambda v: date.fromisoformat(v) and re.search("^[0-9]{4}-[0-9]{2}-[0-9]{2}$", v) is not None),
+    "date-time": _fits(lambda v: datetime.fromisoformat(v) and re.search("^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:", v) is not None),
+    "ipv4": _fits(ipaddress.IPv4Address),
+    "ipv6": _fits(ipaddress.IPv6Address),
+    "regex": _fits(re.compile),
+    "cid": lambda v: mf.parse_cid(v) is not None,
+    "ipfs_uri": _ipfs_uri,
 }
 
 
@@ -57,123 +101,327 @@ def _is(v: object, kind: str) -> bool:
     return _kind(v) == kind or (kind == "number" and _kind(v) == "integer")
 
 
-def resolve(schema: object, schemas: dict[str, object], above: tuple[str, ...] = ()) -> object:
-    """V2: {type: string, cid: ...} replaced by the schema of that identifier; a cycle ends in one that all fits."""
+def _same(a: object, b: object) -> bool:
+    return _kind(a) == _kind(b) and canonical(a) == canonical(b)
+
+
+def _js(v: object) -> str:
+    """A value as a script prints it in a list."""
+    if isinstance(v, (list, dict)):
+        return ",".join(map(_js, v)) if isinstance(v, list) else "[object Object]"
+    return "" if v is None else {True: "true", False: "false"}[v] if isinstance(v, bool) else v if isinstance(v, str) else number_text(v)
+
+
+def is_cid_schema(schema: object) -> bool:
+    """A part of a schema that stands for another schema: {type: string, cid: ...}."""
+    if not isinstance(schema, dict) or not isinstance(schema.get("cid"), str) or not schema["cid"]:
+        return False
+    return schema.get("type") == "string" or (isinstance(schema.get("type"), list) and "string" in schema["type"])
+
+
+def resolve(schema: object, schemas: dict[str, object], allowed: set[str] | None = None, path: str = "", above: tuple[str, ...] = ()) -> object:
+    """V2: {type: string, cid: ...} replaced by the schema of that identifier, null still allowed if it was.
+
+    `allowed` gets the paths (a.b[], as data has them) where data may hold a link instead. A cycle ends in a schema that
+    all fits. Raises KeyError where a schema is missing.
+    """
+    allowed = set() if allowed is None else allowed
     if isinstance(schema, list):
-        return [resolve(s, schemas, above) for s in schema]
+        return [resolve(s, schemas, allowed, f"{path}[]", above) for s in schema]
     if not isinstance(schema, dict):
         return schema
-    cid, kind = schema.get("cid"), schema.get("type")
-    if isinstance(cid, str) and (kind == "string" or (isinstance(kind, list) and "string" in kind)):
-        target = {} if cid in above or cid not in schemas else resolve(schemas[cid], schemas, (*above, cid))
-        return {"anyOf": [{"type": "null"}, target]} if isinstance(kind, list) and "null" in kind else target
-    return {k: resolve(s, schemas, above) for k, s in schema.items()}
+    if is_cid_schema(schema):
+        cid, kind = schema["cid"], schema["type"]
+        allowed.add(path)
+        if cid in above:
+            return {}
+        target = resolve(schemas[cid], schemas, allowed, path, (*above, cid))
+        return {"anyOf": [{"type": "null"}, target]} if isinstance(kind, list) and "null" in kind and len(kind) > 1 else target
+    out = {}
+    for key, value in schema.items():
+        if key == "properties" and isinstance(value, dict):
+            out[key] = {k: resolve(s, schemas, allowed, f"{path}.{k}" if path else k, above) for k, s in value.items()}
+        else:
+            out[key] = resolve(value, schemas, allowed, f"{path}[]" if key == "items" else path, above)
+    return out
 
 
-def _format_ok(name: str, v: object) -> bool:
-    if name == "currency":
-        return isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) and v >= 0 and round(v, 2) == v
-    if not isinstance(v, str):
-        return True
-    if name in ("date", "date-time"):
+class LinkError(Exception):
+    """A link in data that leads nowhere."""
+
+
+def follow(data: object, schema: object, allowed: set[str], content: dict[str, str], path: str = "", above: tuple[str, ...] = ()) -> object:
+    """V3: links {"/": ...} in data replaced by what they lead to, where the schema allows it.
+
+    content: texts by identifier, or by path without ./ in front. Links inside of what was read are of the same folder.
+    """
+    schema = schema if isinstance(schema, dict) else {}
+    options = [o for o in schema.get("anyOf", []) if isinstance(o, dict)] if isinstance(schema.get("anyOf"), list) else []
+    if isinstance(data, list):
+        return [follow(x, schema.get("items"), allowed, content, f"{path}[]" if path else "[]", above) for x in data]
+    if not isinstance(data, dict):
+        return data
+    target = data.get("/")
+    if isinstance(target, str) and len(data) == 1:
+        if path not in allowed and not any(o.get("type") != "null" and (o.get("type") == "object" or "properties" in o or not o.get("type")) for o in options):
+            return data
+        if not target:
+            raise LinkError("Failed to resolve pointer - empty string is not a valid CID or file path")
+        key = re.sub(r"^(\./)+", "", target)
+        if key not in content or target in above:
+            raise LinkError(f"Failed to resolve CID pointer: {target}" if mf.parse_cid(target) else f"Failed to resolve pointer - not a valid CID or accessible file path: {target}")
         try:
-            (date if name == "date" else datetime).fromisoformat(v)
-            return len(v) == 10 if name == "date" else "T" in v.upper()
+            value = json.loads(content[key])
         except ValueError:
-            return False
-    return re.search(_PATTERNS[name], v) is not None if name in _PATTERNS else True
+            return content[key]
+        return follow(value, schema, allowed, content, path, (*above, target))
+    own = schema.get("properties") or {}
+    inner = lambda k: own.get(k) or next((o["properties"][k] for o in options if k in (o.get("properties") or {})), None)
+    return {k: follow(v, inner(k), allowed, content, f"{path}.{k}" if path else k, above) for k, v in data.items()}
+
+
+def _format_ok(name: str, v: object, more: dict[str, Callable[[str], bool]]) -> bool:
+    if name == "currency":
+        return not _is(v, "number") or (math.isfinite(v) and v >= 0 and round(v, 2) == v)
+    return not isinstance(v, str) or name not in more or more[name](v)
 
 
-def errors_of(v: object, schema: object, path: str = "") -> Iterator[tuple[str, str]]:
-    """All (path, message) of a value."""
+def _at(root: object, ref: str) -> object:
+    """The part of a schema that a local reference names."""
+    for part in ref.lstrip("#").split("/")[1:]:
+        key = part.replace("~1", "/").replace("~0", "~")
+        root = root[int(key)] if isinstance(root, list) else root[key]
+    return root
+
+
+def _many(n: int, what: str, more: bool) -> str:
+    return f"must NOT have {'more' if more else 'fewer'} than {n} {what}"
+
+
+def errors_of(v: object, schema: object, path: str = "", root: object = None, more: dict[str, Callable[[str], bool]] | None = None) -> Iterator[tuple[str, str]]:
+    """All (path, message) of a value; keywords in the order in which validators report them, the path empty at the root."""
+    root, more = schema if root is None else root, FORMATS if more is None else more
     if schema is False:
         yield path, "boolean schema is false"
     if not isinstance(schema, dict):
         return
+    sub = lambda x, s, p=path: errors_of(x, s, p, root, more)
+    step = lambda k: f"{path}/{str(k).replace('~', '~0').replace('/', '~1')}"
+    if "$ref" in schema:
+        yield from sub(v, _at(root, schema["$ref"]))
     kinds = schema.get("type")
     if kinds is not None:
         kinds = [kinds] if isinstance(kinds, str) else kinds
         if not any(_is(v, k) for k in kinds):
             yield path, f"must be {','.join(kinds)}"
-    if "enum" in schema and not any(v == e and _kind(v) == _kind(e) for e in schema["enum"]):
-        yield path, f"must be one of: {', '.join(str(e) for e in schema['enum'])}"
-    if "const" in schema and v != schema["const"]:
-        yield path, "must be equal to constant"
-    if "format" in schema and not _format_ok(schema["format"], v):
-        yield path, FORMAT_MESSAGES.get(schema["format"], f'must match format "{schema["format"]}"')
+    if _is(v, "number"):
+        for key, bad, sign in (("maximum", v > schema.get("maximum", v), "<="), ("minimum", v < schema.get("minimum", v), ">="), ("exclusiveMaximum", v >= schema.get("exclusiveMaximum", math.inf), "<"), ("exclusiveMinimum", v <= schema.get("exclusiveMinimum", -math.inf), ">")):
+            if bad:
+                yield path, f"must be {sign} {_js(schema[key])}"
+        if "multipleOf" in schema and not float(v / schema["multipleOf"]).is_integer():
+            yield path, f"must be multiple of {_js(schema['multipleOf'])}"
     if isinstance(v, str):
-        if len(v) < schema.get("minLength", 0):
-            yield path, f"must NOT have fewer than {schema['minLength']} characters"
-        if len(v) > schema.get("maxLength", math.inf):
-            yield path, f"must NOT have more than {schema['maxLength']} characters"
+        size = len(v)
+        for key, bad in (("maxLength", size > schema.get("maxLength", math.inf)), ("minLength", size < schema.get("minLength", 0))):
+            if bad:
+                yield path, _many(schema[key], "characters", key == "maxLength")
         if "pattern" in schema and not re.search(schema["pattern"], v):
             yield path, f'must match pattern "{schema["pattern"]}"'
-    if _is(v, "number"):
-        for key, bad, sign in (("minimum", v < schema.get("minimum", v), ">="), ("maximum", v > schema.get("maximum", v), "<="), ("exclusiveMinimum", v <= schema.get("exclusiveMinimum", -math.inf), ">"), ("exclusiveMaximum", v >= schema.get("exclusiveMaximum", math.inf), "<")):
-            if bad:
-                yield path, f"must be {sign} {schema[key]}"
+    if "format" in schema and not _format_ok(schema["format"], v, more):
+        yield path, FORMAT_MESSAGES.get(schema["format"], f'must match format "{schema["format"]}"')
     if isinstance(v, list):
-        if len(v) < schema.get("minItems", 0):
-            yield path, f"must NOT have fewer than {schema['minItems']} items"
-        if len(v) > schema.get("maxItems", math.inf):
-            yield path, f"must NOT have more than {schema['maxItems']} items"
-        for k, x in enumerate(v):
-            yield from errors_of(x, schema.get("items"), f"{path}/{k}")
+        yield from _of_array(v, schema, path, sub, step)
     if isinstance(v, dict):
-        known = schema.get("properties", {})
-        for name in schema.get("required", []):
-            if name not in v:
-                yield f"{path}/{name}", f"missing required property '{name}'"
-        for name, x in v.items():
-            if name in known:
-                yield from errors_of(x, known[name], f"{path}/{name}")
-            elif schema.get("additionalProperties") is False:
-                yield f"{path}/{name}", f"unexpected property '{name}'"
-            elif isinstance(schema.get("additionalProperties"), dict):
-                yield from errors_of(x, schema["additionalProperties"], f"{path}/{name}")
-    for s in schema.get("allOf", []):
-        yield from errors_of(v, s, path)
+        yield from _of_object(v, schema, path, sub, step)
+    if "const" in schema and not _same(v, schema["const"]):
+        yield path, "must be equal to constant"
+    if "enum" in schema and not any(_same(v, e) for e in schema["enum"]):
+        yield path, f"must be one of: {', '.join(map(_js, schema['enum']))}"
+    if "not" in schema and not any(True for _ in sub(v, schema["not"])):
+        yield path, "must NOT be valid"
     for key, message in (("anyOf", "must match a schema in anyOf"), ("oneOf", "must match exactly one schema in oneOf")):
         if key in schema:
-            found = [list(errors_of(v, s, path)) for s in schema[key]]
+            found = [list(sub(v, s)) for s in schema[key]]
             fits = sum(not f for f in found)
             if fits == 0 or (key == "oneOf" and fits > 1):
                 yield from (e for f in found for e in f)
                 yield path, message
+    for s in schema.get("allOf", []):
+        yield from sub(v, s)
+    if "if" in schema:
+        key = "else" if any(True for _ in sub(v, schema["if"])) else "then"
+        found = list(sub(v, schema.get(key, True)))
+        yield from found
+        if found:
+            yield path, f'must match "{key}" schema'
+
+
+def _of_array(v: list, schema: dict, path: str, sub: Callable, step: Callable) -> Iterator[tuple[str, str]]:
+    for key, bad in (("maxItems", len(v) > schema.get("maxItems", math.inf)), ("minItems", len(v) < schema.get("minItems", 0))):
+        if bad:
+            yield path, _many(schema[key], "items", key == "maxItems")
+    if schema.get("uniqueItems"):
+        text = [_kind(x) + canonical(x) for x in v]
+        pair = next(((i, j) for i in range(len(v) - 1, 0, -1) for j in range(i - 1, -1, -1) if text[i] == text[j]), None) if len(set(text)) < len(v) else None
+        if pair:
+            yield path, f"must NOT have duplicate items (items ## {pair[1]} and {pair[0]} are identical)"
+    items = schema.get("items")
+    if isinstance(items, list):
+        rest = schema.get("additionalItems", True)
+        if rest is False and len(v) > len(items):
+            yield path, _many(len(items), "items", True)
+        for k, x in enumerate(v):
+            if k < len(items) or isinstance(rest, dict):
+                yield from sub(x, items[k] if k < len(items) else rest, step(k))
+    elif items is not None:
+        for k, x in enumerate(v):
+            yield from sub(x, items, step(k))
+    if "contains" in schema:
+        found = [list(sub(x, schema["contains"], step(k))) for k, x in enumerate(v)]
+        if all(found):
+            yield from (e for f in found for e in f)
+            yield path, "must contain at least 1 valid item(s)"
+
+
+def _of_object(v: dict, schema: dict, path: str, sub: Callable, step: Callable) -> Iterator[tuple[str, str]]:
+    for key, bad in (("maxProperties", len(v) > schema.get("maxProperties", math.inf)), ("minProperties", len(v) < schema.get("minProperties", 0))):
+        if bad:
+            yield path, _many(schema[key], "properties", key == "maxProperties")
+    for name in schema.get("required", []):
+        if name not in v:
+            yield path, f"missing required property '{name}'"
+    for name, needs in schema.get("dependencies", {}).items():
+        if name in v and isinstance(needs, list):
+            what = f"property {needs[0]}" if len(needs) == 1 else f"properties {', '.join(needs)}"
+            yield from ((path, f"must have {what} when property {name} is present") for n in needs if n not in v)
+        elif name in v:
+            yield from sub(v, needs)
+    if "propertyNames" in schema:
+        for name in v:
+            found = list(sub(name, schema["propertyNames"]))
+            yield from found
+            if found:
+                yield path, "property name must be valid"
+    known, patterns, rest = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties", True)
+    for name, x in v.items():
+        if rest is not True and name not in known and not any(re.search(p, name) for p in patterns):
+            if rest is False:
+                yield path, f"unexpected property '{name}'"
+            else:
+                yield from sub(x, rest, step(name))
+    for name, s in known.items():
+        if name in v:
+            yield from sub(v[name], s, step(name))
+    for p, s in patterns.items():
+        for name, x in v.items():
+            if re.search(p, name):
+                yield from sub(x, s, step(name))
+
+
+def report(path: str, message: str, value: object) -> tuple[str, str]:
+    """An error as it is reported: the root is /, and a link that wasn't followed says what it misses."""
+    link = value.get("/") if isinstance(value, dict) else None
+    if link is not None and "must be string" in message:
+        message = f"File {_js(link)} does not exist or is not a valid JSON file." if _js(link).startswith("./") else f"Value {_js(link)} is not a valid CID or file path."
+    return path or "/", message
+
+
+def _value_at(root: object, path: str) -> object:
+    for part in path.split("/")[1:]:
+        key = part.replace("~1", "/").replace("~0", "~")
+        try:
+            root = root[int(key)] if isinstance(root, list) else root[key]
+        except (KeyError, IndexError, ValueError, TypeError):
+            return None
+    return root
 
 
 @lru_cache(maxsize=256)
-def _parsed(text: str) -> object:
-    return json.loads(text)
+def _parsed(text: str) -> tuple[object, frozenset[str]]:
+    schema, allowed = json.loads(text)
+    return schema, frozenset(allowed)
 
 
-def validate(docs: DataFrame, schemas: dict[str, object], schema_col: str = "schema_cid", doc_col: str = "raw") -> DataFrame:
-    """V1: the rows of docs with errors, an array of (path, message); text that isn't JSON and unknown schemas are errors too."""
-    ready = {cid: json.dumps(resolve(s, schemas, (cid,))) for cid, s in schemas.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(ready)  # a dimension of schemas
+def check(raw: str | None, ready: str | None, content: dict[str, str], more: dict[str, Callable[[str], bool]]) -> list[tuple[str, str]]:
+    """All reported errors of one document."""
+    if ready is None:
+        return [("", "Validation error: Failed to resolve schema CID")]
+    schema, allowed = _parsed(ready)
+    if is_cid_schema(schema):
+        return [("", "Root schema cannot be a CID link. CID links are only allowed within schema properties.")]
+    try:
+        value = json.loads(raw)
+    except (TypeError, ValueError, RecursionError):
+        return [("", "File read/parse error")]
+    try:
+        value = follow(value, schema, allowed, content)
+        return [report(p, m, _value_at(value, p)) for p, m in errors_of(value, schema, more=more)]
+    except (LinkError, RecursionError, re.error, KeyError) as e:
+        return [("", f"Validation error: {e}")]
+
+
+def validate(docs: DataFrame, schemas: dict[str, object], schema_col: str = "schema_cid", doc_col: str = "raw", content_col: str | None = None, formats: dict[str, Callable[[str], bool]] | None = None) -> DataFrame:
+    """V1: the rows of docs with errors, an array of (path, message).
+
+    content_col: a map of the texts that the document's links lead to (see linked_content). Text that isn't JSON, and a
+    schema that is missing or refers to a missing one, are errors. `formats` adds to the registry of formats.
+    """
+    ready: dict[str, str | None] = {}
+    for cid, schema in schemas.items():
+        allowed: set[str] = set()
+        try:
+            ready[cid] = json.dumps([schema if is_cid_schema(schema) else resolve(schema, schemas, allowed, "", (cid,)), sorted(allowed)])
+        except KeyError:
+            ready[cid] = None
+    shared, more = docs.sparkSession.sparkContext.broadcast(ready), FORMATS | (formats or {})  # a dimension of schemas
 
     @F.pandas_udf("array<struct<path: string, message: string>>")
-    def run(raws: pd.Series, cids: pd.Series) -> pd.Series:
-        def one(raw, cid):
-            if cid not in shared.value:
-                return [("", "schema not found")]
-            try:
-                return list(errors_of(json.loads(raw), _parsed(shared.value[cid])))
-            except (TypeError, ValueError, RecursionError):
-                return [("", "File read/parse error")]
-
-        return pd.Series([[{"path": p, "message": m} for p, m in one(r, c)] for r, c in zip(raws, cids, strict=True)], dtype=object)
-
-    return docs.withColumn("errors", run(doc_col, schema_col))
-
-
-def datagroup_schema_problem(schema: dict) -> str | None:
-    """The first thing wrong with a data group's schema."""
-    if schema.get("type") != "object":
-        return "schema must describe an object"
-    known = schema.get("properties")
-    if not isinstance(known, dict):
-        return "schema must have properties"
-    if sorted(known) != ["label", "relationships"]:
-        return "schema must have exactly the properties label and relationships"
-    return None
+    def run(raws: pd.Series, cids: pd.Series, contents: pd.Series) -> pd.Series:
+        rows = [check(r, shared.value.get(c), dict(x) if x is not None else {}, more) for r, c, x in zip(raws, cids, contents, strict=True)]
+        return pd.Series([[{"path": p, "message": m} for p, m in row] for row in rows], dtype=object)
+
+    content = F.lit(None).cast("map<string,string>") if content_col is None else F.col(content_col)
+    return docs.withColumn("errors", run(F.col(doc_col), F.col(schema_col), content))
+
+
+LINK = r'\{\s*"/"\s*:\s*"([^"]*)"\s*\}'
+
+
+def linked_content(docs: DataFrame, files: DataFrame, key: str = "doc_id", folder: str = "dir", doc_col: str = "raw") -> DataFrame:
+    """docs with `content`: the texts that each document's links lead to, and the links of those, by path or identifier.
+
+    files: folder, name, text; a null folder stands for content by identifier. Level by level, so that a cycle ends; a
+    document's map holds as much as its folder does at most.
+    """
+    names = lambda text: F.transform(F.regexp_extract_all(text, F.lit(LINK), 1), lambda x: F.regexp_replace(x, r"^(\./)+", ""))
+    frontier = docs.select(key, folder, F.explode(F.array_distinct(names(F.col(doc_col)))).alias("name"))
+    theirs = files.select(F.col(folder).alias("_dir"), F.col("name").alias("_name"), F.col("text").alias("_text"))
+    seen = None
+    while True:
+        found = frontier.join(theirs, (F.col("name") == F.col("_name")) & (F.col("_dir").isNull() | (F.col("_dir") == F.col(folder))))
+        found = found.select(key, folder, "name", F.col("_text").alias("text"))
+        if seen is not None:
+            found = found.join(seen.select(key, "name"), [key, "name"], "left_anti")
+        found = found.checkpoint()
+        if found.isEmpty():
+            break
+        seen = found if seen is None else seen.unionByName(found)
+        frontier = found.select(key, folder, F.explode(F.array_distinct(names(F.col("text")))).alias("name")).distinct()
+    if seen is None:
+        return docs.withColumn("content", F.lit(None).cast("map<string,string>"))
+    maps = seen.dropDuplicates([key, "name"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("content"))
+    return docs.join(maps, key, "left")
+
+
+def datagroup_schema_problem(schema: object) -> str | None:
+    """The first thing wrong with a data group's schema. The messages are fixed values."""
+    known = schema.get("properties") if isinstance(schema, dict) else None
+    checks = (
+        (isinstance(schema, (dict, list)), "Schema must be a valid JSON object"),
+        (isinstance(schema, dict) and schema.get("type") == "object", 'Data group schema must describe an object (type: "object")'),
+        (isinstance(known, (dict, list)), 'Data group schema must have a "properties" object'),
+        (isinstance(known, dict) and bool(_js(known.get("label"))), 'Data group schema must have a "label" property'),
+        (isinstance(known, dict) and bool(_js(known.get("relationships"))), 'Data group schema must have a "relationships" property'),
+        (isinstance(known, dict) and len(known) == 2, 'Data group schema must have exactly 2 properties: "label" and "relationships"'),
+    )
+    return next((message for ok, message in checks if not ok), None)

@@ -224,13 +224,42 @@ def seed_coordinates(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", c.alias("c")).select("c_custkey", "c.longitude", "c.latitude")
 
 
-@query("""SELECT c_custkey::VARCHAR AS parcel_id, name FROM customer, (VALUES ('address.json'), ('parcel.json'), ('address_has_parcel.json'), ('seed.json'), ('property_seed.json'), ('unnormalized_address.json')) f(name)""")
+def _seed_rows(spark, sf_dir):
+    key, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    case = lambda k, x: F.when(key % 5 == k, x).otherwise("")
+    pairs = F.when(key % 3 != 0, F.concat(F.lit("{'id': ['"), text, F.lit("', 'x']}"))).otherwise(" ")
+    rows = table(spark, sf_dir, "customer").select(
+        text.alias("parcel_id"), F.concat(F.lit("S"), text).alias("source_identifier"), F.when(key % 7 == 0, " ").otherwise(F.col("c_mktsegment")).alias("county"), F.col("c_name").alias("address"),
+        F.when(key % 4 != 0, key + 0.5).alias("longitude"), F.when(key % 4 != 0, F.lit(-0.25)).alias("latitude"),
+        pairs.alias("query"), F.when(key % 2 == 0, '{"accept": "*/*", "content-type": "text/plain"}').otherwise("").alias("headers"),
+        F.when(key % 5 == 1, F.concat(F.lit('{"a": ['), text, F.lit("]}"))).when(key % 11 == 0, "[]").otherwise("").alias("json"), F.when((key % 5 == 2) | (key % 22 == 0), "x=1").otherwise("").alias("body"),
+    )
+    return rows.withColumn("problem", seed.seed_problem(F.col("county"), F.col("json"), F.col("body")))
+
+
+_SEED_SQL = """WITH c AS (SELECT *, c_custkey AS k, c_custkey % 5 = 1 OR c_custkey % 11 = 0 AS j, c_custkey % 5 = 2 OR c_custkey % 22 = 0 AS b FROM customer),
+p AS (SELECT *, CASE WHEN j AND b THEN '{both}' WHEN k % 7 = 0 THEN '{county}' END AS problem FROM c),
+r AS (SELECT *, '{{"source_http_request":{{"url":"https://example.org","method":"get","multiValueQueryString":' || CASE WHEN k % 3 <> 0 THEN '{{"id":["' || k || '","x"]}}' ELSE '{{}}' END
+|| CASE WHEN k % 2 = 0 AND j THEN ',"headers":{{"accept":"*/*","content-type":"application/json"}}' WHEN k % 2 = 0 THEN ',"headers":{{"accept":"*/*","content-type":"text/plain"}}' WHEN j THEN ',"headers":{{"content-type":"application/json"}}' ELSE '' END
+|| CASE WHEN k % 5 = 1 THEN ',"json":{{"a":[' || k || ']}}' WHEN j THEN ',"json":[]' ELSE '' END || CASE WHEN b THEN ',"body":"x=1"' ELSE '' END || '}},"request_identifier":"S' || k || '"' AS head,
+CASE WHEN k % 4 <> 0 THEN ',"longitude":' || k || '.5,"latitude":-0.25' ELSE '' END AS place FROM p)
+""".format(both=seed.BOTH_BODIES, county=seed.NO_COUNTY).replace("{{", "{").replace("}}", "}")
+
+
+@query(_SEED_SQL + "SELECT k::VARCHAR AS parcel_id, problem FROM r WHERE problem IS NOT NULL")
+def seed_problems(spark, sf_dir):
+    """Seed rows that make no documents, and why."""
+    return _seed_rows(spark, sf_dir).filter("problem is not null").select("parcel_id", "problem")
+
+
+@query(_SEED_SQL + """SELECT k::VARCHAR AS parcel_id, name, CASE name WHEN 'bafyseed.json' THEN '{"label":"Seed","relationships":{"address_has_parcel":{"/":"./address_has_parcel.json"}}}' WHEN 'address_has_parcel.json' THEN '{"from":{"/":"./address.json"},"to":{"/":"./parcel.json"}}'
+WHEN 'address.json' THEN head || ',"county_name":"' || c_mktsegment || '","unnormalized_address":"' || c_name || '"' || CASE WHEN place = '' THEN ',"longitude":null,"latitude":null' ELSE place END || '}' WHEN 'parcel.json' THEN head || ',"parcel_identifier":"' || k || '"}'
+WHEN 'unnormalized_address.json' THEN head || ',"full_address":"' || c_name || '","county_jurisdiction":"' || c_mktsegment || '"' || place || '}' ELSE head || ',"parcel_id":"' || k || '"}' END AS content
+FROM r, (VALUES ('bafyseed.json'), ('address_has_parcel.json'), ('address.json'), ('parcel.json'), ('unnormalized_address.json'), ('property_seed.json')) f(name) WHERE problem IS NULL""")
 def seed_documents(spark, sf_dir):
-    """The documents of every seed row."""
-    null = F.lit(None).cast("string")
-    request = seed.source_request(F.lit("https://example.org"), null, null, null, null, null)
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("parcel_id"), F.col("c_name").alias("address"), request.alias("request"))
-    return seed.seed_documents(rows).select("parcel_id", "name")
+    """The documents of every seed row, contents and all."""
+    request = seed.source_request(F.lit("https://example.org"), F.lit("get"), F.col("query"), F.col("headers"), F.col("json"), F.col("body"))
+    return seed.seed_documents(_seed_rows(spark, sf_dir).filter("problem is null").withColumn("request", request), "bafyseed")
 
 
 # Sets of documents.
@@ -327,13 +356,65 @@ def county_data_groups(spark, sf_dir):
     return groups.select("group", "document", cid.cid_raw(F.col("canonical")).alias("cid"))
 
 
-@query(f"""SELECT seq, 'relationship_property_' || f AS relationship FROM (SELECT p_partkey AS seq, CASE WHEN p_partkey % 3 = 0 THEN {_SLOT_LIST}[(p_partkey % {len(_SLOT_FILES)})::INTEGER + 1] ELSE p_brand END || '_' || p_partkey || '.json' AS f FROM part)
-WHERE NOT regexp_matches(f, '^(relationship|property|person|company|structure|utility|mailing_address|exemption|jurisdiction)')""")
+_ENTITY_FILES = ("property", "my_property", "tax", "tax_exemption", "property_improvement", "relationship_tax", "person", "a_person", "company", "structure", "utility", "mailing_address", "mailing", "sales_data", "jurisdiction_tax", "layout", "deed.txt")
+_ENTITY_LIST = "[" + ", ".join(f"'{f}'" for f in _ENTITY_FILES) + "]"
+
+
+def _entity_rows(spark, sf_dir):
+    """Folders of entity files, some with a request of their own; a few have a number before the extension."""
+    key, name = F.col("p_partkey"), F.get(F.array(*map(F.lit, _ENTITY_FILES)), (F.col("p_partkey") % len(_ENTITY_FILES)).cast("int"))
+    file = F.concat(name, F.when(key % 3 == 0, F.concat(F.lit("_"), key.cast("string"))).otherwise(""), F.lit(".json"))
+    request = F.when(key % 2 == 0, F.lit(',"source_http_request":{}')).when(key % 5 == 0, ',"source_http_request":{"url":"own"}').otherwise("")
+    raw = F.concat(F.lit('{"a":'), key.cast("string"), request, F.lit("}"))
+    return table(spark, sf_dir, "part").select(F.floor(key / len(_ENTITY_FILES)).alias("group"), key.alias("seq"), file.alias("file"), raw.alias("raw"))
+
+
+_ENTITY_SQL = f"""WITH f AS (SELECT p_partkey // {len(_ENTITY_FILES)} AS g, p_partkey AS seq, {_ENTITY_LIST}[(p_partkey % {len(_ENTITY_FILES)})::INTEGER + 1] || CASE WHEN p_partkey % 3 = 0 THEN '_' || p_partkey ELSE '' END || '.json' AS file FROM part),
+e AS (SELECT *, NOT starts_with(file, 'relationship') AND NOT ends_with(file, 'data.json') AS entity FROM f),
+l AS (SELECT *, entity AND NOT ends_with(file, 'property.json') AND NOT starts_with(file, 'person') AND NOT starts_with(file, 'company') AND NOT starts_with(file, 'structure') AND NOT starts_with(file, 'utility')
+  AND NOT starts_with(file, 'mailing_address') AND NOT contains(file, 'exemption') AND NOT contains(file, 'jurisdiction') AS linked FROM e)
+"""
+
+
+@query(_ENTITY_SQL + """SELECT seq, 'relationship_property_' || file AS relationship, '{"from":{"/":"./property.json"},"to":{"/":"./' || file || '"}}' AS content FROM l WHERE linked""")
 def relationship_synthesis(spark, sf_dir):
     """A relationship from the property to all other entities."""
-    name = F.when(F.col("p_partkey") % 3 == 0, F.get(F.array(*map(F.lit, _SLOT_FILES)), (F.col("p_partkey") % len(_SLOT_FILES)).cast("int"))).otherwise(F.col("p_brand"))
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.concat(name, F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("file"))
-    return relate.synthesised(files).select("seq", "relationship")
+    return relate.synthesised(_entity_rows(spark, sf_dir)).select("seq", "relationship", "content")
+
+
+@query(_ENTITY_SQL + """SELECT seq, '{"a":' || seq || CASE WHEN seq % 2 <> 0 AND seq % 5 = 0 THEN ',"source_http_request":{"url":"own"}' ELSE ',"source_http_request":{"url":"https://example.org/' || g || '"}' END || ',"request_identifier":"id' || g || '"}' AS content FROM l WHERE entity""")
+def provenance_fill(spark, sf_dir):
+    """P5: entities with the request and identifier of their folder's seed."""
+    rows = _entity_rows(spark, sf_dir).filter(relate.is_entity(F.col("file")))
+    group = F.col("group").cast("string")
+    request = F.concat(F.lit('{"url":"https://example.org/'), group, F.lit('"}'))
+    return rows.select("seq", relate.with_provenance(F.col("raw"), request, F.concat(F.lit("id"), group)).alias("content"))
+
+
+@query(_ENTITY_SQL + f""", m AS (SELECT g, seq, 'relationship_property_' || file AS file, 0 AS made FROM l WHERE linked), n AS (SELECT * FROM m UNION ALL SELECT g, seq, file, 1 FROM l WHERE starts_with(file, 'relationship_') AND (g, file) NOT IN (SELECT (g, file) FROM m)),
+s AS (SELECT *, {{slots}} AS slot FROM (SELECT *, file AS f FROM n))
+SELECT g AS "group", name, n FROM (SELECT g, file AS name, 1 AS n FROM f UNION ALL SELECT g, file, 1 FROM m WHERE (g, file) NOT IN (SELECT (g, file) FROM f) UNION ALL SELECT g, 'bafygroup.json', count(DISTINCT slot) FROM s WHERE slot IS NOT NULL GROUP BY 1)""".replace("{slots}", "@SLOTS@"))
+def datagroup_transform(spark, sf_dir):
+    """R-D, U1: what a folder's transform leaves; of data groups the number of slots."""
+    rows = _entity_rows(spark, sf_dir)
+    seeds = rows.select("group").distinct().withColumn("request", F.lit('{"url":"u"}')).withColumn("identifier", F.lit("id"))
+    out = relate.transformed(rows, seeds, "bafygroup")
+    return out.select("group", "name", F.when(F.col("name") == "bafygroup.json", F.size(F.json_object_keys(F.get_json_object("content", "$.relationships")))).otherwise(1).cast("long").alias("n"))
+
+
+ORACLE_SQL["datagroup_transform"] = ORACLE_SQL["datagroup_transform"].replace("@SLOTS@", _slot_case(relate.COUNTY))
+
+_IMPROVEMENT_FILES = (*relate.IMPROVEMENT_SLOTS, "other_has_nothing", "Property_Improvement_Has_File")
+_IMPROVEMENT_LIST = "[" + ", ".join(f"'{f}'" for f in _IMPROVEMENT_FILES) + "]"
+
+
+@query(f"""WITH r AS (SELECT p_size AS g, p_partkey AS seq, {_IMPROVEMENT_LIST}[(p_partkey % {len(_IMPROVEMENT_FILES)})::INTEGER + 1] || '_' || p_partkey || '.json' AS file FROM part), s AS (SELECT *, {_slot_case(relate.IMPROVEMENT)} AS slot FROM (SELECT *, lower(file) AS f FROM r))
+SELECT g AS "group", slot, CASE WHEN slot IN ({", ".join(f"'{x}'" for x in relate.IMPROVEMENT_SINGLE)}) THEN arg_max(file, seq) ELSE string_agg(file, ',' ORDER BY seq) END AS files FROM s WHERE slot IS NOT NULL GROUP BY 1, 2""")
+def improvement_slots(spark, sf_dir):
+    """R-P: files into the slots of an improvement's data group."""
+    file = F.concat(F.get(F.array(*map(F.lit, _IMPROVEMENT_FILES)), (F.col("p_partkey") % len(_IMPROVEMENT_FILES)).cast("int")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".json"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("group"), F.col("p_partkey").alias("seq"), file.alias("file"))
+    return relate.slot_files(rows, relate.IMPROVEMENT, relate.IMPROVEMENT_SINGLE).select("group", "slot", F.array_join("files", ",").alias("files"))
 
 
 # Graphs.
@@ -350,13 +431,23 @@ def graph_reach(spark, sf_dir):
     return graph.reach(edges, table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("node")))
 
 
-@query()
+_LINKED_SQL = """WITH p AS (SELECT DISTINCT l_orderkey AS o, 'p' || l_partkey || '.json' AS ref, {leaf} AS cid FROM lineitem JOIN part ON p_partkey = l_partkey),
+d AS (SELECT o, '{"page":{"ipfs_url":"ipfs://bafymedia"},"parts":[' || string_agg('{"/":"' || cid || '"}', ',' ORDER BY cid) || ']}' AS converted FROM p GROUP BY 1)
+SELECT o, converted, {root} AS cid FROM d""".replace("{leaf}", CID_SQL.format(h="""sha256('{"brand":"' || p_brand || '","name":"' || p_name || '"}')""")).replace("{root}", CID_SQL.format(h="sha256(converted)"))
+
+
+@query(_LINKED_SQL)
 def linked_cids(spark, sf_dir):
-    """Identifiers of orders' documents that hold those of their parts."""
-    part = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.to_json(F.struct("p_name", "p_brand")).alias("text"))
-    links = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
-    order = links.groupBy(F.col("src").alias("name")).agg(F.array_sort(F.collect_set(F.concat(F.lit("./"), "dst"))).alias("parts"))
-    return graph.linked_cids(part.union(order.select("name", F.to_json(F.struct("parts")))), links)
+    """orders' documents with the identifiers of their parts' documents and of their media, and their own."""
+    link = F.concat(F.lit("./p"), F.col("l_partkey").cast("string"), F.lit(".json"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("dir"), "l_partkey", link.alias("link")).distinct()
+    # Keys of a part's document stand in another order than their canonical one.
+    part = items.join(table(spark, sf_dir, "part"), F.expr("p_partkey = l_partkey")).select("dir", F.substr("link", F.lit(3)).alias("name"), F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))).alias("text"))
+    text = F.to_json(F.struct(F.struct(F.lit("./index.html").alias("ipfs_url")).alias("page"), F.transform(F.collect_list("link"), lambda x: F.struct(x.alias("/"))).alias("parts")))
+    order = items.groupBy("dir").agg(text.alias("text")).select("dir", F.lit("order.json").alias("name"), "text")
+    media = order.select("dir", F.lit("bafymedia").alias("media_cid"))
+    found = graph.linked_cids(part.union(order), media).filter("name = 'order.json'")
+    return found.select(F.col("dir").cast("long").alias("o"), "converted", "cid")
 
 
 # Errors.
@@ -413,15 +504,35 @@ def unified_report(spark, sf_dir):
     return one.unionByName(errors.consolidate_addresses(_errors(spark, sf_dir)).filter("late = 1").select("seq", F.lit("consolidated").alias("part")))
 
 
-@query("""SELECT event_id, CASE WHEN k > 80 THEN 1 ELSE 0 END + CASE WHEN k % 2 = 1 AND event_type <> 'view' THEN 1 ELSE 0 END AS n_errors FROM (SELECT event_id, event_type, (props->>'$.k')::INTEGER AS k FROM events)""")
+@query("""SELECT event_id, concat_ws(';', CASE WHEN event_type = 'error' THEN '/|unexpected property ' || chr(39) || 'x' || chr(39) END, CASE WHEN event_type = 'click' THEN '/|missing required property ' || chr(39) || 'k' || chr(39) END, CASE WHEN event_type <> 'click' AND k > 80 THEN '/k|must be <= 80' END,
+CASE WHEN event_type <> 'view' AND k % 2 = 1 THEN '/even|must be equal to constant' END, CASE WHEN k % 3 = 0 THEN '/d/u|must be a valid IPv6 address' WHEN k % 3 = 1 THEN '/d/u|must NOT be valid' END) AS report FROM (SELECT event_id, event_type, (props->>'$.k')::INTEGER AS k FROM events)""")
 def schema_validate(spark, sf_dir):
-    """Documents against schemas that refer to each other; the errors are counted."""
+    """Documents against schemas that refer to each other; paths and messages of all errors."""
     number = {"type": "integer", "maximum": 80}
-    schemas = {"number": number, "group": {"type": "object", "required": ["k"], "properties": {"k": {"type": "string", "cid": "number"}, "even": {"const": True}}, "additionalProperties": False}}
-    even = F.get_json_object("props", "$.k").cast("int") % 2 == 0
-    raw = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.when(F.col("event_type") != "view", even).alias("even")))
+    group = {
+        "type": "object", "required": ["k"], "additionalProperties": False, "definitions": {"u": {"format": "ipv6", "not": {"const": "::1"}}},
+        "properties": {"k": {"type": "string", "cid": "number"}, "even": {"const": True}, "d": {"type": "object", "patternProperties": {"^u$": {"$ref": "#/definitions/u"}}}},
+    }
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    u = F.when(k % 3 == 0, "1.2.3.4").when(k % 3 == 1, "::1").otherwise("fe80::2")
+    raw = F.to_json(F.struct(F.when(kind != "click", k).alias("k"), F.when(kind != "view", k % 2 == 0).alias("even"), F.when(kind == "error", 1).alias("x"), F.struct(u.alias("u")).alias("d")))
     rows = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"), F.lit("group").alias("schema_cid"))
-    return validate.validate(rows, schemas).select("event_id", F.size("errors").alias("n_errors"))
+    found = validate.validate(rows, {"number": number, "group": group})
+    return found.select("event_id", F.array_join(F.transform("errors", lambda e: F.concat(e["path"], F.lit("|"), e["message"])), ";").alias("report"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/to/n|must be integer' WHEN 2 THEN '|Validation error: Failed to resolve pointer - not a valid CID or accessible file path: ./gone.json' ELSE '/to/next/n|must be integer' END AS report FROM customer""")
+def linked_validation(spark, sf_dir):
+    """Relationships whose links are followed into the files of their folder, also from file to file."""
+    key = F.col("c_custkey")
+    path = F.when(key % 4 == 2, "./gone.json").when(key % 4 == 3, "././outer.json").otherwise("./leaf.json")
+    docs = table(spark, sf_dir, "customer").select("c_custkey", key.cast("string").alias("dir"), F.to_json(F.struct(F.struct(path.alias("/")).alias("to"))).alias("raw"), F.lit("relationship").alias("schema_cid"))
+    leaf = F.when(key % 4 == 0, '{"n":1}').otherwise('{"n":"x"}')
+    files = docs.select("dir", F.explode(F.array(F.struct(F.lit("leaf.json").alias("name"), leaf.alias("text")), F.struct(F.lit("outer.json").alias("name"), F.lit('{"n":2,"next":{"/":"./leaf.json"}}').alias("text")))).alias("f")).select("dir", "f.*")
+    entity = {"type": "object", "properties": {"n": {"type": "integer"}, "next": {"type": "string", "cid": "leaf"}}}
+    schemas = {"relationship": {"type": "object", "properties": {"to": {"type": "string", "cid": "entity"}}}, "entity": entity, "leaf": {"type": "object", "properties": {"n": {"type": "integer"}}}}
+    found = validate.validate(validate.linked_content(docs, files, key="c_custkey"), schemas, content_col="content")
+    return found.select("c_custkey", F.array_join(F.transform("errors", lambda e: F.concat(e["path"], F.lit("|"), e["message"])), ";").alias("report"))
 
 
 # Submissions.
@@ -508,11 +619,14 @@ def assigned_members(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(assigned, "c_custkey", "left").select("c_custkey", F.coalesce("a", F.lit(False)).alias("assigned"))
 
 
-@query("""SELECT event_id, epoch(date_trunc('second', ts))::BIGINT - epoch(date_trunc('second', first_value(ts) OVER w))::BIGINT AS seconds, event_id - first_value(event_id) OVER w AS gained
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
+@query("""WITH r AS (SELECT event_id, user_id, ts, (epoch_us(ts) // 1000 - epoch_us(first_value(ts) OVER w) // 1000) / 1000 AS seconds, event_id - first_value(event_id) OVER w AS gained, count(*) OVER w AS n, min(ts) OVER (PARTITION BY user_id) AS began
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+x AS (SELECT *, CASE WHEN n < 2 THEN 0.0 WHEN seconds > 0 THEN gained / seconds WHEN ts > began THEN event_id / ((epoch_us(ts) // 1000 - epoch_us(began) // 1000) / 1000) ELSE 0.0 END::DOUBLE AS rate FROM r)
+SELECT event_id, seconds::DOUBLE AS seconds, gained, rate, CASE WHEN rate > 0 AND 10000000 > event_id THEN (10000000 - event_id) / rate END AS remaining FROM x""")
 def rate_window(spark, sf_dir):
-    """Progress against the oldest of the last sixty samples."""
-    return fetch.rates(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("event_id", "seconds", "gained")
+    """Progress against the oldest of the last sixty samples, and the time that is left."""
+    found = fetch.rates(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+    return found.select("event_id", "seconds", "gained", "rate", fetch.remaining_seconds(F.lit(10_000_000), F.col("event_id"), F.col("rate")).alias("remaining"))
 
 
 # Owners.

@@ -3,7 +3,7 @@ import zipfile
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from quern.functions import canon, cid, formats, html, urls
+from quern.functions import canon, cid, formats, html, multiformats, urls
 from quern.operators import errors, graph, owners, validate
 from quern.sources import files
 from quern.streaming import log
@@ -59,11 +59,11 @@ def test_graph_with_a_cycle(spark):
 
 
 def test_linked_identifiers(spark):
-    docs = spark.createDataFrame([("a", '{"to":{"/":"./b"}}'), ("b", "{}"), ("x", '{"/":"./y"}'), ("y", '{"/":"./x"}')], "name string, text string")
-    links = spark.createDataFrame([("a", "b"), ("x", "y"), ("y", "x")], "src string, dst string")
-    got = {r.name: r.cid for r in graph.linked_cids(docs, links).collect()}
+    docs = [("a", '{"note":"./b","to":{"/":"./b"}}'), ("b", "{ }"), ("x", '{"/":"./y"}'), ("y", '{"/":"./x"}'), ("lost", '{"/":"./gone"}'), ("page", '{"ipfs_url":"./i.html"}'), ("text", "not JSON")]
+    docs = spark.createDataFrame([("d", *x) for x in docs], "dir string, name string, text string")
+    got = {r.name: r.cid for r in graph.linked_cids(docs, spark.createDataFrame([("d", "bafym")], "dir string, media_cid string")).collect()}
     b = canon.cid_v1(b"{}")
-    assert got == {"b": b, "a": canon.cid_v1(f'{{"to":{{"/":"{b}"}}}}'.encode()), "x": None, "y": None}
+    assert got == {"b": b, "a": canon.cid_v1(f'{{"note":"./b","to":{{"/":"{b}"}}}}'.encode()), "x": None, "y": None, "lost": None, "page": canon.cid_v1(b'{"ipfs_url":"ipfs://bafym"}'), "text": canon.cid_v1(b"not JSON")}
 
 
 def test_owners(spark):
@@ -76,9 +76,9 @@ def test_schemas(spark):
     schemas = {"leaf": {"type": "string", "minLength": 2, "format": "date"}, "root": {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": ["string", "null"], "cid": "leaf"}, "c": {"enum": [1, 2]}, "d": {"oneOf": [{"type": "number"}, {"type": "integer"}]}}, "additionalProperties": False}, "loop": {"properties": {"x": {"type": "string", "cid": "loop"}}}}
     rows = [(1, '{"a":null,"b":1}', "root"), (2, '{"a":"2024-13-01","c":3,"d":1}', "root"), (3, "{", "root"), (4, "{}", "none"), (5, '{"x":{"x":1}}', "loop"), (6, None, "root")]
     got = {r.k: [tuple(e) for e in r.errors] for r in validate.validate(spark.createDataFrame(rows, "k int, raw string, schema_cid string"), schemas).collect()}
-    assert got[1] == [("/b", "unexpected property 'b'")] and got[5] == []
-    assert [m for _, m in got[2]] == ["missing required property 'b'", "must be null", "must be a valid ISO date in YYYY-MM-DD format", "must match a schema in anyOf", "must be one of: 1, 2", "must match exactly one schema in oneOf"]
-    assert got[3] == got[6] == [("", "File read/parse error")] and got[4] == [("", "schema not found")]
+    assert got[1] == [("/", "unexpected property 'b'")] and got[5] == []
+    assert got[2] == [("/", "missing required property 'b'"), ("/a", "must be null"), ("/a", "must be a valid ISO date in YYYY-MM-DD format"), ("/a", "must match a schema in anyOf"), ("/c", "must be one of: 1, 2"), ("/d", "must match exactly one schema in oneOf")]
+    assert got[3] == got[6] == [("", "File read/parse error")] and got[4] == [("", "Validation error: Failed to resolve schema CID")]
     assert validate.datagroup_schema_problem({"type": "object", "properties": {"label": {}, "relationships": {}}}) is None
 
 
@@ -108,3 +108,27 @@ def test_streams(spark, tmp_path):
     run = polled.writeStream.outputMode("append").format("memory").queryName("polled").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c2").start()
     run.awaitTermination(120)
     assert {tuple(r) for r in spark.table("polled").collect()} == {("t1", "failed"), ("t2", "success")}
+
+
+def test_keywords_and_formats():
+    of = lambda v, s: list(validate.errors_of(v, s))
+    assert of({"a": 1}, {"definitions": {"t": {"type": "string"}}, "properties": {"a": {"$ref": "#/definitions/t"}}}) == [("/a", "must be string")]
+    assert of([1, 2, 1], {"uniqueItems": True, "contains": {"const": 3}})[0] == ("", "must NOT have duplicate items (items ## 0 and 2 are identical)")
+    assert of({"x1": "a", "y": 2}, {"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}) == [("", "unexpected property 'y'"), ("/x1", "must be integer")]
+    assert of(5, {"multipleOf": 2, "not": {"type": "integer"}}) == [("", "must be multiple of 2"), ("", "must NOT be valid")]
+    assert of({"k": 1}, {"if": {"required": ["k"]}, "then": {"required": ["z"]}}) == [("", "missing required property 'z'"), ("", 'must match "then" schema')]
+    assert of({"k": 1}, {"dependencies": {"k": ["z"]}, "propertyNames": {"maxLength": 0}}) == [("", "must have property z when property k is present"), ("", "must NOT have more than 0 characters"), ("", "property name must be valid")]
+    assert of([1, "x"], {"items": [{"type": "string"}], "additionalItems": False}) == [("", "must NOT have more than 1 items"), ("/0", "must be string")]
+    good = {"ipv6": "::1", "hostname": "a-b.c", "json-pointer": "/a~0/b", "relative-json-pointer": "1/a", "regex": "a+", "cid": CID, "ipfs_uri": "ipfs://" + CID, "date": "2024-02-29", "date-time": "2024-02-29T10:00:00Z", "uuid": "0f8fad5b-d9cb-469f-a165-70867728950e"}
+    bad = {"ipv6": "1.2.3.4", "hostname": "-a", "json-pointer": "a", "relative-json-pointer": "/a", "regex": "(", "cid": CID[:-1], "ipfs_uri": "ipfs://" + "Qm" + "a" * 44, "date": "2023-02-29", "date-time": "2024-02-29", "uuid": "x"}
+    assert all(not of(v, {"format": k}) for k, v in good.items()) and all(of(v, {"format": k}) == [("", validate.FORMAT_MESSAGES[k])] for k, v in bad.items())
+    assert validate.report("", "must be string", {"/": "./a"}) == ("/", "File ./a does not exist or is not a valid JSON file.")
+
+
+def test_identifiers_of_any_base():
+    v0 = "QmYwAPJzv5CZsnA625s3Xf2nemtYgPpHdWEz79ojWnPbdG"
+    assert multiformats.parse_cid(v0).version == 0 and multiformats.parse_cid(CID).digest.hex() == HEX
+    cid = multiformats.parse_cid(CID)
+    z = "z" + multiformats.base58_text(bytes([1, 0x55, 0x12, 0x20]) + cid.digest)
+    assert multiformats.parse_cid(z) == cid and multiformats.cid_text(0x55, cid.digest) == CID
+    assert [multiformats.parse_cid(x) for x in ("", "b", CID + "a", CID.upper(), "hello", v0[:-1])] == [None] * 6
