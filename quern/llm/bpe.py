@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import pieces
 
 #: Words that a worker remembers: once half as many are new, it forgets those that it hasn't met since the last time.
-MOST_WORDS = 700_000
+MOST_WORDS = 1_000_000
 #: The split of the vocabulary file, with its white space (Unicode's) spelled out.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -169,16 +170,25 @@ class PairIndexBPE:
                 out += [x.encode() for x in self.words_any.findall(self.normalize(part))]
         return out
 
-    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """For each stretch its ids (little-endian, 32 bits each) and what they decode to."""
+    def encode_words(self, words: Iterable[bytes], known: dict[bytes, tuple[bytes, bytes]], before: dict[bytes, tuple[bytes, bytes]]) -> dict[bytes, tuple[bytes, bytes]]:
+        """For each stretch its ids (little-endian, 32 bits each) and what they decode to.
+
+        Words that stretches consist of are looked up in known and before, and all are in known afterwards.
+        """
         parts = {w: self.split(w) for w in words}
-        distinct = list({x: None for p in parts.values() for x in p if isinstance(x, bytes)})
-        ids = dict(zip(distinct, self.merge(distinct), strict=True))
+        new = {x for p in parts.values() for x in p if isinstance(x, bytes) and x not in known}
+        known.update((x, before[x]) for x in new if x in before)
+        new = [x for x in new if x not in known]
         token = self.token
+        for word, ids in zip(new, self.merge(new), strict=True):
+            known[word] = struct.pack(f"<{len(ids)}I", *ids), b" ".join([token[i] for i in ids])
         out = {}
         for w, p in parts.items():
-            mine = [i for x in p for i in (ids[x] if isinstance(x, bytes) else (x,))]
-            out[w] = np.array(mine, "<u4").tobytes(), b" ".join([token[i] for i in mine])
+            if len(p) == 1 and isinstance(p[0], bytes):
+                out[w] = known[p[0]]
+            else:
+                found = [known[x] if isinstance(x, bytes) else (struct.pack("<I", x), token[x]) for x in p]
+                out[w] = b"".join([i for i, _ in found]), b" ".join([t for _, t in found])
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -192,23 +202,25 @@ def load(path: str) -> PairIndexBPE:
 
 @lru_cache(maxsize=4)
 def _remembered(path: str) -> dict[str, dict]:
-    return {"now": {}, "before": {}}
+    """Stretches and words that this worker has met: since it last forgot some, and before."""
+    return {"now": {}, "before": {}, "words": {}, "words_before": {}}
 
 
 def encode_column(texts: pa.Array, path: str):
     """Yields (ids as bytes, decoded text as bytes) of each text."""
     memory = _remembered(path)
     split = [(x or "").encode().split() for x in texts.to_pylist()]
-    wanted = {w for ws in split for w in ws}
-    if len(memory["now"]) + len(wanted - memory["now"].keys()) > MOST_WORDS // 2:
-        memory |= {"before": memory["now"], "now": {}}
-    known, before = memory["now"], memory["before"]
-    new = wanted - known.keys()
+    wanted, known = set().union(*split), memory["now"]
+    new = [w for w in wanted if w not in known]
+    if len(known) + len(new) > MOST_WORDS // 2:
+        memory |= {"before": known, "now": {}, "words_before": memory["words"], "words": {}}
+        known, new = memory["now"], wanted
+    before = memory["before"]
     known.update((w, before[w]) for w in new if w in before)
-    known.update(load(path).encode_words(new - known.keys()))
+    known.update(load(path).encode_words([w for w in new if w not in known], memory["words"], memory["words_before"]))
     for ws in split:
-        got = [known[w] for w in ws]
-        yield b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])
+        got = list(map(known.__getitem__, ws))
+        yield b"".join([i for i, _ in got]), b" ".join([t for _, t in got if t])
 
 
 def encode(docs: DataFrame, keep: Column | None = None, text_col: str = "text", vocab: str | None = None, digests: bool = False) -> DataFrame:
