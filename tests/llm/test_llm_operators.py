@@ -105,6 +105,19 @@ def test_top_k_ties_and_bad_vectors(spark):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_top_k_repeated_ids_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 5)
+    rows = [(0, [1.0, 2.0]), (0, [3.0]), (1, [5e6, 1.0]), (2, [0.5, 0.5, 9.0]), (2, [0.5, 0.5, 9.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0])] + [(i, [float(i % 7), -1.0]) for i in range(101, 130)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = Counter()
+    for n, (q, v) in enumerate(ints):
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(ints) if m != n)[:10]
+            want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
+    assert Counter(tuple(r) for r in topk.top_k(frame, frame.filter("vec_id % 100 = 0")).collect()) == want
+
+
 # 7
 
 
