@@ -112,11 +112,14 @@ def infer(texts: pa.Array, table: np.ndarray, penalty: float = PENALTY) -> tuple
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: Column | None = None, text_col: str = "text") -> DataFrame:
     """Columns `row` (what `keep` says; by default a struct of all columns), lang_pred, score, languages (share by language)."""
     langs, table = model
-    rows = docs.select((F.struct("*") if keep is None else keep).alias("row"), F.col(text_col).alias("text"))
+    # Where the row holds the text, it is taken from there, so that it is sent once.
+    rows = docs.select(F.struct("*").alias("row")) if keep is None else docs.select(keep.alias("row"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(table)  # GRAMS x languages, bounded by MOST_LANGUAGES
 
     def run(batches):
         names = np.array([*langs, "und"], object)
+        if keep is None:
+            batches = (pa.record_batch([b.column("row"), b.column("row").field(text_col)], names=["row", "text"]) for b in batches)
         for piece in pieces(batches, "text"):
             texts = piece.column("text")
             shares, words = infer(texts, shared.value)
