@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result and reads it again as the next
 stage's documents. The last stage adds token ids; all others return the columns of documents.
+
+Rows with a null id pass all stages but those that look at their text. Rows that repeat an id are one document in the
+stages of lines and near duplicates, where one row of them stays. Other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from quern.llm.common import Work
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (no letters at all) go."""
+    """Documents in which no language is found (no letters at all, so null and empty texts too) go."""
     return langid.keep_known(docs)
 
 
@@ -24,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five-word shingles, Jaccard 0.8) the smallest doc_id stays."""
+    """Of each class of near duplicates (five-word shingles, Jaccard 0.8) the smallest doc_id stays, of its rows one."""
     return jaccard.keep_first(docs, n=5, least=80)
 
 
@@ -34,8 +37,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, and the sha256 of what they decode to."""
-    coded = bpe.encode(docs, F.struct("doc_id", "lang", "source"))
+    """The token ids of every document, and the sha256 of what they decode to, beside all other columns but the text.
+
+    Columns that this stage adds replace those of their names.
+    """
+    added = ("n_tokens", "ids", "decoded_sha256")
+    coded = bpe.encode(docs, F.struct(*(F.col(c) for c in docs.columns if c not in ("text", *added))))
     return coded.select("row.*", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -47,6 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, docs = Work(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = work.save(name, stage(spark, docs, sf_dir))
+        if before:
+            work.drop(before)
+        before = name
     return docs

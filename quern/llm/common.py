@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing and everything runs in this process (tests) is it set to a local folder.
+    Only where that setting is missing and everything runs in this process (tests) is it a local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
