@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and benchmarks; a cluster brings its own."""
+    """A local session for tests and benchmarks; a cluster brings its own, and its own spark.checkpoint.dir."""
+    shared = SparkConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='quern-')}"
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quern")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", shared)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
