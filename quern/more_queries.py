@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import canon, cid, formats, urls
-from quern.operators import events, factsheets, fetch, flows, reports, scan, submit, validate
+from quern.operators import entities, events, factsheets, fetch, flows, owners, reports, scan, submit, validate
 from quern.queries import CID_SQL, query
 from quern.session import table
 
@@ -431,3 +431,101 @@ def response_kinds(spark, sf_dir):
     """Kinds of responses by their content type."""
     kind = F.when(F.col("page_id") % 2 == 0, "Text/HTML; charset=x").otherwise("application/json")
     return table(spark, sf_dir, "pages").select("page_id", fetch.response_kind(kind).alias("kind"))
+
+
+# What scripts extract.
+
+
+@query("""SELECT c_custkey, key, '{"url":"u' || c_custkey || '"}' AS request, CASE key WHEN 'a' THEN '{"n":' || c_custkey || '}' ELSE 'text' END AS response FROM customer, (VALUES ('a'), ('b')) t(key) WHERE key = 'a' OR c_custkey % 2 = 0""")
+def request_inputs(spark, sf_dir):
+    """Inputs made of several requests, taken apart."""
+    text = F.col("c_custkey").cast("string")
+    request = F.concat(F.lit('{"source_http_request":{"url":"u'), text, F.lit('"},"response":'))
+    second = F.when(F.col("c_custkey") % 2 == 0, F.concat(request, F.lit('"text"}'))).otherwise('{"response":1}')
+    raw = F.concat(F.lit('{"a":'), request, F.lit('{"n":'), text, F.lit('}},"b":'), second, F.lit(',"c":[1]}'))
+    return entities.request_inputs(table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")))
+
+
+@query("""SELECT o_custkey::VARCHAR AS property, 'layout_' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || '.json' AS name, '{"room":' || o_orderkey || '}' AS content FROM orders""")
+def room_layouts(spark, sf_dir):
+    """E5: a file for each room."""
+    rooms = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit('{"room":'), k.cast("string"), F.lit("}"))), ",")
+    docs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(rooms.alias("rooms"))
+    return entities.layouts(docs.select(F.concat(F.lit('{"property_'), F.col("o_custkey").cast("string"), F.lit('":{"layouts":['), "rooms", F.lit("]}}")).alias("raw")))
+
+
+_CLASSES = ("property", "tax", "deed", "lot", "person")
+
+
+@query(f"""WITH e AS (SELECT o_custkey AS property, o_orderkey AS seq, {list(_CLASSES)}[(o_orderkey % 5)::INTEGER + 1] AS class FROM orders WHERE o_orderkey % 7 <> 0), u AS (SELECT * FROM e WHERE class NOT IN ('property', 'lot') UNION ALL SELECT property, min(seq), class FROM e WHERE class IN ('property', 'lot') GROUP BY property, class)
+SELECT property, class || CASE WHEN class IN ('property', 'lot') THEN '' ELSE '_' || row_number() OVER (PARTITION BY property, class ORDER BY seq) END || '.json' AS name, seq::VARCHAR AS content FROM u""")
+def entity_files(spark, sf_dir):
+    """Files of entities, none for what is absent."""
+    key = F.col("o_orderkey")
+    name = F.get(F.array(*map(F.lit, _CLASSES)), (key % 5).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("property"), name.alias("class"), key.alias("seq"), F.when(key % 7 != 0, key.cast("string")).alias("content"))
+    one = rows.filter("class in ('property', 'lot') and content is not null").groupBy("property", "class").agg(F.min("seq").alias("seq"))
+    rows = rows.filter("class not in ('property', 'lot')").unionByName(one.withColumn("content", F.col("seq").cast("string")))
+    return entities.entity_files(rows)
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'final' END AS target, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN '{"type":"error","message":"Unknown enum value ' || o_orderstatus || '.","path":"order.status"}' END AS error FROM orders""")
+def mapped_values(spark, sf_dir):
+    """Source values by a mapping, unknown ones as errors."""
+    mapping = spark.createDataFrame([("order.status", "O", "open"), ("order.status", "F", "final"), ("other.status", "P", "no")], "path string, source string, target string")
+    values = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("order.status").alias("path"), F.col("o_orderstatus").alias("value"))
+    return entities.mapped(values, mapping).select("o_orderkey", "target", "error")
+
+
+@query("""SELECT DISTINCT a.o_custkey AS property, 'relationship_sales_' || a.o_orderkey || '_person_' || b.o_orderkey || '.json' AS name, '{"from":{"/":"./sales_' || a.o_orderkey || '.json"},"to":{"/":"./person_' || b.o_orderkey || '.json"}}' AS content FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND year(a.o_orderdate) = year(b.o_orderdate) WHERE a.o_orderkey % 2 = 0 AND b.o_orderkey % 2 = 1""")
+def entity_relationships(spark, sf_dir):
+    """Sales and the persons of their year."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    of = lambda odd, stem: orders.filter(key % 2 == odd).select(F.col("o_custkey").alias("property"), F.concat(F.lit(f"{stem}_"), key.cast("string"), F.lit(".json")).alias("name"), F.year("o_orderdate").alias("year"))
+    return entities.linked_entities(of(0, "sales"), of(1, "person"), ["year"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'unknown_date_' || row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 = 0 ORDER BY o_orderkey) ELSE strftime(o_orderdate, '%Y-%m-%d') END AS label FROM orders""")
+def owner_dates(spark, sf_dir):
+    """Dates of owners, unknown ones numbered."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("date"))
+    return entities.numbered_dates(rows, "o_custkey", "date", "o_orderkey").select("o_orderkey", "label")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN ' ' WHEN c_custkey % 3 = 1 THEN 'Solo' END AS raw, CASE WHEN c_custkey % 3 = 0 THEN 'empty name' WHEN c_custkey % 3 = 1 THEN 'single word' END AS reason FROM customer""")
+def invalid_owners(spark, sf_dir):
+    """Names that are neither a person nor a company."""
+    k = F.col("c_custkey") % 3
+    rows = owners.classify(table(spark, sf_dir, "customer").select("c_custkey", F.when(k == 0, " ").when(k == 1, "Solo").otherwise("Ann Lee").alias("name")))
+    return rows.select("c_custkey", entities.invalid_owner(F.col("name"), F.col("kind")).alias("i")).select("c_custkey", "i.raw", "i.reason")
+
+
+def _title(page: str) -> dict[str, str]:
+    start, end = page.lower().find("<title>"), page.lower().find("</title>")
+    if start < 0 or end < 0:
+        raise ValueError("no title")
+    return {"title.json": page[start + 7 : end]}
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title>.*?</title>') THEN 'title.json' END AS name, CASE WHEN regexp_matches(html, '(?is)<title>.*?</title>') THEN regexp_extract(html, '(?is)<title>(.*?)</title>', 1) END AS content, CASE WHEN NOT regexp_matches(html, '(?is)<title>.*?</title>') THEN 'no title' END AS error FROM pages""")
+def extracted_titles(spark, sf_dir):
+    """A registered extractor over pages; its failures are rows."""
+    return entities.extracted(table(spark, sf_dir, "pages"), {"title": _title}, "page_id").select("page_id", "name", "content", "error")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS processed, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'click') AS skipped, count(*) AS total FROM events GROUP BY 1")
+def run_totals(spark, sf_dir):
+    """What runs processed, skipped and failed on."""
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "processed").when(kind == "error", "error").when(kind == "click", "skipped")
+    return entities.run_totals(table(spark, sf_dir, "events").withColumn("state", state), "user_id")
+
+
+@query("""SELECT c_custkey, '{"a":{"/":"' || CASE WHEN c_custkey % 2 = 0 THEN './n' || c_custkey || '.json' ELSE 'bafyunknown' || c_custkey END || '"}}' AS text FROM customer""")
+def saved_paths(spark, sf_dir):
+    """Links by identifier become paths where their target is saved already."""
+    key = F.col("c_custkey").cast("string")
+    own = F.concat(F.when(F.col("c_custkey") % 2 == 0, "bafysaved").otherwise("bafyunknown"), key)
+    known = F.when(F.col("c_custkey") % 2 == 0, F.create_map(own, F.concat(F.lit("./n"), key, F.lit(".json"))))
+    raw = F.to_json(F.struct(F.struct(own.alias("/")).alias("a")))
+    return table(spark, sf_dir, "customer").select("c_custkey", canon.linked_json(raw, known).alias("text"))
