@@ -8,6 +8,7 @@ from quern.functions import canon, cid, formats, urls
 from quern.operators import entities, events, factsheets, fetch, flows, owners, reports, scan, submit, validate
 from quern.queries import CID_SQL, query
 from quern.session import table
+from quern.sources import files
 
 # Folders.
 
@@ -529,3 +530,18 @@ def saved_paths(spark, sf_dir):
     known = F.when(F.col("c_custkey") % 2 == 0, F.create_map(own, F.concat(F.lit("./n"), key, F.lit(".json"))))
     raw = F.to_json(F.struct(F.struct(own.alias("/")).alias("a")))
     return table(spark, sf_dir, "customer").select("c_custkey", canon.linked_json(raw, known).alias("text"))
+
+
+# Sources.
+
+
+@query("""SELECT o_custkey::VARCHAR AS property, CASE WHEN count(*) OVER (PARTITION BY o_custkey) = 1 THEN '' ELSE 'd' || o_orderkey % 2 || '/' END || o_orderkey || '.json' AS entry, '{"k":' || o_orderkey || '}' AS content FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 2 = 0
+UNION ALL SELECT o_custkey::VARCHAR, o_orderkey || '.json', '{"k":' || o_orderkey || '}' FROM orders WHERE false""".replace("CASE WHEN count(*) OVER (PARTITION BY o_custkey) = 1 THEN '' ELSE 'd' || o_orderkey % 2 || '/' END || ", ""))
+def archive_round_trip(spark, sf_dir):
+    """S1, S2, S4, S5, S34, K-2: properties packed as archives and read again; a folder that all entries share goes."""
+    key = F.col("o_orderkey").cast("string")
+    rows = table(spark, sf_dir, "orders").filter("o_custkey % 3 <> 0 and o_orderkey % 2 = 0").select(F.col("o_custkey").cast("string").alias("property"), F.concat(F.lit("d0/"), key, F.lit(".json")).alias("entry"), F.encode(F.concat(F.lit('{"k":'), key, F.lit("}")), "UTF-8").alias("content"))
+    packed = files.write_archives(rows, "property").select(F.col("property").alias("path"), F.col("archive").alias("content"))
+    noise = rows.select(F.col("entry").alias("path"), "content")
+    found = files.unpacked(packed.unionByName(noise))
+    return found.select(F.col("archive").alias("property"), "entry", F.decode("content", "UTF-8").alias("content"))

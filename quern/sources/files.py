@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -16,18 +16,33 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     An archive whose entries share one top folder loses that folder (S5).
     """
-    files = spark.read.format("binaryFile").load(path)
-    zips = files.filter(F.lower("path").endswith(".zip") | (F.substr("content", F.lit(1), F.lit(2)) == F.lit(b"PK"))).select("path", "content")
+    return unpacked(spark.read.format("binaryFile").load(path))
+
+
+def is_archive(path: Column, content: Column) -> Column:
+    """By extension or magic."""
+    return F.lower(path).endswith(".zip") | (F.substr(content, F.lit(1), F.lit(2)) == F.lit(b"PK"))
+
+
+def unpacked(files: DataFrame) -> DataFrame:
+    """The entries of those files (path, content) that are archives; folders have no row. A batch holds 16 MB or one entry."""
+    zips = files.filter(is_archive(F.col("path"), F.col("content"))).select("path", "content")
 
     def unpack(frames):
         for frame in frames:
+            held, size = [], 0
             for name, data in zip(frame["path"], frame["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     names = [n for n in z.namelist() if not n.endswith("/")]
                     top = {n.split("/")[0] for n in names}
                     cut = len(top.pop()) + 1 if len(top) == 1 and all("/" in n for n in names) else 0
                     for n in names:
-                        yield pd.DataFrame([(name, n[cut:], z.read(n))], columns=["archive", "entry", "content"])
+                        held.append((name, n[cut:], z.read(n)))
+                        size += len(held[-1][2])
+                        if size > 16 << 20:
+                            yield pd.DataFrame(held, columns=["archive", "entry", "content"])
+                            held, size = [], 0
+            yield pd.DataFrame(held, columns=["archive", "entry", "content"])
 
     return zips.mapInPandas(unpack, "archive string, entry string, content binary")
 

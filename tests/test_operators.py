@@ -132,3 +132,14 @@ def test_identifiers_of_any_base():
     z = "z" + multiformats.base58_text(bytes([1, 0x55, 0x12, 0x20]) + cid.digest)
     assert multiformats.parse_cid(z) == cid and multiformats.cid_text(0x55, cid.digest) == CID
     assert [multiformats.parse_cid(x) for x in ("", "b", CID + "a", CID.upper(), "hello", v0[:-1])] == [None] * 6
+
+
+def test_nodes_golden_vectors():
+    # Identifiers that other tools give to these files, and to an empty directory.
+    assert canon.cid_v0(b"hello world") == "Qmf412jQZiuVUtdgnB36FXFX7xg5V6KEbSJ4dpQuhkLyfD" and canon.cid_v0(b"hello world\n") == "QmT78zSuBmuS4z925WZfrqQ1qHaJ56DQaTfyMUF7F8ff5o"
+    assert canon.directory_cid({}) == "bafybeiczsscdsbs7ffqz55asqdf3smv6klcw3gofszvwlyarci47bgf354"
+
+
+def test_media_folders(spark):
+    rows = spark.createDataFrame([("d", "b.PNG", b"2"), ("d", "a.html", b"1"), ("d", "x.json", b"{}"), ("e", "x.json", b"{}")], "dir string, name string, content binary")
+    assert [tuple(r) for r in canon.media_cids(rows).collect()] == [("d", canon.directory_cid({"a.html": b"1", "b.PNG": b"2"}))]
