@@ -15,31 +15,36 @@ rows come twice; a null id sorts first. Columns other than the id and the text a
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quern.llm.common import Work, pieces
+from quern.llm.common import Work, pieces, text_bytes
 
 BLOCK = 256
 #: Ids after which a segment is closed, at the end of a document.
 SEGMENT = 1 << 18
 END_ID = 1
-END = struct.pack("<I", END_ID)
-#: Words that a worker remembers; beyond that it forgets all and starts again.
-MOST_WORDS = 800_000
+#: Words that a worker remembers: once half as many are new, it forgets those that it hasn't met since the last time.
+MOST_WORDS = 1_600_000
 MAGIC = 0x42385351
 #: Simple-8b's number of values and their width in bits, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 U = np.uint64
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -48,12 +53,21 @@ def pack(ids: np.ndarray) -> bytes:
     n = len(ids)
     if n and int(ids.max()) >> 60:
         raise ValueError("ids must have 60 bits at most")
-    left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
-    choice = np.full(n, 15, np.int64)
+    left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)).astype(np.uint16)
+    # The least selector whose width holds an id; the greatest of a stretch grows with its length, so each is made of a shorter one.
+    width = np.zeros(n, np.uint8)
+    for s in range(1, 15):
+        width += ids >= U(1) << U(WIDTHS[s])
+    choice, greatest, size = np.full(n, 15, np.uint8), width, 1
     for s in range(14, -1, -1):
-        wide = np.where(ids >> U(WIDTHS[s]) != 0, np.arange(n), n)
-        clear = np.minimum.accumulate(wide[::-1])[::-1] - np.arange(n)
-        choice[np.minimum(clear, left) >= COUNTS[s]] = s
+        k = int(COUNTS[s])
+        while size < k:
+            step = min(size, k - size)
+            greatest = np.maximum(greatest, np.concatenate((greatest[step:], np.full(min(step, n), 255, np.uint8))))
+            size += step
+        # Selectors 0 and 1 both have width 0, which only ids of 0 fit.
+        choice[(greatest <= max(s - 1, 0)) & (left >= k)] = s
+    choice = choice.astype(np.int64)
     at = np.arange(0, n, BLOCK)
     ends, found = np.minimum(at + BLOCK, n), []
     while len(at):  # all blocks at once, a word each
@@ -106,23 +120,66 @@ def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     import tokenizers
 
-    return tokenizers.Tokenizer.from_file(path), {}
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library, {"now": {}, "before": {}, "pieces": {}}
 
 
-def _learn(texts: list[str], path: str) -> dict:
+def _by_library(library, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Each piece with its ids. Plain ones are encoded together, as lines: a token's place says whose it is."""
+    plain, other = [x for x in pieces if x.isascii()], [x for x in pieces if not x.isascii()]
+    for lo in range(0, len(plain), 512):
+        some = plain[lo : lo + 512]
+        found = library.encode(b"\n".join(some).decode(), add_special_tokens=False)
+        flat = np.array(found.ids, "<u4")
+        place = np.fromiter((x for x, _ in found.offsets), np.int64, len(flat))
+        cut = np.searchsorted(place, list(accumulate((len(x) + 1 for x in some), initial=0))).tolist()
+        yield from ((x, flat[i:j].tobytes()) for x, (i, j) in zip(some, pairwise(cut), strict=True))
+    for lo in range(0, len(other), 4096):
+        some = other[lo : lo + 4096]
+        for x, e in zip(some, library.encode_batch_fast([y.decode() for y in some], add_special_tokens=False), strict=True):
+            yield x, np.array(e.ids, "<u4").tobytes()
+
+
+#: A word with what ends it. The vocabulary's pattern parts them, and it lowers case.
+_ENDED = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9'\x80-\xff]*)")
+
+
+def _learn(words: list[bytes], path: str) -> dict[bytes, bytes]:
     """The library's ids by word. Its vocabulary parts words at ASCII white space, so each stretch between is encoded once."""
-    library, known = _library(path)
-    new = list({w for t in texts for w in t.encode().split() if w not in known})
-    if len(known) + len(new) > MOST_WORDS:
-        known.clear()
-        new = list({w for t in texts for w in t.encode().split()})
-    for lo in range(0, len(new), 4096):
-        some = new[lo : lo + 4096]
-        for w, e in zip(some, library.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    library, memory = _library(path)
+    known = memory["now"]
+    new = {w for w in words if w not in known}
+    if len(known) + len(new) > MOST_WORDS // 2:
+        memory |= {"before": known, "now": {}, "pieces": {}}
+        known, new = memory["now"], set(words)
+    before, pieces = memory["before"], memory["pieces"]
+    known.update((w, before[w]) for w in new if w in before)
+    parts = {w: (m[1].lower(), m[2]) if (m := _ENDED.fullmatch(w)) else (w, b"") for w in new if w not in known}
+    pieces[b""] = b""
+    pieces.update(_by_library(library, list({x for p in parts.values() for x in p if x not in pieces})))
+    known.update((w, pieces[x] + pieces[y]) for w, (x, y) in parts.items())
     return known
 
 
+def _encoded(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, an end id after each, and how many each text has."""
+    filled = pc.fill_null(column, "")
+    data, at = text_bytes(pc.binary_join_element_wise(filled, pa.scalar("", filled.type), pa.scalar(" ", filled.type)))
+    words = data.tobytes().split()
+    known = _learn(words, path)
+    ids = list(map(known.__getitem__, words))
+    per_word = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)))
+    # A word begins where white space ends; texts end with a space, so none reaches into the next.
+    white = _WHITE[data]
+    begins = ~white
+    begins[1:] &= white[:-1]
+    first = np.searchsorted(np.flatnonzero(begins), at)
+    ends = per_word[first[1:]]
+    return np.insert(np.frombuffer(b"".join(ids), "<u4"), ends, END_ID), np.diff(ends, prepend=0) + 1
+
+
 def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all documents, each with the end id after it, and write them in ascending order of their ids."""
     file = vocab or default_vocab()
@@ -140,14 +197,16 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, id_col: s
             )
 
         for piece in pieces(batches, "text"):
-            texts = piece.column("text").to_pylist()
-            known, kind, part = _learn(texts, file), piece.schema.field("doc_id").type, piece.column("part")[0].as_py()
-            for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts, strict=True):
-                found = np.frombuffer(b"".join([known[w] for w in text.encode().split()]) + END, "<u4")
-                ids.append(doc_id)
-                counts.append(len(found))
-                held.append(found)
-                size += len(found)
+            found, per = _encoded(piece.column("text"), file)
+            kind, part, names = piece.schema.field("doc_id").type, piece.column("part")[0].as_py(), piece.column("doc_id").to_pylist()
+            total, at = np.concatenate(([0], np.cumsum(per))), 0
+            while at < len(per):
+                to = min(int(np.searchsorted(total, total[at] + SEGMENT - size)), len(per))
+                ids += names[at:to]
+                counts += per[at:to].tolist()
+                held.append(found[total[at] : total[to]])
+                size += int(total[to] - total[at])
+                at = to
                 if size >= SEGMENT:
                     yield close()
                     start, size, ids, counts, held = start + size, 0, [], [], []
