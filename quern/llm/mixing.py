@@ -2,9 +2,14 @@
 
 A text is coded as its bytes and an end symbol, each symbol as the path of its leaf in a Huffman tree of its predecessor
 (trees from all training documents), so that a byte takes about three binary decisions. Predictors of four context
-lengths hold, per (context, tree node), how often either branch was taken in all training documents. A decision's
-log odds are the predictors' odds weighted by two weight sets, which a gate (how sure the longest context is) blends; weights learn online from each decision's error, and an adaptive table of the mixed odds refines the result. Weights
-and table start anew with every stretch of STRETCH decisions, so a score depends on the text and the counts alone.
+lengths hold, per (context, tree node), how often either branch was taken in all training documents; these counts are
+those of the corpus and don't change while a text is scored. A decision's log odds are the predictors' odds weighted by
+two weight sets, which a gate (how sure the longest context is) blends; weights learn online from each decision's error,
+and an adaptive table of the mixed odds refines the result. Each document is one pass: its weights and table start from
+constants and go on to its end, so a score depends on the text and the counts alone (to rounding).
+
+All documents of a block advance together, a decision each, so a block holds documents of about the same length; the few
+longest ones, which outlive the rest of their block, go on one by one.
 
 The base score is a unigram model with additive smoothing over lower-cased words and one end per text. Counts travel in
 blocks of documents: each block sends the words and the contexts with their next symbols that it holds, and gets back the
@@ -18,30 +23,32 @@ Defined cases: a null text is empty; an empty text is one end token and one end
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quern.llm.common import PAGE, PAGES_SCHEMA, Work, crc_mod, pages_out, pieces, text_bytes, texts, vector_of
 from quern.llm.jaccard import U, mixed, word_hashes
 
 ORDERS = (2, 4, 6)
 SYMBOLS = 257  # bytes and the end
-STRETCH = 4096
 RATE, RATE_TABLE = 0.02, 0.02
 CELLS = 33
-#: Bytes of text whose decisions are laid out at a time.
-CACHED = 192 << 10
 STEP = 12.0  # odds are kept in steps of 1/12
 #: Keys whose paths are laid out at a time.
 SOME = 1 << 14
-#: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text in a block of documents, and for each part of the counts, about.
+BLOCK_BYTES, PART_BYTES = 8 << 20, 32 << 20
+#: Decisions that are laid out together.
+AT_ONCE = 1 << 17
+#: Documents that still advance together; fewer go on one by one.
+FEW = 6
 END_WORD = np.int64(0x5EED)
 
 
@@ -103,6 +110,27 @@ def keys_of(last: np.ndarray, sym: np.ndarray, order: int) -> np.ndarray:
     return ((last & U((1 << 9 * order) - 1)) << U(9)) | sym.astype(U)
 
 
+def distinct(sym: np.ndarray, last: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of an order, ascending, and which of them stands at each place."""
+    keys = keys_of(last, sym, order)
+    if len(keys) >> 24:
+        keys, which = np.unique(keys, return_inverse=True)
+        return keys, which.astype(np.int32)
+    # Sorting a hash of the key with its place in one number is much faster than sorting places. Keys that share a hash make
+    # more groups than there are keys, which are few enough to be sorted as they are.
+    packed = (keys * U(0x9E3779B97F4A7C15)) & ~U((1 << 24) - 1)
+    packed |= np.arange(len(keys), dtype=U)
+    packed.sort()
+    spot = (packed & U((1 << 24) - 1)).astype(np.int32)
+    keys = keys[spot]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    every, group = np.unique(keys[new], return_inverse=True)
+    which = np.empty(len(keys), np.int32)
+    which[spot] = group.astype(np.int32)[np.cumsum(new, dtype=np.int32) - 1]
+    return every, which
+
+
 def path_starts(keys: np.ndarray, trees: Trees) -> tuple[np.ndarray, np.ndarray]:
     """Where the path of each key's symbol starts, and how long it is."""
     leaf = (((keys >> U(9)) & U(511)) * U(SYMBOLS) + (keys & U(511))).astype(np.int64)
@@ -119,19 +147,14 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def tally(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of all texts, sorted within each order, how often each occurs in learned ones, and its order's place."""
-    found = [([np.zeros(0, U)], [np.zeros(0, np.int64)]) for _ in ORDERS]
-    for piece in pieces(table.combine_chunks().to_batches(), "text"):
-        sym, at = symbols_of(piece.column("text"))
-        last = contexts(sym, at)
-        learned = np.repeat(piece.column("learned").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-        for (keys, counts), order in zip(found, ORDERS, strict=True):
-            key = keys_of(last, sym, order)
-            for some, one in ((key[learned], 1), (key[~learned], 0)):
-                u, c = np.unique(some, return_counts=True)
-                keys.append(u)
-                counts.append(c * one)
-    done = [merged(np.concatenate(k), np.concatenate(c)) for k, c in found]
-    return np.concatenate([k for k, _ in done]), np.concatenate([c for _, c in done]), np.repeat(np.arange(len(ORDERS)), [len(k) for k, _ in done])
+    sym, at = symbols_of(table.column("text").combine_chunks())
+    last = contexts(sym, at)
+    learned = np.repeat(table.column("learned").to_numpy().astype(bool), np.diff(at))
+    found = []
+    for order in ORDERS:
+        keys, which = distinct(sym, last, order)
+        found.append((keys, np.bincount(which[learned], minlength=len(keys))))
+    return np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]), np.repeat(np.arange(len(ORDERS)), [len(k) for k, _ in found])
 
 
 def part_of(keys: np.ndarray, place: np.ndarray, parts: int) -> np.ndarray:
@@ -155,7 +178,10 @@ def odds_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... (size of them) for each."""
     total = np.cumsum(size)
-    return np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+    kind = np.int32 if not len(total) or max(int(total[-1]), int(start.max()) + int(size.max())) < 1 << 31 else np.int64
+    out = np.repeat((start - (total - size)).astype(kind), size)
+    out += np.arange(len(out), dtype=kind)
+    return out
 
 
 def path_odds(keys: np.ndarray, counts: np.ndarray, trees: Trees) -> np.ndarray:
@@ -219,39 +245,32 @@ def context_odds(placed: DataFrame, trees, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(answer, "block int, part int, odds binary")
 
 
-class Model:
-    """What a block of documents needs: the trees, the odds by predecessor, and those of its own contexts."""
+class Decisions:
+    """The decisions of a block of texts: each one's branch, the odds that each predictor gives it, and where a text's start."""
 
-    def __init__(self, trees: Trees, first: np.ndarray, table: pa.Table, answers: pa.Table, parts: int):
-        self.trees, self.first = trees, first
-        keys, _, place = tally(table)
+    def __init__(self, column: pa.Array, trees: Trees, first: np.ndarray, answers: pa.Table, parts: int):
+        sym, self.at = symbols_of(column)
+        last = contexts(sym, self.at)
+        start, self.size = path_starts(keys_of(last, sym, 1), trees)
+        path = ragged(start, self.size)
+        self.bit, node = trees.bit[path], trees.node[path]
+        self.ends = np.concatenate(([0], np.cumsum(self.size)))[self.at]
+        self.by_predecessor = first[np.repeat((last & U(511)).astype(np.int32) * 256, self.size) + node]
+        found = [distinct(sym, last, order) for order in ORDERS]
+        keys, place = np.concatenate([k for k, _ in found]), np.repeat(np.arange(len(ORDERS)), [len(k) for k, _ in found])
         size = path_starts(keys, trees)[1]
-        order = np.argsort(part_of(keys, place, parts), kind="stable")
-        start = np.empty(len(keys), np.int64)
-        start[order] = np.cumsum(size[order]) - size[order]
+        by = np.argsort(part_of(keys, place, parts), kind="stable")
+        at = np.empty(len(keys), np.int64)
+        at[by] = np.cumsum(size[by]) - size[by]
         self.odds = np.frombuffer(b"".join(raw for _, raw in sorted(zip(answers.column("part").to_pylist(), answers.column("odds").to_pylist(), strict=True))), np.int8)
-        ends = np.searchsorted(place, np.arange(len(ORDERS) + 1))
-        self.keys = [keys[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        self.start = [start[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def decisions(sym: np.ndarray, at: np.ndarray, model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Odds of each decision by predictor, its branch, and where each text's decisions start."""
-    last, trees = contexts(sym, at), model.trees
-    first, size = path_starts(keys_of(last, sym, 1), trees)
-    path = ragged(first, size)
-    odds = [model.first[np.repeat((last & U(511)).astype(np.int64) * 256, size) + trees.node[path]]]
-    for order, keys, start in zip(ORDERS, model.keys, model.start, strict=True):
-        u, inverse = np.unique(keys_of(last, sym, order), return_inverse=True)
-        odds.append(model.odds[ragged(start[np.searchsorted(keys, u)][inverse], size)])
-    return odds, trees.bit[path], np.concatenate(([0], np.cumsum(size)))[at]
+        cut = np.searchsorted(place, np.arange(len(ORDERS) + 1))
+        self.spots = [at[a:b][which] for a, b, (_, which) in zip(cut[:-1], cut[1:], found, strict=True)]
 
-
-def coded(column: pa.Array, model: Model) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """decisions() of some texts after another, as many as keep the arrays in a processor's cache."""
-    batch = pa.record_batch([column], names=["text"])
-    for some in pieces(iter([batch]), "text", CACHED):
-        yield decisions(*symbols_of(some.column(0)), model)
+    def predictors(self) -> Iterator[np.ndarray]:
+        """The odds of all decisions, a predictor after another."""
+        yield self.by_predecessor
+        for spot in self.spots:
+            yield self.odds[ragged(spot, self.size)]
 
 
 def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
@@ -262,8 +281,10 @@ def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
         counts = np.zeros(-(-SYMBOLS * SYMBOLS // PAGE) * PAGE, np.int64)
         for piece in pieces(batches, "text"):
             sym, at = symbols_of(piece.column("text"))
-            prev = (contexts(sym, at) & U(511)).astype(np.int64)
-            counts += np.bincount(prev * SYMBOLS + sym, minlength=len(counts))
+            code = np.empty(len(sym), np.int64)
+            code[1:] = sym[:-1] * SYMBOLS
+            code[at[:-1]] = 256 * SYMBOLS
+            counts += np.bincount(code + sym, minlength=len(counts))
         yield from pages_out(counts)
 
     pairs = vector_of(rows.mapInArrow(count_pairs, PAGES_SCHEMA), -(-SYMBOLS * SYMBOLS // PAGE) * PAGE)[: SYMBOLS * SYMBOLS]
@@ -274,73 +295,126 @@ def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
     return trees, odds_of(n - n1, n1)
 
 
-def bits_of(column: pa.Array, model: Model) -> np.ndarray:
+def bits_of(decisions: Decisions) -> np.ndarray:
     """The total of bits that each text takes."""
-    parts, at = [], [np.zeros(1, np.int64)]
-    for odds, bit, ends in coded(column, model):
-        parts.append((odds, bit))
-        at.append(ends[1:] + at[-1][-1])
-    at = np.concatenate(at)
-    if not parts:
-        return np.zeros(len(column))
-    slots = [np.concatenate([p[j] for p, _ in parts]) for j in range(len(parts[0][0]))]
-    bit = np.concatenate([b for _, b in parts])
-    del parts
-    # All stretches of all texts advance together, a decision each; the longest come first, so those still running lead.
-    cuts = [np.arange(a, b, STRETCH) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    owner = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
-    first = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
-    size = np.minimum(STRETCH, at[owner + 1] - first)
-    order = np.argsort(-size, kind="stable")
-    owner, first, size = owner[order], first[order].astype(np.int32), size[order]
-    n, k = len(first), len(slots)
-    steps = int(size.max(initial=0))
-    live = np.searchsorted(-size, -np.arange(steps), side="left")
-    by_step = np.concatenate([first[:m] + np.int32(t) for t, m in enumerate(live.tolist())]) if steps else np.zeros(0, np.int32)
-    x = [s[by_step] for s in slots]
-    del slots
-    bit = bit[by_step]
+    first, size = decisions.ends[:-1], np.diff(decisions.ends)
+    order = np.argsort(-size, kind="stable")  # the longest come first, so those still running lead
+    first, size = first[order].astype(np.int32), size[order]
+    n, k = len(first), len(ORDERS) + 1
+    live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
+    by_step = np.concatenate([first[:m] + np.int32(t) for t, m in enumerate(live.tolist())]) if len(live) else np.zeros(0, np.int32)
+    x = [odds[by_step] for odds in decisions.predictors()]
+    bit = decisions.bit[by_step]
+    del by_step
     # Two weight sets; the gate, how sure the longest context is, says how much each has to say.
     weights = np.full((2 * k, n), 1.6 / k, np.float32)
-    inputs = np.empty((2 * k, n), np.float32)
     table = np.tile(1 / (1 + np.exp(-(np.arange(CELLS, dtype=np.float32) - CELLS // 2) / 2)), n).astype(np.float32)
-    middle = (np.arange(n) * CELLS + CELLS // 2).astype(np.float32)
-    spent, at_step = np.zeros(n), 0
-    small, rate = np.float32(1 / STEP), np.float32(RATE)
-    for m in live.tolist():
-        now = slice(at_step, at_step + m)
-        at_step += m
-        v, w = inputs[:, :m], weights[:, :m]
-        for j in range(k):
-            np.multiply(x[j][now], small, out=v[j])
-        gate = np.abs(v[k - 1])
-        gate /= gate + np.float32(1)
-        np.multiply(v[:k], np.float32(1) - gate, out=v[k:])
-        v[:k] *= gate
-        z = np.einsum("ij,ij->j", w, v)
-        np.minimum(np.maximum(z, np.float32(-8), out=z), np.float32(8), out=z)
-        hit = bit[now]
-        p = 1 / (1 + np.exp(-z))
-        v *= (hit - p) * rate
-        w += v
-        cell = np.rint(z * 2 + middle[:m]).astype(np.int32)
+    spent = np.zeros(n)
+    starts = np.concatenate(([0], np.cumsum(live)))
+    together = int(np.searchsorted(-live, -FEW, side="right"))  # live falls
+    cuts = np.unique(np.append(np.searchsorted(starts[: together + 1], np.arange(0, starts[together], AT_ONCE)), together))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        span, size = slice(starts[a], starts[b]), live[a:b]
+        spans = [slice(o, o + m) for o, m in zip((starts[a:b] - starts[a]).tolist(), size.tolist(), strict=True)]
+        hits = bit[span].astype(np.float32)
+        lane = ragged(np.zeros(b - a, np.int64), size)
+        spent += np.bincount(lane, stepped([odds[span] for odds in x], hits, lane, spans, weights, table), minlength=n)
+    rest = live[together:]
+    rest = live[together:]
+    for lane in range(int(rest[0]) if len(rest) else 0):
+        mine = starts[together:-1][rest > lane] + lane
+        odds = [(x[j][mine] / STEP).tolist() for j in range(k)]
+        spent[lane] += alone(odds, bit[mine].tolist(), weights[:, lane].tolist(), table[lane * CELLS : (lane + 1) * CELLS].tolist())
+    out = np.empty(n)
+    out[order] = spent / np.log(2)
+    return out
+
+
+def stepped(odds: list[np.ndarray], hits: np.ndarray, lane: np.ndarray, spans: list[slice], weights: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Nats of the decisions of some steps, those of a step side by side; weights and table move on."""
+    k, one = len(odds), np.float32(1)
+    v = np.empty((2 * k, len(hits)), np.float32)
+    for j in range(k):
+        np.multiply(odds[j], np.float32(1 / STEP), out=v[k + j])
+    gate = np.abs(v[2 * k - 1])
+    gate /= gate + one
+    np.multiply(v[k:], gate, out=v[:k])
+    v[k:] *= one - gate
+    z, p, r = (np.empty(len(hits), np.float32) for _ in range(3))
+    low, high, rate = np.float32(-8), np.float32(8), np.float32(RATE)
+    for now in spans:
+        some, odd, mine, w = v[:, now], z[now], p[now], weights[:, : now.stop - now.start]
+        np.einsum("ij,ij->j", w, some, out=odd)
+        np.maximum(odd, low, out=odd)
+        np.minimum(odd, high, out=odd)
+        np.negative(odd, out=mine)
+        np.exp(mine, out=mine)
+        mine += one
+        np.reciprocal(mine, out=mine)
+        miss = hits[now] - mine
+        miss *= rate
+        some *= miss
+        w += some
+    cells = np.rint(z * np.float32(2)).astype(np.int32) + lane * CELLS + CELLS // 2
+    step, keep = hits * np.float32(RATE_TABLE), np.float32(1 - RATE_TABLE)
+    for now in spans:
+        cell = cells[now]
+        mine = r[now] = table[cell]
+        mine = mine * keep
+        mine += step[now]
+        table[cell] = mine
+    return -np.log(np.abs(one - hits - (p + r) * np.float32(0.5)))
+
+
+def alone(odds: list[list[float]], bits: list[int], weights: list[float], table: list[float]) -> float:
+    """Nats that the decisions of one text take, from the state that it has; the same steps as those taken together."""
+    k, spent = len(odds), 0.0
+    w1, w2, exp, log = weights[:k], weights[k:], math.exp, math.log
+    for hit, *v in zip(bits, *odds, strict=True):
+        gate = abs(v[-1])
+        gate /= gate + 1
+        other = 1 - gate
+        z = max(-8.0, min(8.0, gate * sum(map(mul, w1, v)) + other * sum(map(mul, w2, v))))
+        p = 1 / (1 + exp(-z))
+        step = (hit - p) * RATE
+        w1 = [w + step * gate * a for w, a in zip(w1, v, strict=True)]
+        w2 = [w + step * other * a for w, a in zip(w2, v, strict=True)]
+        cell = round(z * 2) + CELLS // 2
         refined = table[cell]
-        table[cell] = refined + (hit - refined) * np.float32(RATE_TABLE)
-        spent[:m] -= np.log(np.abs(np.float32(1) - hit - (p + refined) * np.float32(0.5)))
-    return np.bincount(owner, spent, minlength=len(column)) / np.log(2)
+        table[cell] = refined + (hit - refined) * RATE_TABLE
+        spent -= log(abs(1 - hit - (p + refined) * 0.5))
+    return spent
+
+
+def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with a block, and how many bytes there are. A block's texts are of about the same length and make BLOCK_BYTES.
+
+    Rows are dealt by id, text and place in their file, so rows that are the same don't meet in one block.
+    """
+    size = F.octet_length("text")
+    kind = F.floor(2 * F.log2(size + 1)).cast("int")
+    sizes = {r.kind: r.bytes for r in rows.groupBy(kind.alias("kind")).agg(F.sum(size).alias("bytes")).collect()}  # two for each power of two
+    firsts, many, total = {}, {}, 0
+    for c in sorted(sizes):
+        firsts[c], many[c] = total, max(1, -(-sizes[c] // BLOCK_BYTES))
+        total += many[c]
+    if not sizes:
+        return rows.withColumn("block", F.lit(0)), 0
+    of = lambda d: F.element_at(F.create_map(*(F.lit(x) for pair in d.items() for x in pair)), kind)
+    spread = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    return rows.withColumn("block", (of(firsts) + F.pmod(spread, of(many))).cast("int")), sum(sizes.values())
 
 
 def score(docs: DataFrame, learn_from: Column) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, learned, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     work = Work(spark)
-    rows = docs.select("doc_id", "text", learn_from.alias("learned"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), learn_from.alias("learned"))
     trees, first = train(rows.filter("learned"))
     shared, shared_trees = spark.sparkContext.broadcast(first), spark.sparkContext.broadcast(trees)  # as many as there are pairs of symbols
     kind = rows.schema["doc_id"].dataType.simpleString()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    placed, size = dealt(rows)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
     def words(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Words of all texts, an end each (after all words), and their texts."""
@@ -361,26 +435,28 @@ def score(docs: DataFrame, learn_from: Column) -> DataFrame:
         return pa.table([block, pa.array(names), pa.array(counts)], names=["block", "word", "c"])
 
     sent = placed.groupBy("block").applyInArrow(send, "block int, word long, c long")
-    same = W.partitionBy("word")  # at most a row for each block
-    counted = sent.withColumn("c", F.sum("c").over(same)).withColumn("one", F.row_number().over(same.orderBy("block")) == 1)
-    answers = context_odds(placed, shared_trees, blocks).select("block", *(F.lit(None).cast(t).alias(c) for c, t in (("word", "long"), ("c", "long"), ("one", "boolean"))), "part", "odds")
+    # A word that all blocks hold is summed before the shuffle and joined, so its rows meet in no one task.
+    sums = sent.groupBy(F.col("word").alias("w")).agg(F.sum("c").alias("all"), F.min("block").alias("owner"))
+    counted = sent.join(sums, F.col("word") == F.col("w")).select("block", "word", F.col("all").alias("c"), (F.col("block") == F.col("owner")).alias("one"))
+    answers = context_odds(placed, shared_trees, parts).select("block", *(F.lit(None).cast(t).alias(c) for c, t in (("word", "long"), ("c", "long"), ("one", "boolean"))), "part", "odds")
     counted = counted.select("block", "word", "c", "one", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("odds")).union(answers)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         theirs = right.column("part").is_valid()
-        model = Model(shared_trees.value, shared.value, left, right.filter(theirs).select(["part", "odds"]), blocks)
+        whole = left.combine_chunks()
+        bits = bits_of(Decisions(whole.column("text").combine_chunks(), shared_trees.value, shared.value, right.filter(theirs).select(["part", "odds"]), parts)) if left.num_rows else np.zeros(0)
         right = right.filter(pc.invert(theirs)).select(["word", "c", "one"])
         name, c = np.asarray(right.column("word"), np.int64), np.asarray(right.column("c"), np.int64)
         one = right.column("one").to_numpy()
         order = np.argsort(name)
         name, c = name[order], c[order]
         logs = np.log10(c + 0.1)
-        out = []
-        for piece in pieces(left.combine_chunks().to_batches(), "text"):
+        out, done = [], 0
+        for piece in pieces(whole.to_batches(), "text"):
             word, owner = words(piece)
             spot = np.searchsorted(name, word)
             n = piece.num_rows
-            bits = bits_of(piece.column("text"), model)
+            done += n
             out.append(
                 pa.table(
                     [
@@ -389,7 +465,7 @@ def score(docs: DataFrame, learn_from: Column) -> DataFrame:
                         pa.array(np.bincount(owner, minlength=n)),
                         pa.array(np.bincount(owner, c[spot] > 0, minlength=n).astype(np.int64)),
                         pa.array(np.bincount(owner, logs[spot], minlength=n)),
-                        pa.array(bits),
+                        pa.array(bits[done - n : done]),
                         pa.array(np.diff(text_bytes(piece.column("text"))[1])),
                         pa.nulls(n, pa.int64()),
                         pa.nulls(n, pa.int64()),

@@ -1,9 +1,11 @@
+import math
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import functions as F
 
 from quern.llm import mixing
 
@@ -20,9 +22,51 @@ def test_context_odds_are_those_of_exact_counts(spark):
     counts = Counter((o, c[6 - o :], n, b) for i, _, learned, _ in rows if learned for c, n, b in steps[i] for o in (1, *mixing.ORDERS))
     for block in range(3):
         mine = [r for r in rows if r[3] == block]
-        table = pa.table({"text": [r[1] for r in mine], "learned": [r[2] for r in mine]})
-        model = mixing.Model(trees, first, table, answers.filter(pa.compute.equal(answers.column("block"), block)), 3)
-        found = [np.concatenate(x) for x in zip(*(o for o, _, _ in mixing.coded(table.column("text").combine_chunks(), model)), strict=True)]
-        for o, odds in zip((1, *mixing.ORDERS), found, strict=True):
+        table = pa.table({"text": [r[1] for r in mine]})
+        found = mixing.Decisions(table.column("text").combine_chunks(), trees, first, answers.filter(pa.compute.equal(answers.column("block"), block)), 3)
+        for o, odds in zip((1, *mixing.ORDERS), found.predictors(), strict=True):
             pairs = np.array([[counts[o, c[6 - o :], n, b] for b in (0, 1)] for r in mine for c, n, _ in steps[r[0]]])
             assert odds.tolist() == mixing.odds_of(pairs[:, 0], pairs[:, 1]).tolist()
+
+
+def coder(text, docs, trees):
+    """Bits of a text, decision by decision, with counts of all learned texts (a list): slow and plain."""
+    paths = lambda c, s: [(int(trees.node[k]), int(trees.bit[k])) for k in range(trees.start[c * 257 + s], trees.start[c * 257 + s + 1])]
+    steps = lambda t: [(tuple(([256] * 6 + x)[j : j + 6]), n, b) for x in ([*t.encode(), 256],) for j, s in enumerate(x) for n, b in paths(([256] * 6 + x)[j + 5], s)]
+    counts = Counter((o, c[6 - o :], n, b) for t in docs for c, n, b in steps(t) for o in (1, *mixing.ORDERS))
+    k = len(mixing.ORDERS) + 1
+    weights, bits = [[1.6 / k] * k, [1.6 / k] * k], 0.0
+    table = [1 / (1 + math.exp(-(c - 16) / 2)) for c in range(33)]
+    for c, n, b in steps(text):
+        x = [max(-127, min(127, round(math.log((counts[o, c[6 - o :], n, 1] + 0.4) / (counts[o, c[6 - o :], n, 0] + 0.4)) * 12))) / 12 for o in (1, *mixing.ORDERS)]
+        gate = abs(x[-1]) / (abs(x[-1]) + 1)
+        share = (gate, 1 - gate)
+        z = sum(g * sum(w * v for w, v in zip(ws, x, strict=True)) for g, ws in zip(share, weights, strict=True))
+        z = max(-8.0, min(8.0, z))
+        p = 1 / (1 + math.exp(-z))
+        cell = round(2 * z) + 16
+        mixed = (p + table[cell]) / 2
+        bits -= math.log2(mixed if b else 1 - mixed)
+        weights = [[w + 0.02 * (b - p) * g * v for w, v in zip(ws, x, strict=True)] for g, ws in zip(share, weights, strict=True)]
+        table[cell] += 0.02 * (b - table[cell])
+    return bits
+
+
+def test_scores_are_those_of_a_plain_coder(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdé  ") for _ in range(n))
+    rows = [(i, text(rng.randint(0, 60))) for i in range(30)] + [(31, ""), (32, None), (33, "ab" * 400), (34, text(900)), (35, rows_text := text(40)), (35, rows_text), (None, "xyz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "coalesce(text, '') as text", "1 as learned")
+    learned = [t or "" for i, t in rows if i is not None and i % 5]
+    trees, _ = mixing.train(docs.filter("doc_id % 5 <> 0"))
+    for block in (1 << 20, 300):  # one block for each length, and several
+        monkeypatch.setattr(mixing, "BLOCK_BYTES", block)
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.score, r.n_bytes) for r in mixing.score(docs.drop("learned"), F.coalesce(F.col("doc_id") % 5 != 0, F.lit(False))).collect())
+        want = sorted(((i if i is not None else -1), -coder(t or "", learned, trees) * math.log10(2), len((t or "").encode())) for i, t in rows)
+        assert len(got) == len(want)
+        for g, w in zip(got, want, strict=True):
+            assert g[0] == w[0] and g[2] == w[2] and math.isclose(g[1], w[1], rel_tol=2e-4), (g, w)
+
+
+def test_empty_table(spark):
+    assert mixing.score(spark.createDataFrame([], "doc_id long, text string"), F.lit(True)).count() == 0
