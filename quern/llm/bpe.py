@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import pieces
+from quern.llm.common import pieces, remembered
 
 #: Words that a worker remembers: once half as many are new, it forgets those that it hasn't met since the last time.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 #: The split of the vocabulary file, with its white space (Unicode's) spelled out.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -200,15 +200,10 @@ def load(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-@lru_cache(maxsize=4)
-def _remembered(path: str) -> dict[str, dict]:
-    """Stretches and words that this worker has met: since it last forgot some, and before."""
-    return {"now": {}, "before": {}, "words": {}, "words_before": {}}
-
-
 def encode_column(texts: pa.Array, path: str):
     """Yields (ids as bytes, decoded text as bytes) of each text."""
-    memory = _remembered(path)
+    # Stretches and words that this worker has met: since it last forgot some, and before.
+    memory = remembered("bpe").setdefault(path, {"now": {}, "before": {}, "words": {}, "words_before": {}})
     split = [(x or "").encode().split() for x in texts.to_pylist()]
     wanted, known = set().union(*split), memory["now"]
     new = [w for w in wanted if w not in known]
@@ -229,7 +224,7 @@ def encode(docs: DataFrame, keep: Column | None = None, text_col: str = "text",
     rows = docs.select((F.struct("*") if keep is None else keep).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for piece in pieces(batches, "text", 1 << 20):
+        for piece in pieces(batches, "text", keeps="bpe"):
             pairs = list(encode_column(piece.column("text"), path))
             n = pa.array([len(i) // 4 for i, _ in pairs], pa.int64())
             if digests:

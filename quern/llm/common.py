@@ -53,8 +53,22 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of a piece are about `limit` bytes at most (one longer text makes a piece of its own)."""
+_remembered: dict[str, dict] = {}
+
+
+def remembered(name: str) -> dict:
+    """What an operator keeps in a worker from task to task. Workers serve one operator after another: what others kept goes."""
+    for other in [x for x in _remembered if x != name]:
+        del _remembered[other]
+    return _remembered.setdefault(name, {})
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20, keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of a piece are about `limit` bytes at most (one longer text makes a piece of its own).
+
+    keeps: the name of what the operator keeps in its worker, if it keeps anything.
+    """
+    remembered(keeps)
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quern.llm.common import Work, pieces, text_bytes
+from quern.llm.common import Work, pieces, remembered, text_bytes
 
 BLOCK = 256
 #: Ids after which a segment is closed, at the end of a document.
@@ -123,7 +123,7 @@ def _library(path: str):
     library = tokenizers.Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    return library, {"now": {}, "before": {}, "pieces": {}}
+    return library
 
 
 def _by_library(library, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -148,7 +148,7 @@ _ENDED = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9'\x80-\xff]*)")
 
 def _learn(words: list[bytes], path: str) -> dict[bytes, bytes]:
     """The library's ids by word. Its vocabulary parts words at ASCII white space, so each stretch between is encoded once."""
-    library, memory = _library(path)
+    library, memory = _library(path), remembered("tokens").setdefault(path, {"now": {}, "before": {}, "pieces": {}})
     known = memory["now"]
     new = {w for w in words if w not in known}
     if len(known) + len(new) > MOST_WORDS // 2:
@@ -196,7 +196,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, id_col: s
                 names=["part", "start", "doc_ids", "n_tokens", "payload"],
             )
 
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", keeps="tokens"):
             found, per = _encoded(piece.column("text"), file)
             kind, part, names = piece.schema.field("doc_id").type, piece.column("part")[0].as_py(), piece.column("doc_id").to_pylist()
             total, at = np.concatenate(([0], np.cumsum(per))), 0
