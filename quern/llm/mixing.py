@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quern.llm.common import PAGE, PAGES_SCHEMA, Work, crc_mod, pages_out, pieces, text_bytes, texts, vector_of
 from quern.llm.jaccard import U, mixed, word_hashes
@@ -200,7 +201,7 @@ def path_odds(keys: np.ndarray, counts: np.ndarray, trees: Trees) -> np.ndarray:
 
 
 def context_odds(placed: DataFrame, trees, parts: int) -> DataFrame:
-    """block, part, odds: for each block of documents (block, text, learned) the odds at its own keys, in the order (part, order, key).
+    """block, part, odds: for each block of documents (with block, text, learned) the odds at its own keys, in the order (part, order, key).
 
     A block sends each part its distinct keys and their counts; a part adds those of all blocks and answers each.
     """
@@ -241,7 +242,7 @@ def context_odds(placed: DataFrame, trees, parts: int) -> DataFrame:
                 out[i].append(odds[ragged(start[spot], size[spot])].tobytes())
         return pa.table([group.column("block"), group.column("part"), pa.array([b"".join(o) for o in out], pa.binary())], names=["block", "part", "odds"])
 
-    sent = placed.select("block", "text", "learned").groupBy("block").applyInArrow(send, "part int, block int, sizes array<int>, keys binary, counts binary")
+    sent = placed.groupBy("block").applyInArrow(send, "part int, block int, sizes array<int>, keys binary, counts binary")
     return sent.groupBy("part").applyInArrow(answer, "block int, part int, odds binary")
 
 
@@ -435,9 +436,9 @@ def score(docs: DataFrame, learn_from: Column) -> DataFrame:
         return pa.table([block, pa.array(names), pa.array(counts)], names=["block", "word", "c"])
 
     sent = placed.groupBy("block").applyInArrow(send, "block int, word long, c long")
-    # A word that all blocks hold is summed before the shuffle and joined, so its rows meet in no one task.
-    sums = sent.groupBy(F.col("word").alias("w")).agg(F.sum("c").alias("all"), F.min("block").alias("owner"))
-    counted = sent.join(sums, F.col("word") == F.col("w")).select("block", "word", F.col("all").alias("c"), (F.col("block") == F.col("owner")).alias("one"))
+    # At most a row for each block; a join with the sums would shuffle all rows three times.
+    same = W.partitionBy("word")
+    counted = sent.withColumn("one", F.row_number().over(same.orderBy("block")) == 1).withColumn("c", F.sum("c").over(same))
     answers = context_odds(placed, shared_trees, parts).select("block", *(F.lit(None).cast(t).alias(c) for c, t in (("word", "long"), ("c", "long"), ("one", "boolean"))), "part", "odds")
     counted = counted.select("block", "word", "c", "one", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("odds")).union(answers)
 
