@@ -114,11 +114,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: Column |
     langs, table = model
     # Where the row holds the text, it is taken from there, so that it is sent once.
     rows = docs.select(F.struct("*").alias("row")) if keep is None else docs.select(keep.alias("row"), F.col(text_col).alias("text"))
+    own = keep is None  # tasks get this, as a Column can't be sent to them
     shared = docs.sparkSession.sparkContext.broadcast(table)  # GRAMS x languages, bounded by MOST_LANGUAGES
 
     def run(batches):
         names = np.array([*langs, "und"], object)
-        if keep is None:
+        if own:
             batches = (pa.record_batch([b.column("row"), b.column("row").field(text_col)], names=["row", "text"]) for b in batches)
         for piece in pieces(batches, "text"):
             texts = piece.column("text")
