@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontam, jaccard, langid, line_dedup, mixing, secrets, suffix_dedup, token_files, topk
+from quern.llm import bpe, decontam, jaccard, langid, line_dedup, mixing, quality, secrets, suffix_dedup, token_files, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
+    "op12_quality_rules": quality.op12_quality_rules,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
