@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontam, jaccard, langid, line_dedup, mixing, quality, secrets, suffix_dedup, token_files, topk
+from quern.llm import bpe, decontam, jaccard, langid, line_dedup, merkle, mixing, quality, secrets, suffix_dedup, token_files, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_quality_rules": quality.op12_quality_rules,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op4_exact_top_k": topk.SQL,
     "op10_benchmark_decontamination": decontam.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
