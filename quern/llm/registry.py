@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontam, jaccard, langid, line_dedup, merkle, mixing, quality, secrets, suffix_dedup, token_files, topk
+from quern.llm import bpe, decontam, jaccard, langid, line_dedup, merkle, mixing, periodic, quality, secrets, suffix_dedup, token_files, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_quality_rules": quality.op12_quality_rules,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
