@@ -20,14 +20,14 @@ def _tree(spark, sf_dir):
     k = F.col("p_partkey")
     d = (k % 8).cast("string")
     folder = F.when(k % 8 < 3, F.concat(F.lit("bafkreifolderfolderfolder"), F.translate(d, "01289", "abcde"))).otherwise(F.concat(F.lit("dir"), d))
-    name = F.when(k % 5 == 0, F.concat(F.lit("bafkreifilefilefilefile"), F.translate(k.cast("string"), "0189", "abcd"), F.lit(".json"))).when((k % 8 == 4) & (k % 5 == 1), f"{SEED}.json").otherwise(F.concat(F.lit("f"), k.cast("string"), F.when(k % 2 == 0, ".json").otherwise(".txt")))
+    name = F.when((k % 5 == 0) & (k % 8 != 2), F.concat(F.lit("bafkreifilefilefilefile"), F.translate(k.cast("string"), "0189", "abcd"), F.lit(".json"))).when((k % 8 == 4) & (k % 5 == 1), f"{SEED}.json").otherwise(F.concat(F.lit("f"), k.cast("string"), F.when(k % 2 == 0, ".json").otherwise(".txt")))
     deeper = F.when(k % 7 == 0, "sub/").otherwise("")
-    return table(spark, sf_dir, "part").filter("p_partkey % 8 <> 2 or p_partkey % 5 <> 0").select(F.concat(folder, F.lit("/"), deeper, name).alias("path"), k.alias("seq"))
+    return table(spark, sf_dir, "part").select(F.concat(folder, F.lit("/"), deeper, name).alias("path"), k.alias("seq"))
 
 
 _TREE_SQL = f"""WITH t AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 8 < 3 THEN 'bafkreifolderfolderfolder' || translate((p_partkey % 8)::VARCHAR, '01289', 'abcde') ELSE 'dir' || p_partkey % 8 END AS d,
-CASE WHEN p_partkey % 5 = 0 THEN 'bafkreifilefilefilefile' || translate(p_partkey::VARCHAR, '0189', 'abcd') || '.json' WHEN p_partkey % 8 = 4 AND p_partkey % 5 = 1 THEN '{SEED}.json' ELSE 'f' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.json' ELSE '.txt' END END AS n, p_partkey % 7 = 0 AS deep FROM part WHERE p_partkey % 8 <> 2 OR p_partkey % 5 <> 0),
-e AS (SELECT CASE WHEN k % 8 < 3 THEN d ELSE 'SEED_PENDING:' || d END AS property_cid, n[:-6] AS data_group_cid, d || '/' || n AS path FROM t WHERE NOT deep AND (k % 8 < 3 OR d IN (SELECT d FROM t WHERE n = '{SEED}.json' AND NOT deep)) AND (k % 5 = 0 OR (k % 8 = 4 AND n = '{SEED}.json')))
+CASE WHEN p_partkey % 5 = 0 AND p_partkey % 8 <> 2 THEN 'bafkreifilefilefilefile' || translate(p_partkey::VARCHAR, '0189', 'abcd') || '.json' WHEN p_partkey % 8 = 4 AND p_partkey % 5 = 1 THEN '{SEED}.json' ELSE 'f' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.json' ELSE '.txt' END END AS n, p_partkey % 7 = 0 AS deep FROM part),
+e AS (SELECT CASE WHEN k % 8 < 3 THEN d ELSE 'SEED_PENDING:' || d END AS property_cid, n[:-6] AS data_group_cid, d || '/' || n AS path FROM t WHERE NOT deep AND (k % 8 < 3 OR d IN (SELECT d FROM t WHERE n = '{SEED}.json' AND NOT deep)) AND ((k % 5 = 0 AND k % 8 <> 2) OR (k % 8 = 4 AND n = '{SEED}.json')))
 """
 
 
@@ -43,7 +43,7 @@ def scan_totals(spark, sf_dir):
     return scan.entries(_tree(spark, sf_dir), SEED).groupBy("property_cid").agg(F.count("*").alias("files"), F.count_distinct("data_group_cid").alias("groups"))
 
 
-@query(_TREE_SQL + "SELECT d AS dir, 'No valid data group CID files found in ' || d AS error FROM t GROUP BY d HAVING starts_with(d, 'baf') AND count(*) FILTER (WHERE NOT deep AND k % 5 = 0) = 0")
+@query(_TREE_SQL + "SELECT d AS dir, 'No valid data group CID files found in ' || d AS error FROM t GROUP BY d HAVING starts_with(d, 'baf') AND count(*) FILTER (WHERE NOT deep AND k % 5 = 0 AND k % 8 <> 2) = 0")
 def scan_structure(spark, sf_dir):
     """What is wrong with properties' folders."""
     return scan.structure_errors(_tree(spark, sf_dir), SEED)
@@ -418,13 +418,18 @@ def link_kinds(spark, sf_dir):
     return rows.select("event_id", canon.json_has_link(F.col("raw")).alias("simple"), canon.json_has_any_link(F.col("raw")).alias("any"), (canon.canonical_json(F.col("raw")) == F.col("raw")).alias("canonical"))
 
 
-@query("""SELECT i AS k, m AS problem FROM (VALUES (0, NULL), (1, 'Schema must be a valid JSON object'), (2, 'Data group schema must describe an object (type: "object")'), (3, 'Data group schema must have a "properties" object'), (4, 'Data group schema must have a "label" property'),
-(5, 'Data group schema must have a "relationships" property'), (6, 'Data group schema must have exactly 2 properties: "label" and "relationships"')) t(i, m)""")
+_GROUP_PROBLEMS = (None, "Schema must be a valid JSON object", 'Data group schema must describe an object (type: "object")', 'Data group schema must have a "properties" object', 'Data group schema must have a "label" property', 'Data group schema must have a "relationships" property', 'Data group schema must have exactly 2 properties: "label" and "relationships"')
+
+
+@query(f"""SELECT event_id, [{", ".join("NULL" if m is None else f"'{m}'" for m in _GROUP_PROBLEMS)}, 'Data group schema must have a "label" property'][(event_id % 8)::INTEGER + 1] AS problem FROM events""")
 def datagroup_schemas(spark, sf_dir):
-    """What is wrong with schemas of data groups. Schemas are a dimension on the driver."""
-    both = {"label": {"type": "string"}, "relationships": {"type": "object"}}
-    some = [{"type": "object", "properties": both}, None, {"type": "array"}, {"type": "object"}, {"type": "object", "properties": {"relationships": {}}}, {"type": "object", "properties": {"label": {"a": 1}}}, {"type": "object", "properties": both | {"x": {}}}]
-    return spark.createDataFrame([(k, validate.datagroup_schema_problem(s)) for k, s in enumerate(some)], "k int, problem string")
+    """What is wrong with schemas of data groups."""
+    note = F.concat(F.lit('{"type":"string","description":"'), "event_type", F.lit('"}'))
+    of = lambda inner, kind="object": F.concat(F.lit(f'{{"type":"{kind}","properties":{{'), inner, F.lit("}}"))
+    both = F.concat(F.lit('"label":'), note, F.lit(',"relationships":'), "props")
+    cases = [of(both), F.concat(F.lit("not JSON "), "event_type"), of(both, "array"), F.concat(F.lit('{"type":"object","user":'), F.col("user_id").cast("string"), F.lit("}"))]
+    cases += [of(F.concat(F.lit('"relationships":'), "props")), of(F.concat(F.lit('"label":'), "props")), of(F.concat(both, F.lit(',"x":1'))), of(F.concat(F.lit('"label":"","relationships":'), "props"))]
+    return table(spark, sf_dir, "events").select("event_id", validate.datagroup_schema_problem(F.get(F.array(*cases), (F.col("event_id") % 8).cast("int"))).alias("problem"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'html' ELSE 'json' END AS kind FROM pages")
@@ -535,12 +540,12 @@ def saved_paths(spark, sf_dir):
 # Sources.
 
 
-@query("""SELECT o_custkey::VARCHAR AS property, CASE WHEN count(*) OVER (PARTITION BY o_custkey) = 1 THEN '' ELSE 'd' || o_orderkey % 2 || '/' END || o_orderkey || '.json' AS entry, '{"k":' || o_orderkey || '}' AS content FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 2 = 0
+@query("""SELECT o_custkey::VARCHAR AS property, CASE WHEN count(*) OVER (PARTITION BY o_custkey) = 1 THEN '' ELSE 'd' || o_orderkey % 2 || '/' END || o_orderkey || '.json' AS entry, '{"k":' || o_orderkey || '}' AS content FROM orders
 UNION ALL SELECT o_custkey::VARCHAR, o_orderkey || '.json', '{"k":' || o_orderkey || '}' FROM orders WHERE false""".replace("CASE WHEN count(*) OVER (PARTITION BY o_custkey) = 1 THEN '' ELSE 'd' || o_orderkey % 2 || '/' END || ", ""))
 def archive_round_trip(spark, sf_dir):
     """S1, S2, S4, S5, S34, K-2: properties packed as archives and read again; a folder that all entries share goes."""
     key = F.col("o_orderkey").cast("string")
-    rows = table(spark, sf_dir, "orders").filter("o_custkey % 3 <> 0 and o_orderkey % 2 = 0").select(F.col("o_custkey").cast("string").alias("property"), F.concat(F.lit("d0/"), key, F.lit(".json")).alias("entry"), F.encode(F.concat(F.lit('{"k":'), key, F.lit("}")), "UTF-8").alias("content"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("property"), F.concat(F.lit("d0/"), key, F.lit(".json")).alias("entry"), F.encode(F.concat(F.lit('{"k":'), key, F.lit("}")), "UTF-8").alias("content"))
     packed = files.write_archives(rows, "property").select(F.col("property").alias("path"), F.col("archive").alias("content"))
     noise = rows.select(F.col("entry").alias("path"), "content")
     found = files.unpacked(packed.unionByName(noise))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -12,10 +12,11 @@ from quern.functions.urls import fill_template
 CHUNK = 2000
 
 
-def block_ranges(spark: SparkSession, first: int, last: int, size: int = CHUNK) -> DataFrame:
-    """Consecutive ranges of blocks, both ends included; they fan out without a list on the driver."""
-    lo = F.lit(first) + F.col("id") * size
-    return spark.range(max(0, -(-(last - first + 1) // size))).select(lo.alias("from_block"), F.least(lo + size - 1, F.lit(last)).alias("to_block"))
+def block_ranges(scans: DataFrame, first: str = "first", last: str = "last", size: int = CHUNK) -> DataFrame:
+    """Each row's range of blocks in consecutive chunks, both ends included; ranges without a block give no row."""
+    starts = F.when(F.col(first) <= F.col(last), F.sequence(F.col(first), F.col(last), F.lit(size).cast("long")))
+    rows = scans.withColumn("from_block", F.explode(starts))
+    return rows.withColumn("to_block", F.least(F.col("from_block") + size - 1, F.col(last)))
 
 
 def flow_requests(ids: DataFrame, flow: list[dict[str, str]], column: str = "request_identifier") -> DataFrame:

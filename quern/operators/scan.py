@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.formats import loose_cid
-from quern.operators.documents import is_datagroup_root
+from quern.operators.documents import is_datagroup_root, manifest_lookup
 
 #: What stands before a folder's name until its seed's identifier is known, and what is wrong with folders.
 PENDING = "SEED_PENDING:"
@@ -86,10 +86,10 @@ def datagroups(files: DataFrame, manifest: DataFrame, raw: str = "raw") -> DataF
     The label names the data group in the manifest (name, cid, type); the property is the folder that the file is in.
     """
     roots = files.filter(is_datagroup_root(F.col(raw))).withColumn("label", F.get_json_object(raw, "$.label"))
-    groups = manifest.filter("type = 'dataGroup'").select(F.col("name").alias("m_name"), F.col("cid").alias("data_group_cid"))
+    groups = manifest.filter("type = 'dataGroup'").select("name", "cid", "type")
     folder = F.regexp_extract("path", "(?:^|/)([^/]+)/[^/]+$", 1)
-    found = roots.join(groups, (F.col("label") == F.col("m_name")) | (F.replace("label", F.lit(" "), F.lit("_")) == F.col("m_name")), "left")
-    return found.select("path", "label", F.when(folder != "", folder).alias("property"), "data_group_cid")
+    found = manifest_lookup(roots.select("path", "label"), groups)
+    return found.select("path", "label", F.when(folder != "", folder).alias("property"), F.col("cid").alias("data_group_cid"))
 
 
 def required_files(files: DataFrame, wanted: tuple[str, ...]) -> DataFrame:

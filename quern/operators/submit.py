@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quern.functions.cid import hash_of_cid
+from quern.operators.ranks import ranked
 
 #: Fixed value: the hash that stands for none.
 ZERO_HASH = "0x" + "0" * 64
@@ -38,18 +38,9 @@ def eligibility(records: DataFrame, consensus: DataFrame, submissions: DataFrame
 
 
 def batches(items: DataFrame, order: str, group: str | None = None, size: int = BATCH) -> DataFrame:
-    """B1: consecutive batches in order. Without a group, ranks come from range partitions and their offsets, so no single task sorts all."""
-    if group:
-        n = F.row_number().over(W.partitionBy(group).orderBy(order)) - 1
-        return items.withColumn("batch", F.floor(n / size).cast("long")).withColumn("place", (n % size).cast("long"))
-    n_parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = items.repartitionByRange(n_parts, order).withColumn("_part", F.spark_partition_id())
-    counts = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))  # one row per partition
-    n = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1 + F.col("_before")
-    out = parted.join(F.broadcast(offsets), "_part").withColumn("_k", n)
-    return out.withColumn("batch", F.floor(F.col("_k") / size).cast("long")).withColumn("place", (F.col("_k") % size).cast("long")).drop("_part", "_before", "_k")
+    """B1: consecutive batches in order, of all items or of each group's."""
+    placed = ranked(items, [order], [group] if group else None, "__k")
+    return placed.select(*items.columns, F.floor(F.col("__k") / size).cast("long").alias("batch"), (F.col("__k") % size).cast("long").alias("place"))
 
 
 def gas_plan(batched: DataFrame, base_gas: int = 21000, item_gas: int = 53123, percent: int = 20, max_fee_gwei: int = 30, nonce: int = 7) -> DataFrame:

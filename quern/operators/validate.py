@@ -16,7 +16,7 @@ from datetime import date, datetime
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import multiformats as mf
@@ -398,8 +398,9 @@ def linked_content(docs: DataFrame, files: DataFrame, key: str = "doc_id", folde
     theirs = files.select(F.col(folder).alias("_dir"), F.col("name").alias("_name"), F.col("text").alias("_text"))
     seen = None
     while True:
-        found = frontier.join(theirs, (F.col("name") == F.col("_name")) & (F.col("_dir").isNull() | (F.col("_dir") == F.col(folder))))
-        found = found.select(key, folder, "name", F.col("_text").alias("text"))
+        own = frontier.join(theirs, (F.col("name") == F.col("_name")) & (F.col("_dir") == F.col(folder)))
+        shared = frontier.join(theirs.filter("_dir is null"), F.col("name") == F.col("_name"))
+        found = own.union(shared).select(key, folder, "name", F.col("_text").alias("text"))
         if seen is not None:
             found = found.join(seen.select(key, "name"), [key, "name"], "left_anti")
         found = found.checkpoint()
@@ -413,15 +414,23 @@ def linked_content(docs: DataFrame, files: DataFrame, key: str = "doc_id", folde
     return docs.join(maps, key, "left")
 
 
-def datagroup_schema_problem(schema: object) -> str | None:
-    """The first thing wrong with a data group's schema. The messages are fixed values."""
-    known = schema.get("properties") if isinstance(schema, dict) else None
+def datagroup_schema_problem(raw: Column) -> Column:
+    """The first thing wrong with the JSON text of a data group's schema, null if nothing is. The messages are fixed values.
+
+    A property counts as there unless it is null, false, 0 or an empty text, as scripts see it.
+    """
+    value = F.try_parse_json(raw)
+    at = lambda path: F.try_variant_get(value, path, "variant")
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    tree = lambda v: F.coalesce(kind(v).isin("OBJECT", "ARRAY"), F.lit(False))
+    known, names = at("$.properties"), F.json_object_keys(F.get_json_object(raw, "$.properties"))
+    there = lambda name: F.coalesce(~F.get_json_object(raw, f"$.properties.{name}").isin("", "null", "false", "0", "0.0", "-0"), F.lit(False)) | tree(at(f"$.properties.{name}"))
     checks = (
-        (isinstance(schema, (dict, list)), "Schema must be a valid JSON object"),
-        (isinstance(schema, dict) and schema.get("type") == "object", 'Data group schema must describe an object (type: "object")'),
-        (isinstance(known, (dict, list)), 'Data group schema must have a "properties" object'),
-        (isinstance(known, dict) and bool(_js(known.get("label"))), 'Data group schema must have a "label" property'),
-        (isinstance(known, dict) and bool(_js(known.get("relationships"))), 'Data group schema must have a "relationships" property'),
-        (isinstance(known, dict) and len(known) == 2, 'Data group schema must have exactly 2 properties: "label" and "relationships"'),
+        (tree(value), "Schema must be a valid JSON object"),
+        ((kind(value) == "OBJECT") & (F.get_json_object(raw, "$.type") == "object"), 'Data group schema must describe an object (type: "object")'),
+        (tree(known), 'Data group schema must have a "properties" object'),
+        (there("label"), 'Data group schema must have a "label" property'),
+        (there("relationships"), 'Data group schema must have a "relationships" property'),
+        (F.size(names) == 2, 'Data group schema must have exactly 2 properties: "label" and "relationships"'),
     )
-    return next((message for ok, message in checks if not ok), None)
+    return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), message) for ok, message in checks))

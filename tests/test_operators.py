@@ -4,7 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.functions import canon, cid, formats, html, multiformats, urls
-from quern.operators import errors, graph, owners, validate
+from quern.operators import errors, graph, owners, ranks, validate
 from quern.sources import files
 from quern.streaming import log
 
@@ -66,6 +66,17 @@ def test_linked_identifiers(spark):
     assert got == {"b": b, "a": canon.cid_v1(f'{{"note":"./b","to":{{"/":"{b}"}}}}'.encode()), "x": None, "y": None, "lost": None, "page": canon.cid_v1(b'{"ipfs_url":"ipfs://bafym"}'), "text": canon.cid_v1(b"not JSON")}
 
 
+def test_ranks_of_wide_rows(spark):
+    # Far more rows than ranges are sampled from, a key that a third of them share, nulls.
+    rows = spark.range(0, 400_000, 1, 16).select("id", F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 1000 == 1, None).otherwise((F.col("id") * 7919) % 100_003).alias("k"), F.repeat(F.lit("x"), 50).alias("wide"), (F.col("id") % 2).alias("g"))
+    placed = ranks.ranked(rows, ["k"]).agg(F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.count_if(F.col("k").isNull() & (F.col("rank") >= 400))).first()
+    assert tuple(placed) == (400_000, 0, 399_999, 0)
+    steps = ranks.ranked(rows, ["k"]).selectExpr("k", "lag(k) over (order by rank) AS before").filter("k < before or (k is null and before is not null)")
+    assert steps.count() == 0
+    per = ranks.ranked(rows, ["k"], ["g"]).groupBy("g").agg(F.count_distinct("rank"), F.max("rank"))
+    assert {tuple(r) for r in per.collect()} == {(0, 200_000, 199_999), (1, 200_000, 199_999)}
+
+
 def test_owners(spark):
     rows = spark.createDataFrame([(1, "Acme LLC"), (2, "Ann & Lee"), (3, "Cooper Bob Ray"), (4, ""), (5, None), (6, "Solo")], "seq int, name string")
     got = [(r.kind, r.first, r.middle, r.last) for r in owners.classify(rows).orderBy("seq").collect()]
@@ -79,7 +90,9 @@ def test_schemas(spark):
     assert got[1] == [("/", "unexpected property 'b'")] and got[5] == []
     assert got[2] == [("/", "missing required property 'b'"), ("/a", "must be null"), ("/a", "must be a valid ISO date in YYYY-MM-DD format"), ("/a", "must match a schema in anyOf"), ("/c", "must be one of: 1, 2"), ("/d", "must match exactly one schema in oneOf")]
     assert got[3] == got[6] == [("", "File read/parse error")] and got[4] == [("", "Validation error: Failed to resolve schema CID")]
-    assert validate.datagroup_schema_problem({"type": "object", "properties": {"label": {}, "relationships": {}}}) is None
+    problem = lambda raw: one(spark, validate.datagroup_schema_problem(F.lit(raw)))[0]
+    assert problem('{"type":"object","properties":{"label":{},"relationships":[]}}') is None and problem("3") == problem("{") == "Schema must be a valid JSON object"
+    assert problem("[]") == 'Data group schema must describe an object (type: "object")' and problem('{"type":"object","properties":{"label":0,"relationships":1}}') == 'Data group schema must have a "label" property'
 
 
 def test_archives_and_records(spark, tmp_path):
