@@ -137,7 +137,8 @@ def _template_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that leak no item, all columns kept."""
     leaks = find_leaks(docs, benchmark, id_col).select(F.col("doc_id").alias("leaks_id")).distinct()
-    return docs.join(leaks, docs[id_col] == F.col("leaks_id"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("k_id"))  # packed, as columns of any name may come
+    return rows.join(leaks, F.col("k_id") == F.col("leaks_id"), "left_anti").select("row.*")
 
 
 def op10_benchmark_decontamination(spark, sf_dir):

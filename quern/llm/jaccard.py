@@ -28,6 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ BLOCK_SHINGLES = 3_000_000
 STEPS = 3
 #: Ids are broadcast up to so many (8 bytes each), and shuffled beyond.
 BROADCAST_IDS = 300_000
+#: Bytes from which a word is hashed on its own.
+LONG_WORD = 128
 
 U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -81,7 +84,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _power(len(data))
     total = np.concatenate((np.zeros(1, U), np.cumsum(_BYTE[data] * up, dtype=U)))
-    return mixed((total[end] - total[start]) * down[start]), np.searchsorted(at, start, side="right") - 1
+    found = mixed((total[end] - total[start]) * down[start])
+    # Sums of powers modulo 2^64 are equal for some long words by their make-up alone, so these get another hash.
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        found[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
+    return found, np.searchsorted(at, start, side="right") - 1
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -383,16 +390,18 @@ def keep_first(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_
     in no class.
     """
     every = classes(docs, n, least, id_col, text_col)
+    # Rows are packed, so that no column of theirs meets one of these names.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("k_id"), F.xxhash64(text_col).alias("k_text"))
     gone = every.filter("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    kept = rows.join(gone, F.col("k_id") == F.col("gone_id"), "left_anti")
     twice = every.filter("doc_id is not null").groupBy(F.col("doc_id").alias("twice_id")).count().filter("count > 1").select("twice_id")
     if twice.isEmpty():
-        return kept
-    on = F.col(id_col) == F.col("twice_id")
-    again = kept.join(twice, on, "left_semi").withColumn("__h", F.xxhash64(text_col))
-    least_h = again.groupBy(F.col(id_col).alias("__id")).agg(F.min("__h").alias("__least"))
-    again = again.join(least_h, (F.col(id_col) == F.col("__id")) & (F.col("__h") == F.col("__least"))).dropDuplicates([id_col]).drop("__h", "__id", "__least")
-    return kept.join(twice, on, "left_anti").unionByName(again)
+        return kept.select("row.*")
+    on = F.col("k_id") == F.col("twice_id")
+    again = kept.join(twice, on, "left_semi")
+    least_text = again.groupBy(F.col("k_id").alias("l_id")).agg(F.min("k_text").alias("l_text"))
+    again = again.join(least_text, (F.col("k_id") == F.col("l_id")) & (F.col("k_text") == F.col("l_text"))).dropDuplicates(["k_id"])
+    return kept.join(twice, on, "left_anti").select("row").union(again.select("row")).select("row.*")
 
 
 def op9_ngram_jaccard(spark, sf_dir):
