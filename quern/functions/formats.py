@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.cid import BASE32, BASE32HEX, DAG_PB_HEADER, hash_of_cid
+from quern.functions.cid import BASE32, BASE32HEX, hash_of_cid
+from quern.functions.multiformats import BASE36, BASE58, base58_text
 
 #: What marks a page as an error page, first match wins.
 ERROR_PATTERNS = ("403 - forbidden", "access is denied", "server error 403", "404 not found", "request blocked", "access denied", "captcha", "verify you are human")
 #: Extensions of images, and what a web address looks like.
 IMAGE_TYPES = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "tiff", "tif", "avif")
+IPV4 = r"((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 URI = r"^https?://([\w-]+@)?[\w-]+(\.[\w-]+)+([\w\-.,@?^=%&:/~+#]*[\w\-@?^=%&/~+#])?$"
 
 
@@ -42,9 +46,76 @@ def uri_ok(x: Column) -> Column:
 
 
 def ipfs_uri_ok(x: Column) -> Column:
-    """A relative path, or ipfs:// and a CIDv1 (raw or dag-pb codec; base32) with a sha2-256."""
-    cid = F.substr(x, F.lit(8))
-    return F.coalesce(F.when(x.startswith("./"), F.length(x) > 2).otherwise(x.startswith("ipfs://") & (strict_raw_cid(cid) | hash_of_cid(cid, DAG_PB_HEADER).isNotNull())), F.lit(False))
+    """A relative path, or ipfs:// and a CIDv1 (raw or dag-pb codec) with a sha2-256."""
+    cid = F.when(x.rlike("^ipfs://[A-Za-z0-9]{46,59}$"), cid_v1_hex(F.substr(x, F.lit(8))))
+    return F.coalesce(F.when(x.startswith("./"), F.length(x) > 2).otherwise(cid.rlike("^01(55|70)12")), F.lit(False))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
+
+
+def json_value(raw: Column) -> Column:
+    """Text as a VARIANT; null where it isn't JSON as a whole. Spark's parser stops at the end of the first value, so another one follows here that nobody can have written."""
+    after = F.xxhash64(raw)
+    both = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), after.cast("string"), F.lit("]")))
+    return _let(F.try_variant_get(both, "$", "array<variant>"), lambda v: F.when((F.size(v) == 2) & (F.try_variant_get(F.get(v, 1), "$", "bigint") == after), F.get(v, 0)))
+
+
+_VARINT = "(?:[89a-f][0-9a-f])*[0-7][0-9a-f]"
+_LEAST_V0, _MOST_V0 = (base58_text(b"\x12\x20" + bytes([x]) * 32) for x in (0, 255))
+
+
+def _hex_of_base32(x: Column) -> Column:
+    """The bytes of unpadded base32 in hex, null where bits are left over that aren't zero."""
+    n = F.length(x)
+    digits, groups = 2 * F.floor(n * 5 / 8).cast("int"), F.ceil(n / 4).cast("int")
+    upper = F.rpad(F.translate(x, BASE32, BASE32HEX), groups * 4, "0")
+    text = F.lower(F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.lpad(F.conv(F.substr(upper, i * 4 + 1, F.lit(4)), 32, 16), 5, "0")), ""))
+    return F.when((n % 8).isin(0, 2, 4, 5, 7), _let(text, lambda t: F.when(~F.substr(t, digits + 1).rlike("[^0]"), F.substr(t, F.lit(1), digits))))
+
+
+def _hex_of_digits(x: Column, alphabet: str) -> Column:
+    """A number in digits of `alphabet` in hex, an even number of digits; long multiplication with limbs of 16 bits, the lowest first."""
+    base = len(alphabet)
+    carried = lambda s, limb: F.struct(F.array_append(s["out"], (limb * base + s["carry"]) % 65536).alias("out"), F.floor((limb * base + s["carry"]) / 65536).cast("long").alias("carry"))
+    start = lambda digit: F.struct(F.array().cast("array<bigint>").alias("out"), digit.alias("carry"))
+    zeros = F.array_repeat(F.lit(0).cast("long"), F.ceil(F.length(x) * 6 / 16).cast("int") + 1)
+    limbs = F.aggregate(F.split(x, ""), zeros, lambda s, c: F.aggregate(s, start((F.position(c, F.lit(alphabet)) - 1).cast("long")), carried, lambda t: t["out"]))
+    text = F.regexp_replace(F.array_join(F.transform(F.reverse(limbs), lambda v: F.lpad(F.hex(v), 4, "0")), ""), "^0+", "")
+    return F.lower(_let(text, lambda t: F.when(F.length(t) % 2 == 1, F.concat(F.lit("0"), t)).otherwise(t)))
+
+
+def cid_v1_hex(x: Column) -> Column:
+    """The bytes in hex of a CIDv1 in base32, base36 or base58 whose length is right; null where the text isn't one."""
+    body = F.substr(x, F.lit(2))
+    text = F.when(x.rlike("^b[a-z2-7]+$"), _hex_of_base32(body)).when(x.rlike("^z[1-9A-HJ-NP-Za-km-z]+$"), _hex_of_digits(body, BASE58)).when(x.rlike("^k[0-9a-z]+$"), _hex_of_digits(body, BASE36))
+
+    def whole(t: Column) -> Column:
+        size, rest = F.regexp_extract(t, f"^01{_VARINT}{_VARINT}({_VARINT})", 1), F.length(t) - F.length(F.regexp_extract(t, f"^01{_VARINT}{_VARINT}{_VARINT}", 0))
+        byte = lambda k: F.conv(F.substr(size, F.lit(2 * k + 1), F.lit(2)), 16, 10).cast("int")
+        n = F.when(F.length(size) == 2, byte(0)).when(F.length(size) == 4, byte(0) % 128 + 128 * byte(1))
+        return F.when(2 * n == rest, t)
+
+    return _let(text, whole)
+
+
+def cid_v0_ok(x: Column) -> Column:
+    """A CIDv0: 46 digits in base58, of which the alphabet is in order, between the least and the greatest sha2-256."""
+    return F.coalesce(x.rlike("^[1-9A-HJ-NP-Za-km-z]{46}$") & x.between(_LEAST_V0, _MOST_V0), F.lit(False))
+
+
+def strict_cid(x: Column) -> Column:
+    """an identifier of version 0 or 1, of any codec and hash."""
+    return cid_v0_ok(x) | cid_v1_hex(x).isNotNull()
+
+
+def ipv6_ok(x: Column) -> Column:
+    """Eight groups, or fewer around one ::, the last two perhaps as an IPv4 address."""
+    plain = F.regexp_replace(x, f"(?<=:){IPV4}$", "0:0")
+    group = "[0-9A-Fa-f]{1,4}"
+    n = F.size(F.array_remove(F.split(plain, ":"), ""))
+    return F.coalesce(plain.rlike(f"^({group}:){{7}}{group}$") | (plain.rlike(f"^({group}(:{group})*)?::({group}(:{group})*)?$") & (n <= 7)), F.lit(False))
 
 
 def account_ok(x: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.formats import loose_cid
+from quern.functions.formats import json_value, loose_cid
 from quern.operators.documents import is_datagroup_root, manifest_lookup
 
 #: What stands before a folder's name until its seed's identifier is known, and what is wrong with folders.
@@ -77,7 +77,7 @@ def structure_errors(files: DataFrame, seed_cid: str) -> DataFrame:
 
 def parsed(files: DataFrame, raw: str = "raw") -> DataFrame:
     """The files with `parsed` and, where the text isn't JSON, `error`; none is lost."""
-    return files.withColumn("parsed", F.try_parse_json(raw)).withColumn("error", F.when(F.try_parse_json(raw).isNull(), BAD_JSON))
+    return files.withColumn("parsed", json_value(F.col(raw))).withColumn("error", F.when(F.col("parsed").isNull(), BAD_JSON))
 
 
 def datagroups(files: DataFrame, manifest: DataFrame, raw: str = "raw") -> DataFrame:

@@ -1,8 +1,9 @@
-"""Documents against JSON Schemas (draft-07): all errors of each document, by an evaluator that runs on Arrow batches.
+"""Documents against JSON Schemas (draft-07): all errors of each document.
 
-Schemas are a small dimension that the driver resolves (references by content identifier) and broadcasts; documents name
-their schema. What documents link to is joined to them level by level before, so the evaluator only looks into a map that
-comes with its row.
+Schemas are a small dimension that the driver resolves (references by content identifier); documents name their schema. A
+schema becomes expressions (see schema_columns); one that refers to itself, or uses what no expression states, is left to an
+evaluator that runs on Arrow batches and reports the same. What documents link to is joined to them level by level before,
+so either only looks into a map that comes with its row. Errors about several properties come by the properties' names.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ import json
 import math
 import re
 from collections.abc import Callable, Iterator
-from datetime import date, datetime
+from datetime import date
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import formats
 from quern.functions import multiformats as mf
-from quern.functions.canon import canonical, number_text
-from quern.functions.formats import URI
+from quern.functions.canon import canonical
+from quern.functions.formats import IPV4, URI
+from quern.operators.schema_columns import NotExpressible, compiled, failure
+from quern.operators.schema_columns import js_text as _js
 
 #: What a format that fails is reported as.
 FORMAT_MESSAGES = {
@@ -57,7 +61,9 @@ _PATTERNS = {
     "json-pointer": rf"^{_POINTER}$",
     "relative-json-pointer": rf"^(0|[1-9][0-9]*)(#|{_POINTER})$",
     "uri-reference": r"^[^\s<>\"{}|\\^`]*$",
+    "ipv4": f"^{IPV4}$",
 }
+_DATE, _DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.,][0-9]+)?)?(Z|[+-]([01][0-9]|2[0-3])(:?[0-5][0-9])?)?$"
 
 
 def _fits(f: Callable[[str], object]) -> Callable[[str], bool]:
@@ -78,15 +84,24 @@ def _ipfs_uri(v: str) -> bool:
 
 
 #: The registry of formats of texts; validate() takes more of them.
-FORMATS: dict[str, Callable[[str], bool]] = {name: (lambda v, p=re.compile(p): p.search(v) is not None) for name, p in _PATTERNS.items()} | {
-    "date": _fits(lambda v: date.fromisoformat(v) and re.search("^[0-9]{4}-[0-9]{2}-[0-9]{2}$", v) is not None),
-    "date-time": _fits(lambda v: datetime.fromisoformat(v) and re.search("^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:", v) is not None),
-    "ipv4": _fits(ipaddress.IPv4Address),
-    "ipv6": _fits(ipaddress.IPv6Address),
+FORMATS: dict[str, Callable[[str], bool]] = {name: (lambda v, p=re.compile(p, re.ASCII): p.search(v) is not None) for name, p in _PATTERNS.items()} | {
+    "date": _fits(lambda v: re.search(_DATE, v) is not None and date.fromisoformat(v[:10])),
+    "date-time": _fits(lambda v: re.search(_DATE_TIME, v) is not None and date.fromisoformat(v[:10])),
+    "ipv6": _fits(lambda v: "%" not in v and ipaddress.IPv6Address(v)),
     "regex": _fits(re.compile),
     "cid": lambda v: mf.parse_cid(v) is not None,
     "ipfs_uri": _ipfs_uri,
 }
+_DAY = lambda v: F.try_to_date(F.substr(v, F.lit(1), F.lit(10)), "yyyy-MM-dd").isNotNull() & ~v.startswith("0000")
+#: The same formats as expressions; None where there is none.
+FORMAT_COLUMNS: dict[str, Callable[[Column], Column] | None] = {name: (lambda v, p=p: v.rlike(p)) for name, p in _PATTERNS.items()} | {
+    "date": lambda v: v.rlike(_DATE) & _DAY(v),
+    "date-time": lambda v: v.rlike(_DATE_TIME) & _DAY(v),
+    "ipv6": formats.ipv6_ok,
+    "cid": formats.strict_cid,
+    "ipfs_uri": formats.ipfs_uri_ok,
+    "regex": None,
+}
 
 
 def _kind(v: object) -> str:
@@ -105,13 +120,6 @@ def _same(a: object, b: object) -> bool:
     return _kind(a) == _kind(b) and canonical(a) == canonical(b)
 
 
-def _js(v: object) -> str:
-    """A value as a script prints it in a list."""
-    if isinstance(v, (list, dict)):
-        return ",".join(map(_js, v)) if isinstance(v, list) else "[object Object]"
-    return "" if v is None else {True: "true", False: "false"}[v] if isinstance(v, bool) else v if isinstance(v, str) else number_text(v)
-
-
 def is_cid_schema(schema: object) -> bool:
     """A part of a schema that stands for another schema: {type: string, cid: ...}."""
     if not isinstance(schema, dict) or not isinstance(schema.get("cid"), str) or not schema["cid"]:
@@ -177,7 +185,7 @@ def follow(data: object, schema: object, allowed: set[str], content: dict[str, s
         return follow(value, schema, allowed, content, path, (*above, target))
     own = schema.get("properties") or {}
     inner = lambda k: own.get(k) or next((o["properties"][k] for o in options if k in (o.get("properties") or {})), None)
-    return {k: follow(v, inner(k), allowed, content, f"{path}.{k}" if path else k, above) for k, v in data.items()}
+    return {k: follow(v, inner(k), allowed, content, f"{path}.{k}" if path else k, above) for k, v in sorted(data.items())}
 
 
 def _format_ok(name: str, v: object, more: dict[str, Callable[[str], bool]]) -> bool:
@@ -297,13 +305,13 @@ def _of_object(v: dict, schema: dict, path: str, sub: Callable, step: Callable)
         elif name in v:
             yield from sub(v, needs)
     if "propertyNames" in schema:
-        for name in v:
+        for name in sorted(v):
             found = list(sub(name, schema["propertyNames"]))
             yield from found
             if found:
                 yield path, "property name must be valid"
     known, patterns, rest = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties", True)
-    for name, x in v.items():
+    for name, x in sorted(v.items()):
         if rest is not True and name not in known and not any(re.search(p, name) for p in patterns):
             if rest is False:
                 yield path, f"unexpected property '{name}'"
@@ -313,7 +321,7 @@ def _of_object(v: dict, schema: dict, path: str, sub: Callable, step: Callable)
         if name in v:
             yield from sub(v[name], s, step(name))
     for p, s in patterns.items():
-        for name, x in v.items():
+        for name, x in sorted(v.items()):
             if re.search(p, name):
                 yield from sub(x, s, step(name))
 
@@ -360,12 +368,8 @@ def check(raw: str | None, ready: str | None, content: dict[str, str], more: dic
         return [("", f"Validation error: {e}")]
 
 
-def validate(docs: DataFrame, schemas: dict[str, object], schema_col: str = "schema_cid", doc_col: str = "raw", content_col: str | None = None, formats: dict[str, Callable[[str], bool]] | None = None) -> DataFrame:
-    """V1: the rows of docs with errors, an array of (path, message).
-
-    content_col: a map of the texts that the document's links lead to (see linked_content). Text that isn't JSON, and a
-    schema that is missing or refers to a missing one, are errors. `formats` adds to the registry of formats.
-    """
+def ready_schemas(schemas: dict[str, object]) -> dict[str, str | None]:
+    """Each schema with its references resolved and the places where data may hold links, as JSON; None where a reference leads nowhere."""
     ready: dict[str, str | None] = {}
     for cid, schema in schemas.items():
         allowed: set[str] = set()
@@ -373,15 +377,56 @@ def validate(docs: DataFrame, schemas: dict[str, object], schema_col: str = "sch
             ready[cid] = json.dumps([schema if is_cid_schema(schema) else resolve(schema, schemas, allowed, "", (cid,)), sorted(allowed)])
         except KeyError:
             ready[cid] = None
-    shared, more = docs.sparkSession.sparkContext.broadcast(ready), FORMATS | (formats or {})  # a dimension of schemas
+    return ready
 
-    @F.pandas_udf("array<struct<path: string, message: string>>")
-    def run(raws: pd.Series, cids: pd.Series, contents: pd.Series) -> pd.Series:
-        rows = [check(r, shared.value.get(c), dict(x) if x is not None else {}, more) for r, c, x in zip(raws, cids, contents, strict=True)]
-        return pd.Series([[{"path": p, "message": m} for p, m in row] for row in rows], dtype=object)
 
+def _fits_analyzer(docs: DataFrame, found: Column) -> None:
+    """Spark's analyzer gives up on expressions nested too deeply; very deep schemas are the evaluator's as well."""
+    try:
+        docs.select(found)
+    except Exception as e:
+        if "Max iterations" in str(e):
+            raise NotExpressible("a schema of too many levels") from e
+        raise
+
+
+def validate(docs: DataFrame, schemas: dict[str, object], schema_col: str = "schema_cid", doc_col: str = "raw", content_col: str | None = None, formats: dict[str, Callable[[str], bool]] | None = None, expressions: bool = True) -> DataFrame:
+    """V1: the rows of docs with errors, an array of (path, message).
+
+    content_col: a map of the texts that the document's links lead to (see linked_content). Text that isn't JSON, and a
+    schema that is missing or refers to a missing one, are errors. `formats` adds to the registry of formats. Without
+    `expressions`, all schemas are left to the evaluator.
+    """
+    ready, left = ready_schemas(schemas), {}
     content = F.lit(None).cast("map<string,string>") if content_col is None else F.col(content_col)
-    return docs.withColumn("errors", run(F.col(doc_col), F.col(schema_col), content))
+    errors = F.when(F.lit(False), failure(""))
+    for cid, text in ready.items():
+        schema, allowed = json.loads(text) if text is not None else (None, [])
+        try:
+            if text is None:
+                found = failure("Validation error: Failed to resolve schema CID")
+            elif is_cid_schema(schema):
+                found = failure("Root schema cannot be a CID link. CID links are only allowed within schema properties.")
+            elif not expressions:
+                raise NotExpressible
+            else:
+                found = compiled(F.col(doc_col), schema, allowed, content, FORMAT_MESSAGES, FORMAT_COLUMNS | dict.fromkeys(formats or {}))
+                _fits_analyzer(docs, found)
+        except NotExpressible:
+            left[cid] = text
+        else:
+            errors = errors.when(F.col(schema_col) == cid, found)
+    if left:
+        shared, more = docs.sparkSession.sparkContext.broadcast(left), FORMATS | (formats or {})  # a dimension of schemas
+
+        @F.pandas_udf("array<struct<path: string, message: string>>")
+        def run(raws: pd.Series, cids: pd.Series, contents: pd.Series) -> pd.Series:
+            rows = [check(r, shared.value[c], dict(x) if x is not None else {}, more) if c in shared.value else [] for r, c, x in zip(raws, cids, contents, strict=True)]
+            return pd.Series([[{"path": p, "message": m} for p, m in row] for row in rows], dtype=object)
+
+        own = F.col(schema_col).isin(*left)
+        errors = errors.when(own, run(F.when(own, F.col(doc_col)), F.col(schema_col), F.when(own, content)))
+    return docs.withColumn("errors", errors.otherwise(failure("Validation error: Failed to resolve schema CID")))
 
 
 LINK = r'\{\s*"/"\s*:\s*"([^"]*)"\s*\}'
