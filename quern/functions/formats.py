@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions.cid import BASE32, BASE32HEX, hash_of_cid
+from quern.functions.lets import let
 from quern.functions.multiformats import BASE36, BASE58, base58_text
 
 #: What marks a page as an error page, first match wins.
@@ -51,15 +50,11 @@ def ipfs_uri_ok(x: Column) -> Column:
     return F.coalesce(F.when(x.startswith("./"), F.length(x) > 2).otherwise(cid.rlike("^01(55|70)12")), F.lit(False))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
-
-
 def json_value(raw: Column) -> Column:
     """Text as a VARIANT; null where it isn't JSON as a whole. Spark's parser stops at the end of the first value, so another one follows here that nobody can have written."""
     after = F.xxhash64(raw)
     both = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), after.cast("string"), F.lit("]")))
-    return _let(F.try_variant_get(both, "$", "array<variant>"), lambda v: F.when((F.size(v) == 2) & (F.try_variant_get(F.get(v, 1), "$", "bigint") == after), F.get(v, 0)))
+    return let(F.try_variant_get(both, "$", "array<variant>"), lambda v: F.when((F.size(v) == 2) & (F.try_variant_get(F.get(v, 1), "$", "bigint") == after), F.get(v, 0)))
 
 
 _VARINT = "(?:[89a-f][0-9a-f])*[0-7][0-9a-f]"
@@ -72,7 +67,7 @@ def _hex_of_base32(x: Column) -> Column:
     digits, groups = 2 * F.floor(n * 5 / 8).cast("int"), F.ceil(n / 4).cast("int")
     upper = F.rpad(F.translate(x, BASE32, BASE32HEX), groups * 4, "0")
     text = F.lower(F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.lpad(F.conv(F.substr(upper, i * 4 + 1, F.lit(4)), 32, 16), 5, "0")), ""))
-    return F.when((n % 8).isin(0, 2, 4, 5, 7), _let(text, lambda t: F.when(~F.substr(t, digits + 1).rlike("[^0]"), F.substr(t, F.lit(1), digits))))
+    return F.when((n % 8).isin(0, 2, 4, 5, 7), let(text, lambda t: F.when(~F.substr(t, digits + 1).rlike("[^0]"), F.substr(t, F.lit(1), digits))))
 
 
 def _hex_of_digits(x: Column, alphabet: str) -> Column:
@@ -83,7 +78,7 @@ def _hex_of_digits(x: Column, alphabet: str) -> Column:
     zeros = F.array_repeat(F.lit(0).cast("long"), F.ceil(F.length(x) * 6 / 16).cast("int") + 1)
     limbs = F.aggregate(F.split(x, ""), zeros, lambda s, c: F.aggregate(s, start((F.position(c, F.lit(alphabet)) - 1).cast("long")), carried, lambda t: t["out"]))
     text = F.regexp_replace(F.array_join(F.transform(F.reverse(limbs), lambda v: F.lpad(F.hex(v), 4, "0")), ""), "^0+", "")
-    return F.lower(_let(text, lambda t: F.when(F.length(t) % 2 == 1, F.concat(F.lit("0"), t)).otherwise(t)))
+    return F.lower(let(text, lambda t: F.when(F.length(t) % 2 == 1, F.concat(F.lit("0"), t)).otherwise(t)))
 
 
 def cid_v1_hex(x: Column) -> Column:
@@ -97,7 +92,7 @@ def cid_v1_hex(x: Column) -> Column:
         n = F.when(F.length(size) == 2, byte(0)).when(F.length(size) == 4, byte(0) % 128 + 128 * byte(1))
         return F.when(2 * n == rest, t)
 
-    return _let(text, whole)
+    return let(text, whole)
 
 
 def cid_v0_ok(x: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import formats as fmt
 from quern.functions.canon import number_text
+from quern.functions.lets import let
 
 ERRORS = "array<struct<path: string, message: string>>"
 NAMES = "array<string>"
@@ -27,11 +28,6 @@ class NotExpressible(ValueError):
     """A schema that no expression states."""
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often body uses it."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)  # noqa: PLW0108  a lambda of one parameter, whatever body takes besides
-
-
 def _none() -> Column:
     return F.array().cast(ERRORS)
 

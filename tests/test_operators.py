@@ -4,7 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.functions import canon, cid, formats, html, multiformats, urls
-from quern.operators import errors, graph, owners, ranks, validate
+from quern.operators import dag, errors, graph, owners, ranks, validate
 from quern.sources import files
 from quern.streaming import log
 
@@ -155,4 +155,4 @@ def test_nodes_golden_vectors():
 
 def test_media_folders(spark):
     rows = spark.createDataFrame([("d", "b.PNG", b"2"), ("d", "a.html", b"1"), ("d", "x.json", b"{}"), ("e", "x.json", b"{}")], "dir string, name string, content binary")
-    assert [tuple(r) for r in canon.media_cids(rows).collect()] == [("d", canon.directory_cid({"a.html": b"1", "b.PNG": b"2"}))]
+    assert [tuple(r) for r in dag.media_cids(rows).collect()] == [("d", canon.directory_cid({"a.html": b"1", "b.PNG": b"2"}), None)]

@@ -1,7 +1,7 @@
 import pytest
 from oracle import oracle_rows, spark_rows
 
-from quern import more_queries  # noqa: F401
+from quern import content_queries, more_queries  # noqa: F401
 from quern.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
