@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from quern.functions import dagcodecs
 from quern.functions.cid import cid_raw
-from quern.operators import closure, dag
+from quern.operators import closure, dag, submit
 from quern.queries import CID_SQL, query
-from quern.session import table
+from quern.session import shared_folder, table
+from quern.streaming import replay
 
 # Trees of blocks, with chunks and nodes small enough that these texts need several levels.
 
@@ -121,3 +124,36 @@ def dag_codecs(spark, sf_dir):
     raw = F.to_json(F.struct(F.struct(link.alias("/")).alias("to"), F.col("o_orderstatus").alias("s"), F.col("o_orderkey").cast("double").alias("k")))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("cbor", dagcodecs.cbor_of_json("raw"))
     return rows.select("o_orderkey", F.lower(F.hex("cbor")).alias("bytes"), dagcodecs.dag_cbor_cid("raw").alias("cbor_cid"), dagcodecs.dag_json_cid("raw").alias("json_cid"), dagcodecs.json_of_cbor("cbor").alias("back"))
+
+
+# Logs replayed as streams.
+
+
+def _event_stream(spark, sf_dir):
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+@query("SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def stream_latest(spark, sf_dir):
+    """T5, A3: the last status of each user, by a stream over the log."""
+    return replay.latest(_event_stream(spark, sf_dir).withColumnRenamed("event_type", "status"), ["user_id"], "status", ["ts", "event_id"], shared_folder(spark))
+
+
+@query("""WITH c AS (SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS agreed FROM events GROUP BY 1), s AS (SELECT DISTINCT user_id, event_type, true AS sent FROM events WHERE event_id % 5 = 0)
+SELECT event_id, CASE WHEN agreed = e.event_type THEN 'already agreed' WHEN sent THEN 'already submitted' END AS reason FROM events e JOIN c USING (user_id) LEFT JOIN s ON s.user_id = e.user_id AND s.event_type = e.event_type""")
+def stream_eligibility(spark, sf_dir):
+    """F10 over a stream: why records that arrive are skipped, against tables of what is agreed and sent."""
+    events, keys = table(spark, sf_dir, "events"), ["user_id"]
+    agreed, sent = submit.latest(events, keys, "event_type", ["ts", "event_id"]), events.filter("event_id % 5 = 0")
+    stream = _event_stream(spark, sf_dir).select("event_id", "user_id", "event_type")
+    return replay.eligible(stream, agreed, sent, keys, "event_type", shared_folder(spark)).select("event_id", "reason")
+
+
+@query("""WITH o AS (SELECT 'u' || user_id AS tx, ts, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status FROM events),
+p AS (SELECT tx, min(ts) AS first, min(ts) FILTER (WHERE status <> 'pending') AS ended, arg_min(status, struct_pack(a := ts, b := status)) FILTER (WHERE status <> 'pending') AS status FROM o GROUP BY 1)
+SELECT tx, CASE WHEN ended <= first + INTERVAL 12 HOUR THEN status ELSE 'timed_out' END AS status FROM p WHERE ended IS NOT NULL OR first + INTERVAL 12 HOUR < (SELECT max(ts) FROM events)""")
+def stream_polling(spark, sf_dir):
+    """Transactions polled until they end, by timers on the time of the log."""
+    status = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").otherwise("pending")
+    seen = _event_stream(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("tx"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+    return replay.polled(seen, shared_folder(spark), timedelta(hours=12))

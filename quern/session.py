@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,11 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a cluster without that setting is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='quern-')).rstrip('/')}/quern-{uuid.uuid4().hex}"
