@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import dagcodecs
 from quern.functions.cid import cid_raw
-from quern.operators import closure, dag, submit
+from quern.operators import closure, dag, incremental, stategraph, submit
 from quern.queries import CID_SQL, query
 from quern.session import shared_folder, table
 from quern.streaming import replay
@@ -157,3 +157,39 @@ def stream_polling(spark, sf_dir):
     status = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").otherwise("pending")
     seen = _event_stream(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("tx"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
     return replay.polled(seen, shared_folder(spark), timedelta(hours=12))
+
+
+# Flows of states.
+
+_FLOW_PROBLEMS = (
+    "[]",
+    "['State \"A\": next references unknown state \"Z' || k || '\"', 'State \"B\" is never reached', 'State \"C\" is never reached', 'State \"A\" leads to no end']",
+    "['starts_at references unknown state \"X\"', 'State \"A\" is never reached', 'State \"B\" is never reached', 'State \"C\" is never reached']",
+    "['states must contain at least one state', 'starts_at references unknown state \"A\"']",
+    "['State \"A\" leads to no end', 'State \"B\" leads to no end']",
+    "['State \"A\": next_map[\"no\"] references unknown state \"N\"', 'State \"B\": next_on_timeout references unknown state \"T\"', 'State \"B\": validate_winner[\"w\"].if_exists_goto references unknown state \"W\"']",
+    "['workflow must be a JSON object']",
+)
+
+
+@query("SELECT k AS flow, array_to_string(CASE k % 7 " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(_FLOW_PROBLEMS)) + " END, ';') AS problems FROM (SELECT o_orderkey AS k FROM orders)")
+def flow_graphs(spark, sf_dir):
+    """What is wrong with browser flows as graphs of states."""
+    k = F.col("o_orderkey")
+    cases = [
+        '{"starts_at":"A","states":{"A":{"next":"B"},"B":{"next":"C","next_on_timeout":"A"},"C":{}}}', '{"starts_at":"A","states":{"A":{"next":"Z#"},"B":{"next":"C"},"C":{"next":""}}}', '{"starts_at":"X","states":{"A":{"next":"B"},"B":{"next":"C"},"C":{}}}',
+        '{"starts_at":"A","states":{}}', '{"starts_at":"A","states":{"A":{"next":"B"},"B":{"next":"A"}}}', '{"starts_at":"A","states":{"A":{"next_map":{"yes":"B","no":"N"}},"B":{"next_on_timeout":"T","validate_winner":{"w":{"if_exists_goto":"W"},"v":{"if_exists_goto":"C"}}},"C":{}}}', "[#",
+    ]
+    raw = F.replace(F.get(F.array(*map(F.lit, cases)), (k % 7).cast("int")), F.lit("#"), k.cast("string"))
+    found = stategraph.flow_graph_problems(table(spark, sf_dir, "orders").select(k.alias("flow"), raw.alias("raw")))
+    return found.select("flow", F.array_join("problems", ";").alias("problems"))
+
+
+@query("""SELECT event_id, CASE WHEN k > 80 THEN '/k|must be <= 80' ELSE '' END AS report FROM (SELECT event_id, (props->>'$.k')::INTEGER AS k FROM events)""")
+def validated_again(spark, sf_dir):
+    """A second run over documents of which the first judged a part: only new contents are judged."""
+    docs = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("raw"), F.lit("number").alias("schema_cid"))
+    schemas, folder = {"number": {"type": "object", "properties": {"k": {"type": "integer", "maximum": 80}}}}, shared_folder(spark)
+    incremental.validated(docs.filter("event_id % 2 = 0"), schemas, folder)  # the run before
+    found, _ = incremental.validated(docs, schemas, folder)
+    return found.select("event_id", F.array_join(F.transform("errors", lambda e: F.concat(e["path"], F.lit("|"), e["message"])), ";").alias("report"))
