@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import dagcodecs
 from quern.functions.cid import cid_raw
-from quern.operators import closure, dag, incremental, stategraph, submit
+from quern.operators import closure, dag, incremental, stategraph, submit, upload
 from quern.queries import CID_SQL, query
 from quern.session import shared_folder, table
 from quern.streaming import replay
@@ -193,3 +193,30 @@ def validated_again(spark, sf_dir):
     incremental.validated(docs.filter("event_id % 2 = 0"), schemas, folder)  # the run before
     found, _ = incremental.validated(docs, schemas, folder)
     return found.select("event_id", F.array_join(F.transform("errors", lambda e: F.concat(e["path"], F.lit("|"), e["message"])), ";").alias("report"))
+
+
+# Conversion for upload.
+
+_UPLOAD_SQL = f"""WITH c AS (SELECT c_custkey AS k, 'd' || c_custkey AS dir, 'bytes ' || c_name AS image, '{{"n":' || c_nationkey || '}}' AS leaf FROM customer),
+i AS (SELECT *, {_cid_sql("image")} AS image_cid, {_cid_sql("leaf")} AS leaf_cid FROM c),
+m AS (SELECT *, '{{"ipfs_url":"ipfs://' || image_cid || '","to":{{"/":"' || leaf_cid || '"}}}}' AS mid FROM i),
+n AS (SELECT *, {_cid_sql("mid")} AS mid_cid FROM m),
+r AS (SELECT dir, 'docs/a.json' AS name, s.schema_cid, CASE WHEN k % 5 = 0 THEN 'Failed to upload file ../gone.json' END AS problem,
+'{{"image":"' || CASE WHEN s.schema_cid = 'uri' THEN 'ipfs://' || image_cid ELSE '../photo.png' END || '","ipfs_url":"ipfs://' || image_cid || '","list":[{{"/":"' || least(mid_cid, leaf_cid) || '"}},{{"/":"' || greatest(mid_cid, leaf_cid) || '"}}],"n":' || k || '}}' AS text
+FROM n, (VALUES ('uri'), ('text')) s(schema_cid))
+SELECT dir, name, schema_cid, CASE WHEN problem IS NULL THEN text END AS converted, CASE WHEN problem IS NULL THEN {_cid_sql("text")} END AS cid, CASE WHEN problem IS NULL THEN 3 END AS n_links, problem FROM r"""
+
+
+@query(_UPLOAD_SQL)
+def upload_conversion(spark, sf_dir):
+    """Documents under two schemas, one of which says that a text is the address of a file; their links are converted below them."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), k.cast("string")).alias("dir"), "c_custkey", "c_name", "c_nationkey")
+    leaf = F.concat(F.lit('{ "n": '), F.col("c_nationkey").cast("string"), F.lit(" }"))
+    entry = lambda name, text: F.struct(F.lit(name).alias("name"), F.encode(text, "UTF-8").alias("content"))
+    mid = F.lit('{"to":{"/":"leaf.json"},"ipfs_url":"../photo.png"}')
+    files = rows.select("dir", F.explode(F.array(entry("photo.png", F.concat(F.lit("bytes "), "c_name")), entry("parts/leaf.json", leaf), entry("parts/mid.json", mid), entry("parts/unused.json", F.lit('{"/":"./nowhere"}')))).alias("f")).select("dir", "f.*")
+    second = F.when(k % 5 == 0, "../gone.json").otherwise("../parts/leaf.json")
+    raw = F.to_json(F.struct(k.alias("n"), F.array(F.struct(F.lit("../parts/mid.json").alias("/")), F.struct(second.alias("/"))).alias("list"), F.lit("../photo.png").alias("image"), F.lit("../photo.png").alias("ipfs_url")))
+    docs = rows.select("dir", F.lit("docs/a.json").alias("name"), raw.alias("raw")).withColumn("schema_cid", F.explode(F.array(F.lit("uri"), F.lit("text"))))
+    return upload.converted(docs, files, {"uri": {"type": "object", "properties": {"image": {"type": "string", "format": "ipfs_uri"}}}, "text": {"type": "object"}})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import canon, dagcodecs, formats
 from quern.functions.multiformats import base32_text, base58_text, parse_cid, varint
-from quern.operators import closure, dag
+from quern.operators import closure, dag, upload
 
 
 def test_codecs_golden_vectors():
@@ -112,3 +112,22 @@ def test_closure_of_shared_documents(spark):
         (text, text): (0, None, None, closure.NO_JSON), (lost, lost): (0, None, None, closure.MISSING),
     }
     assert {r.cid for r in closure.fetched(roots.limit(1), content, manifest, max_depth=0).collect()} == {a}
+
+
+def test_conversion_for_upload(spark):
+    cid_of = lambda text: canon.cid_v1(text.encode())
+    files = [("d", "x/leaf.json", b' { "b": 1, "a": {"/":"%s"} } ' % cid_of("k").encode()), ("d", "note.txt", "é".encode()), ("d", "x/p.PNG", b"\x00\xff"), ("d", "c1.json", b'{"/":"./c2.json"}'), ("d", "c2.json", b'{"/":"c1.json"}'), ("d", "deep.json", b'[{"/":"./x/leaf.json"},{"ipfs_url":"x/p.PNG"}]'), ("d", "bad.json", b'{"/":"./nowhere.json"}')]
+    docs = {
+        "leaf": '{"to":{"/":"./x/leaf.json"},"again":{"/":"x/../x/leaf.json"}}', "text": '{"to":{"/":"note.txt"}}', "deep": '{"l":[1,{"/":"./deep.json"}],"ipfs_url":["x/p.PNG","no.gif.txt","ipfs://q"]}', "circle": '{"to":{"/":"c1.json"}}', "bad": '{"to":{"/":"bad.json"},"x":{"/":"note.txt"}}',
+        "missing image": '{"ipfs_url":"gone.png"}', "cid": '{"ipfs_url":"%s","to":{"/":"%s"}}' % (cid_of("a"), cid_of("b")), "by format": '{"u":["x/p.PNG"],"v":"x/p.PNG"}', "no JSON": "plain",
+    }
+    rows = [("d", f"{k}.json", "s" if k == "by format" else None, t) for k, t in docs.items()] + [("d", "by format.json", None, docs["by format"]), ("d", "null.json", None, None)]
+    found = upload.converted(spark.createDataFrame(rows, "dir string, name string, schema_cid string, raw string"), spark.createDataFrame(files, "dir string, name string, content binary"), {"s": {"properties": {"u": {"items": {"format": "ipfs_uri"}}}}})
+    got = {(r.name.removesuffix(".json"), r.schema_cid): (r.converted, r.problem) for r in found.collect()}
+    leaf, png = cid_of('{"a":{"/":"%s"},"b":1}' % cid_of("k")), canon.cid_v1(b"\x00\xff")
+    deep = cid_of('[{"/":"%s"},{"ipfs_url":"ipfs://%s"}]' % (leaf, png))
+    assert got == {
+        ("leaf", None): ('{"again":{"/":"%s"},"to":{"/":"%s"}}' % (leaf, leaf), None), ("text", None): ('{"to":{"/":"%s"}}' % cid_of('"é"'), None), ("deep", None): ('{"ipfs_url":["ipfs://%s","no.gif.txt","ipfs://q"],"l":[{"/":"%s"},1]}' % (png, deep), None),
+        ("circle", None): (None, upload.FAILED + "c1.json"), ("bad", None): (None, upload.FAILED + "bad.json"), ("missing image", None): (None, upload.FAILED + "gone.png"), ("cid", None): ('{"ipfs_url":"ipfs://%s","to":{"/":"%s"}}' % (cid_of("a"), cid_of("b")), None),
+        ("by format", "s"): ('{"u":["ipfs://%s"],"v":"x/p.PNG"}' % png, None), ("by format", None): (docs["by format"], None), ("no JSON", None): ('"plain"', None), ("null", None): (None, None),
+    }
