@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from quern.functions import dagcodecs
+from quern.functions import canon, dagcodecs, formats, urls
 from quern.functions.cid import cid_raw
 from quern.operators import closure, dag, incremental, stategraph, submit, upload
 from quern.queries import CID_SQL, query
@@ -220,3 +220,42 @@ def upload_conversion(spark, sf_dir):
     raw = F.to_json(F.struct(k.alias("n"), F.array(F.struct(F.lit("../parts/mid.json").alias("/")), F.struct(second.alias("/"))).alias("list"), F.lit("../photo.png").alias("image"), F.lit("../photo.png").alias("ipfs_url")))
     docs = rows.select("dir", F.lit("docs/a.json").alias("name"), raw.alias("raw")).withColumn("schema_cid", F.explode(F.array(F.lit("uri"), F.lit("text"))))
     return upload.converted(docs, files, {"uri": {"type": "object", "properties": {"image": {"type": "string", "format": "ipfs_uri"}}}, "text": {"type": "object"}})
+
+
+# Small functions.
+
+_NODE_SQL = f"""WITH t AS (SELECT event_id, '{{"links":[{{"/":"./a"}},{{"/":"./' || event_type || '"}}],"v":' || user_id || '}}' AS text FROM events),
+d AS (SELECT *, '080212' || {_varint("strlen(text)")} || lower(hex(encode(text))) || '18' || {_varint("strlen(text)")} AS data FROM t)"""
+
+
+@query(_NODE_SQL + f"SELECT event_id, text AS canonical, {_cid_sql('text')} AS cid, {_TEXT_OF_HEX.format(h='(' + chr(39) + '01701220' + chr(39) + ' || sha256(unhex(' + _field('0a', 'data') + ')))')} AS dag_pb FROM d")
+def canonical_nodes(spark, sf_dir):
+    """Documents with links in order, and their identifiers as raw and as one node."""
+    raw = F.to_json(F.struct(F.col("user_id").alias("v"), F.array(F.struct(F.concat(F.lit("./"), "event_type").alias("/")), F.struct(F.concat(F.lit("./"), F.lit("a")).alias("/"))).alias("links")))
+    rows = table(spark, sf_dir, "events").select("event_id", canon.canonical_links_json(raw).alias("canonical"))
+    return rows.select("event_id", "canonical", cid_raw(F.col("canonical")).alias("cid"), canon.cid_dag_pb_of(F.encode("canonical", "UTF-8")).alias("dag_pb"))
+
+
+@query("""SELECT page_id, '{"a":["' || page_id % 3 || '","&' || page_id || '"],"b":["x",""]}' AS query FROM pages""")
+def query_maps(spark, sf_dir):
+    """The values of each key of an address's query, in order."""
+    k = F.col("page_id")
+    url = F.concat(F.substring_index("url", "?", 1), F.lit("?a="), (k % 3).cast("string"), F.lit("&b=x&a=%26"), k.cast("string"), F.lit("&b"))
+    return table(spark, sf_dir, "pages").select("page_id", F.to_json(urls.multi_map(urls.query_pairs(url))).alias("query"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'p' || l_partkey || '.json' WHEN 1 THEN 'a/p' || l_partkey || '.json' WHEN 2 THEN 'p' || l_partkey || '.json' ELSE '../p' || l_partkey || '.json' END AS path FROM lineitem""")
+def normal_paths(spark, sf_dir):
+    """Paths of links without . and .. segments."""
+    name = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".json"))
+    k = F.col("l_linenumber") % 4
+    path = F.when(k == 0, F.concat(F.lit("././x/../"), name)).when(k == 1, F.concat(F.lit("a//b/./../"), name)).when(k == 2, name).otherwise(F.concat(F.lit("a/../../"), name))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", formats.normal_path(path).alias("path"))
+
+
+@query("""SELECT doc_id, doc_id % 3 <> 1 AS ok FROM documents""")
+def content_hashes(spark, sf_dir):
+    """Whether contents are those of their identifiers."""
+    text = F.col("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", cid_raw(text).alias("cid"), F.when(F.col("doc_id") % 3 == 1, F.concat(text, F.lit(" "))).otherwise(text).alias("data"))
+    return rows.select("doc_id", formats.content_ok(F.col("cid"), F.col("data")).alias("ok"))

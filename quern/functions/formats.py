@@ -57,6 +57,22 @@ def json_value(raw: Column) -> Column:
     return let(F.try_variant_get(both, "$", "array<variant>"), lambda v: F.when((F.size(v) == 2) & (F.try_variant_get(F.get(v, 1), "$", "bigint") == after), F.get(v, 0)))
 
 
+def normal_path(path: Column) -> Column:
+    """A path without empty and . segments, and without .. where a segment stands before it."""
+
+    def step(seen: Column, x: Column) -> Column:
+        back = (x == "..") & (F.size(seen) > 0) & F.coalesce(F.try_element_at(seen, F.lit(-1)) != "..", F.lit(False))
+        return F.when(x.isin("", "."), seen).when(back, F.slice(seen, F.lit(1), F.size(seen) - 1)).otherwise(F.array_append(seen, x))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def content_ok(cid: Column, data: Column) -> Column:
+    """Whether bytes are what a raw CIDv1 with a sha2-256 or sha2-512 stands for."""
+    content = data.cast("binary")
+    return F.coalesce(let(cid_v1_hex(cid), lambda h: F.when(h.startswith("01551220"), F.concat(F.lit("01551220"), F.sha2(content, 256)) == h).when(h.startswith("01551340"), F.concat(F.lit("01551340"), F.sha2(content, 512)) == h)), F.lit(False))
+
+
 _VARINT = "(?:[89a-f][0-9a-f])*[0-7][0-9a-f]"
 _LEAST_V0, _MOST_V0 = (base58_text(b"\x12\x20" + bytes([x]) * 32) for x in (0, 255))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quern.functions.formats import normal_path
+
 #: Files that need no reference to them.
 ALWAYS_USED = ("parcel.json", "property_seed.json", "unnormalized_address.json")
 
@@ -53,8 +55,7 @@ def unused_files(files: DataFrame, links: DataFrame) -> DataFrame:
 
 def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
     """Links whose path, normalised, is no file of the folder."""
-    path = F.regexp_replace("ref", r"^(\./)+", "")
-    return links.withColumn("name", path).join(files.select("dir", "name").distinct(), ["dir", "name"], "left_anti")
+    return links.withColumn("name", normal_path(F.col("ref"))).join(files.select("dir", "name").distinct(), ["dir", "name"], "left_anti")
 
 
 def structure_problems(files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quern.functions.cid import hash_of_cid
+from quern.functions.formats import content_ok
 from quern.functions.urls import fill_template
 
 CHUNK = 2000
@@ -39,7 +39,7 @@ def combine_responses(responses: DataFrame, column: str = "request_identifier")
 
 def verified(content: DataFrame, cid: str = "cid", data: str = "data", rank: str = "gateway") -> DataFrame:
     """Of each identifier the content from the first gateway whose hash fits."""
-    good = content.filter(F.sha2(F.col(data).cast("binary"), 256) == hash_of_cid(F.col(cid)))
+    good = content.filter(content_ok(F.col(cid), F.col(data)))
     return good.groupBy(cid).agg(F.min_by(data, rank).alias(data))
 
 

@@ -57,7 +57,7 @@ def converted(docs: DataFrame, files: DataFrame, schemas: dict[str, object]) ->
         fresh = step.filter(F.col("as") == "").select("dir", F.lit("link").alias("kind"), F.col("name").alias("file"), "cid")
         met = need(fresh).join(pending, ["dir", "name", "as"], "left_semi").checkpoint()
         if not met.isEmpty():
-            known = known.unionByName(met).checkpoint()
+            known = known.unionByName(met)
             still = still.join(met, ["dir", "name", "as", "kind", "target"], "left_anti").checkpoint()
     lost = pending.join(still.groupBy("dir", "name", "as").agg(F.min("target").alias("first")), ["dir", "name", "as"])
     lost = lost.select("dir", "name", "as", null.alias("converted"), F.lit(None).cast("int").alias("n_links"), null.alias("cid"), F.concat(F.lit(FAILED), "first").alias("problem"))

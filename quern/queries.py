@@ -352,7 +352,16 @@ def relationship_slots(spark, sf_dir):
     return relate.slot_files(_slot_rows(spark, sf_dir)).select("group", "slot", F.array_join("files", ",").alias("files"))
 
 
-@query()
+_COUNTY_SLOTS = list(dict.fromkeys(r[0] for r in relate.COUNTY))
+_COUNTY_LINK = """'{"/":"./' || {f} || '"}'"""
+
+
+@query(f"""WITH r AS (SELECT p_size AS g, p_partkey AS seq, {_SLOT_LIST}[(p_partkey % {len(_SLOT_FILES)})::INTEGER + 1] || '_' || p_partkey || '.json' AS f FROM part),
+s AS (SELECT *, {_slot_case(relate.COUNTY)} AS slot FROM r),
+e AS (SELECT g, slot, slot IN ({", ".join(f"'{s}'" for s in relate.COUNTY_SINGLE)}) AS single, {_COUNTY_LINK.replace("{f}", "arg_max(f, seq)")} AS one, '[' || string_agg({_COUNTY_LINK.replace("{f}", "f")}, ',' ORDER BY seq) || ']' AS many, '[' || string_agg({_COUNTY_LINK.replace("{f}", "f")}, ',' ORDER BY lower(f)) || ']' AS by_name FROM s WHERE slot IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT g, string_agg('"' || slot || '":' || CASE WHEN single THEN one ELSE many END, ',' ORDER BY list_position([{", ".join(f"'{s}'" for s in _COUNTY_SLOTS)}], slot)) AS document, string_agg('"' || slot || '":' || CASE WHEN single THEN one ELSE by_name END, ',' ORDER BY slot) AS canonical FROM e GROUP BY 1),
+t AS (SELECT g, '{{"label":"County","relationships":{{' || document || '}}}}' AS document, '{{"label":"County","relationships":{{' || canonical || '}}}}' AS canonical FROM d)
+SELECT g AS "group", document, {CID_SQL.format(h="sha256(canonical)")} AS cid FROM t""")
 def county_data_groups(spark, sf_dir):
     """R-C, R-D: the data group documents themselves, with their identifiers."""
     groups = relate.data_groups(_slot_rows(spark, sf_dir)).select("group", "document", canon.canonical_links_json(F.col("document")).alias("canonical"))

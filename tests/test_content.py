@@ -131,3 +131,10 @@ def test_conversion_for_upload(spark):
         ("circle", None): (None, upload.FAILED + "c1.json"), ("bad", None): (None, upload.FAILED + "bad.json"), ("missing image", None): (None, upload.FAILED + "gone.png"), ("cid", None): ('{"ipfs_url":"ipfs://%s","to":{"/":"%s"}}' % (cid_of("a"), cid_of("b")), None),
         ("by format", "s"): ('{"u":["ipfs://%s"],"v":"x/p.PNG"}' % png, None), ("by format", None): (docs["by format"], None), ("no JSON", None): ('"plain"', None), ("null", None): (None, None),
     }
+
+
+def test_contents_by_either_hash(spark):
+    text = lambda code, name: "b" + base32_text(varint(1) + varint(0x55) + varint(code) + varint(hashlib.new(name).digest_size) + hashlib.new(name, b"x").digest())
+    rows = [(text(0x12, "sha256"), "x"), (text(0x13, "sha512"), "x"), (text(0x13, "sha512"), "y"), (text(0x11, "sha1"), "x"), ("Qm", "x"), (None, "x"), (text(0x12, "sha256"), None)]
+    got = spark.createDataFrame(rows, "cid string, data string").select(formats.content_ok(F.col("cid"), F.col("data")).alias("ok")).collect()
+    assert [r.ok for r in got] == [True, True, False, False, False, False, False]
