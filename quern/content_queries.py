@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import canon, dagcodecs, formats, urls
 from quern.functions.cid import cid_raw
-from quern.operators import closure, dag, incremental, stategraph, submit, upload
+from quern.operators import closure, dag, documents, entities, incremental, stategraph, submit, upload
 from quern.queries import CID_SQL, query
 from quern.session import shared_folder, table
 from quern.streaming import replay
@@ -259,3 +259,34 @@ def content_hashes(spark, sf_dir):
     text = F.col("text")
     rows = table(spark, sf_dir, "documents").select("doc_id", cid_raw(text).alias("cid"), F.when(F.col("doc_id") % 3 == 1, F.concat(text, F.lit(" "))).otherwise(text).alias("data"))
     return rows.select("doc_id", formats.content_ok(F.col("cid"), F.col("data")).alias("ok"))
+
+
+# Reports on folders, and files of what is known of each property.
+
+
+@query("""SELECT p_partkey % 10 AS dir, 'p' || p_partkey || '.json' AS name, 'Unused data JSON file detected: p' || p_partkey || '.json is not referenced by any relationship included in the datagroup.' AS error
+FROM part WHERE p_partkey % 4 <> 0 AND p_partkey NOT IN (SELECT CASE WHEN l_quantity >= 45 THEN l_partkey ELSE l_partkey + 1000000 END FROM lineitem)""")
+def unused_reports(spark, sf_dir):
+    """Files that nothing names, unused relationships let pass."""
+    k = F.col("p_partkey")
+    link = lambda key, to: F.concat(F.lit(f'"{key}":{{"/":"'), to, F.lit('"}'))
+    to = F.when(k % 4 == 1, F.concat(F.lit("bafy"), "p_brand")).otherwise(F.concat(F.lit("./"), "p_brand"))
+    raw = F.when(k % 4 == 3, F.concat(F.lit('{"from":"./a","n":'), k.cast("string"), F.lit("}"))).when(k % 4 == 2, F.concat(F.lit("{"), link("from", to))).otherwise(F.concat(F.lit("{"), link("from", F.lit("./a")), F.lit(","), link("to", to), F.lit("}")))
+    files = table(spark, sf_dir, "part").select((k % 10).alias("dir"), F.concat(F.lit("p"), k.cast("string"), F.lit(".json")).alias("name"), raw.alias("raw"))
+    named = F.when(F.col("l_quantity") >= 45, F.col("l_partkey")).otherwise(F.col("l_partkey") + 1_000_000)
+    links = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 10).alias("dir"), F.concat(F.lit("p"), named.cast("string"), F.lit(".json")).alias("name"))
+    return documents.unused_files(files, links, "raw").select("dir", "name", "error")
+
+
+@query("""SELECT c_custkey::VARCHAR AS property, 'structure.json' AS name, '{"roof":"' || c_mktsegment || '","floors":' || c_nationkey || '}' AS content FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey::VARCHAR, 'utility.json', '{"heating":"' || c_mktsegment || '"}' FROM customer WHERE c_custkey % 3 <> 1""")
+def structure_files(spark, sf_dir):
+    """E5: structures and utilities by property, from documents of several properties; some hold none."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").withColumn("batch", F.floor(k / 5))
+    member = lambda there, text: F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('"property_'), k.cast("string"), F.lit('":'), F.when(there, text).otherwise("null")))), ",")
+    structure = F.concat(F.lit('{"roof":"'), "c_mktsegment", F.lit('","floors":'), F.col("c_nationkey").cast("string"), F.lit("}"))
+    utility = F.concat(F.lit('{"heating":"'), "c_mktsegment", F.lit('"}'))
+    docs = rows.groupBy("batch").agg(member(k % 3 != 0, structure).alias("s"), member(k % 3 != 1, utility).alias("u"))
+    whole = lambda c: docs.select(F.concat(F.lit('{"note":"x",'), c, F.lit("}")).alias("raw"))
+    return entities.keyed(whole("s"), "structure").unionByName(entities.keyed(whole("u"), "utility"))

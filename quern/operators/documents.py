@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quern.functions.formats import normal_path
+from quern.functions.formats import json_value, normal_path
+from quern.functions.lets import let
 
 #: Files that need no reference to them.
 ALWAYS_USED = ("parcel.json", "property_seed.json", "unnormalized_address.json")
@@ -47,10 +48,27 @@ def property_ids(files: DataFrame) -> DataFrame:
     return files.withColumn("property_cid", F.coalesce(seed, F.col("dir")))
 
 
-def unused_files(files: DataFrame, links: DataFrame) -> DataFrame:
-    """Files that no link of the same folder names, but for those that need none. links: dir, name."""
+#: How a file that nothing names is reported.
+UNUSED, NOT_REFERENCED = "Unused data JSON file detected: ", " is not referenced by any relationship included in the datagroup."
+
+
+def relationship_shaped(raw: Column) -> Column:
+    """F16: JSON whose from and to are links to files of the folder, whatever else it holds."""
+
+    def end(v: Column, name: str) -> Column:
+        return (F.schema_of_variant(F.try_variant_get(v, f"$.{name}['/']", "variant")) == "STRING") & F.try_variant_get(v, f"$.{name}['/']", "string").startswith("./")
+
+    return let(json_value(raw), lambda v: F.coalesce(end(v, "from") & end(v, "to"), F.lit(False)))
+
+
+def unused_files(files: DataFrame, links: DataFrame, raw: str | None = None) -> DataFrame:
+    """Files that no link of the same folder names, but for those that need none. links: dir, name.
+
+    raw: the files' texts, if there are any; unused relationships are let pass, and `error` says what is wrong.
+    """
     used = links.select("dir", "name").distinct()
-    return files.filter(~F.col("name").isin(*ALWAYS_USED)).join(used, ["dir", "name"], "left_anti")
+    found = files.filter(~F.col("name").isin(*ALWAYS_USED)).join(used, ["dir", "name"], "left_anti")
+    return found if raw is None else found.filter(~relationship_shaped(F.col(raw))).withColumn("error", F.concat(F.lit(UNUSED), "name", F.lit(NOT_REFERENCED)))
 
 
 def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:

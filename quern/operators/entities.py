@@ -30,6 +30,12 @@ def layouts(docs: DataFrame, raw: str = "raw") -> DataFrame:
     return rooms.select("property", F.concat(F.lit("layout_"), (F.col("pos") + 1).cast("string"), F.lit(".json")).alias("name"), "content")
 
 
+def keyed(docs: DataFrame, name: str, raw: str = "raw") -> DataFrame:
+    """E5: property, name, content: what documents keyed property_<id> hold of each property, as its file (structure, utility)."""
+    parsed = docs.select(F.explode(F.from_json(raw, "map<string,string>")).alias("key", "content")).filter(F.col("key").startswith("property_") & F.col("content").isNotNull())
+    return parsed.select(F.regexp_replace("key", "^property_", "").alias("property"), F.lit(f"{name}.json").alias("name"), "content")
+
+
 def entity_files(entities: DataFrame) -> DataFrame:
     """Property, name, content: a file for each entity that is there, numbered within its class where it may have several.
 
