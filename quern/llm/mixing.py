@@ -45,7 +45,7 @@ STEP = 12.0  # odds are kept in steps of 1/12
 #: Keys whose paths are laid out at a time.
 SOME = 1 << 14
 #: Bytes of text in a block of documents, and for each part of the counts, about.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 32 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 32 << 20
 #: Decisions that are laid out together.
 AT_ONCE = 1 << 17
 #: Documents that still advance together; fewer go on one by one.
