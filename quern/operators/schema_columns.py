@@ -138,36 +138,31 @@ class Follow:
         return self.here or any(self.child(k).below(depth + 1) for k in self.names()) or ("items" in self.schema and self.item().below(depth + 1))
 
     def resolved(self, v: Column, above: Column) -> Column:
-        """(value, problem, above): the value that a link leads to, from link to link; above: the targets on the way here."""
+        """(value, lost, above): the value that a link leads to, from link to link, or the target that leads nowhere; above: the targets on the way here."""
         content = F.create_map().cast("map<string,string>") if self.content is None else F.coalesce(self.content, F.create_map().cast("map<string,string>"))
+        state = lambda value, lost, seen: F.struct(value.alias("value"), lost.alias("lost"), seen.alias("above"))
 
         def hop(s: Column) -> Column:
             target = link_target(s["value"])
-            key = F.regexp_replace(target, r"^(\./)+", "")
-            text = F.try_element_at(content, key)
-            lost = F.when(target == "", "Failed to resolve pointer - empty string is not a valid CID or file path").when(
-                text.isNull() | F.array_contains(s["above"], target),
-                F.when(fmt.strict_cid(target), F.concat(F.lit("Failed to resolve CID pointer: "), target)).otherwise(F.concat(F.lit("Failed to resolve pointer - not a valid CID or accessible file path: "), target)),
-            )
+            text = F.try_element_at(content, F.regexp_replace(target, r"^(\./)+", ""))
+            nowhere = (target == "") | text.isNull() | F.array_contains(s["above"], target)
             next_value = F.coalesce(fmt.json_value(text), text.cast("variant"))
-            state = lambda value, problem, seen: F.struct(value.alias("value"), problem.alias("problem"), seen.alias("above"))
-            return F.when(target.isNull() | s["problem"].isNotNull(), s).when(lost.isNotNull(), state(s["value"], lost, s["above"])).otherwise(state(next_value, F.lit(None).cast("string"), F.array_append(s["above"], target)))
+            return F.when(target.isNull() | s["lost"].isNotNull(), s).when(nowhere, state(s["value"], target, s["above"])).otherwise(state(next_value, F.lit(None).cast("string"), F.array_append(s["above"], target)))
 
-        start = F.struct(v.alias("value"), F.lit(None).cast("string").alias("problem"), above.alias("above"))
         # No chain without a circle is longer than the map.
         hops = F.when(link_target(v).isNotNull(), F.sequence(F.lit(0), F.size(content))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(hops, start, lambda s, _: hop(s))
+        return F.aggregate(hops, state(v, F.lit(None).cast("string"), above), lambda s, _: hop(s))
 
     def value(self, v: Column) -> Column:
         return self.resolved(v, F.array().cast(NAMES))["value"] if self.here else v
 
     def problems(self, v: Column, above: Column) -> Column:
-        """What is wrong with links, in order of the data (properties by name)."""
+        """The targets that lead nowhere, in order of the data (properties by name)."""
         if not self.below():
             return F.array().cast(NAMES)
 
         def inside(s: Column) -> Column:
-            parts = [F.when(s["problem"].isNotNull(), F.array(s["problem"])).otherwise(F.array().cast(NAMES))] if self.here else []
+            parts = [F.when(s["lost"].isNotNull(), F.array(s["lost"])).otherwise(F.array().cast(NAMES))] if self.here else []
             for name in self.names():
                 below = self.child(name)
                 if below.below():
@@ -176,7 +171,7 @@ class Follow:
                 parts.append(F.coalesce(F.flatten(F.transform(_items(s["value"]), lambda y: self.item().problems(y, s["above"]))), F.array().cast(NAMES)))
             return F.concat(*parts)
 
-        state = self.resolved(v, above) if self.here else F.struct(v.alias("value"), F.lit(None).cast("string").alias("problem"), above.alias("above"))
+        state = self.resolved(v, above) if self.here else F.struct(v.alias("value"), F.lit(None).cast("string").alias("lost"), above.alias("above"))
         return let(state, inside)
 
 
@@ -185,6 +180,12 @@ def link_target(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "OBJECT<`/`: STRING>", F.try_variant_get(v, "$['/']", "string"))
 
 
+def lost_message(target: Column) -> Column:
+    """V3: what is said of a link that leads nowhere."""
+    named = F.when(fmt.strict_cid(target), "Failed to resolve CID pointer: ").otherwise("Failed to resolve pointer - not a valid CID or accessible file path: ")
+    return F.when(target == "", "Failed to resolve pointer - empty string is not a valid CID or file path").otherwise(F.concat(named, target))
+
+
 def _nowhere() -> Follow:
     """A place that the schema doesn't name."""
     return Follow(None, frozenset(), None, "?")
@@ -372,8 +373,8 @@ def compiled(raw: Column, schema: object, allowed: list[str], content: Column |
         found = F.transform(found, lambda e: F.struct(F.when(e["path"] == "", "/").otherwise(e["path"]).alias("path"), e["message"].alias("message")))
         if not follow.below():
             return found
-        problem = F.get(follow.problems(v, F.array().cast(NAMES)), 0)
-        return let(problem, lambda p: F.when(p.isNotNull(), failed(F.concat(F.lit("Validation error: "), p))).otherwise(found))
+        lost = F.get(follow.problems(v, F.array().cast(NAMES)), 0)
+        return let(lost, lambda target: F.when(target.isNotNull(), failed(F.concat(F.lit("Validation error: "), lost_message(target)))).otherwise(found))
 
     return let(fmt.json_value(raw), lambda v: F.when(v.isNull(), failed(F.lit("File read/parse error"))).otherwise(judged(v)))
 
