@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.functions import cid
+from quern.functions import cid, formats
 
 
 def times(df, part):
@@ -17,3 +17,13 @@ def test_identifiers_compute_a_value_once(spark):
     bad = ["", "b", "b" + "a" * 58, "z" * 59, "bafkreifzjut3te2nhyekklss27nh3k72ysco7y32koao5eei66wof36n5f", None]
     found = spark.createDataFrame([(x,) for x in bad], "t string").select(cid.hash_of_cid(F.col("t")), cid.cid_of_hash(F.col("t"))).collect()
     assert all(tuple(r) == (None, None) for r in found)
+
+
+def test_problems_of_identifiers_compute_a_value_once(spark):
+    rows = spark.createDataFrame([("x",)], "t string")
+    made = F.concat(F.lit("b"), F.sha2("t", 256))
+    for check in (formats.cid_problem, formats.ipfs_uri_ok, formats.strict_cid):
+        assert times(rows.select(check(made).alias("p")), "sha2(") == 1
+    cases = {None: "CID must be a non-empty string", "baaaaaaa": "Invalid CID format", "bafkreifzjut3te2nhyekklss27nh3k72ysco7y32koao5eei66wof36n5e": None, "bafkreifzjut3te2nhyekklss27nh3k72ysco7y32koao5eei66wof36n5": "Invalid CID format", "bafkrgqaa": "Expected SHA-256 hash (0x12), got hash algorithm 0x13"}
+    found = spark.createDataFrame([(x,) for x in cases], "t string").select("t", formats.cid_problem(F.col("t")).alias("p")).collect()
+    assert {r.t: r.p for r in found} == cases
