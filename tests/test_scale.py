@@ -1,8 +1,11 @@
 """What keeps queries whole and in bounds on larger tables."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from quern.functions import cid, formats
+from quern.operators import submit
 
 
 def times(df, part):
@@ -27,3 +30,10 @@ def test_problems_of_identifiers_compute_a_value_once(spark):
     cases = {None: "CID must be a non-empty string", "baaaaaaa": "Invalid CID format", "bafkreifzjut3te2nhyekklss27nh3k72ysco7y32koao5eei66wof36n5e": None, "bafkreifzjut3te2nhyekklss27nh3k72ysco7y32koao5eei66wof36n5": "Invalid CID format", "bafkrgqaa": "Expected SHA-256 hash (0x12), got hash algorithm 0x13"}
     found = spark.createDataFrame([(x,) for x in cases], "t string").select("t", formats.cid_problem(F.col("t")).alias("p")).collect()
     assert {r.t: r.p for r in found} == cases
+
+
+def test_contract_hashes_compute_a_value_once(spark):
+    rows = spark.createDataFrame([("x",)], "t string")
+    found = submit.item_hashes(rows.select(F.concat(F.lit("."), cid.cid_raw(F.col("t"))).alias("property_cid"), F.lit("bafybad").alias("data_cid")), ("property_cid", "data_cid"))
+    assert times(found, "sha2(") == 1
+    assert found.select("property_hash", "data_hash").first() == ("0x" + hashlib.sha256(b"x").hexdigest(), None)
