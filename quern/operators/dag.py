@@ -7,10 +7,14 @@ are built by expressions in hex, and no content is moved: what is shuffled are h
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.cid import base32_of_hex
 from quern.functions.formats import IMAGE_TYPES
@@ -80,20 +84,47 @@ def file_roots(files: DataFrame, keys: list[str], content: str = "content", chun
     return reduce(DataFrame.union, roots)
 
 
-def folder_roots(roots: DataFrame, folder: str = "dir", name: str = "name", limit: int = SHARD_BYTES) -> DataFrame:
+def folder_roots(roots: DataFrame, folder: str = "dir", name: str = "name", limit: int | None = SHARD_BYTES) -> DataFrame:
     """folder, cid (hex), tsize, n_files and problem: the node over the folder's files by the bytes of their names.
 
-    A folder whose node would be larger than `limit` gets a null identifier and says so; its links are never gathered.
+    A folder whose node would be larger than `limit` gets a null identifier and says so; without a limit all get one node.
+    A folder's links stream in order past its hash and are never gathered, so a node may be of any size.
     """
     links = roots.select(folder, F.hex(F.encode(name, "UTF-8")).alias("place"), "tsize", link_hex(F.col("cid"), F.col(name), F.col("tsize")).alias("link"))
-    sizes = links.groupBy(F.col(folder).alias("__dir")).agg(F.sum(bytes_of(F.col("link"))).alias("bytes"), F.count(F.lit(1)).alias("n_files")).withColumn("fits", F.col("bytes") + 4 <= limit)
-    some = links.join(sizes.filter("fits"), F.col(folder).eqNullSafe(F.col("__dir")), "left_semi")
-    per = some.groupBy(F.col(folder).alias("__own")).agg(F.array_sort(F.collect_list(F.struct("place", "link"))).alias("links"), F.sum("tsize").alias("below"))
-    block = F.concat(F.array_join(F.transform("links", lambda x: x["link"]), ""), F.lit("0a020801"))
-    per = per.select("__own", "below", block.alias("block"))
-    per = per.select("__own", F.concat(F.lit(DAG_PB), _hash(F.col("block"))).alias("cid"), (F.col("below") + bytes_of(F.col("block"))).alias("tsize"))
+    sizes = links.groupBy(F.col(folder).alias("__dir")).agg(F.sum(bytes_of(F.col("link"))).alias("bytes"), F.count(F.lit(1)).alias("n_files"), F.sum("tsize").alias("below"))
+    sizes = sizes.withColumn("fits", F.lit(True) if limit is None else F.col("bytes") + 4 <= limit)
+    some = links if limit is None else links.join(sizes.filter("fits"), F.col(folder).eqNullSafe(F.col("__dir")), "left_semi")
+    key = F.xxhash64(folder)
+    ordered = some.select(key.alias("__key"), folder, "place", "link").repartition("__key").sortWithinPartitions("__key", folder, "place", "link").select(folder, "link")
+    own = T.StructType([T.StructField("__own", links.schema[folder].dataType), T.StructField("digest", T.StringType())])
+    per = ordered.mapInArrow(_node_digests, own).select("__own", F.concat(F.lit(DAG_PB), F.col("digest")).alias("cid"))
     found = sizes.join(per, F.col("__dir").eqNullSafe(F.col("__own")), "left")
-    return found.select(F.col("__dir").alias(folder), "cid", "tsize", "n_files", F.when(~F.col("fits"), SHARDED).alias("problem"))
+    return found.select(F.col("__dir").alias(folder), "cid", F.when(F.col("fits"), F.col("below") + F.col("bytes") + 4).alias("tsize"), "n_files", F.when(~F.col("fits"), SHARDED).alias("problem"))
+
+
+def _node_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The folder and the sha2-256 of its node for rows (folder, link in hex) that come folder by folder, in order."""
+    held = None  # folder (an array of one), hash so far
+
+    def ended():
+        held[1].update(b"\x0a\x02\x08\x01")
+        return pa.RecordBatch.from_arrays([held[0], pa.array([held[1].hexdigest()])], ["__own", "digest"])
+
+    for batch in batches:
+        folders, links = batch.columns
+        names, at = folders.to_pylist(), 0
+        while at < len(names):
+            to = at + 1
+            while to < len(names) and names[to] == names[at]:
+                to += 1
+            if held is None or held[0][0].as_py() != names[at]:
+                if held is not None:
+                    yield ended()
+                held = folders.take(pa.array([at])), hashlib.sha256()
+            held[1].update(bytes.fromhex("".join(x for x in links[at:to].to_pylist() if x is not None)))
+            at = to
+    if held is not None:
+        yield ended()
 
 
 def cid_text(cid_hex: Column) -> Column:
