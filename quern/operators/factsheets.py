@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The file that all point to, and what is in it.
 SHEET = "fact_sheet.json"
+#: A guess: links that a task joins and sums up, far below what fits its memory.
+TASK_ROWS = 200_000
 COMMAND = "npx -y {tool}@{version} generate --input ${{inputDir}} --output ${{outputDir}} --inline-js --inline-css --inline-svg"
 
 
@@ -23,14 +25,20 @@ def class_files(links: DataFrame, relationships: DataFrame, group_schemas: DataF
 
     links: dir, seq, slot, file, schema_cid (of the data group); relationships: dir, file, from, to; group_schemas:
     schema_cid, slot, relationship_cid; relationship_schemas: relationship_cid, from_cid, to_cid; titles: cid, title. The
-    last three are small dimensions that adaptive execution broadcasts if their size allows. Slots of fact sheets are skipped.
+    last three are as many as a manifest's schemas and are broadcast: their few keys would gather all links in a few tasks.
+    Slots of fact sheets are skipped.
     """
-    some = links.filter(~F.col("slot").endswith("fact_sheet")).join(group_schemas, ["schema_cid", "slot"]).join(relationship_schemas, "relationship_cid")
-    ends = some.join(relationships, ["dir", "file"])
+    some = links.filter(~F.col("slot").endswith("fact_sheet")).join(F.broadcast(group_schemas), ["schema_cid", "slot"]).join(F.broadcast(relationship_schemas), "relationship_cid")
+    # Rows a task are bounded: merged by compressed size, which is small here, tasks would grow with the input.
+    parts = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // TASK_ROWS))
+    ends = some.repartition(parts, "dir", "file").join(relationships.repartition(parts, "dir", "file"), ["dir", "file"])
     path = lambda c: F.substr(F.col(c), F.lit(3))
     sides = F.array(F.struct(F.lit(0).alias("side"), path("from").alias("file"), F.col("from_cid").alias("cid")), F.struct(F.lit(1).alias("side"), path("to").alias("file"), F.col("to_cid").alias("cid")))
-    each = ends.select("dir", "seq", F.explode(sides).alias("e")).select("dir", F.struct("seq", "e.side").alias("at"), "e.file", "e.cid").join(titles, "cid")
-    return each.groupBy("dir", "file").agg(F.min_by("title", "at").alias("class"), F.min("at").alias("at"))
+    each = ends.select("dir", "seq", F.explode(sides).alias("e")).select("dir", "seq", "e.side", "e.file", "e.cid")
+    # Plain minima, which tasks keep by key, come first; rows are sorted only for what is left of them.
+    first = each.repartition(parts, "dir", "file").groupBy("dir", "file", "side", "cid").agg(F.min("seq").alias("seq")).join(F.broadcast(titles), "cid")
+    at = F.struct("seq", "side")
+    return first.groupBy("dir", "file").agg(F.min_by("title", at).alias("class"), F.min(at).alias("at"))
 
 
 def sheet_name(file: Column) -> Column:
@@ -38,10 +46,10 @@ def sheet_name(file: Column) -> Column:
 
 
 def sheet_relationships(classes: DataFrame) -> DataFrame:
-    """R-F: dir, name, content of the relationship from each file to the fact sheet."""
+    """R-F: dir, class, name, content of the relationship from each file to the fact sheet."""
     link = lambda c: F.struct(c.alias("/"))
     content = F.to_json(F.struct(link(F.concat(F.lit("./"), "file")).alias("from"), link(F.lit(f"./{SHEET}")).alias("to")))
-    return classes.select("dir", sheet_name(F.col("file")).alias("name"), content.alias("content"))
+    return classes.select("dir", "class", sheet_name(F.col("file")).alias("name"), content.alias("content"))
 
 
 def sheet_slots(classes: DataFrame, groups: DataFrame) -> DataFrame:

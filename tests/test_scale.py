@@ -5,7 +5,8 @@ import hashlib
 from pyspark.sql import functions as F
 
 from quern.functions import cid, formats
-from quern.operators import submit
+from quern.functions.multiformats import varint
+from quern.operators import dag, factsheets, submit
 
 
 def times(df, part):
@@ -37,3 +38,32 @@ def test_contract_hashes_compute_a_value_once(spark):
     found = submit.item_hashes(rows.select(F.concat(F.lit("."), cid.cid_raw(F.col("t"))).alias("property_cid"), F.lit("bafybad").alias("data_cid")), ("property_cid", "data_cid"))
     assert times(found, "sha2(") == 1
     assert found.select("property_hash", "data_hash").first() == ("0x" + hashlib.sha256(b"x").hexdigest(), None)
+
+
+def test_links_are_not_gathered_by_schema(spark):
+    links = spark.createDataFrame([("d", 2, "a", "r2", "g"), ("d", 1, "b", "r1", "g"), ("d", 3, "x_fact_sheet", "r3", "g")], "dir string, seq long, slot string, file string, schema_cid string")
+    relationships = spark.createDataFrame([("d", "r1", "./p.json", "./t.json"), ("d", "r2", "./t.json", "./q.json"), ("d", "r3", "./z.json", "./z.json")], "dir string, file string, from string, to string")
+    groups = spark.createDataFrame([("g", "a", "1"), ("g", "b", "2"), ("g", "x_fact_sheet", "1")], "schema_cid string, slot string, relationship_cid string")
+    ends = spark.createDataFrame([("1", "c1", "c2"), ("2", "c2", "c3")], "relationship_cid string, from_cid string, to_cid string")
+    titles = spark.createDataFrame([("c1", "one"), ("c2", "two"), ("c3", "three")], "cid string, title string")
+    found = factsheets.class_files(links, relationships, groups, ends, titles)
+    assert {r.file: (r["class"], tuple(r.at)) for r in found.collect()} == {"p.json": ("two", (1, 0)), "t.json": ("three", (1, 1)), "q.json": ("two", (2, 1))}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(dir" in plan and not any(f"hashpartitioning({c}" in plan for c in ("schema_cid", "slot", "relationship_cid", "cid"))
+
+
+def test_folder_nodes_of_any_size(spark):
+    cid_hex = "01551220" + "ab" * 32
+    rows = spark.range(9000).select(F.lit("d").alias("dir"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("name"), F.lit(cid_hex).alias("cid"), (F.col("id") + 1).alias("tsize"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "n", cid_hex, 7), ("e", "n", cid_hex, 7)], "dir string, name string, cid string, tsize long"))
+    got = {r.dir: (r.cid, r.tsize, r.n_files, r.problem) for r in dag.folder_roots(rows, limit=None).collect()}
+
+    def node(files):
+        block = b""
+        for name, size in sorted((n.encode(), s) for n, s in files):
+            link = b"\x0a\x24" + bytes.fromhex(cid_hex) + b"\x12" + varint(len(name)) + name + b"\x18" + varint(size)
+            block += b"\x12" + varint(len(link)) + link
+        block += b"\x0a\x02\x08\x01"
+        return "01701220" + hashlib.sha256(block).hexdigest(), len(block) + sum(s for _, s in files), len(files), None
+
+    assert got == {"d": node([(f"é{i}", i + 1) for i in range(9000)]), None: node([("n", 7)]), "e": node([("n", 7)])} and got["d"][1] > dag.SHARD_BYTES
