@@ -4,9 +4,10 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from quern.functions import cid, formats
+from quern.functions import canon, cid, formats
 from quern.functions.multiformats import varint
-from quern.operators import dag, factsheets, submit
+from quern.operators import dag, factsheets, graph, submit
+from quern.session import Tables
 
 
 def times(df, part):
@@ -67,3 +68,17 @@ def test_folder_nodes_of_any_size(spark):
         return "01701220" + hashlib.sha256(block).hexdigest(), len(block) + sum(s for _, s in files), len(files), None
 
     assert got == {"d": node([(f"é{i}", i + 1) for i in range(9000)]), None: node([("n", 7)]), "e": node([("n", 7)])} and got["d"][1] > dag.SHARD_BYTES
+
+
+def test_linked_identifiers_keep_little_on_disk(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(Tables, "save", lambda self, name, df, save=Tables.save: saved.append((name, df.columns)) or save(self, name, df))
+    docs = [("d", f"{i}.json", f'{{"to":{{"/":"./{i + 1}.json"}}}}') for i in range(4)] + [("d", "4.json", "{ }"), ("d", "loop", '{"/":"./loop"}')]
+    found = graph.linked_cids(spark.createDataFrame(docs, "dir string, name string, text string"))
+    got, want = {r.name: r.cid for r in found.collect()}, {"4.json": canon.cid_v1(b"{}"), "loop": None}
+    for i in range(3, -1, -1):
+        want[f"{i}.json"] = canon.cid_v1(f'{{"to":{{"/":"{want[f"{i + 1}.json"]}"}}}}'.encode())
+    assert got == want
+    # Tables are compressed files, not checkpoints; texts are in the first and in what was converted.
+    assert {n for n, columns in saved if {"text", "converted"} & set(columns)} == {"docs", *(f"found{k}" for k in range(5))}
+    assert [n for n, _ in saved if n.startswith("refs")] == [f"refs{k}" for k in range(5)]
