@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
@@ -48,16 +51,41 @@ def unpacked(files: DataFrame) -> DataFrame:
 
 
 def write_archives(files: DataFrame, group: str = "property_cid") -> DataFrame:
-    """K-2, K-10: one ZIP per group as bytes, entries by name. files: group, entry, content; a group must fit a task's memory."""
+    """K-2, K-10: one ZIP per group as bytes, entries by name. files: group, entry, content; an archive must fit a task's memory.
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, data in sorted(zip(frame["entry"], frame["content"], strict=True), key=lambda x: x[0]):
-                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), bytes(data))
-        return pd.DataFrame({group: frame[group].iloc[:1], "archive": [out.getvalue()]})
-
-    return files.select(group, "entry", "content").groupBy(group).applyInPandas(pack, f"{group} string, archive binary")
+    Entries come group by group, in order, and are packed as they come.
+    """
+    schema = T.StructType([T.StructField(group, files.schema[group].dataType), T.StructField("archive", T.BinaryType())])
+    ordered = files.select(group, "entry", "content").repartition(group).sortWithinPartitions(group, "entry")
+    return ordered.mapInArrow(_packed, schema)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Archives of rows (group, entry, content) that come in order; a batch of them holds 16 MB or one archive."""
+    names, archives, size, z, out, own = [], [], 0, None, None, None
+
+    def ready():
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(names), pa.array(archives, pa.binary())], [head, "archive"])
+
+    for batch in batches:
+        head, keys = batch.schema.names[0], batch.column(0).to_pylist()
+        for i, (key, entry, data) in enumerate(zip(keys, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            if z is None or key != own:
+                if z is not None:
+                    z.close()
+                    archives.append(out.getvalue())
+                    size += len(archives[-1])
+                    if size > 16 << 20 or len(archives) >= 10_000:
+                        yield ready()
+                        names, archives, size = [], [], 0
+                own, out = key, io.BytesIO()
+                z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                names.append(batch.column(0).slice(i, 1))
+            z.writestr(zipfile.ZipInfo(entry, (1980, 1, 1, 0, 0, 0)), data)
+    if z is not None:
+        z.close()
+        archives.append(out.getvalue())
+        yield ready()
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from quern.functions import canon, cid, formats
 from quern.functions.multiformats import varint
 from quern.operators import dag, factsheets, graph, submit
 from quern.session import Tables
+from quern.sources import files
 
 
 def times(df, part):
@@ -82,3 +83,12 @@ def test_linked_identifiers_keep_little_on_disk(spark, monkeypatch):
     # Tables are compressed files, not checkpoints; texts are in the first and in what was converted.
     assert {n for n, columns in saved if {"text", "converted"} & set(columns)} == {"docs", *(f"found{k}" for k in range(5))}
     assert [n for n, _ in saved if n.startswith("refs")] == [f"refs{k}" for k in range(5)]
+
+
+def test_archives_of_many_groups_in_one_task(spark):
+    rows = spark.range(0, 3000, 1, 1).select((F.col("id") % 700).alias("g"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("entry"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    packed = files.write_archives(rows, "g")
+    assert "FlatMapGroups" not in packed._jdf.queryExecution().analyzed().toString()  # a frame for each group costs more than its archive
+    found = files.unpacked(packed.select(F.col("g").cast("string").alias("path"), F.col("archive").alias("content")))
+    got = sorted((int(r.archive), r.entry, bytes(r.content)) for r in found.collect())
+    assert packed.count() == 700 and got == sorted((i % 700, f"e{i}", str(i).encode()) for i in range(3000))
