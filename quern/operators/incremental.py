@@ -27,7 +27,7 @@ def _results(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def validated(docs: DataFrame, schemas: dict[str, object], folder: str, schema_col: str = "schema_cid", doc_col: str = "raw") -> tuple[DataFrame, int]:
-    """The rows of docs with their errors, and how many rows were judged in this run.
+    """The rows of docs with their errors, and how many rows this run had a new result for.
 
     Documents that hold links depend on other documents too, so they are judged each time and not kept.
     """
@@ -38,7 +38,9 @@ def validated(docs: DataFrame, schemas: dict[str, object], folder: str, schema_c
     plain, before = rows.filter(~linked), _results(docs, folder)
     new = plain.join(before.select("v_cid", "v_schema"), ["v_cid", "v_schema"], "left_anti")
     judged, last = Observation(), before.agg(F.max("run")).first()[0]
-    found = validate.validate(new.observe(judged, F.count(F.lit(1)).alias("n")), schemas, schema_col, doc_col).select("v_cid", "v_schema", "errors")
+    # Of rows with the same content one is judged for all.
+    once = new.observe(judged, F.count(F.lit(1)).alias("n")).select("v_cid", "v_schema", schema_col, doc_col).distinct()
+    found = validate.validate(once, schemas, schema_col, doc_col).select("v_cid", "v_schema", "errors")
     run = 0 if last is None else last + 1
     found.dropDuplicates(["v_cid", "v_schema"]).write.mode("overwrite").parquet(f"{folder}/results/run={run}")
     known = _results(docs, folder).drop("run")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import canon, cid, formats
 from quern.functions.multiformats import varint
-from quern.operators import dag, factsheets, graph, submit
+from quern.operators import dag, factsheets, graph, incremental, submit, validate
 from quern.session import Tables
 from quern.sources import files
 
@@ -92,3 +92,13 @@ def test_archives_of_many_groups_in_one_task(spark):
     found = files.unpacked(packed.select(F.col("g").cast("string").alias("path"), F.col("archive").alias("content")))
     got = sorted((int(r.archive), r.entry, bytes(r.content)) for r in found.collect())
     assert packed.count() == 700 and got == sorted((i % 700, f"e{i}", str(i).encode()) for i in range(3000))
+
+
+def test_equal_contents_are_judged_once(spark, tmp_path, monkeypatch):
+    judged = []
+    monkeypatch.setattr(validate, "validate", lambda df, *rest, f=validate.validate: judged.append(df.count()) or f(df, *rest))
+    docs = spark.range(1000).select("id", F.concat(F.lit('{"k":'), (F.col("id") % 5).cast("string"), F.lit("}")).alias("raw"), F.lit("s").alias("schema_cid"))
+    schemas = {"s": {"type": "object", "properties": {"k": {"type": "integer", "maximum": 3}}}}
+    found, n = incremental.validated(docs, schemas, f"file://{tmp_path}/kept")
+    assert n == 1000 and found.filter("size(errors) = 1").count() == 200 and found.count() == 1000
+    assert judged[0] == 5
