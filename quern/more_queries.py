@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import canon, cid, formats, urls
 from quern.operators import entities, events, factsheets, fetch, flows, owners, reports, scan, submit, validate
 from quern.queries import CID_SQL, query
-from quern.session import table
+from quern.session import spread, table
 from quern.sources import files
 
 # Folders.
@@ -266,7 +266,8 @@ def unsigned_transactions(spark, sf_dir):
 def contract_hashes(spark, sf_dir):
     """Identifiers as hashes, also after a dot; what isn't a raw one has none."""
     of = lambda c: cid.cid_raw(F.col(c))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("."), of("c_name")).alias("property_cid"), F.when(F.col("c_custkey") % 3 != 0, of("c_mktsegment")).otherwise("bafybad").alias("data_cid"))
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    rows = customers.select("c_custkey", F.concat(F.lit("."), of("c_name")).alias("property_cid"), F.when(F.col("c_custkey") % 3 != 0, of("c_mktsegment")).otherwise("bafybad").alias("data_cid"))
     return submit.item_hashes(rows, ("property_cid", "data_cid")).select("c_custkey", "property_hash", "data_hash")
 
 

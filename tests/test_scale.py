@@ -4,13 +4,17 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from quern.functions import canon, cid, formats
 from quern.functions.multiformats import varint
 from quern.operators import dag, factsheets, graph, incremental, submit, validate
-from quern.session import Tables
+from quern.session import Tables, table
 from quern.sources import files
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def times(df, part):
     """How often a part stands in the analyzed plan; within a lambda it would be computed once more for each element."""
     return df._jdf.queryExecution().analyzed().toString().count(part)
@@ -102,3 +106,10 @@ def test_equal_contents_are_judged_once(spark, tmp_path, monkeypatch):
     found, n = incremental.validated(docs, schemas, f"file://{tmp_path}/kept")
     assert n == 1000 and found.filter("size(errors) = 1").count() == 200 and found.count() == 1000
     assert judged[0] == 5
+
+
+def test_costly_work_on_a_small_file_is_dealt_out(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, source in (("contract_hashes", "customer"),):
+        found = queries()[name](spark, SF)
+        assert found.rdd.getNumPartitions() >= tasks and found.count() == table(spark, SF, source).count()
