@@ -1,15 +1,19 @@
 """Browser flows as graphs of states: targets that don't exist, states that nothing leads to, states that lead to no end.
 
-All flows are judged at once: states and edges are rows, unknown targets an anti-join, and reach two fixpoints of which each
-level joins what was reached last with the edges of all flows.
+A flow is one row from its text to its problems, so flows are dealt out evenly and nothing is shuffled by flow. Its states
+and edges are taken from the text by expressions; each state and edge is looked at once in either direction.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.formats import json_value
+from quern.session import spread
 
 #: Fixed value: what is wrong with a flow without states.
 NO_STATES = "states must contain at least one state"
@@ -33,42 +37,48 @@ def _edges(state: Column) -> Column:
     return F.filter(every, lambda e: e["target"].isNotNull())
 
 
-def _reached(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """(flow, state) of all that start reaches. edges: e_flow, src, dst."""
-    seen = frontier = start.select("flow", "state").distinct().checkpoint()
-    while True:
-        step = frontier.join(edges, (F.col("flow") == F.col("e_flow")) & (F.col("state") == F.col("src"))).select("flow", F.col("dst").alias("state")).distinct()
-        frontier = step.join(seen, ["flow", "state"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
+def _reached(start: Iterable[str], edges: dict[str, list[str]]) -> set[str]:
+    """All that start reaches, itself included."""
+    seen, open_ = set(start), list(start)
+    while open_:
+        fresh = [x for x in edges.get(open_.pop(), ()) if x not in seen]
+        seen.update(fresh)
+        open_ += fresh
+    return seen
+
+
+def _problems(is_flow: bool, starts_at: str | None, states: list[dict]) -> list[str]:
+    """What is wrong with one flow. states: state and edges (place, via, target)."""
+    names, found, on, back = {s["state"] for s in states}, [], {}, {}
+    if not states:
+        found.append((0, "", 0, "", NO_STATES if is_flow else NOT_JSON))
+    if is_flow and starts_at not in names:
+        found.append((0, "~", 0, "", f'starts_at references unknown state "{"undefined" if starts_at is None else starts_at}"'))
+    for s in states:
+        for e in s["edges"]:
+            if e["target"] in names:
+                on.setdefault(s["state"], []).append(e["target"])
+                back.setdefault(e["target"], []).append(s["state"])
+            else:
+                found.append((1, s["state"], e["place"], e["via"], f'State "{s["state"]}": {e["via"]} references unknown state "{e["target"]}"'))
+    found += [(2, x, 0, "", f'State "{x}" is never reached') for x in names - _reached([starts_at], on)]
+    found += [(3, x, 0, "", f'State "{x}" leads to no end') for x in names - _reached([s["state"] for s in states if not s["edges"]], back)]
+    return [p[-1] for p in sorted(found, key=lambda p: (p[0], p[1].encode(), p[2], p[3].encode(), p[4].encode()))]
 
 
 def flow_graph_problems(flows: DataFrame, flow: str = "flow", raw: str = "raw") -> DataFrame:
     """Flow, problems (empty where there are none). flows: an identifier and the JSON text {starts_at, states}.
 
     Unknown targets come first, in order of states; what nothing leads to and what leads to no end is looked for as well,
-    so that a flow that would never finish is found before it runs.
+    so that a flow that would never finish is found before it runs. Rows that share an identifier are flows of their own.
     """
-    parsed = flows.select(F.col(flow).alias("flow"), json_value(F.col(raw)).alias("v"))
+    parsed = spread(flows.select(F.col(flow).alias("flow"), F.col(raw).alias("raw"))).select("flow", json_value(F.col("raw")).alias("v"))
     heads = parsed.select("flow", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)).alias("is_flow"), F.try_variant_get("v", "$.starts_at", "string").alias("starts_at"), F.try_variant_get("v", "$.states", "variant").alias("states"))
-    states = heads.select("flow", F.explode(_entries(F.col("states"))).alias("e")).select("flow", F.col("e.key").alias("state"), _edges(F.col("e.value")).alias("edges")).checkpoint()
-    heads = heads.select("flow", "is_flow", "starts_at", F.size(_entries(F.col("states"))).alias("n")).checkpoint()
-    names = states.select(F.col("flow").alias("n_flow"), F.col("state").alias("name"))
-    out = states.select("flow", "state", F.explode("edges").alias("e")).select("flow", "state", "e.*")
-
-    known = lambda df, column: df.join(names, (F.col("flow") == F.col("n_flow")) & (F.col(column) == F.col("name")), "left_anti")
-    unknown = known(out, "target").select("flow", F.struct(F.lit(1).alias("rank"), "state", "place", "via", F.concat(F.lit('State "'), "state", F.lit('": '), "via", F.lit(' references unknown state "'), "target", F.lit('"')).alias("message")).alias("p"))
-    said = lambda rank, state, message: F.struct(F.lit(rank).alias("rank"), state.alias("state"), F.lit(0).alias("place"), F.lit("").alias("via"), message.alias("message")).alias("p")
-    none = heads.filter("n = 0").select("flow", said(0, F.lit(""), F.when(F.col("is_flow"), NO_STATES).otherwise(NOT_JSON)))
-    start = known(heads.filter("is_flow"), "starts_at").select("flow", said(0, F.lit("~"), F.concat(F.lit('starts_at references unknown state "'), F.coalesce("starts_at", F.lit("undefined")), F.lit('"'))))
-
-    edges = out.join(names, (F.col("flow") == F.col("n_flow")) & (F.col("target") == F.col("name")), "left_semi").select(F.col("flow").alias("e_flow"), F.col("state").alias("src"), F.col("target").alias("dst")).distinct().checkpoint()
-    starts = heads.select("flow", F.col("starts_at").alias("state")).filter("state is not null")
-    lost = states.select("flow", "state").join(_reached(starts, edges), ["flow", "state"], "left_anti").select("flow", said(2, F.col("state"), F.concat(F.lit('State "'), "state", F.lit('" is never reached'))))
-    ends = states.filter(F.size("edges") == 0).select("flow", "state")
-    back = edges.select("e_flow", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    stuck = states.select("flow", "state").join(_reached(ends, back), ["flow", "state"], "left_anti").select("flow", said(3, F.col("state"), F.concat(F.lit('State "'), "state", F.lit('" leads to no end'))))
-    problems = none.unionByName(start).unionByName(unknown).unionByName(lost).unionByName(stuck)
-    listed = problems.groupBy(F.col("flow").alias("p_flow")).agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return heads.join(listed, F.col("flow") == F.col("p_flow"), "left").select("flow", F.coalesce(F.transform("ps", lambda p: p["message"]), F.array().cast("array<string>")).alias("problems"))
+    rows = heads.select("flow", "is_flow", "starts_at", F.transform(_entries(F.col("states")), lambda e: F.struct(e["key"].alias("state"), _edges(e["value"]).alias("edges"))).alias("states"))
+
+    def run(batches):
+        for batch in batches:
+            columns = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            yield pa.record_batch([batch.column(0), pa.array([_problems(*x) for x in zip(*columns, strict=True)], pa.list_(pa.string()))], names=["flow", "problems"])
+
+    return rows.mapInArrow(run, f"flow {rows.schema['flow'].dataType.simpleString()}, problems array<string>")
