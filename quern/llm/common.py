@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,21 @@ def remembered(name: str) -> dict:
     return _remembered.setdefault(name, {})
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, so that workers which wait don't keep the most that they ever took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(f, *groups: pa.Table) -> pa.Table:
+    """f(*groups); what it needed on its way is given back before the next group."""
+    out = f(*groups)
+    give_back()
+    return out
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20, keeps: str = "") -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of a piece are about `limit` bytes at most (one longer text makes a piece of its own).
 
@@ -80,6 +96,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20,
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def text_offsets(arr: pa.Array) -> np.ndarray:

@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Work, pieces, text_bytes
+from quern.llm.common import Work, lean, pieces, text_bytes
 from quern.llm.components import components
 
 BITS = 1024
 #: Shingles of a block of documents, about; the counts come from as many parts as there are blocks.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_500_000
 #: Rounds in which classes meet through one document each; all that is left meets after them.
 STEPS = 3
 #: Ids are broadcast up to so many (8 bytes each), and shuffled beyond.
@@ -225,8 +225,12 @@ def _features(docs: DataFrame, slim: DataFrame, equal: DataFrame, n: int, least:
         size = np.bincount(_part_of(token, blocks), minlength=blocks) if len(token) else np.zeros(blocks, np.int64)
         got = [pa.decompress(r.as_py(), decompressed_size=int(size[p]), codec="zstd", asbytes=True) for p, r in zip(answers.column("part").to_pylist(), answers.column("levels"), strict=True)]
         level = np.frombuffer(b"".join(got), np.uint8)[inverse]
-        key = (level.astype(U) << U(48)) | flat
-        bit = ((flat * U(_MULT)) >> U(54)).astype(np.int64)
+        del token, inverse, got
+        key = level.astype(U)
+        key <<= U(48)
+        key |= flat
+        bit = ((flat * U(_MULT)) >> U(54)).astype(np.int16)
+        del flat
         ids, keep, bits, prefix, places = some.column("doc_id"), [], [], [], []
         for d, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
             take = hi - lo - (least * (hi - lo) + 99) // 100 + 1
@@ -246,11 +250,11 @@ def _features(docs: DataFrame, slim: DataFrame, equal: DataFrame, n: int, least:
         return pa.table([ids.take(pa.array(keep, pa.int64())), pa.array(np.diff(at)[keep] if keep else np.zeros(0, np.int64)), wide, lists], names=["doc_id", "n", "bits", "prefix"])
 
     dealt, by = rows.groupBy("block"), reps.groupBy("block")
-    sent = dealt.cogroup(by).applyInArrow(send, "part int, block int, size long, tokens binary, counts binary")
-    answers = sent.groupBy("part").applyInArrow(answer, "block int, part int, levels binary")
+    sent = dealt.cogroup(by).applyInArrow(lambda group, firsts: lean(send, group, firsts), "part int, block int, size long, tokens binary, counts binary")
+    answers = sent.groupBy("part").applyInArrow(lambda group: lean(answer, group), "block int, part int, levels binary")
     null = lambda t, *cs: [F.lit(None).cast(t).alias(c) for c in cs]
     right = reps.select("doc_id", "k1", "k2", "block", *null("int", "part"), *null("binary", "levels")).union(answers.select(*null(kind, "doc_id"), *null("long", "k1", "k2"), "block", "part", "levels"))
-    return dealt.cogroup(right.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, n long, bits array<long>, prefix array<struct<tok: long, pos: int>>")
+    return dealt.cogroup(right.groupBy("block")).applyInArrow(lambda group, right: lean(finish, group, right), f"doc_id {kind}, n long, bits array<long>, prefix array<struct<tok: long, pos: int>>")
 
 
 def _likely(pairs: DataFrame, feats: DataFrame, least: int) -> DataFrame:

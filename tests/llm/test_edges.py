@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontam, jaccard, langid, line_dedup, mixing, secrets, suffix_dedup, token_files
+from quern.llm import bpe, common, decontam, jaccard, langid, line_dedup, mixing, secrets, suffix_dedup, token_files
 from quern.llm.common import Work
 
 LONG = " ".join(random.Random(8).choices([f"w{i}" for i in range(3000)], k=50_000))
@@ -134,3 +135,19 @@ def test_pipeline(spark, docs, tmp_path):
     # 2, 3 and 4 have no letters, 6 repeats lines of 1, of 1 and 7 one row stays, 5 holds the item.
     assert sorted((r.doc_id or 0 for r in got.collect())) == [0, 1, 7]
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.record_batch([pa.array(["a b", "c"])], names=["text"])
+    assert sum(p.num_rows for p in common.pieces(iter([batch, batch]), "text")) == 4 and len(given) == 1
+    assert common.lean(lambda *t: pa.concat_tables(t), pa.table({"x": [1]}), pa.table({"x": [2]})).num_rows == 2 and len(given) == 2
+    sent = []
+    monkeypatch.setattr(jaccard, "lean", lambda f, *groups: sent.append(f.__name__))
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInArrow", lambda self, f, schema: f(None) or spark.createDataFrame([], schema))
+    monkeypatch.setattr(type(spark.range(1).groupBy("id").cogroup(spark.range(1).groupBy("id"))), "applyInArrow", lambda self, f, schema: f(None, None) or spark.createDataFrame([], schema))
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    slim = jaccard._sets(docs, 3, False)
+    jaccard._features(docs, slim, slim.select("k1", "k2", F.col("doc_id").alias("rep")), 3, 90)
+    assert sent == ["send", "answer", "finish"]
