@@ -1,7 +1,7 @@
 """Documents fetched by identifier with all that they link to, from a table of contents: names of files, texts with paths.
 
-Links are taken from all contents in one pass; the closure walks identifiers only, level by level, each level checkpointed;
-texts are read once more at the end, for what was reached. A content counts if its hash is its identifier's and its text is
+Links are taken from all contents in one pass; the closure walks identifiers only, level by level, each level written
+compressed; texts are parsed and written once, and read at the end for what was reached. Those without links move no more. A content counts if its hash is its identifier's and its text is
 a JSON object or another JSON value. What is missing or broken ends its branch and stays as a row that says so.
 
 Of several ways to a document the shortest names its file; of those of a length, the one whose file and place come first.
@@ -17,6 +17,7 @@ from quern.functions.cid import cid_raw
 from quern.functions.formats import json_value, strict_cid
 from quern.operators.documents import manifest_lookup
 from quern.operators.schema_columns import link_target
+from quern.session import Tables
 
 MISSING, BROKEN, NO_JSON = "Failed to fetch", "Content does not match its identifier", "Content is not JSON"
 LINK = r'\{"/":"([^"\\]+)"\}'
@@ -51,10 +52,13 @@ def fetched(roots: DataFrame, content: DataFrame, manifest: DataFrame, max_depth
     The root's file has the name of its label's data group, else its identifier; a relationship's that of the relationship,
     with key and identifier if it holds several; any other's that of what it was met in, key and identifier.
     """
-    v = json_value(F.col("data"))
-    known = content.select("cid", F.when(cid_raw(F.col("data")) != F.col("cid"), BROKEN).when(v.isNull(), NO_JSON).alias("problem"), v.alias("v")).dropDuplicates(["cid"])
-    known = known.select(F.col("cid").alias("k_cid"), F.coalesce("problem", F.lit("")).alias("state"), F.try_variant_get("v", "$.label", "string").alias("label"), F.when(F.col("problem").isNull(), links_of(F.col("v"))).alias("links"))
-    known = manifest_lookup(known, manifest).select("k_cid", "state", F.col("cid").alias("group_cid"), "links").checkpoint()  # no texts
+    work, v = Tables(roots.sparkSession), json_value(F.col("data"))
+    once = content.select("cid", "data").dropDuplicates(["cid"])
+    known = once.select("cid", F.when(cid_raw(F.col("data")) != F.col("cid"), BROKEN).when(v.isNull(), NO_JSON).alias("problem"), v.alias("v"))
+    ok = lambda x: F.when(F.col("problem").isNull(), x)
+    known = known.select(F.col("cid").alias("k_cid"), F.coalesce("problem", F.lit("")).alias("state"), F.try_variant_get("v", "$.label", "string").alias("label"), ok(links_of(F.col("v"))).alias("links"), ok(F.to_json("v")).alias("text"))
+    known = work.save("known", manifest_lookup(known, manifest).select("k_cid", "state", F.col("cid").alias("group_cid"), "links", "text"))
+    texts, known = known.select(F.col("k_cid").alias("t_cid"), "text").filter("text is not null"), known.drop("text")
 
     null = F.lit(None).cast("string")
     first = roots.select(F.col("cid").alias("root"), "cid").distinct()
@@ -64,7 +68,8 @@ def fetched(roots: DataFrame, content: DataFrame, manifest: DataFrame, max_depth
         met = frontier.join(known, F.col("cid") == F.col("k_cid"), "left")
         file = F.coalesce("file", F.concat(F.coalesce("group_cid", "cid"), F.lit(".json")))
         problem = F.when(F.col("k_cid").isNull(), MISSING).when(F.col("state") != "", F.col("state"))
-        met = met.select("root", "cid", "depth", "rel", file.alias("file"), "above", problem.alias("problem"), "links").checkpoint()
+        met = met.select("root", "cid", "depth", "rel", file.alias("file"), "above", problem.alias("problem"), "links")
+        met = work.save(f"met{depth}", met)
         if met.isEmpty():
             break
         seen = met.drop("links") if seen is None else seen.unionByName(met.drop("links"))
@@ -79,14 +84,16 @@ def fetched(roots: DataFrame, content: DataFrame, manifest: DataFrame, max_depth
         frontier = new.select("root", "cid", F.lit(depth).alias("depth"), F.col("way.rel").alias("rel"), F.col("way.name").alias("file"), F.col("way.above").alias("above"))
 
     saved = seen.filter("problem is null").select("root", "cid", "depth", "above", F.concat(F.lit("./"), "file").alias("path"))
-    texts = saved.join(content.dropDuplicates(["cid"]).select(F.col("cid").alias("t_cid"), F.to_json(json_value(F.col("data"))).alias("text")), F.col("cid") == F.col("t_cid")).drop("t_cid")
-    refs = texts.select("root", "cid", "above", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(LINK), 1))).alias("target"))
-    refs = refs.filter((F.col("target") != F.col("cid")) & ~F.array_contains("above", F.col("target")))
+    held = F.array_distinct(F.regexp_extract_all("text", F.lit(LINK), 1))
+    held = F.filter(held, lambda x: (x != F.col("cid")) & ~F.array_contains("above", x))
+    texts = work.save("texts", saved.join(texts, F.col("cid") == F.col("t_cid")).select("root", "cid", "depth", "path", "text", held.alias("held")))
+    refs = texts.select("root", "cid", F.explode("held").alias("target"))
     to = saved.select(F.col("root").alias("s_root"), F.col("cid").alias("s_cid"), F.col("path").alias("to"))
     met = refs.join(to, (F.col("root") == F.col("s_root")) & (F.col("target") == F.col("s_cid")))
     maps = met.groupBy(F.col("root").alias("m_root"), F.col("cid").alias("m_cid")).agg(F.collect_list(F.struct("target", "to")).alias("swaps"))
+    plain, texts = texts.filter("size(held) = 0"), texts.filter("size(held) > 0")
     full = texts.join(maps, (F.col("root") == F.col("m_root")) & (F.col("cid") == F.col("m_cid")), "left")
     quoted = lambda c: F.concat(F.lit('{"/":'), F.to_json(c.cast("variant")), F.lit("}"))
     swapped = F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<target:string,to:string>>")), F.col("text"), lambda s, e: F.replace(s, quoted(e["target"]), quoted(e["to"])))
     lost = seen.filter("problem is not null").select("root", "cid", "depth", null.alias("path"), null.alias("text"), "problem")
-    return full.select("root", "cid", "depth", "path", swapped.alias("text"), null.alias("problem")).unionByName(lost)
+    return full.select("root", "cid", "depth", "path", swapped.alias("text"), null.alias("problem")).unionByName(plain.select("root", "cid", "depth", "path", "text", null.alias("problem"))).unionByName(lost)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from quern.functions import canon, cid, dagcodecs, formats
+from quern.functions.canon import cid_v1
 from quern.functions.multiformats import _base32_bytes, base32_text, varint
-from quern.operators import dag, factsheets, graph, incremental, stategraph, submit, validate
+from quern.operators import closure, dag, factsheets, graph, incremental, stategraph, submit, upload, validate
 from quern.session import Tables, table
 from quern.sources import files
 
@@ -140,3 +141,25 @@ def test_flows_are_judged_without_shuffles_by_flow(spark):
     found = stategraph.flow_graph_problems(rows)
     assert sorted((r.flow or "", r.problems) for r in found.collect()) == [("", []), ("x", []), ("x", ['State "é" leads to no end'])]
     assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fetched_texts_are_parsed_and_written_once(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(Tables, "save", lambda self, name, df, save=Tables.save: saved.append((name, df.columns)) or save(self, name, df))
+    texts = {cid_v1(t.encode()): t for t in ('{"n":1}', "{ }")}
+    a, b = texts
+    top = f'{{"a":{{"/":"{a}"}},"b":{{"/":"{b}"}}}}'
+    root = cid_v1(top.encode())
+    content = spark.createDataFrame([(root, top), *texts.items(), (a, '{"n":1}')], "cid string, data string")
+    manifest = spark.createDataFrame([], "name string, cid string, type string")
+    got = {r.cid: r for r in closure.fetched(content.filter(F.col("cid") == root).select("cid"), content, manifest).collect()}
+    assert len(got) == 3 and got[a].text == '{"n":1}' and got[b].text == "{}"
+    assert got[root].text == f'{{"a":{{"/":"{got[a].path}"}},"b":{{"/":"{got[b].path}"}}}}'
+    assert [n for n, columns in saved if "text" in columns] == ["known", "texts"]
+    assert "met0" in dict(saved)  # compressed tables, not checkpoints
+
+
+def test_uploads_of_a_small_file_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(upload, "converted", lambda docs, files, schemas: docs.select("dir").union(files.select("dir")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert queries()["upload_conversion"](spark, SF).rdd.getNumPartitions() >= 2 * tasks
