@@ -14,13 +14,13 @@ rows come twice; a null id sorts first. Columns other than the id and the text a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quern.llm.bpe import byte_alphabet
 from quern.llm.common import Work, pieces, remembered, text_bytes
 
 BLOCK = 256
 #: Ids after which a segment is closed, at the end of a document.
 SEGMENT = 1 << 18
 END_ID = 1
+#: Bytes of texts whose words are told apart at a time.
+PIECE = 8 << 20
 #: Words that a worker remembers: once half as many are new, it forgets those that it hasn't met since the last time.
 MOST_WORDS = 1_600_000
 MAGIC = 0x42385351
@@ -126,24 +129,55 @@ def _library(path: str):
     return library
 
 
+#: The split of the vocabulary file that is known to part words at ASCII white space and letters from what follows.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@lru_cache(maxsize=4)
+def _parts_words(path: str) -> bool:
+    """Whether the library's ids of a text are those of its words. Other vocabularies are asked for whole texts."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    kinds = [x.get("type") for x in ((spec["normalizer"] or {}).get("normalizers") or [])]
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers") or []
+    model, plain = spec["model"], all(not x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return (
+        kinds == ["NFC", "Replace", "Lowercase"]
+        and spec["normalizer"]["normalizers"][1].get("pattern") == {"Regex": r"\s+"}
+        and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"] == {"Regex": _SPLIT}
+        and steps[0]["invert"]
+        and not steps[1]["add_prefix_space"]
+        and not steps[1]["use_regex"]
+        and model["type"] == "BPE"
+        and not model["dropout"]
+        and plain
+    )
+
+
 def _by_library(library, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """Each piece with its ids. Plain ones are encoded together, as lines: a token's place says whose it is."""
-    plain, other = [x for x in pieces if x.isascii()], [x for x in pieces if not x.isascii()]
-    for lo in range(0, len(plain), 512):
-        some = plain[lo : lo + 512]
-        found = library.encode(b"\n".join(some).decode(), add_special_tokens=False)
-        flat = np.array(found.ids, "<u4")
-        place = np.fromiter((x for x, _ in found.offsets), np.int64, len(flat))
-        cut = np.searchsorted(place, list(accumulate((len(x) + 1 for x in some), initial=0))).tolist()
-        yield from ((x, flat[i:j].tobytes()) for x, (i, j) in zip(some, pairwise(cut), strict=True))
+    """Each piece with its ids. Words of small letters go to the library's model at once, as nothing is left to normalise or split."""
+    tokens, other = library.model.tokenize, []
+    for x in pieces:
+        if x.isalpha() and x.islower():
+            yield x, np.array([t.id for t in tokens(x.decode())], "<u4").tobytes()
+        elif not x.isascii() and (word := x.decode()).isalpha() and max(word) < "\u0250" and _DOTTED not in x:
+            # Letters up to here have one form and one small letter each; the model reads a character for each byte.
+            yield x, np.array([t.id for t in tokens(word.lower().encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
+        else:
+            other.append(x)
     for lo in range(0, len(other), 4096):
         some = other[lo : lo + 4096]
         for x, e in zip(some, library.encode_batch_fast([y.decode() for y in some], add_special_tokens=False), strict=True):
             yield x, np.array(e.ids, "<u4").tobytes()
 
 
+#: The printable character that stands for each byte.
+_BYTES = dict(enumerate(byte_alphabet()))
+#: A capital whose small form is two characters, which what follows may change.
+_DOTTED = "\u0130".encode()
 #: A word with what ends it. The vocabulary's pattern parts them, and it lowers case.
-_ENDED = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9'\x80-\xff]*)")
+_ENDED = re.compile(rb"([A-Za-z\x80-\xff]+)([^A-Za-z0-9'\x80-\xff]*)")
 
 
 def _learn(words: list[bytes], path: str) -> dict[bytes, bytes]:
@@ -156,28 +190,43 @@ def _learn(words: list[bytes], path: str) -> dict[bytes, bytes]:
         known, new = memory["now"], set(words)
     before, pieces = memory["before"], memory["pieces"]
     known.update((w, before[w]) for w in new if w in before)
-    parts = {w: (m[1].lower(), m[2]) if (m := _ENDED.fullmatch(w)) else (w, b"") for w in new if w not in known}
+    parts = {w: (m[1].lower() if m[1].isascii() else m[1], m[2]) if (m := _ENDED.fullmatch(w)) and (m[1].isascii() or m[1].decode().isalpha() and _DOTTED not in w) else (w, b"") for w in new if w not in known}
     pieces[b""] = b""
     pieces.update(_by_library(library, list({x for p in parts.values() for x in p if x not in pieces})))
     known.update((w, pieces[x] + pieces[y]) for w, (x, y) in parts.items())
     return known
 
 
+def _stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Where each word begins, which of the distinct stretches (a word and the white space after it) it is, and these."""
+    white = _WHITE[data]
+    begins = ~white
+    begins[1:] &= white[:-1]
+    first = np.flatnonzero(begins)
+    ends = np.append(first, len(data)).astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    return first, found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
 def _encoded(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, an end id after each, and how many each text has."""
     filled = pc.fill_null(column, "")
+    if not _parts_words(path):
+        ids = [e.ids for e in _library(path).encode_batch_fast(filled.to_pylist(), add_special_tokens=False)]
+        return np.array([x for i in ids for x in (*i, END_ID)], "<u4"), np.array([len(i) + 1 for i in ids], np.int64)
     data, at = text_bytes(pc.binary_join_element_wise(filled, pa.scalar("", filled.type), pa.scalar(" ", filled.type)))
-    words = data.tobytes().split()
+    # A word begins where white space ends; texts end with a space, so none reaches into the next.
+    begins, which, stretches = _stretches(data)
+    words = [x.rstrip() for x in stretches]
     known = _learn(words, path)
     ids = list(map(known.__getitem__, words))
-    per_word = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)))
-    # A word begins where white space ends; texts end with a space, so none reaches into the next.
-    white = _WHITE[data]
-    begins = ~white
-    begins[1:] &= white[:-1]
-    first = np.searchsorted(np.flatnonzero(begins), at)
-    ends = per_word[first[1:]]
-    return np.insert(np.frombuffer(b"".join(ids), "<u4"), ends, END_ID), np.diff(ends, prepend=0) + 1
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    size = sizes[which]
+    per_word = np.concatenate(([0], np.cumsum(size)))
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    spot = np.repeat((np.cumsum(sizes) - sizes)[which] - per_word[:-1], size) + np.arange(per_word[-1])
+    ends = per_word[np.searchsorted(begins, at)[1:]]
+    return np.insert(flat[spot], ends, END_ID), np.diff(ends, prepend=0) + 1
 
 
 def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -196,7 +245,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, id_col: s
                 names=["part", "start", "doc_ids", "n_tokens", "payload"],
             )
 
-        for piece in pieces(batches, "text", keeps="tokens"):
+        for piece in pieces(batches, "text", PIECE, keeps="tokens"):
             found, per = _encoded(piece.column("text"), file)
             kind, part, names = piece.schema.field("doc_id").type, piece.column("part")[0].as_py(), piece.column("doc_id").to_pylist()
             total, at = np.concatenate(([0], np.cumsum(per))), 0
