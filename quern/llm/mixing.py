@@ -14,7 +14,8 @@ longest ones, which outlive the rest of their block, go on one by one.
 The base score is a unigram model with additive smoothing over lower-cased words and one end per text. Counts travel in
 blocks of documents: each block sends the words and the contexts with their next symbols that it holds, and gets back the
 counts of the words and the odds along the paths of the symbols. So what is kept grows with the corpus; of fixed size are
-only the trees and the odds by the preceding symbol alone, all of whose values exist.
+only the trees and the odds by the preceding symbol alone, all of whose values exist. The larger a block, the fewer keys a
+byte of its text has. Texts, keys and answers are compressed before they are shuffled.
 
 Defined cases: a null text is empty; an empty text is one end token and one end symbol; rows that repeat an id are scored
 (and learned from) each; without training documents all counts are 0. Columns other than the id and the text aren't read.
@@ -24,17 +25,19 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 from operator import mul
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from quern.llm.common import PAGE, PAGES_SCHEMA, Work, crc_mod, pages_out, pieces, text_bytes, texts, vector_of
+from quern.llm.common import PAGE, PAGES_SCHEMA, Work, crc_mod, lean, pages_out, pieces, text_bytes, texts, vector_of
 from quern.llm.jaccard import U, mixed, word_hashes
 
 ORDERS = (2, 4, 6)
@@ -45,37 +48,42 @@ STEP = 12.0  # odds are kept in steps of 1/12
 #: Keys whose paths are laid out at a time.
 SOME = 1 << 14
 #: Bytes of text in a block of documents, and for each part of the counts, about.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 32 << 20
-#: Decisions that are laid out together.
-AT_ONCE = 1 << 17
+BLOCK_BYTES, PART_BYTES = 9 << 20, 32 << 20
+#: Bytes of texts of about the same length that go to a block together, at most (or one longer text), and that a task sorts by length at a time.
+RUN_BYTES, SORTED_BYTES = 128 << 10, 8 << 20
+#: Decisions whose odds are laid out together, about, and those of them that are mixed together.
+LAID, AT_ONCE = 1 << 20, 1 << 15
 #: Documents that still advance together; fewer go on one by one.
 FEW = 6
-END_WORD = np.int64(0x5EED)
+END_WORD = U(0x5EED)
 
 
 def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All symbols, an end after each text, and where each text starts."""
     data, at = text_bytes(column)
     n = len(at) - 1
-    out = np.full(len(data) + n, 256, np.int64)
+    out = np.full(len(data) + n, 256, np.uint16)
     out[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(at))] = data
     return out, at + np.arange(n + 1)
 
 
 def contexts(sym: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The last six symbols before each, 9 bits each, the nearest lowest; 256 stands for all before a text's start."""
+    """The last six symbols before each, 9 bits each, the nearest highest; 256 stands for all before a text's start."""
     one = np.full(len(sym), 256, U)
     one[1:] = sym[:-1]
-    two, four = one.copy(), None
-    two[1:] |= one[:-1] << U(9)
-    four = two.copy()
-    four[2:] |= two[:-2] << U(18)
+    two = one << U(9)
+    two[1:] |= one[:-1]
+    del one
+    four = two << U(18)
+    four[2:] |= two[:-2]
     six = four
-    six[4:] |= two[:-4] << U(36)
+    six <<= U(18)
+    six[4:] |= two[:-4]
     for j in range(6):  # the first symbols of each text
         spot = at[:-1] + j
         spot = spot[spot < at[1:]]
-        six[spot] = (six[spot] & U((1 << 9 * j) - 1)) | U(sum(256 << 9 * k for k in range(j, 6)))
+        low = 9 * (6 - j)
+        six[spot] = (six[spot] >> U(low) << U(low)) | U(sum(256 << 9 * k for k in range(6 - j)))
     return six
 
 
@@ -107,34 +115,65 @@ class Trees:
 
 
 def keys_of(last: np.ndarray, sym: np.ndarray, order: int) -> np.ndarray:
-    """A context (9 bits a symbol) and the symbol after it, exact in 63 bits."""
-    return ((last & U((1 << 9 * order) - 1)) << U(9)) | sym.astype(U)
-
-
-def distinct(sym: np.ndarray, last: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of an order, ascending, and which of them stands at each place."""
-    keys = keys_of(last, sym, order)
-    if len(keys) >> 24:
-        keys, which = np.unique(keys, return_inverse=True)
-        return keys, which.astype(np.int32)
-    # Sorting a hash of the key with its place in one number is much faster than sorting places. Keys that share a hash make
-    # more groups than there are keys, which are few enough to be sorted as they are.
-    packed = (keys * U(0x9E3779B97F4A7C15)) & ~U((1 << 24) - 1)
-    packed |= np.arange(len(keys), dtype=U)
-    packed.sort()
-    spot = (packed & U((1 << 24) - 1)).astype(np.int32)
-    keys = keys[spot]
-    new = np.ones(len(keys), bool)
-    np.not_equal(keys[1:], keys[:-1], out=new[1:])
-    every, group = np.unique(keys[new], return_inverse=True)
-    which = np.empty(len(keys), np.int32)
-    which[spot] = group.astype(np.int32)[np.cumsum(new, dtype=np.int32) - 1]
-    return every, which
-
-
-def path_starts(keys: np.ndarray, trees: Trees) -> tuple[np.ndarray, np.ndarray]:
+    """A symbol, highest, and the context before it (9 bits a symbol), exact in 63 bits. Keys of an order begin with those of lower ones."""
+    return (sym.astype(U) << U(9 * order)) | (last >> U(9 * (6 - order)))
+
+
+def context_of(keys: np.ndarray, order: int) -> np.ndarray:
+    return keys & U((1 << 9 * order) - 1)
+
+
+def firsts(ordered: np.ndarray) -> np.ndarray:
+    """Which of the numbers, equal ones side by side, are the first of their kind."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
+
+
+def stretches(n: int) -> list[slice]:
+    """0 to n in stretches, so that what is needed on the way stays small."""
+    return [slice(lo, min(lo + LAID, n)) for lo in range(0, n, LAID)]
+
+
+def distinct(sym: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By order, the distinct keys, ascending, and which of them stands at each place."""
+    n = len(sym)
+    width, known, before, which = n.bit_length(), 1, 0, np.zeros(n, np.int32)
+    for order in ORDERS:
+        more = 9 * (order - before) + (9 if not before else 0)
+        if (known - 1).bit_length() + more + width <= 64:
+            # The lower order's key by its number, the symbols that are new, the place: sorting one number is much faster than sorting places.
+            packed = np.empty(n, U)
+            for some in stretches(n):
+                one = packed[some]
+                one[:] = which[some]
+                one <<= U(more)
+                one |= keys_of(last[some], sym[some], order) & U((1 << more) - 1)
+                one <<= U(width)
+                one |= np.arange(some.start, some.stop, dtype=U)
+            packed.sort()
+            spot = packed.astype(np.uint32)
+            spot &= np.uint32((1 << width) - 1)
+            packed >>= U(width)
+            new = firsts(packed)
+            spot_of = spot[new]
+            every = keys_of(last[spot_of], sym[spot_of], order)
+            del packed
+            which = np.empty(n, np.int32)
+            number = np.cumsum(new, dtype=np.int32)
+            number -= 1
+            which[spot] = number
+            del spot, number
+        else:
+            every, which = np.unique(keys_of(last, sym, order), return_inverse=True)
+            which = which.astype(np.int32)
+        yield every, which
+        known, before = len(every), order
+
+
+def path_starts(keys: np.ndarray, trees: Trees, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the path of each key's symbol starts, and how long it is."""
-    leaf = (((keys >> U(9)) & U(511)) * U(SYMBOLS) + (keys & U(511))).astype(np.int64)
+    leaf = (((keys >> U(9 * (order - 1))) & U(511)) * U(SYMBOLS) + (keys >> U(9 * order))).astype(np.int64)
     first = trees.start[leaf]
     return first, trees.start[leaf + 1] - first
 
@@ -142,25 +181,47 @@ def path_starts(keys: np.ndarray, trees: Trees) -> tuple[np.ndarray, np.ndarray]
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    first = np.flatnonzero(firsts(keys))
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
-def tally(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of all texts, sorted within each order, how often each occurs in learned ones, and its order's place."""
-    sym, at = symbols_of(table.column("text").combine_chunks())
-    last = contexts(sym, at)
-    learned = np.repeat(table.column("learned").to_numpy().astype(bool), np.diff(at))
-    found = []
-    for order in ORDERS:
-        keys, which = distinct(sym, last, order)
-        found.append((keys, np.bincount(which[learned], minlength=len(keys))))
-    return np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]), np.repeat(np.arange(len(ORDERS)), [len(k) for k, _ in found])
+def words_of(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """By piece of the texts, their words, an end each (after all words), and the texts that these are from."""
+    for piece in pieces(table.combine_chunks().to_batches(), "text"):
+        found, owner = word_hashes(piece.column("text"))
+        n = piece.num_rows
+        yield piece, np.concatenate((found, np.full(n, END_WORD))), np.concatenate((owner, np.arange(n)))
 
 
-def part_of(keys: np.ndarray, place: np.ndarray, parts: int) -> np.ndarray:
+def tally(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys of all texts, ascending, and how often each occurs in learned ones: those of each order, and words."""
+    sym, at = symbols_of(table.column("text").combine_chunks())
+    last, flags = contexts(sym, at), table.column("learned").to_numpy().astype(bool)
+    learned, found = np.repeat(flags, np.diff(at)), []
+    for order in ORDERS:
+        keys = np.empty(len(sym), U)
+        for some in stretches(len(sym)):
+            keys[some] = keys_of(last[some], sym[some], order) << U(1) | learned[some]
+        keys.sort()
+        ones = np.cumsum(keys.astype(np.uint8) & np.uint8(1), dtype=np.int32)
+        keys >>= U(1)
+        ends = np.flatnonzero(firsts(keys))[1:] - 1
+        ends = np.append(ends, len(keys) - 1) if len(keys) else ends
+        found.append((keys[ends], np.diff(ones[ends], prepend=0).astype(np.int64)))
+    every, mine, done = [np.zeros(0, U)], [np.zeros(0, U)], 0
+    for piece, word, owner in words_of(table):
+        every.append(word)
+        mine.append(word[flags[done : done + piece.num_rows][owner]])
+        done += piece.num_rows
+    names, mine = np.sort(np.concatenate(every)), np.sort(np.concatenate(mine))
+    names = names[firsts(names)]
+    return [*found, (names, np.searchsorted(mine, names, side="right") - np.searchsorted(mine, names))]
+
+
+def part_of(keys: np.ndarray, place: int, parts: int) -> np.ndarray:
     """All keys of a context are in one part."""
-    return ((mixed((keys >> U(9)) * U(0x9E3779B97F4A7C15) + place.astype(U)) >> U(16)) % U(parts)).astype(np.int64)
+    by = context_of(keys, ORDERS[place]) if place < len(ORDERS) else keys
+    return ((mixed(by * U(0x9E3779B97F4A7C15) + U(place)) >> U(16)) % U(parts)).astype(np.int64)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -178,40 +239,102 @@ def odds_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... (size of them) for each."""
-    total = np.cumsum(size)
+    total = np.cumsum(size, dtype=np.int64)
     kind = np.int32 if not len(total) or max(int(total[-1]), int(start.max()) + int(size.max())) < 1 << 31 else np.int64
     out = np.repeat((start - (total - size)).astype(kind), size)
     out += np.arange(len(out), dtype=kind)
     return out
 
 
-def path_odds(keys: np.ndarray, counts: np.ndarray, trees: Trees) -> np.ndarray:
-    """The odds at each node on the path of each key, all keys of their contexts counted; one path after another."""
-    out, new = [np.zeros(0, np.int8)], np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] >> U(9) != keys[:-1] >> U(9))))
+def path_odds(keys: np.ndarray, counts: np.ndarray, trees: Trees, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The odds at each node on the path of each key, all keys of their contexts counted; where a key's odds start, and how many they are."""
+    by = np.argsort(context_of(keys, order), kind="stable")
+    keys, counts = keys[by], counts[by]
+    context = context_of(keys, order)
+    out, new = [np.zeros(0, np.int8)], np.flatnonzero(firsts(context))
     cuts = np.unique(np.concatenate((new[np.searchsorted(new, np.arange(0, len(keys), SOME), side="right") - 1], [len(keys)])))
+    sizes = [np.zeros(0, np.int64)]
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        some, ctx = keys[lo:hi], np.searchsorted(new, np.arange(lo, hi), side="right")
-        first, size = path_starts(some, trees)
+        ctx = np.cumsum(firsts(context[lo:hi])) - 1
+        first, size = path_starts(keys[lo:hi], trees, order)
         path = ragged(first, size)
-        spot = np.repeat((ctx - ctx[0]) * 256, size) + trees.node[path]
+        spot = np.repeat(ctx * 256, size) + trees.node[path]
         weight, ones = np.repeat(counts[lo:hi], size), trees.bit[path] == 1
         n1, n = np.bincount(spot[ones], weight[ones], int(spot.max()) + 1), np.bincount(spot, weight)
         out.append(odds_of(n - n1, n1)[spot])
-    return np.concatenate(out)
+        sizes.append(size)
+    size = np.concatenate(sizes)
+    start = np.empty(len(keys), np.int64)
+    start[by] = np.cumsum(size) - size
+    back = np.empty(len(keys), np.int64)
+    back[by] = size
+    return np.concatenate(out), start, back
+
+
+def small(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def gathered(rows: DataFrame, runs: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+    """Rows (doc_id, text, learned and what runs needs) in runs of one block: their texts as one compressed value.
+
+    runs says of some rows which of them go to which block.
+    """
+
+    def run(batches):
+        for piece in pieces(batches, "text", SORTED_BYTES):
+            for block, spot in runs(piece):
+                some = piece.take(pa.array(spot))
+                data, at = text_bytes(some.column("text"))
+                yield pa.record_batch(
+                    [
+                        pa.array([block], pa.int32()),
+                        pa.ListArray.from_arrays(pa.array([0, len(spot)], pa.int32()), some.column("doc_id")),
+                        pa.ListArray.from_arrays(pa.array([0, len(spot)], pa.int32()), some.column("learned")),
+                        pa.array([np.diff(at)], pa.list_(pa.int64())),
+                        pa.array([small(data.tobytes())], pa.binary()),
+                    ],
+                    names=["block", "ids", "learned", "sizes", "texts"],
+                )
+
+    return rows.mapInArrow(run, f"block int, ids array<{rows.schema['doc_id'].dataType.simpleString()}>, learned array<boolean>, sizes array<long>, texts binary")
+
+
+def opened(group: pa.Table) -> pa.Table:
+    """doc_id, text, learned of gathered rows."""
+    sizes = [np.asarray(x.values, np.int64) for x in group.column("sizes")]
+    data = b"".join(pa.decompress(raw.as_py(), decompressed_size=int(n.sum()), codec="zstd", asbytes=True) for raw, n in zip(group.column("texts"), sizes, strict=True))
+    at = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    text = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data))
+    flat = {c: pc.list_flatten(group.column(c)) for c in ("ids", "learned")}
+    return pa.table([flat["ids"], pa.chunked_array([text]), flat["learned"]], names=["doc_id", "text", "learned"])
 
 
 def context_odds(placed: DataFrame, trees, parts: int) -> DataFrame:
-    """block, part, odds: for each block of documents (with block, text, learned) the odds at its own keys, in the order (part, order, key).
+    """The answers to each block of documents (with doc_id, block, text, learned), see answered()."""
+
+    def runs(piece: pa.RecordBatch):
+        block = piece.column("block").to_numpy()
+        return ((int(b), np.flatnonzero(block == b)) for b in np.unique(block))
+
+    return answered(gathered(placed, runs), trees, parts)
+
+
+def answered(placed: DataFrame, trees, parts: int) -> DataFrame:
+    """For each block and part: odds (compressed, of n bytes), those at the block's own keys, in the order (part, order, key); words, the counts
+    of its own n_words words by their hash. One row of a part has in known and total how many words it counted, and all their counts.
 
     A block sends each part its distinct keys and their counts; a part adds those of all blocks and answers each.
     """
+    kinds = len(ORDERS) + 1
 
     def send(group: pa.Table) -> pa.Table:
-        keys, counts, place = tally(group)
-        part = part_of(keys, place, parts)
-        order = np.argsort(part, kind="stable")
+        found = tally(opened(group))
+        keys, counts, place = (np.concatenate(x) for x in ([k for k, _ in found], [c for _, c in found], [np.full(len(k), j) for j, (k, _) in enumerate(found)]))
+        part = np.concatenate([part_of(k, j, parts) for j, (k, _) in enumerate(found)])
+        order = np.argsort(part.astype(np.int32), kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
-        sizes = np.bincount(part * len(ORDERS) + place, minlength=parts * len(ORDERS)).reshape(parts, -1)
+        sizes = np.bincount(part * kinds + place, minlength=parts * kinds).reshape(parts, -1)
         rows = np.flatnonzero(np.diff(ends))
         spans = [order[a:b] for a, b in zip(ends[rows].tolist(), ends[rows + 1].tolist(), strict=True)]
         block = group.column("block")[0].as_py() if group.num_rows else 0
@@ -227,23 +350,34 @@ def context_odds(placed: DataFrame, trees, parts: int) -> DataFrame:
         )
 
     def answer(group: pa.Table) -> pa.Table:
-        sizes = np.array(group.column("sizes").to_pylist(), np.int64).reshape(-1, len(ORDERS))
+        sizes = np.array(group.column("sizes").to_pylist(), np.int64).reshape(-1, kinds)
         n, ends = sizes.sum(axis=1).tolist(), np.cumsum(sizes, axis=1)
         keys = [np.cumsum(unpacked(raw.as_py(), k), dtype=U) for raw, k in zip(group.column("keys"), n, strict=True)]
         counts = [unpacked(raw.as_py(), k).astype(np.int64) for raw, k in zip(group.column("counts"), n, strict=True)]
         out: list[list[bytes]] = [[] for _ in n]
-        for j in range(len(ORDERS)):
+        for j in range(kinds):
             own = [slice(*(e[j] - s[j], e[j])) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
             every, total = merged(np.concatenate([k[o] for k, o in zip(keys, own, strict=True)]), np.concatenate([c[o] for c, o in zip(counts, own, strict=True)]))
-            odds, size = path_odds(every, total, trees.value), path_starts(every, trees.value)[1]
-            start = np.cumsum(size) - size
+            if j == len(ORDERS):
+                words = [packed(total[np.searchsorted(every, k[o])]) for k, o in zip(keys, own, strict=True)]
+                break
+            odds, start, size = path_odds(every, total, trees.value, ORDERS[j])
             for i, (k, o) in enumerate(zip(keys, own, strict=True)):
                 spot = np.searchsorted(every, k[o])
                 out[i].append(odds[ragged(start[spot], size[spot])].tobytes())
-        return pa.table([group.column("block"), group.column("part"), pa.array([b"".join(o) for o in out], pa.binary())], names=["block", "part", "odds"])
+        once = [1] + [None] * (len(n) - 1)
+        columns = [
+            pa.array([sum(map(len, o)) for o in out], pa.int64()),
+            pa.array([small(b"".join(o)) for o in out], pa.binary()),
+            pa.array(sizes[:, -1], pa.int64()),
+            pa.array(words, pa.binary()),
+            pa.array([x and int((total > 0).sum()) for x in once], pa.int64()),
+            pa.array([x and int(total.sum()) for x in once], pa.int64()),
+        ]
+        return pa.table([group.column("block"), group.column("part"), *columns], names=["block", "part", "n", "odds", "n_words", "words", "known", "total"])
 
-    sent = placed.groupBy("block").applyInArrow(send, "part int, block int, sizes array<int>, keys binary, counts binary")
-    return sent.groupBy("part").applyInArrow(answer, "block int, part int, odds binary")
+    sent = placed.groupBy("block").applyInArrow(lambda group: lean(send, group), "part int, block int, sizes array<int>, keys binary, counts binary")
+    return sent.groupBy("part").applyInArrow(lambda group: lean(answer, group), "block int, part int, n long, odds binary, n_words long, words binary, known long, total long")
 
 
 class Decisions:
@@ -252,26 +386,45 @@ class Decisions:
     def __init__(self, column: pa.Array, trees: Trees, first: np.ndarray, answers: pa.Table, parts: int):
         sym, self.at = symbols_of(column)
         last = contexts(sym, self.at)
-        start, self.size = path_starts(keys_of(last, sym, 1), trees)
-        path = ragged(start, self.size)
-        self.bit, node = trees.bit[path], trees.node[path]
-        self.ends = np.concatenate(([0], np.cumsum(self.size)))[self.at]
-        self.by_predecessor = first[np.repeat((last & U(511)).astype(np.int32) * 256, self.size) + node]
-        found = [distinct(sym, last, order) for order in ORDERS]
-        keys, place = np.concatenate([k for k, _ in found]), np.repeat(np.arange(len(ORDERS)), [len(k) for k, _ in found])
-        size = path_starts(keys, trees)[1]
-        by = np.argsort(part_of(keys, place, parts), kind="stable")
-        at = np.empty(len(keys), np.int64)
+        leaf = np.diff(trees.start)
+        self.by_predecessor = first[np.repeat(np.arange(len(leaf)) // SYMBOLS * 256, leaf) + trees.node]  # at all places of all paths
+        every, self.spots = [], []
+        for keys, which in distinct(sym, last):
+            every.append(keys)
+            self.spots.append(which)
+        del last, which
+        leaf = sym.astype(np.int32)
+        leaf[1:] += sym[:-1] * np.int32(SYMBOLS)
+        leaf[self.at[:-1]] = sym[self.at[:-1]] + np.int32(256 * SYMBOLS)
+        self.trees, self.path, self.size = trees, trees.start[leaf], np.diff(trees.start).astype(np.uint8)[leaf]
+        del leaf, sym
+        many = int(self.size.sum(dtype=np.int64))
+        self.start = np.zeros(len(self.size) + 1, np.int32 if many < 1 << 31 else np.int64)  # of each symbol's decisions
+        np.cumsum(self.size, out=self.start[1:])
+        size = np.concatenate([path_starts(k, trees, o)[1] for k, o in zip(every, ORDERS, strict=True)])
+        by = np.argsort(np.concatenate([part_of(k, j, parts) for j, k in enumerate(every)]).astype(np.int32), kind="stable")
+        at = np.empty(len(by), np.int32)
         at[by] = np.cumsum(size[by]) - size[by]
-        self.odds = np.frombuffer(b"".join(raw for _, raw in sorted(zip(answers.column("part").to_pylist(), answers.column("odds").to_pylist(), strict=True))), np.int8)
-        cut = np.searchsorted(place, np.arange(len(ORDERS) + 1))
-        self.spots = [at[a:b][which] for a, b, (_, which) in zip(cut[:-1], cut[1:], found, strict=True)]
+        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "n", "odds")), strict=True))
+        self.odds = np.frombuffer(b"".join(pa.decompress(raw, decompressed_size=n, codec="zstd", asbytes=True) for _, n, raw in rows), np.int8)
+        cut = np.cumsum([0, *map(len, every)])
+        for j, (a, b) in enumerate(pairwise(cut.tolist())):
+            self.spots[j] = at[a:b][self.spots[j]]
+
+    def laid(self, some: np.ndarray | slice) -> Iterator[np.ndarray]:
+        """The branches of all decisions of some symbols, and the odds of these by one predictor after another."""
+        size = self.size[some]
+        path = ragged(self.path[some], size)
+        yield self.trees.bit[path]
+        yield self.by_predecessor[path]
+        for spot in self.spots:
+            yield self.odds[ragged(spot[some], size)]
 
     def predictors(self) -> Iterator[np.ndarray]:
         """The odds of all decisions, a predictor after another."""
-        yield self.by_predecessor
-        for spot in self.spots:
-            yield self.odds[ragged(spot, self.size)]
+        found = self.laid(slice(None))
+        next(found)
+        yield from found
 
 
 def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
@@ -282,6 +435,7 @@ def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
         counts = np.zeros(-(-SYMBOLS * SYMBOLS // PAGE) * PAGE, np.int64)
         for piece in pieces(batches, "text"):
             sym, at = symbols_of(piece.column("text"))
+            sym = sym.astype(np.int64)
             code = np.empty(len(sym), np.int64)
             code[1:] = sym[:-1] * SYMBOLS
             code[at[:-1]] = 256 * SYMBOLS
@@ -298,34 +452,48 @@ def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
 
 def bits_of(decisions: Decisions) -> np.ndarray:
     """The total of bits that each text takes."""
-    first, size = decisions.ends[:-1], np.diff(decisions.ends)
+    ends = decisions.start[decisions.at].astype(np.int64)
+    first, size = ends[:-1], np.diff(ends)
     order = np.argsort(-size, kind="stable")  # the longest come first, so those still running lead
-    first, size = first[order].astype(np.int32), size[order]
+    first, size = first[order], size[order]
     n, k = len(first), len(ORDERS) + 1
     live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
-    by_step = np.concatenate([first[:m] + np.int32(t) for t, m in enumerate(live.tolist())]) if len(live) else np.zeros(0, np.int32)
-    x = [odds[by_step] for odds in decisions.predictors()]
-    bit = decisions.bit[by_step]
-    del by_step
-    # Two weight sets; the gate, how sure the longest context is, says how much each has to say.
-    weights = np.full((2 * k, n), 1.6 / k, np.float32)
+    # Two weight sets; the gate, how sure the longest context is, says how much each has to say. Weights are divided by the root of
+    # the rate, and what they weigh is multiplied by it, so an error needs no factor.
+    root = math.sqrt(RATE)
+    weights = np.full((2 * k, n), 1.6 / k / root, np.float32)
     table = np.tile(1 / (1 + np.exp(-(np.arange(CELLS, dtype=np.float32) - CELLS // 2) / 2)), n).astype(np.float32)
     spent = np.zeros(n)
     starts = np.concatenate(([0], np.cumsum(live)))
     together = int(np.searchsorted(-live, -FEW, side="right"))  # live falls
-    cuts = np.unique(np.append(np.searchsorted(starts[: together + 1], np.arange(0, starts[together], AT_ONCE)), together))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        span, size = slice(starts[a], starts[b]), live[a:b]
-        spans = [slice(o, o + m) for o, m in zip((starts[a:b] - starts[a]).tolist(), size.tolist(), strict=True)]
-        hits = bit[span].astype(np.float32)
-        lane = ragged(np.zeros(b - a, np.int64), size)
-        spent += np.bincount(lane, stepped([odds[span] for odds in x], hits, lane, spans, weights, table), minlength=n)
-    rest = live[together:]
-    rest = live[together:]
-    for lane in range(int(rest[0]) if len(rest) else 0):
-        mine = starts[together:-1][rest > lane] + lane
-        odds = [(x[j][mine] / STEP).tolist() for j in range(k)]
-        spent[lane] += alone(odds, bit[mine].tolist(), weights[:, lane].tolist(), table[lane * CELLS : (lane + 1) * CELLS].tolist())
+
+    def between(a: int, b: int, lanes: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The branches of steps a to b (not with it) of the first lanes, and their odds: where each lane's step a is, and all of the lane after it."""
+        lo = np.searchsorted(decisions.start, first[:lanes] + a, side="right") - 1
+        hi = np.searchsorted(decisions.start, first[:lanes] + np.minimum(size[:lanes], b), side="left")
+        laid = decisions.start[hi] - decisions.start[lo]
+        at = np.cumsum(laid) - laid + first[:lanes] + a - decisions.start[lo]
+        return at, list(decisions.laid(ragged(lo, hi - lo)))
+
+    windows = np.unique(np.append(np.searchsorted(starts[: together + 1], np.arange(0, starts[together], LAID)), together))
+    for a, b in zip(windows[:-1].tolist(), windows[1:].tolist(), strict=True):
+        at, laid = between(a, b, int(live[a]))
+        by_step = np.concatenate([at[:m] + t for t, m in enumerate(live[a:b].tolist())])
+        bit, *x = (values[by_step] for values in laid)
+        mine = starts[a : b + 1] - starts[a]
+        cuts = np.unique(np.append(np.searchsorted(mine, np.arange(0, mine[-1], AT_ONCE)), b - a))
+        for c, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            span, many = slice(mine[c], mine[d]), live[a + c : a + d]
+            spans = [slice(o, o + m) for o, m in zip((mine[c:d] - mine[c]).tolist(), many.tolist(), strict=True)]
+            lane = ragged(np.zeros(d - c, np.int64), many)
+            spent += np.bincount(lane, stepped([odds[span] for odds in x], bit[span].astype(np.float32), lane, spans, weights, table), minlength=n)
+    weights *= np.float32(root)
+    for lane in range(int(live[together]) if together < len(live) else 0):
+        w, cells = weights[:, lane].tolist(), table[lane * CELLS : (lane + 1) * CELLS].tolist()
+        lo, hi = (np.searchsorted(decisions.start, first[lane] + t, side="right") - 1 for t in (together, int(size[lane])))
+        bit, *x = decisions.laid(np.arange(lo, hi))
+        skip = int(first[lane] + together - decisions.start[lo])
+        spent[lane] += alone([(odds[skip:] / STEP).tolist() for odds in x], bit[skip:].tolist(), w, cells)
     out = np.empty(n)
     out[order] = spent / np.log(2)
     return out
@@ -334,34 +502,31 @@ def bits_of(decisions: Decisions) -> np.ndarray:
 def stepped(odds: list[np.ndarray], hits: np.ndarray, lane: np.ndarray, spans: list[slice], weights: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Nats of the decisions of some steps, those of a step side by side; weights and table move on."""
     k, one = len(odds), np.float32(1)
-    v = np.empty((2 * k, len(hits)), np.float32)
+    v = np.empty((2 * k, len(hits)), np.float32)  # all odds are negated here
     for j in range(k):
-        np.multiply(odds[j], np.float32(1 / STEP), out=v[k + j])
-    gate = np.abs(v[2 * k - 1])
+        np.multiply(odds[j], np.float32(-math.sqrt(RATE) / STEP), out=v[k + j])
+    gate = np.abs(odds[-1].astype(np.float32) * np.float32(1 / STEP))
     gate /= gate + one
     np.multiply(v[k:], gate, out=v[:k])
     v[k:] *= one - gate
     z, p, r = (np.empty(len(hits), np.float32) for _ in range(3))
-    low, high, rate = np.float32(-8), np.float32(8), np.float32(RATE)
+    low, high = np.float32(-8), np.float32(8)
     for now in spans:
         some, odd, mine, w = v[:, now], z[now], p[now], weights[:, : now.stop - now.start]
         np.einsum("ij,ij->j", w, some, out=odd)
         np.maximum(odd, low, out=odd)
         np.minimum(odd, high, out=odd)
-        np.negative(odd, out=mine)
-        np.exp(mine, out=mine)
+        np.exp(odd, out=mine)
         mine += one
         np.reciprocal(mine, out=mine)
-        miss = hits[now] - mine
-        miss *= rate
-        some *= miss
+        some *= mine - hits[now]
         w += some
-    cells = np.rint(z * np.float32(2)).astype(np.int32) + lane * CELLS + CELLS // 2
+    cells = np.rint(z * np.float32(-2)).astype(np.intp) + (lane * CELLS + CELLS // 2)
     step, keep = hits * np.float32(RATE_TABLE), np.float32(1 - RATE_TABLE)
     for now in spans:
         cell = cells[now]
         mine = r[now] = table[cell]
-        mine = mine * keep
+        mine *= keep
         mine += step[now]
         table[cell] = mine
     return -np.log(np.abs(one - hits - (p + r) * np.float32(0.5)))
@@ -388,22 +553,34 @@ def alone(odds: list[list[float]], bits: list[int], weights: list[float], table:
 
 
 def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows with a block, and how many bytes there are. A block's texts are of about the same length and make BLOCK_BYTES.
+    """The rows, gathered in blocks, and how many bytes there are. A block's texts are of about the same length and make BLOCK_BYTES.
 
-    Rows are dealt by id, text and place in their file, so rows that are the same don't meet in one block.
+    What goes to a block together are some texts that a task met one after another; which block they go to is drawn by their place.
     """
     size = F.octet_length("text")
     kind = F.floor(2 * F.log2(size + 1)).cast("int")
     sizes = {r.kind: r.bytes for r in rows.groupBy(kind.alias("kind")).agg(F.sum(size).alias("bytes")).collect()}  # two for each power of two
-    firsts, many, total = {}, {}, 0
+    first, many, total = {}, {}, 0
     for c in sorted(sizes):
-        firsts[c], many[c] = total, max(1, -(-sizes[c] // BLOCK_BYTES))
+        first[c], many[c] = total, max(1, -(-sizes[c] // BLOCK_BYTES))
         total += many[c]
-    if not sizes:
-        return rows.withColumn("block", F.lit(0)), 0
-    of = lambda d: F.element_at(F.create_map(*(F.lit(x) for pair in d.items() for x in pair)), kind)
-    spread = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
-    return rows.withColumn("block", (of(firsts) + F.pmod(spread, of(many))).cast("int")), sum(sizes.values())
+    run_bytes = min(RUN_BYTES, max(1, BLOCK_BYTES // 16))
+    seen: dict[int, int] = {}
+
+    def runs(piece: pa.RecordBatch):
+        kinds, size = piece.column("kind").to_numpy(), np.diff(text_bytes(piece.column("text"))[1])
+        for c in np.unique(kinds).tolist():
+            spot = np.flatnonzero(kinds == c)
+            ends = np.cumsum(size[spot])
+            lo = 0
+            while lo < len(spot):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + run_bytes, side="right")))
+                task = TaskContext.get().partitionId()
+                seen[task] = seen.get(task, 0) + 1
+                yield first[c] + zlib.crc32(b"%d %d" % (task, seen[task])) % many[c], spot[lo:hi]
+                lo = hi
+
+    return gathered(rows.withColumn("kind", kind), runs), sum(sizes.values())
 
 
 def score(docs: DataFrame, learn_from: Column) -> DataFrame:
@@ -417,44 +594,19 @@ def score(docs: DataFrame, learn_from: Column) -> DataFrame:
     placed, size = dealt(rows)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
-    def words(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Words of all texts, an end each (after all words), and their texts."""
-        column = batch.column("text")
-        found, owner = word_hashes(column)
-        n = len(column)
-        return np.concatenate((found.view(np.int64), np.full(n, END_WORD))), np.concatenate((owner, np.arange(n)))
-
-    def send(group: pa.Table) -> pa.Table:
-        names, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for piece in pieces(group.combine_chunks().to_batches(), "text"):
-            word, owner = words(piece)
-            u, inverse = np.unique(word, return_inverse=True)
-            mine = np.bincount(inverse, piece.column("learned").to_numpy(zero_copy_only=False)[owner], minlength=len(u)).astype(np.int64)
-            names, inverse = np.unique(np.concatenate((names, u)), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate((counts, mine)), minlength=len(names)).astype(np.int64)
-        block = pa.array(np.full(len(names), group.column("block")[0].as_py() if group.num_rows else 0, np.int32))
-        return pa.table([block, pa.array(names), pa.array(counts)], names=["block", "word", "c"])
-
-    sent = placed.groupBy("block").applyInArrow(send, "block int, word long, c long")
-    # At most a row for each block; a join with the sums would shuffle all rows three times.
-    same = W.partitionBy("word")
-    counted = sent.withColumn("one", F.row_number().over(same.orderBy("block")) == 1).withColumn("c", F.sum("c").over(same))
-    answers = context_odds(placed, shared_trees, parts).select("block", *(F.lit(None).cast(t).alias(c) for c, t in (("word", "long"), ("c", "long"), ("one", "boolean"))), "part", "odds")
-    counted = counted.select("block", "word", "c", "one", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("odds")).union(answers)
-
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        theirs = right.column("part").is_valid()
-        whole = left.combine_chunks()
-        bits = bits_of(Decisions(whole.column("text").combine_chunks(), shared_trees.value, shared.value, right.filter(theirs).select(["part", "odds"]), parts)) if left.num_rows else np.zeros(0)
-        right = right.filter(pc.invert(theirs)).select(["word", "c", "one"])
-        name, c = np.asarray(right.column("word"), np.int64), np.asarray(right.column("c"), np.int64)
-        one = right.column("one").to_numpy()
-        order = np.argsort(name)
-        name, c = name[order], c[order]
+        whole = opened(left)
+        bits = bits_of(Decisions(whole.column("text").combine_chunks(), shared_trees.value, shared.value, right, parts))
+        answers = sorted(zip(*(right.column(c).to_pylist() for c in ("part", "n_words", "words")), strict=True))
+        counts = np.concatenate([unpacked(raw, n).astype(np.int64) for _, n, raw in answers])
+        found = list(words_of(whole))
+        name = np.sort(np.concatenate([word for _, word, _ in found]))
+        name = name[firsts(name)]
+        c = np.empty(len(name), np.int64)
+        c[np.argsort(part_of(name, len(ORDERS), parts).astype(np.int32), kind="stable")] = counts
         logs = np.log10(c + 0.1)
         out, done = [], 0
-        for piece in pieces(whole.to_batches(), "text"):
-            word, owner = words(piece)
+        for piece, word, owner in found:
             spot = np.searchsorted(name, word)
             n = piece.num_rows
             done += n
@@ -474,15 +626,14 @@ def score(docs: DataFrame, learn_from: Column) -> DataFrame:
                     names=names,
                 )
             )
-        # what the block adds to the number of known words and of training words: each word counts in one block
-        mine = np.asarray(right.column("c"), np.int64)[one]
-        zeros = {n: pa.nulls(1, t) for n, t in zip(names[:7], [left.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()], strict=True)}
-        out.append(pa.table([*zeros.values(), pa.array([int((mine > 0).sum())]), pa.array([int(mine.sum())])], names=names))
+        # what parts counted, as far as their answers to this block say so: the number of known words, and of training words
+        zeros = [pa.nulls(1, c.type) for c in out[0].columns[:7]]
+        out.append(pa.table([*zeros, *(pa.array([pc.sum(right.column(c)).as_py() or 0], pa.int64()) for c in ("known", "total"))], names=names))
         return pa.concat_tables(out)
 
     names = ["doc_id", "learned", "n_tokens", "n_known", "logs", "bits", "n_bytes", "words", "train_tokens"]
-    scored = placed.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(
-        finish, f"doc_id {kind}, learned boolean, n_tokens long, n_known long, logs double, bits double, n_bytes long, words long, train_tokens long"
+    scored = placed.groupBy("block").cogroup(answered(placed, shared_trees, parts).groupBy("block")).applyInArrow(
+        lambda left, right: lean(finish, left, right), f"doc_id {kind}, learned boolean, n_tokens long, n_known long, logs double, bits double, n_bytes long, words long, train_tokens long"
     )
     scored = work.save("scored", scored)
     totals = scored.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("v"), F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("n"))

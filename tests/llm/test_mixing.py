@@ -70,3 +70,20 @@ def test_scores_are_those_of_a_plain_coder(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert mixing.score(spark.createDataFrame([], "doc_id long, text string"), F.lit(True)).count() == 0
+
+
+def test_what_blocks_exchange_is_smaller_than_their_texts(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(200)), i % 10 != 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learned boolean")
+    trees, _ = mixing.train(docs)
+    placed, size = mixing.dealt(docs)
+    assert sorted(r for x in placed.collect() for r in zip(x.ids, x.learned, strict=True)) == [(i, learned) for i, _, learned in rows]
+    answers = mixing.answered(placed, spark.sparkContext.broadcast(trees), 4).toArrow()
+    back = sum(map(len, answers.column("odds").to_pylist() + answers.column("words").to_pylist()))
+    there = sum(len(x.texts) for x in placed.collect())
+    assert size == sum(len(t) for _, t, _ in rows) and there < 0.75 * size and back < size
+    count = Counter(w for _, t, learned in rows if learned for w in t.split())
+    assert sum(x for x in answers.column("known").to_pylist() if x) == len(count) + 1
+    assert sum(x for x in answers.column("total").to_pylist() if x) == sum(count.values()) + 360
