@@ -48,11 +48,11 @@ STEP = 12.0  # odds are kept in steps of 1/12
 #: Keys whose paths are laid out at a time.
 SOME = 1 << 14
 #: Bytes of text in a block of documents, and for each part of the counts, about.
-BLOCK_BYTES, PART_BYTES = 9 << 20, 32 << 20
+BLOCK_BYTES, PART_BYTES = 14 << 20, 32 << 20
 #: Bytes of texts of about the same length that go to a block together, at most (or one longer text), and that a task sorts by length at a time.
 RUN_BYTES, SORTED_BYTES = 128 << 10, 8 << 20
-#: Decisions whose odds are laid out together, about, and those of them that are mixed together.
-LAID, AT_ONCE = 1 << 20, 1 << 15
+#: Symbols that are worked on together, decisions whose odds are laid out together, about, and those of them that are mixed together.
+LAID, WINDOW, AT_ONCE = 1 << 20, 1 << 19, 1 << 15
 #: Documents that still advance together; fewer go on one by one.
 FEW = 6
 END_WORD = U(0x5EED)
@@ -135,40 +135,36 @@ def stretches(n: int) -> list[slice]:
     return [slice(lo, min(lo + LAID, n)) for lo in range(0, n, LAID)]
 
 
-def distinct(sym: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By order, the distinct keys, ascending, and which of them stands at each place."""
-    n = len(sym)
-    width, known, before, which = n.bit_length(), 1, 0, np.zeros(n, np.int32)
-    for order in ORDERS:
-        more = 9 * (order - before) + (9 if not before else 0)
-        if (known - 1).bit_length() + more + width <= 64:
-            # The lower order's key by its number, the symbols that are new, the place: sorting one number is much faster than sorting places.
-            packed = np.empty(n, U)
-            for some in stretches(n):
-                one = packed[some]
-                one[:] = which[some]
-                one <<= U(more)
-                one |= keys_of(last[some], sym[some], order) & U((1 << more) - 1)
-                one <<= U(width)
-                one |= np.arange(some.start, some.stop, dtype=U)
-            packed.sort()
-            spot = packed.astype(np.uint32)
-            spot &= np.uint32((1 << width) - 1)
-            packed >>= U(width)
-            new = firsts(packed)
-            spot_of = spot[new]
-            every = keys_of(last[spot_of], sym[spot_of], order)
-            del packed
-            which = np.empty(n, np.int32)
-            number = np.cumsum(new, dtype=np.int32)
-            number -= 1
-            which[spot] = number
-            del spot, number
-        else:
-            every, which = np.unique(keys_of(last, sym, order), return_inverse=True)
-            which = which.astype(np.int32)
-        yield every, which
-        known, before = len(every), order
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and which of them stands at each place. Sorted are hashes with their places, in one number; where hashes of
+    different keys are equal, a key may be among the distinct ones more than once."""
+    n = len(keys)
+    width = n.bit_length()
+    packed = np.empty(n, U)
+    for some in stretches(n):
+        one = packed[some]
+        np.multiply(keys[some], U(0x9E3779B97F4A7C15), out=one)
+        one ^= one >> U(32)
+        one *= U(0xD6E8FEB86659FD93)
+        one >>= U(width)
+        one <<= U(width)
+        one |= np.arange(some.start, some.stop, dtype=U)
+    packed.sort()
+    spot = np.empty(n, np.uint32 if width <= 32 else np.int64)
+    for some in stretches(n):
+        spot[some] = packed[some] & U((1 << width) - 1)
+    del packed
+    new = np.ones(n, bool)
+    for some in stretches(n):
+        mine = keys[spot[max(some.start - 1, 0) : some.stop]]
+        new[max(some.start, 1) : some.stop] = mine[1:] != mine[:-1]
+    which, number = np.empty(n, np.int32), -1
+    for some in stretches(n):
+        here = np.cumsum(new[some], dtype=np.int32)
+        here += np.int32(number)
+        number = int(here[-1])
+        which[spot[some]] = here
+    return keys[spot[new]], which
 
 
 def path_starts(keys: np.ndarray, trees: Trees, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,18 +192,22 @@ def words_of(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.n
 def tally(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct keys of all texts, ascending, and how often each occurs in learned ones: those of each order, and words."""
     sym, at = symbols_of(table.column("text").combine_chunks())
-    last, flags = contexts(sym, at), table.column("learned").to_numpy().astype(bool)
+    keys, flags = contexts(sym, at), table.column("learned").to_numpy().astype(bool)
     learned, found = np.repeat(flags, np.diff(at)), []
-    for order in ORDERS:
-        keys = np.empty(len(sym), U)
-        for some in stretches(len(sym)):
-            keys[some] = keys_of(last[some], sym[some], order) << U(1) | learned[some]
-        keys.sort()
-        ones = np.cumsum(keys.astype(np.uint8) & np.uint8(1), dtype=np.int32)
-        keys >>= U(1)
-        ends = np.flatnonzero(firsts(keys))[1:] - 1
-        ends = np.append(ends, len(keys) - 1) if len(keys) else ends
-        found.append((keys[ends], np.diff(ones[ends], prepend=0).astype(np.int64)))
+    for some in stretches(len(sym)):
+        keys[some] = keys_of(keys[some], sym[some], ORDERS[-1]) << U(1) | learned[some]
+    del sym, learned
+    keys.sort()
+    ones = np.cumsum(keys.astype(np.uint8) & np.uint8(1), dtype=np.int32)
+    keys >>= U(1)
+    ends = np.append(np.flatnonzero(firsts(keys))[1:] - 1, len(keys) - 1) if len(keys) else np.zeros(0, np.int64)
+    keys, ones = keys[ends], ones[ends]  # and the counts up to each
+    for order in reversed(ORDERS):  # keys of lower orders are the first symbols of these, so they are sorted
+        found.insert(0, (keys, np.diff(ones, prepend=0).astype(np.int64)))
+        if order != ORDERS[0]:
+            lower = keys >> U(9 * (order - ORDERS[ORDERS.index(order) - 1]))
+            ends = np.append(np.flatnonzero(firsts(lower))[1:] - 1, len(keys) - 1) if len(keys) else ends
+            keys, ones = lower[ends], ones[ends]
     every, mine, done = [np.zeros(0, U)], [np.zeros(0, U)], 0
     for piece, word, owner in words_of(table):
         every.append(word)
@@ -224,6 +224,11 @@ def part_of(keys: np.ndarray, place: int, parts: int) -> np.ndarray:
     return ((mixed(by * U(0x9E3779B97F4A7C15) + U(place)) >> U(16)) % U(parts)).astype(np.int64)
 
 
+def by_part(part: np.ndarray, parts: int) -> np.ndarray:
+    """The places in order of their parts; small numbers are sorted much faster."""
+    return np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int32), kind="stable")
+
+
 def packed(numbers: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(numbers.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
@@ -332,7 +337,7 @@ def answered(placed: DataFrame, trees, parts: int) -> DataFrame:
         found = tally(opened(group))
         keys, counts, place = (np.concatenate(x) for x in ([k for k, _ in found], [c for _, c in found], [np.full(len(k), j) for j, (k, _) in enumerate(found)]))
         part = np.concatenate([part_of(k, j, parts) for j, (k, _) in enumerate(found)])
-        order = np.argsort(part.astype(np.int32), kind="stable")
+        order = by_part(part, parts)
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         sizes = np.bincount(part * kinds + place, minlength=parts * kinds).reshape(parts, -1)
         rows = np.flatnonzero(np.diff(ends))
@@ -381,50 +386,68 @@ def answered(placed: DataFrame, trees, parts: int) -> DataFrame:
 
 
 class Decisions:
-    """The decisions of a block of texts: each one's branch, the odds that each predictor gives it, and where a text's start."""
+    """The decisions of a block of texts: each one's branch, the odds that each predictor gives it, and where a text's start.
+
+    The longest context and the symbol decide all odds along the symbol's path, so these are laid out once for each such key: those of all
+    predictors side by side, as odds for the branch that is taken.
+    """
 
     def __init__(self, column: pa.Array, trees: Trees, first: np.ndarray, answers: pa.Table, parts: int):
         sym, self.at = symbols_of(column)
-        last = contexts(sym, self.at)
+        keys, top = contexts(sym, self.at), ORDERS[-1]
+        for some in stretches(len(sym)):
+            keys[some] = keys_of(keys[some], sym[some], top)
+        del sym
+        own, which = distinct(keys)
+        del keys
+        by = np.argsort(own)
+        every, place = [], []
+        for order in ORDERS:
+            keys = own[by] >> U(9 * (top - order))
+            new = firsts(keys)
+            every.append(keys[new])
+            place.append(np.empty(len(own), np.int32))
+            place[-1][by] = np.cumsum(new, dtype=np.int32) - 1
+        size = np.concatenate([path_starts(k, trees, o)[1] for k, o in zip(every, ORDERS, strict=True)])
+        by = by_part(np.concatenate([part_of(k, j, parts) for j, k in enumerate(every)]), parts)
+        at = np.empty(len(by), np.int64)
+        at[by] = np.cumsum(size[by]) - size[by]
+        cut = np.cumsum([0, *map(len, every)])
+        del every, by
+        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "n", "odds")), strict=True))
+        odds = np.frombuffer(b"".join(pa.decompress(raw, decompressed_size=n, codec="zstd", asbytes=True) for _, n, raw in rows), np.int8)
+        del rows
         leaf = np.diff(trees.start)
-        self.by_predecessor = first[np.repeat(np.arange(len(leaf)) // SYMBOLS * 256, leaf) + trees.node]  # at all places of all paths
-        every, self.spots = [], []
-        for keys, which in distinct(sym, last):
-            every.append(keys)
-            self.spots.append(which)
-        del last, which
-        leaf = sym.astype(np.int32)
-        leaf[1:] += sym[:-1] * np.int32(SYMBOLS)
-        leaf[self.at[:-1]] = sym[self.at[:-1]] + np.int32(256 * SYMBOLS)
-        self.trees, self.path, self.size = trees, trees.start[leaf], np.diff(trees.start).astype(np.uint8)[leaf]
-        del leaf, sym
+        by_predecessor = first[np.repeat(np.arange(len(leaf)) // SYMBOLS * 256, leaf) + trees.node]  # at all places of all paths
+        path, size = path_starts(own, trees, top)
+        start = np.cumsum(size, dtype=np.int64) - size
+        total = int(size.sum(dtype=np.int64))
+        # the last one stands for no decision: its odds are even whatever the weights
+        self.table, self.branch = np.zeros((total + 1, len(ORDERS) + 1), np.int8), np.zeros(total + 1, np.int8)
+        for some in (slice(lo, lo + (LAID >> 3)) for lo in range(0, len(own), LAID >> 3)):
+            paths, here = ragged(path[some], size[some]), slice(start[some][0], start[some][-1] + size[some][-1])
+            self.branch[here] = trees.bit[paths]
+            sign = self.branch[here] * np.int8(2) - np.int8(1)
+            np.multiply(by_predecessor[paths], sign, out=self.table[here, 0])
+            for j, mine in enumerate(place):
+                np.multiply(odds[ragged(at[cut[j] + mine[some]], size[some])], sign, out=self.table[here, j + 1])
+        kind = np.int32 if total < 1 << 31 else np.int64
+        self.spot, self.size = start.astype(kind)[which], size.astype(np.uint8)[which]
+        del which
         many = int(self.size.sum(dtype=np.int64))
         self.start = np.zeros(len(self.size) + 1, np.int32 if many < 1 << 31 else np.int64)  # of each symbol's decisions
         np.cumsum(self.size, out=self.start[1:])
-        size = np.concatenate([path_starts(k, trees, o)[1] for k, o in zip(every, ORDERS, strict=True)])
-        by = np.argsort(np.concatenate([part_of(k, j, parts) for j, k in enumerate(every)]).astype(np.int32), kind="stable")
-        at = np.empty(len(by), np.int32)
-        at[by] = np.cumsum(size[by]) - size[by]
-        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "n", "odds")), strict=True))
-        self.odds = np.frombuffer(b"".join(pa.decompress(raw, decompressed_size=n, codec="zstd", asbytes=True) for _, n, raw in rows), np.int8)
-        cut = np.cumsum([0, *map(len, every)])
-        for j, (a, b) in enumerate(pairwise(cut.tolist())):
-            self.spots[j] = at[a:b][self.spots[j]]
-
-    def laid(self, some: np.ndarray | slice) -> Iterator[np.ndarray]:
-        """The branches of all decisions of some symbols, and the odds of these by one predictor after another."""
-        size = self.size[some]
-        path = ragged(self.path[some], size)
-        yield self.trees.bit[path]
-        yield self.by_predecessor[path]
-        for spot in self.spots:
-            yield self.odds[ragged(spot[some], size)]
+
+    def laid(self, some: np.ndarray | slice) -> np.ndarray:
+        """Where all decisions of some symbols are in table and branch."""
+        return ragged(self.spot[some], self.size[some])
 
     def predictors(self) -> Iterator[np.ndarray]:
         """The odds of all decisions, a predictor after another."""
-        found = self.laid(slice(None))
-        next(found)
-        yield from found
+        spot = self.laid(slice(None))
+        sign = self.branch[spot] * np.int8(2) - np.int8(1)
+        for odds in self.table.T:
+            yield odds[spot] * sign
 
 
 def train(docs: DataFrame) -> tuple[Trees, np.ndarray]:
@@ -464,72 +487,86 @@ def bits_of(decisions: Decisions) -> np.ndarray:
     weights = np.full((2 * k, n), 1.6 / k / root, np.float32)
     table = np.tile(1 / (1 + np.exp(-(np.arange(CELLS, dtype=np.float32) - CELLS // 2) / 2)), n).astype(np.float32)
     spent = np.zeros(n)
-    starts = np.concatenate(([0], np.cumsum(live)))
     together = int(np.searchsorted(-live, -FEW, side="right"))  # live falls
-
-    def between(a: int, b: int, lanes: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The branches of steps a to b (not with it) of the first lanes, and their odds: where each lane's step a is, and all of the lane after it."""
-        lo = np.searchsorted(decisions.start, first[:lanes] + a, side="right") - 1
-        hi = np.searchsorted(decisions.start, first[:lanes] + np.minimum(size[:lanes], b), side="left")
-        laid = decisions.start[hi] - decisions.start[lo]
-        at = np.cumsum(laid) - laid + first[:lanes] + a - decisions.start[lo]
-        return at, list(decisions.laid(ragged(lo, hi - lo)))
-
-    windows = np.unique(np.append(np.searchsorted(starts[: together + 1], np.arange(0, starts[together], LAID)), together))
-    for a, b in zip(windows[:-1].tolist(), windows[1:].tolist(), strict=True):
-        at, laid = between(a, b, int(live[a]))
-        by_step = np.concatenate([at[:m] + t for t, m in enumerate(live[a:b].tolist())])
-        bit, *x = (values[by_step] for values in laid)
-        mine = starts[a : b + 1] - starts[a]
-        cuts = np.unique(np.append(np.searchsorted(mine, np.arange(0, mine[-1], AT_ONCE)), b - a))
-        for c, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            span, many = slice(mine[c], mine[d]), live[a + c : a + d]
-            spans = [slice(o, o + m) for o, m in zip((mine[c:d] - mine[c]).tolist(), many.tolist(), strict=True)]
-            lane = ragged(np.zeros(d - c, np.int64), many)
-            spent += np.bincount(lane, stepped([odds[span] for odds in x], bit[span].astype(np.float32), lane, spans, weights, table), minlength=n)
+    starts = np.concatenate(([0], np.cumsum(live[:together])))
+    whole = decisions.table.view(np.uint32).reshape(-1) if k == 4 else decisions.table  # four odds move as one number
+
+    windows = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], WINDOW)), together))
+    lo = np.searchsorted(decisions.start, first.astype(decisions.start.dtype))  # the symbols that the next step is in
+    for a, b in pairwise(windows.tolist()):
+        m, steps, over = int(live[a]), np.arange(b - a), int(live[b - 1])
+        lo, last = lo[:m], first[:m] + np.minimum(size[:m], b)
+        hi = np.searchsorted(decisions.start, last.astype(decisions.start.dtype))  # of one type, or all are copied
+        laid = decisions.start[hi].astype(np.int64) - decisions.start[lo]
+        at = np.cumsum(laid) - laid + first[:m] + a - decisions.start[lo]
+        spot = np.append(decisions.laid(ragged(lo, hi - lo)), len(whole) - 1)
+        by_step = at + steps[:, None]
+        ended = steps[:, None] >= size[over:m] - a
+        by_step[:, over:][ended] = len(spot) - 1
+        lo = hi - (decisions.start[hi] > last)
+        spot = spot[by_step]
+        x, bit, w = whole.take(spot, axis=0).view(np.int8).reshape(b - a, m, k), decisions.branch.take(spot), np.ascontiguousarray(weights[:, :m])
+        del by_step, spot
+        many = max(1, AT_ONCE // m)
+        for c in range(0, b - a, many):
+            nats = stepped(x[c : c + many], bit[c : c + many], w, table)
+            nats[:, over:][ended[c : c + many]] = 0
+            spent[:m] += nats.sum(axis=0, dtype=np.float64)
+        weights[:, :m] = w
     weights *= np.float32(root)
     for lane in range(int(live[together]) if together < len(live) else 0):
         w, cells = weights[:, lane].tolist(), table[lane * CELLS : (lane + 1) * CELLS].tolist()
-        lo, hi = (np.searchsorted(decisions.start, first[lane] + t, side="right") - 1 for t in (together, int(size[lane])))
-        bit, *x = decisions.laid(np.arange(lo, hi))
-        skip = int(first[lane] + together - decisions.start[lo])
-        spent[lane] += alone([(odds[skip:] / STEP).tolist() for odds in x], bit[skip:].tolist(), w, cells)
+        lo, hi = (int(np.searchsorted(decisions.start, decisions.start.dtype.type(first[lane] + t), side="right")) - 1 for t in (together, int(size[lane])))
+        spot = decisions.laid(np.arange(lo, hi))[int(first[lane] + together - decisions.start[lo]) :]
+        bit = decisions.branch[spot]
+        x = decisions.table[spot] * (bit * np.int8(2) - np.int8(1))[:, None]
+        spent[lane] += alone([(odds / STEP).tolist() for odds in x.T], bit.tolist(), w, cells)
     out = np.empty(n)
     out[order] = spent / np.log(2)
     return out
 
 
-def stepped(odds: list[np.ndarray], hits: np.ndarray, lane: np.ndarray, spans: list[slice], weights: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Nats of the decisions of some steps, those of a step side by side; weights and table move on."""
-    k, one = len(odds), np.float32(1)
-    v = np.empty((2 * k, len(hits)), np.float32)  # all odds are negated here
+def stepped(odds: np.ndarray, bits: np.ndarray, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Nats of decisions (step, lane), those of a step side by side; weights and table move on. Odds are those of the branch taken."""
+    steps, m, k = odds.shape
+    v = np.empty((steps, 2 * k, m), np.float32)
     for j in range(k):
-        np.multiply(odds[j], np.float32(-math.sqrt(RATE) / STEP), out=v[k + j])
-    gate = np.abs(odds[-1].astype(np.float32) * np.float32(1 / STEP))
-    gate /= gate + one
-    np.multiply(v[k:], gate, out=v[:k])
-    v[k:] *= one - gate
-    z, p, r = (np.empty(len(hits), np.float32) for _ in range(3))
-    low, high = np.float32(-8), np.float32(8)
-    for now in spans:
-        some, odd, mine, w = v[:, now], z[now], p[now], weights[:, : now.stop - now.start]
-        np.einsum("ij,ij->j", w, some, out=odd)
-        np.maximum(odd, low, out=odd)
-        np.minimum(odd, high, out=odd)
-        np.exp(odd, out=mine)
-        mine += one
-        np.reciprocal(mine, out=mine)
-        some *= mine - hits[now]
-        w += some
-    cells = np.rint(z * np.float32(-2)).astype(np.intp) + (lane * CELLS + CELLS // 2)
-    step, keep = hits * np.float32(RATE_TABLE), np.float32(1 - RATE_TABLE)
-    for now in spans:
-        cell = cells[now]
-        mine = r[now] = table[cell]
-        mine *= keep
-        mine += step[now]
-        table[cell] = mine
-    return -np.log(np.abs(one - hits - (p + r) * np.float32(0.5)))
+        np.multiply(odds[:, :, j], np.float32(math.sqrt(RATE) / 2 / STEP), out=v[:, k + j])  # so sums are half the mixed odds
+    gate = np.abs(odds[:, :, -1].astype(np.float32))
+    gate /= gate + np.float32(STEP)
+    np.multiply(v[:, k:], gate[:, None], out=v[:, :k])
+    v[:, k:] -= v[:, :k]
+    z, p, r = (np.empty((steps, m), np.float32) for _ in range(3))
+    low, high, one, keep = (np.array(c, np.float32) for c in (-4, 4, 1, 1 - RATE_TABLE))
+    maximum, minimum, tanh, subtract, multiply, add, error, weighed = np.maximum, np.minimum, np.tanh, np.subtract, np.multiply, np.add, np.empty(m, np.float32), np.empty((2 * k, m), np.float32)
+    for some, odd, mine in zip(v, z, p, strict=True):
+        multiply(weights, some, weighed)
+        add.reduce(weighed, 0, None, odd)
+        maximum(odd, low, odd)
+        minimum(odd, high, odd)
+        tanh(odd, mine)
+        subtract(one, mine, error)  # twice the error
+        multiply(some, error, some)
+        add(weights, some, weights)
+    sign = bits * np.float32(8) - np.float32(4)
+    z *= sign
+    cells = np.rint(z, out=z).astype(np.intp)
+    cells += np.arange(CELLS // 2, m * CELLS, CELLS)
+    step, fresh = bits * np.float32(RATE_TABLE), error
+    for cell, mine, hit in zip(cells, r, step, strict=True):
+        table.take(cell, out=mine, mode="clip")
+        multiply(mine, keep, fresh)
+        add(fresh, hit, fresh)
+        table[cell] = fresh
+    # the chance of the branch taken: (1 + p) / 2 by the mixer, by the table r or 1 - r
+    r -= np.float32(0.5)
+    sign *= np.float32(0.25)
+    r *= sign
+    p *= np.float32(0.5)
+    r += p
+    r += one
+    r *= np.float32(0.5)
+    return -np.log(r, out=r)
 
 
 def alone(odds: list[list[float]], bits: list[int], weights: list[float], table: list[float]) -> float:
@@ -603,7 +640,7 @@ def score(docs: DataFrame, learn_from: Column) -> DataFrame:
         name = np.sort(np.concatenate([word for _, word, _ in found]))
         name = name[firsts(name)]
         c = np.empty(len(name), np.int64)
-        c[np.argsort(part_of(name, len(ORDERS), parts).astype(np.int32), kind="stable")] = counts
+        c[by_part(part_of(name, len(ORDERS), parts), parts)] = counts
         logs = np.log10(c + 0.1)
         out, done = [], 0
         for piece, word, owner in found:

@@ -87,3 +87,22 @@ def test_what_blocks_exchange_is_smaller_than_their_texts(spark):
     count = Counter(w for _, t, learned in rows if learned for w in t.split())
     assert sum(x for x in answers.column("known").to_pylist() if x) == len(count) + 1
     assert sum(x for x in answers.column("total").to_pylist() if x) == sum(count.values()) + 360
+
+
+def test_odds_of_equal_contexts_are_laid_out_once(spark):
+    rows = [(i, "the same words again and again " * 40, True, 0) for i in range(30)] + [(30, "", True, 0), (31, "others", False, 0)]
+    placed = spark.createDataFrame(rows, "doc_id long, text string, learned boolean, block int")
+    trees, first = mixing.train(placed.filter("learned"))
+    answers = mixing.context_odds(placed, spark.sparkContext.broadcast(trees), 3).toArrow()
+    found = mixing.Decisions(pa.array([r[1] for r in rows]), trees, first, answers, 3)
+    assert 20 * len(found.table) < int(found.start[-1])
+    bits = mixing.bits_of(found)
+    assert np.allclose(bits[:30], bits[0]) and 0 < bits[30] < bits[31]
+
+
+def test_distinct_keys_stand_at_their_places():
+    rng = np.random.default_rng(3)
+    for n, many in ((0, 1), (1, 1), (5000, 40), (5000, 1 << 62), (1 << 16, 3000)):
+        keys = rng.integers(0, many, n).astype(np.uint64)
+        own, which = mixing.distinct(keys)
+        assert (own[which] == keys).all() and len(own) == len(np.unique(keys))
