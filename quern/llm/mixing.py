@@ -49,6 +49,8 @@ STEP = 12.0  # odds are kept in steps of 1/12
 SOME = 1 << 14
 #: Bytes of text in a block of documents, and for each part of the counts, about.
 BLOCK_BYTES, PART_BYTES = 14 << 20, 32 << 20
+#: What a text's own weights and table count for in a block, in bytes of text.
+STATE_BYTES = 32
 #: Bytes of texts of about the same length that go to a block together, at most (or one longer text), and that a task sorts by length at a time.
 RUN_BYTES, SORTED_BYTES = 128 << 10, 8 << 20
 #: Symbols that are worked on together, decisions whose odds are laid out together, about, and those of them that are mixed together.
@@ -596,10 +598,11 @@ def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
     """
     size = F.octet_length("text")
     kind = F.floor(2 * F.log2(size + 1)).cast("int")
-    sizes = {r.kind: r.bytes for r in rows.groupBy(kind.alias("kind")).agg(F.sum(size).alias("bytes")).collect()}  # two for each power of two
+    found = rows.groupBy(kind.alias("kind")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).collect()  # two for each power of two
+    sizes, state = {r.kind: r.bytes for r in found}, {r.kind: STATE_BYTES * r.n for r in found}
     first, many, total = {}, {}, 0
     for c in sorted(sizes):
-        first[c], many[c] = total, max(1, -(-sizes[c] // BLOCK_BYTES))
+        first[c], many[c] = total, max(1, -(-(sizes[c] + state[c]) // BLOCK_BYTES))
         total += many[c]
     run_bytes = min(RUN_BYTES, max(1, BLOCK_BYTES // 16))
     seen: dict[int, int] = {}

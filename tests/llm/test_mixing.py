@@ -106,3 +106,11 @@ def test_distinct_keys_stand_at_their_places():
         keys = rng.integers(0, many, n).astype(np.uint64)
         own, which = mixing.distinct(keys)
         assert (own[which] == keys).all() and len(own) == len(np.unique(keys))
+
+
+def test_many_short_texts_are_not_one_block(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_BYTES", 8 << 10)
+    docs = spark.range(0, 4000, 1, 8).selectExpr("id as doc_id", "if(id % 2 = 0, 'a', '') as text", "true as learned")
+    placed, size = mixing.dealt(docs)
+    rows = placed.selectExpr("block", "size(ids) as n").groupBy("block").agg(F.sum("n").alias("n")).collect()
+    assert size == 2000 and sum(r.n for r in rows) == 4000 and max(r.n for r in rows) < 1600
