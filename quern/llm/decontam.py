@@ -4,7 +4,8 @@ Built from DataFrame functions only. Two rules say what a name is: a capitalised
 that isn't a function word; the latter finds questions whose sentences begin with another name, and a verbatim copy
 wherever it stands. A document leaks an item that either rule finds. Numbers, names and units (words of a list
 after a number) become typed placeholders; all else is lower-cased and cut into words of letters and digits. Windows of
-five template words of the benchmark are hash-joined with those of the documents. A window keeps what stands in its
+five template words of the benchmark are hash-joined with those of the documents, after a sieve (a table of bits, of a
+fixed size whatever the benchmark's) has let go nearly all windows that the benchmark doesn't have. A window keeps what stands in its
 slots; along one alignment (document, item, distance of the two positions) a slot value of the item must always meet the
 same value in the document, or the alignment doesn't count. A document leaks an item when at least 80 of 100 of the
 item's distinct windows are found in it.
@@ -23,6 +24,10 @@ WINDOW = 5
 LEAST = 80  # of 100 windows of an item
 #: Windows of the benchmark are broadcast up to so many rows (about 100 bytes each), and shuffled beyond.
 BROADCAST_ROWS = 500_000
+#: Windows of a piece of a text. Each window's row holds its piece's words until its slots are known, so a text must not be one piece.
+PIECE = 256
+#: Cells of the sieve, 64 bits each; about 50 bytes a cell once broadcast.
+SIEVE_CELLS = 1 << 20
 #: Words that count as units after a number.
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|s|min|h|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|feet|foot|inches|inch|pounds|pound|ounces|ounce|dollars|dollar|euros|euro|cents|cent|percent"
 NUM, NAME, UNIT = "\u0001", "\u0002", "\u0003"
@@ -65,20 +70,30 @@ def _words(table: DataFrame, id_col: str, text_col: str, anywhere: bool = False)
 
 
 def template_windows(table: DataFrame, id_col: str, text_col: str = "text", anywhere: bool = False) -> DataFrame:
-    """One row per window: id, words (of its text; null in a text without slots), pos and w, a 64-bit hash. A text too short has a row of nulls."""
+    """One row per window: id, words (of its piece; null in a text without slots), at (place in the piece), pos and w, a 64-bit hash. A text too short has a row of nulls."""
     base = _words(table, id_col, text_col, anywhere)
+    piece = lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, PIECE + WINDOW - 1).alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)), F.lit(PIECE))
+    base = base.select("id", "has_slots", F.explode_outer(F.transform(starts, piece)).alias("p")).select("id", "has_slots", "p.start", "p.words")
     typed = lambda w: F.xxhash64(F.when(_is_slot(w), F.substr(w, F.lit(1), F.lit(1))).otherwise(w))
     hashes = F.when(F.col("has_slots"), F.transform("words", typed)).otherwise(F.transform("words", lambda w: F.xxhash64(w)))
-    base = base.select("id", F.when(F.col("has_slots"), F.col("words")).alias("words"), hashes.alias("h"))
+    base = base.select("id", "start", F.when(F.col("has_slots"), F.col("words")).alias("words"), hashes.alias("h"))
     window = lambda i: F.xxhash64(*(F.get(F.col("h"), i + j) for j in range(WINDOW)))
     ws = F.when(F.size("h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), window))
-    base = base.select("id", "words", ws.alias("ws"))
+    base = base.select("id", "start", "words", ws.alias("ws"))
     # A filter, also the one that a plain explode infers, would move below these steps and repeat them all for its own sake.
-    return base.select("id", "words", F.posexplode_outer("ws").alias("pos", "w"))
+    return base.select("id", "start", "words", F.posexplode_outer("ws").alias("at", "w")).select("id", "words", "at", (F.col("start") + F.col("at")).alias("pos"), "w")
 
 
 def _slots() -> Column:
-    return F.filter(F.slice("words", F.col("pos") + 1, WINDOW), _is_slot)
+    return F.filter(F.slice("words", F.col("at") + 1, WINDOW), _is_slot)
+
+
+def _sieved(theirs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows whose w the items may have: all that they have, and few others."""
+    cell, bit = f"w & {SIEVE_CELLS - 1}", f"shiftleft(1L, cast(shiftrightunsigned(w, {SIEVE_CELLS.bit_length() - 1}) & 63 as int))"
+    sieve = items.groupBy(F.expr(cell).alias("cell")).agg(F.bit_or(F.expr(bit)).alias("bits"))
+    return theirs.join(F.broadcast(sieve), (F.expr(cell) == F.col("cell")) & (F.expr(f"bits & {bit}") != 0)).drop("cell", "bits")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -108,7 +123,7 @@ def _short_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: s
     theirs = theirs.select("doc_id", F.array_distinct(F.concat(*(window(n) for n in sizes))).alias("ws")).select("doc_id", F.explode("ws").alias("w"))
     small = items.count() <= BROADCAST_ROWS
     totals = items.groupBy("item_id").agg(F.count("w").alias("n_windows"))
-    found = theirs.join(F.broadcast(items) if small else items, "w").groupBy("doc_id", "item_id").agg(F.count_distinct("w").alias("n_found"))
+    found = _sieved(theirs, items).join(F.broadcast(items) if small else items, "w").groupBy("doc_id", "item_id").agg(F.count_distinct("w").alias("n_found"))
     found = found.join(F.broadcast(totals) if small else totals, "item_id")
     return found.filter(100 * F.col("n_found") >= LEAST * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "n_found")
 
@@ -120,10 +135,9 @@ def _template_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col
     small = items.count() <= BROADCAST_ROWS
     totals = items.groupBy("item_id").agg(F.count_distinct("w").alias("n_windows"))
     theirs = template_windows(docs, id_col, text_col, anywhere).withColumnRenamed("id", "doc_id")
-    if small:  # words are only looked at where a window is found
-        hits = theirs.join(F.broadcast(items), "w").withColumn("slots", _slots())
-    else:
-        hits = theirs.withColumn("slots", _slots()).drop("words").join(items, "w")
+    # Words are looked up where a window may be found, and go before its items come: a window of many items is many rows.
+    theirs = _sieved(theirs, items).select("doc_id", "pos", "w", _slots().alias("slots"))
+    hits = theirs.join(F.broadcast(items) if small else items, "w")
     # Repeated rows of a document or item, and items that share windows, stay apart by alignment.
     hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("b_pos")).alias("shift"), "w", F.arrays_zip("b_slots", "slots").alias("pairs"))
     lines = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("w").alias("ws"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

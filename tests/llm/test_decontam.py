@@ -33,3 +33,16 @@ def test_short_items_and_copies_within_a_sentence(spark):
         8: "",
     }
     assert set(leaks(spark, docs, items)) == {(1, 1), (2, 2), (3, 3), (4, 5), (6, 6)}
+
+
+def test_no_window_carries_a_long_text(spark, monkeypatch):
+    item = "Tom has 3 apples. Tom gives 2 apples to Ann. How many apples does Tom have left?"
+    words = [f"w{k % 900} {k}" for k in range(3000)]
+    texts = {k: " ".join([*words[:at], item.replace("Tom", "Bob").replace("3", "7"), *words[at:]]) for k, at in enumerate((0, 100, 127, 128, 2999, 3000))}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = decontam.template_windows(frame, "doc_id").selectExpr("max(size(words)) most", "count(distinct id, pos) n", "count(*) n_rows").first()
+    assert rows.most <= decontam.PIECE + decontam.WINDOW and rows.n == rows.n_rows > 36_000
+    got = leaks(spark, texts, {1: item, 2: item})
+    assert set(got) == {(k, i) for k in texts for i in (1, 2)} and all(n == m for n, m in got.values())
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)  # as if the benchmark were large
+    assert leaks(spark, texts, {1: item, 2: item}) == got
