@@ -163,3 +163,25 @@ def test_uploads_of_a_small_file_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(upload, "converted", lambda docs, files, schemas: docs.select("dir").union(files.select("dir")))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert queries()["upload_conversion"](spark, SF).rdd.getNumPartitions() >= 2 * tasks
+
+
+def test_linked_identifiers_end_when_nothing_waits(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(Tables, "save", lambda self, name, df, save=Tables.save: saved.append(name) or save(self, name, df))
+    leaf = '{ "n":1e0,"é":"\\u00e9"}'
+    docs = [(str(k), *x) for k in range(3) for x in (("a", leaf), ("b", '{"to":[{"/":"./a"},{"/":"././a"}],"page":{"ipfs_url":"./i.html"}}'))]
+    got = {(r.dir, r.name): (r.converted, r.cid) for r in graph.linked_cids(spark.createDataFrame(docs, "dir string, name string, text string"), spark.createDataFrame([(str(k), "bafym") for k in range(3)], "dir string, media_cid string")).collect()}
+    a = '{"n":1,"é":"é"}'
+    b = '{"page":{"ipfs_url":"ipfs://bafym"},"to":[{"/":"%s"},{"/":"%s"}]}' % ((canon.cid_v1(a.encode()),) * 2)
+    assert got == {(str(k), n): (t, canon.cid_v1(t.encode())) for k in range(3) for n, t in (("a", a), ("b", b))}
+    assert saved == ["docs", "refs0", "found0"]
+
+
+def test_texts_in_plain_ascii_are_printed_as_all_others(spark):
+    cids = {"./a": "bafya", "./z": "bafyz", "i.png": "bafyi"}
+    texts = ['{"b":[{"/":"./z"},{"/":"./a"},1],"B":"\\"\x7f","ipfs_url":"i.png"}', "[1.50,-0,1e3]", "12345678901234567890", "[NaN]", "{", '{"a":1,"a":[true,null]}', '"\\ud83d\\ude00"', "{}"]
+    for text in texts:
+        plain = canon._safe(lambda v: canon.canonical(canon.sort_links(canon.with_targets(v, cids))), text) or text
+        assert canon._linked(text, cids) == (plain, canon.cid_v1(plain.encode()))
+    rows = spark.createDataFrame([(t,) for t in [*texts, *texts, None]], "t string").coalesce(1)
+    assert rows.select(canon.link_forms("t").alias("f")).filter("f.cid is not null").count() == 14 and rows.select(canon.link_forms("t")["refs"].alias("r")).first().r == ["./z", "./a", "i.png"]
