@@ -1,7 +1,8 @@
 """Documents fetched by identifier with all that they link to, from a table of contents: names of files, texts with paths.
 
 Links are taken from all contents in one pass; the closure walks identifiers only, level by level, each level written
-compressed; texts are parsed and written once, and read at the end for what was reached. Those without links move no more. A content counts if its hash is its identifier's and its text is
+compressed; texts are parsed and written once, and read at the end for what was reached. Those without links move no more.
+A file's name is kept without the identifier in it, and tables go as soon as nothing reads them. A content counts if its hash is its identifier's and its text is
 a JSON object or another JSON value. What is missing or broken ends its branch and stays as a row that says so.
 
 Of several ways to a document the shortest names its file; of those of a length, the one whose file and place come first.
@@ -61,39 +62,49 @@ def fetched(roots: DataFrame, content: DataFrame, manifest: DataFrame, max_depth
     texts, known = known.select(F.col("k_cid").alias("t_cid"), "text").filter("text is not null"), known.drop("text")
 
     null = F.lit(None).cast("string")
+    stem_of = lambda stem, by_cid, cid: F.concat(stem, F.when(by_cid, cid).otherwise(""))  # noqa: E731  a file's name but for .json
     first = roots.select(F.col("cid").alias("root"), "cid").distinct()
-    frontier = first.select("root", "cid", F.lit(0).alias("depth"), null.alias("rel"), null.alias("file"), F.array().cast("array<string>").alias("above"))
+    frontier = first.select("root", "cid", F.lit(0).alias("depth"), null.alias("rel"), null.alias("stem"), F.lit(False).alias("by_cid"), F.array().cast("array<string>").alias("above"))
     seen, depth = None, 0
     while True:
         met = frontier.join(known, F.col("cid") == F.col("k_cid"), "left")
-        file = F.coalesce("file", F.concat(F.coalesce("group_cid", "cid"), F.lit(".json")))
         problem = F.when(F.col("k_cid").isNull(), MISSING).when(F.col("state") != "", F.col("state"))
-        met = met.select("root", "cid", "depth", "rel", file.alias("file"), "above", problem.alias("problem"), "links")
+        by_cid = F.coalesce("stem", "group_cid").isNull() | F.col("by_cid")
+        met = met.select("root", "cid", "depth", "rel", F.coalesce("stem", "group_cid", F.lit("")).alias("stem"), by_cid.alias("by_cid"), "above", problem.alias("problem"), "links")
         met = work.save(f"met{depth}", met)
-        if met.isEmpty():
-            break
         seen = met.drop("links") if seen is None else seen.unionByName(met.drop("links"))
         depth += 1
-        if max_depth is not None and depth > max_depth:
+        follow = met.filter("problem is null and size(links) > 0")
+        if max_depth is not None and depth > max_depth or follow.isEmpty():
             break
-        out = met.filter("problem is null").select("root", F.col("cid").alias("parent"), "rel", "file", F.array_append("above", F.col("cid")).alias("above"), F.explode("links").alias("l"))
-        parent = F.coalesce("l.rel", "rel", F.regexp_replace("file", r"\.json$", ""))
-        name = F.when(F.col("l.key") == "", F.concat("l.rel", F.lit(".json"))).otherwise(F.concat(parent, F.lit("_"), "l.key", F.lit("_"), "l.target", F.lit(".json")))
-        ways = out.select("root", F.col("l.target").alias("cid"), F.struct("file", F.coalesce("l.rel", F.lit("~")).alias("by"), F.col("l.key").alias("key"), parent.alias("rel"), name.alias("name"), "above").alias("way"))
+        file = stem_of(F.col("stem"), F.col("by_cid"), F.col("cid"))
+        out = follow.select("root", F.col("cid").alias("parent"), "rel", file.alias("file"), F.array_append("above", F.col("cid")).alias("above"), F.explode("links").alias("l"))
+        parent = F.coalesce("l.rel", "rel", "file")
+        stem = F.when(F.col("l.key") == "", F.col("l.rel")).otherwise(F.concat(parent, F.lit("_"), "l.key", F.lit("_")))
+        way = F.struct(F.concat("file", F.lit(".json")).alias("file"), F.coalesce("l.rel", F.lit("~")).alias("by"), F.col("l.key").alias("key"), parent.alias("rel"), stem.alias("stem"), (F.col("l.key") != "").alias("by_cid"), "above")
+        ways = out.select("root", F.col("l.target").alias("cid"), way.alias("way"))
         new = ways.groupBy("root", "cid").agg(F.min("way").alias("way")).join(seen.select("root", "cid"), ["root", "cid"], "left_anti")
-        frontier = new.select("root", "cid", F.lit(depth).alias("depth"), F.col("way.rel").alias("rel"), F.col("way.name").alias("file"), F.col("way.above").alias("above"))
+        frontier = new.select("root", "cid", F.lit(depth).alias("depth"), "way.rel", "way.stem", "way.by_cid", "way.above")
 
-    saved = seen.filter("problem is null").select("root", "cid", "depth", "above", F.concat(F.lit("./"), "file").alias("path"))
+    saved = seen.filter("problem is null").select("root", "cid", "depth", "above", "stem", "by_cid")
     held = F.array_distinct(F.regexp_extract_all("text", F.lit(LINK), 1))
     held = F.filter(held, lambda x: (x != F.col("cid")) & ~F.array_contains("above", x))
-    texts = work.save("texts", saved.join(texts, F.col("cid") == F.col("t_cid")).select("root", "cid", "depth", "path", "text", held.alias("held")))
-    refs = texts.select("root", "cid", F.explode("held").alias("target"))
-    to = saved.select(F.col("root").alias("s_root"), F.col("cid").alias("s_cid"), F.col("path").alias("to"))
+    texts = saved.join(texts, F.col("cid") == F.col("t_cid")).select(F.monotonically_increasing_id().alias("row"), "root", "cid", "depth", "stem", "by_cid", "text", held.alias("held"))
+    texts = work.save("texts", texts)
+    lost = work.save("lost", seen.filter("problem is not null").select("root", "cid", "depth", "problem"))
+    for name in ("known", *(f"met{k}" for k in range(depth))):
+        work.drop(name)
+
+    # What is swapped in a text comes to it by the number of its row, which is shorter than two identifiers.
+    refs = texts.select("row", "root", F.explode("held").alias("target"))
+    to = texts.select(F.col("root").alias("s_root"), F.col("cid").alias("s_cid"), "stem", "by_cid")
     met = refs.join(to, (F.col("root") == F.col("s_root")) & (F.col("target") == F.col("s_cid")))
-    maps = met.groupBy(F.col("root").alias("m_root"), F.col("cid").alias("m_cid")).agg(F.collect_list(F.struct("target", "to")).alias("swaps"))
-    plain, texts = texts.filter("size(held) = 0"), texts.filter("size(held) > 0")
-    full = texts.join(maps, (F.col("root") == F.col("m_root")) & (F.col("cid") == F.col("m_cid")), "left")
+    maps = met.groupBy(F.col("row").alias("m_row")).agg(F.collect_list(F.struct("target", "stem", "by_cid")).alias("swaps"))
+    path = F.concat(F.lit("./"), stem_of(F.col("stem"), F.col("by_cid"), F.col("cid")), F.lit(".json"))
+    texts = texts.select("row", "root", "cid", "depth", path.alias("path"), "text", (F.size("held") > 0).alias("holds"))
+    plain, full = texts.filter("not holds"), texts.filter("holds").join(maps, F.col("row") == F.col("m_row"), "left")
     quoted = lambda c: F.concat(F.lit('{"/":'), F.to_json(c.cast("variant")), F.lit("}"))
-    swapped = F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<target:string,to:string>>")), F.col("text"), lambda s, e: F.replace(s, quoted(e["target"]), quoted(e["to"])))
-    lost = seen.filter("problem is not null").select("root", "cid", "depth", null.alias("path"), null.alias("text"), "problem")
+    name = lambda e: F.concat(F.lit("./"), stem_of(e["stem"], e["by_cid"], e["target"]), F.lit(".json"))
+    swapped = F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<target:string,stem:string,by_cid:boolean>>")), F.col("text"), lambda s, e: F.replace(s, quoted(e["target"]), quoted(name(e))))
+    lost = lost.select("root", "cid", "depth", null.alias("path"), null.alias("text"), "problem")
     return full.select("root", "cid", "depth", "path", swapped.alias("text"), null.alias("problem")).unionByName(plain.select("root", "cid", "depth", "path", "text", null.alias("problem"))).unionByName(lost)

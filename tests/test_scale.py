@@ -185,3 +185,22 @@ def test_texts_in_plain_ascii_are_printed_as_all_others(spark):
         assert canon._linked(text, cids) == (plain, canon.cid_v1(plain.encode()))
     rows = spark.createDataFrame([(t,) for t in [*texts, *texts, None]], "t string").coalesce(1)
     assert rows.select(canon.link_forms("t").alias("f")).filter("f.cid is not null").count() == 14 and rows.select(canon.link_forms("t")["refs"].alias("r")).first().r == ["./z", "./a", "i.png"]
+
+
+def test_fetched_tables_go_when_nothing_reads_them(spark, monkeypatch):
+    saved = {}
+    monkeypatch.setattr(Tables, "save", lambda self, name, df, save=Tables.save: saved.setdefault(name, (self.path, df.columns)) and save(self, name, df))
+    leaf, lost = '{"n":1}', cid_v1(b"lost")
+    a = cid_v1(leaf.encode())
+    top = '{"relationships":{"r":{"x":{"/":"%s"},"y":{"/":"%s"}}}}' % (a, lost)
+    root = cid_v1(top.encode())
+    content = spark.createDataFrame([(root, top), (a, leaf)], "cid string, data string")
+    found = closure.fetched(content.filter(F.col("cid") == root).select("cid"), content, spark.createDataFrame([], "name string, cid string, type string"))
+    got = {r.cid: (r.path, r.text, r.problem) for r in found.collect()}
+    path = f"./r_x_{a}.json"
+    assert got == {root: (f"./{root}.json", top.replace(a, path), None), a: (path, leaf, None), lost: (None, None, closure.MISSING)}
+    # No level for documents without links; names of files don't hold the identifier beside them.
+    assert list(saved) == ["known", "met0", "met1", "texts", "lost"] and not {"path", "file"} & {c for _, columns in saved.values() for c in columns}
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    left = [n for n, (folder, _) in saved.items() if (p := jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}")).getFileSystem(conf).exists(p)]
+    assert left == ["texts", "lost"]
